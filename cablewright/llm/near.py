@@ -35,8 +35,10 @@ from . import _text as T
 from ._rtree import CountTree, Forest
 from ._shared import components, saved
 
-#: Groups of shingle hashes: the dimensions of the points.
-GROUPS = 32
+#: Groups of shingle hashes: the dimensions of the points in the tree. Two unrelated sets of n
+#: elements differ by about sqrt(n * groups) in sum, and linked ones by less than a share of n, so
+#: points of larger sets have up to `MOST_GROUPS` finer groups, which pairs are tested by as well.
+GROUPS, MOST_GROUPS = 32, 256
 #: Counters of the frequency sketch, and the pieces in which it is summed.
 SKETCH, PIECES = 1 << 20, 64
 #: Sets that a cell of a large block, or of a large component, holds.
@@ -52,14 +54,37 @@ def _set_of(h: np.ndarray) -> int:
     return int(T.mix(x).view(np.int64)[0])
 
 
+def _groups(n: int) -> int:
+    """Groups of the point of a set of n elements."""
+    g = GROUPS
+    while g < MOST_GROUPS and n >= 32 * g:
+        g *= 2
+    return g
+
+
 def _point(h: np.ndarray) -> bytes:
     """Counts by group, in the narrowest width that holds them."""
-    c = np.bincount((h & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    g = _groups(len(h))
+    c = np.bincount((h & np.uint64(g - 1)).astype(np.int64), minlength=g)
     return c.astype(np.uint8 if c.max(initial=0) < 256 else np.uint16 if c.max() < 65536 else np.uint32).tobytes()
 
 
-def _points(blobs) -> np.ndarray:
-    return np.stack([np.frombuffer(b, {GROUPS: np.uint8, 2 * GROUPS: np.uint16, 4 * GROUPS: np.uint32}[len(b)]).astype(np.int32) for b in blobs])
+def _fine(blobs, sizes) -> list[np.ndarray]:
+    """The points at their own number of groups."""
+    return [np.frombuffer(b, f"<u{len(b) // _groups(int(n))}").astype(np.int32) for b, n in zip(blobs, sizes, strict=True)]
+
+
+def _coarse(fine: list[np.ndarray]) -> np.ndarray:
+    """The points folded to `GROUPS` groups."""
+    return np.stack([x.reshape(-1, GROUPS).sum(axis=0) for x in fine])
+
+
+def _close(x: np.ndarray, y: np.ndarray, need: int) -> bool:
+    """Whether the summed minima of two points, at the coarser number of groups, reach `need`."""
+    if len(x) != len(y):
+        g = min(len(x), len(y))
+        x, y = x.reshape(-1, g).sum(axis=0), y.reshape(-1, g).sum(axis=0)
+    return int(np.minimum(x, y).sum()) >= need
 
 
 def _sets(batches, k: int):
@@ -212,8 +237,9 @@ def _candidates(num: int, den: int):
         sid, at = np.unique(table.column("sid").to_numpy(), return_inverse=True)
         n, short = table.column("n").to_numpy().astype(np.int64), table.column("short").to_numpy(zero_copy_only=False)
         blobs, first = table.column("point"), np.unique(at, return_index=True)[1]
-        points = _points([blobs[int(i)].as_py() for i in first])
         size = n[first]
+        fine = _fine([blobs[int(i)].as_py() for i in first], size)
+        points = _coarse(fine)
         order, edge, count = _blocks(table, "key")
         got: list[tuple] = []
 
@@ -226,6 +252,8 @@ def _candidates(num: int, den: int):
                 a, b = np.divmod(code[k : k + (1 << 17)], len(sid))
                 need = -(-(num * (size[a] + size[b])) // (num + den))
                 ok = (np.minimum(points[a], points[b]).sum(axis=1) >= need) & (a != b)
+                large = np.flatnonzero(ok & (np.minimum(size[a], size[b]) >= 32 * GROUPS))
+                ok[large] = [_close(fine[x], fine[y], z) for x, y, z in zip(a[large], b[large], need[large], strict=True)]
                 got.append((a[ok], b[ok]))
 
         for m in np.unique(count[(count > 1) & (count <= 2 * 16)]):
@@ -241,7 +269,8 @@ def _candidates(num: int, den: int):
             forest = Forest(len(own))
             for a, b in tree.pairs():
                 ok = np.where(n[own[a]] == n[own[b]], short[own[a]] | short[own[b]], np.where(n[own[a]] < n[own[b]], short[own[a]], short[own[b]]))
-                keep = [(x, y) for x, y in zip(a[ok].tolist(), b[ok].tolist(), strict=True) if forest.join(x, y)]
+                need = tree.needed(n[own[a[ok]]], n[own[b[ok]]]).tolist()
+                keep = [(x, y) for x, y, z in zip(a[ok].tolist(), b[ok].tolist(), need, strict=True) if forest.find(x) != forest.find(y) and _close(fine[at[own[x]]], fine[at[own[y]]], z) and forest.join(x, y)]
                 if keep:
                     x, y = np.array(keep).T
                     got.append((at[own[x]], at[own[y]]))
@@ -296,11 +325,13 @@ def _verified(num: int, den: int):
         for begin, m in zip(edge[count > 1], count[count > 1], strict=True):
             own = order[begin : begin + m]
             h = [np.frombuffer(sets[int(i)].as_buffer(), np.uint64) for i in own]
-            tree = CountTree(_points([blobs[int(i)].as_py() for i in own]), n[own], num, den)
+            fine = _fine([blobs[int(i)].as_py() for i in own], n[own])
+            tree = CountTree(_coarse(fine), n[own], num, den)
             forest = Forest(m)
             for a, b in tree.pairs():
-                for x, y in zip(a.tolist(), b.tolist(), strict=True):
-                    if forest.find(x) == forest.find(y):
+                need = tree.needed(n[own[a]], n[own[b]]).tolist()
+                for x, y, z in zip(a.tolist(), b.tolist(), need, strict=True):
+                    if forest.find(x) == forest.find(y) or not _close(fine[x], fine[y], z):
                         continue
                     small, large = (h[x], h[y]) if len(h[x]) <= len(h[y]) else (h[y], h[x])
                     at = np.searchsorted(large, small)
