@@ -40,7 +40,7 @@ def _described(docs: DataFrame, whole: bool = False) -> DataFrame:
     if "topic" in docs.columns:
         return d.select(*out)
     d = d.withColumn("g", F.expr(f"transform(filter(w, x -> length(x) >= {LONG}), x -> ascii(substr(x, 3, 1)) % {TOPICS})"))
-    d = d.withColumn("c", F.array(*[F.size(F.filter("g", lambda x, t=t: x == t)) for t in range(TOPICS)]))
+    d = d.withColumn("c", F.array(*[F.expr(f"size(filter(g, x -> x = {t}))") for t in range(TOPICS)]))
     return d.withColumn("topic", F.concat(F.lit("t"), (F.array_position("c", F.array_max("c")) - 1).cast("string"))).select(*out)
 
 

@@ -22,7 +22,7 @@ BUCKETS = 1 << 14
 #: Documents labelled as good that the target's counts are taken from, at most.
 MOST_TARGETS = 20_000
 #: Log-likelihood ratio per n-gram below which a document goes.
-THRESHOLD = -0.05
+THRESHOLD = -0.2
 _BLANK = " \t\n\x0b\f\r"
 _UNIT = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]+"
 
@@ -80,8 +80,9 @@ def bucket_weights(docs: DataFrame, labels: DataFrame, most: int = MOST_TARGETS)
     """log(target / raw) of each bucket, with one count added over all buckets to either."""
     ids = F.broadcast(trusted_ids(labels, most).withColumn("good", F.lit(1)))  # `most` rows at most
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text(docs).alias("text")).join(ids, "doc_id", "left")
-    rows = _grams(d).select("good", F.explode("grams").alias("g"))
-    got = rows.groupBy("g").agg(F.count("*").alias("raw"), F.count("good").alias("target")).collect()  # `BUCKETS` rows at most
+    # explode() would infer a filter on the array, and Spark would push it, with the array's computation, below.
+    rows = _grams(d).select("good", F.explode_outer("grams").alias("g"))
+    got = rows.filter("g IS NOT NULL").groupBy("g").agg(F.count("*").alias("raw"), F.count("good").alias("target")).collect()  # `BUCKETS` rows at most
     raw, target = [0.0] * BUCKETS, [0.0] * BUCKETS
     for g, a, b in got:
         raw[g], target[g] = float(a), float(b)
@@ -107,6 +108,8 @@ def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     table = F.expr("from_json('" + json.dumps([round(x, 9) for x in bucket_weights(docs, labels, most)]) + "', 'array<double>')")
     d = rule_columns(d)
     d = _grams(d).withColumn("llr", F.when(F.size("grams") == 0, 0.0).otherwise(F.aggregate("grams", F.lit(0.0), lambda a, g: a + F.get(table, g)) / F.size("grams")))
-    d = d.drop("grams", "text").withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    # A column that isn't deterministic keeps a filter on kept from being pushed, with all that it needs, to the scan.
+    d = d.drop("grams", "text").withColumn("_row", F.monotonically_increasing_id())
+    d = d.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold) & (F.col("_row") >= 0))
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
     return d.select(*[F.col(n).alias(c) for c, n in clash.items() if c not in added], *added)

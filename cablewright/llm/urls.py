@@ -1,8 +1,7 @@
 """URL verdicts from rules, and for the rest from link-graph propagation.
 
 Hosts are the nodes. A link from a page to another host is an edge, counted once for each
-occurrence; a host and the domain one label above it (two labels at least) count as linked
-to each other, with a weight that stands for one link. Trust is a personalised PageRank from
+occurrence; relative links stay within their host and make none. Trust is a personalised PageRank from
 the hosts whose pages rules allow; distrust is one over the reversed edges from the hosts
 whose pages rules block. A host is blocked where its distrust exceeds its trust by `margin`.
 
@@ -78,16 +77,7 @@ def url_verdicts(pages: DataFrame, rules=RULES, margin: float = 1e-9, rounds: in
     judged = judged.withColumn("by_rule", verdict[F.col("rule")])
     links = pages.filter("host <> ''").select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(_LINK), F.lit(1))).alias("dst"))
     links = links.select("src", lower_ascii(F.col("dst")).alias("dst")).filter("src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
-    hosts = judged.filter("host <> ''").select("host").distinct().unionByName(links.select(F.col("dst").alias("host"))).distinct()
-    above = hosts.select(F.col("host").alias("src"), F.regexp_extract("host", r"\A[^.]+\.(.+\..+)\z", 1).alias("dst")).filter("dst <> ''").withColumn("w", F.lit(1.0))
-    # Domains above a host are hosts themselves: a chain of up to four labels more is followed.
-    chain, step = above, above
-    for _ in range(4):
-        step = step.select(F.col("dst").alias("src"), F.regexp_extract("dst", r"\A[^.]+\.(.+\..+)\z", 1).alias("dst")).filter("dst <> ''").distinct().withColumn("w", F.lit(1.0))
-        chain = chain.unionByName(step)
-    chain = chain.distinct()
-    both = links.unionByName(chain).unionByName(chain.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
-    graph = saved(both.groupBy("src", "dst").agg(F.sum("w").alias("w")), "graph")
+    graph = saved(links, "graph")
     edges = graph.withColumn("kind", F.lit("trust")).unionByName(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w", F.lit("distrust").alias("kind")))
     seeds = judged.filter("by_rule IS NOT NULL AND host <> ''").groupBy(F.when(F.col("by_rule") == "allow", "trust").otherwise("distrust").alias("kind"), "host").agg(F.count("*").cast("double").alias("w"))
     rank = propagate(edges, seeds, rounds)
