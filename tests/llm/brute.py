@@ -1,6 +1,10 @@
 """Plain re-statements of the operators' contracts, for comparison."""
 
+import hashlib
+import math
 import re
+import zlib
+from collections import Counter
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -41,3 +45,51 @@ def near(rows, k, num, den):
             least[r] = d if least.get(r) is None else min(least[r], d)
     key = lambda x: tuple((v is None, v) for v in x)
     return sorted(((d, len(sets[i]), least.get(find(i))) for i, (d, _) in enumerate(rows)), key=key)
+
+
+def crc(doc_id):
+    return zlib.crc32(str(doc_id).encode()) if doc_id is not None else None
+
+
+def lm_base(rows, fold=7, held_out=2):
+    """[(doc_id, held_out, n_tokens, n_known, train_tokens, base_score)]."""
+    toks = [[*SPACE.findall((t or "").translate(UP)), None] for _, t in rows]
+    held = [d is not None and crc(d) % fold == held_out for d, _ in rows]
+    c = Counter(w for h, ws in zip(held, toks, strict=True) if not h for w in ws)
+    n, v = sum(c.values()), len(c)
+    return [(d, h, len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws)) for (d, _), h, ws in zip(rows, held, toks, strict=True)]
+
+
+def quality(text):
+    t = text or ""
+    w = SPACE.findall(t)
+    c = Counter(zip(w, w[1:], w[2:], strict=False))
+    rep = {j for k in range(len(w) - 2) if c[tuple(w[k : k + 3])] > 1 for j in (k, k + 1, k + 2)}
+    lines = [x for x in t.split("\n") if SPACE.search(x)]
+    out = (len(w), sum(map(len, w)), sum(ch in "#*$%&|<>" for ch in t), len(lines) - len(set(lines)), len(rep))
+    return (*out, len(w) < 50 or 100 * len(rep) > 50 * len(w))
+
+
+ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def contamination(rows, items, window=13, share=20):
+    win = {}
+    for i, t in items:
+        w = ALNUM.findall((t or "").translate(UP))
+        m = min(window, len(w))
+        for k in range(len(w) - m + 1 if w else 0):
+            win.setdefault(tuple(w[k : k + m]), set()).add("" if i is None else str(i))
+    sizes = sorted({len(k) for k in win})
+    out = []
+    for d, t in rows:
+        w = ALNUM.findall((t or "").translate(UP))
+        hit, found = set(), set()
+        for m in sizes:
+            for k in range(len(w) - m + 1):
+                x = tuple(w[k : k + m])
+                if x in win:
+                    hit.update(range(k, k + m))
+                    found |= win[x]
+        out.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and share * len(hit) >= len(w)))
+    return out
