@@ -257,3 +257,6 @@ def _exact(v: DataFrame) -> DataFrame:
     least = s.groupBy("site_id", "capacity").agg(F.min(F.when(F.col("method") != "exact", F.col("length"))).alias("other"), F.min(F.when(F.col("method") == "exact", F.col("length"))).alias("exact"))
     # Lengths are sums of rounded hops.
     return least.select("site_id", "capacity", F.when(F.col("other") + 10 < F.col("exact"), 1).otherwise(0).cast("long").alias("worse"))
+
+
+from . import more  # noqa: E402,F401  (registers its queries)
