@@ -36,7 +36,7 @@ def read_sites(spark: SparkSession, path: str) -> DataFrame:
     Files are small; each is read whole, and Spark spreads them. Planar coordinates are taken as they
     are, others projected; a site whose points lie in more than one zone is refused.
     """
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     s = files.mapInPandas(_sections, SECTIONS)
     key = F.concat_ws("|", "handle", "section", F.col("poly_id").cast("string"))
     planar = s.filter("format = 'planar'").select(key.alias("name"), F.col("text"))
