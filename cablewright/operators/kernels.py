@@ -464,3 +464,115 @@ def smallest_rectangle(xy: np.ndarray) -> float:
         along, across = h @ d, h @ np.array([-d[1], d[0]])
         best = min(best, float((along.max() - along.min()) * (across.max() - across.min())))
     return best
+
+
+def constrained(xy: np.ndarray, constraints) -> list[tuple[int, int, int]]:
+    """The Delaunay triangulation with some sides forced, by Anglada's method.
+
+    The triangles that a forced side crosses go; the points on either side of it form a chain, which
+    is triangulated anew from the point whose circle through the side's ends holds no other. A side
+    that runs through a point is forced in two parts.
+    """
+    tri = {frozenset(t) for t in delaunay(xy)}
+
+    def force(a: int, b: int) -> None:
+        if any(a in t and b in t for t in tri):
+            return
+        on = [k for k in range(len(xy)) if k not in (a, b) and orient(xy, a, b, k) == 0 and 0 < int((xy[k] - xy[a]) @ (xy[b] - xy[a])) < int((xy[b] - xy[a]) @ (xy[b] - xy[a]))]
+        if on:
+            k = min(on, key=lambda k: int(((xy[k] - xy[a]) ** 2).sum()))
+            force(a, k)
+            force(k, b)
+            return
+        cut = [t for t in tri if any(u not in (a, b) and v not in (a, b) and crosses(xy, a, b, u, v) for u, v in itertools.combinations(t, 2))]
+        points = set().union(*cut) - {a, b}
+        tri.difference_update(cut)
+        edges: dict[frozenset, int] = {}
+        for t in cut:
+            for e in itertools.combinations(t, 2):
+                edges[frozenset(e)] = edges.get(frozenset(e), 0) + 1
+        rim = [tuple(e) for e, n in edges.items() if n == 1]
+        for sign in (1, -1):
+            side = {p for p in points if sign * int(orient(xy, a, b, p)) > 0}
+            adj: dict[int, list[int]] = {}
+            for u, v in rim:
+                if {u, v} <= side | {a, b}:
+                    adj.setdefault(u, []).append(v)
+                    adj.setdefault(v, []).append(u)
+            chain, seen = [a], {a}
+            while chain[-1] != b:
+                step = next((k for k in sorted(adj.get(chain[-1], ())) if k not in seen), None)
+                if step is None:
+                    break
+                chain.append(step)
+                seen.add(step)
+            fill(chain[1:-1] if chain[-1] == b else chain[1:], a, b)
+
+    def fill(chain: list[int], a: int, b: int) -> None:
+        if not chain:
+            return
+        best = 0
+        for k in range(1, len(chain)):
+            p, q, r = (a, b, chain[best]) if orient(xy, a, b, chain[best]) > 0 else (b, a, chain[best])
+            if in_circle(xy, p, q, r, np.array([chain[k]]))[0] > 0:
+                best = k
+        c = chain[best]
+        tri.add(frozenset((a, b, c)))
+        fill(chain[:best], a, c)
+        fill(chain[best + 1 :], c, b)
+
+    for a, b in constraints:
+        force(int(a), int(b))
+    out = []
+    for t in tri:
+        a, b, c = sorted(t)
+        turn = int(orient(xy, a, b, c))
+        if turn:
+            out.append((a, b, c) if turn > 0 else (a, c, b))
+    return sorted(out)
+
+
+def inside(polygon: np.ndarray, p) -> bool:
+    """Whether a point lies within a polygon, by crossing parity in doubled whole numbers or floats."""
+    odd = False
+    for (ax, ay), (bx, by) in zip(polygon.tolist(), np.roll(polygon, -1, axis=0).tolist(), strict=True):
+        if (ay > p[1]) != (by > p[1]) and p[0] < ax + (p[1] - ay) * (bx - ax) / (by - ay):
+            odd = not odd
+    return odd
+
+
+def navigation_mesh(xy: np.ndarray, border, holes) -> list[tuple[int, int, int]]:
+    """Constrained triangles within the border and outside the holes; border and holes are index rings."""
+    rings = [border, *holes]
+    sides = [(r[k], r[(k + 1) % len(r)]) for r in rings for k in range(len(r))]
+    keep = []
+    for t in constrained(xy, sides):
+        mid = xy[list(t)].mean(axis=0)
+        if inside(xy[border], mid) and not any(inside(xy[h], mid) for h in holes):
+            keep.append(t)
+    return keep
+
+
+def free_distances(xy: np.ndarray, source: int, walls: np.ndarray, corners) -> np.ndarray:
+    """Lengths of the shortest ways from a point to all that cross no wall, bending at corners alone; inf if there is none."""
+    n = len(xy)
+    dist = np.full(n, np.inf)
+    dist[source] = 0.0
+    done = np.zeros(n, bool)
+    bend = np.zeros(n, bool)
+    bend[list(corners)] = True
+    bend[source] = True
+    every = np.arange(n)
+    while True:
+        open_ = np.where(done, np.inf, dist)
+        k = int(np.argmin(open_))
+        if not np.isfinite(open_[k]):
+            return dist
+        done[k] = True
+        if not bend[k]:
+            continue
+        free = ~done
+        for s, t in walls:
+            free &= ~crosses(xy, k, every, s, t)
+        reach = dist[k] + length(xy, k, every)
+        dist = np.where(free & (reach < dist), reach, dist)

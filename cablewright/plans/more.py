@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as X
-from ..operators import joins, mesh, polygons, sets, trees
+from ..operators import joins, mesh, obstacles, polygons, sets, trees
 from ..operators import kernels as K
 from ..sources import coordinates, store, synthetic
 from .catalogue import _BASE, _C1, _FOREST, _KNN, _LOADS, _PTS, _TRI, _TWO, _meet, _turn, _with, query
@@ -148,3 +148,28 @@ def _scale(v: DataFrame) -> DataFrame:
     for c in "abc":
         p = p.join(v.select("site_id", F.col("n").alias(c), F.col("x").alias(f"{c}x"), F.col("y").alias(f"{c}y")), ["site_id", c])
     return p.groupBy("site_id").agg(F.sum(F.abs(G.orientation(*(G.point(c) for c in "abc")))).alias("area2"), F.min(F.least("ax", "bx", "cx")).alias("x0"))
+
+
+# Borders and obstacles: the site's box as the border, a box about the mean point as an obstacle.
+def _around(v: DataFrame) -> DataFrame:
+    return polygons.box_border(v).unionByName(polygons.box_obstacle(v))
+
+
+_BOX = "bx AS (SELECT site_id, CAST(floor(avg(x)) AS BIGINT) AS cx, CAST(floor(avg(y)) AS BIGINT) AS cy FROM v GROUP BY site_id), ob AS (SELECT site_id, cx + a * 300 AS sx, cy + b * 300 AS sy, cx + c * 300 AS tx, cy + g * 300 AS ty FROM bx, (VALUES (-1, -1, -1, 1), (-1, 1, 1, 1), (1, 1, 1, -1), (1, -1, -1, -1)) k(a, b, c, g))"
+query("mesh9_cut_edges", f"{_with(_C1, _KNN, _BOX)}, q AS (SELECT e.site_id, e.u, e.v, a.x AS ux, a.y AS uy, b.x AS vx, b.y AS vy, sx, sy, tx, ty FROM e JOIN v a ON a.site_id = e.site_id AND a.n = e.u JOIN v b ON b.site_id = e.site_id AND b.n = e.v JOIN ob ON ob.site_id = e.site_id) SELECT site_id, u, v, count(*) AS sides FROM q WHERE {_meet('u', 'v', 's', 't')} GROUP BY site_id, u, v")(lambda spark, v, d: obstacles.cut_edges(joins.knn_edges(v), v, polygons.box_obstacle(v)))
+query("mesh10_navigation_mesh", f"{_with(_C1)}, b AS (SELECT site_id, (max(x) - min(x) + 1000) * (max(y) - min(y) + 1000) AS a FROM v GROUP BY site_id) SELECT site_id, CAST(2 * a - 2 * 600 * 600 AS BIGINT) AS area2, CAST(0 AS BIGINT) AS lacking, CAST(0 AS BIGINT) AS in_holes FROM b")(lambda spark, v, d: obstacles.navigation_mesh(v, _around(v)).drop("triangles"))
+query("mesh12_free_distances", f"{_with(*_BASE, _BOX)}, h AS (SELECT d.site_id, d.n, d.root, d2, x AS ux, y AS uy, rx AS vx, ry AS vy, sx, sy, tx, ty FROM d JOIN ob USING (site_id)) SELECT site_id, n, root, CASE WHEN bool_or({_meet('u', 'v', 's', 't')}) THEN true ELSE false END AS hindered, CAST(0 AS BIGINT) AS wrong FROM h GROUP BY site_id, n, root")(lambda spark, v, d: _hindered(v))
+query("ew5_around_obstacles", f"{_with(_C1)} SELECT site_id, count(*) FILTER (WHERE n >= 0) AS links, CAST(0 AS BIGINT) AS cut_links, CAST(0 AS BIGINT) AS cut_ways FROM v GROUP BY site_id")(lambda spark, v, d: obstacles.solve_around(v, _around(v), 5).drop("ways", "failed"))
+
+
+def _hindered(v: DataFrame) -> DataFrame:
+    """Whether a gate's straight line meets the obstacle; wrong: a free way shorter than the line, or longer without hindrance for points outside the obstacle."""
+    p = polygons.box_obstacle(v)
+    gates = joins.d2roots(v).select("site_id", F.col("n").alias("v"), F.col("root").alias("u"), "d2")
+    cut = obstacles.cut_edges(gates, v, p)
+    j = gates.join(cut, ["site_id", "u", "v"], "left").select("site_id", F.col("v").alias("n"), F.col("u").alias("root"), F.col("sides").isNotNull().alias("hindered"), F.round(F.sqrt(F.col("d2").cast("double")) * 1000).cast("long").alias("line"))
+    free = obstacles.root_distances(v, _around(v))
+    held = polygons.contains(v, p).select("site_id", "n", "inside")
+    w = j.join(free, ["site_id", "n", "root"], "left").join(held, ["site_id", "n"])
+    wrong = F.when(F.col("inside"), False).when(F.col("length").isNull(), ~F.col("hindered")).otherwise((F.col("length") < F.col("line") - 1) | (~F.col("hindered") & (F.abs(F.col("length") - F.col("line")) > 1)))
+    return w.select("site_id", "n", "root", "hindered", wrong.cast("long").alias("wrong"))
