@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, lm, mixing, near, quality, secrets, tokenfile, toxicity, urls
+from . import chat, decontam, lm, mixing, near, oracles, quality, secrets, tokenfile, toxicity, urls
 from ._shared import documents
 
 
@@ -63,4 +63,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_deleted_interpolation, op2_quality_llr, op3_ngram_jaccard_join, op4_url_propagation, op5_chat_format, op6_mix_sources, op7_secret_battery, op8_toxicity_grammar, op9_decontaminate, op10_token_files)
 }
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.ORACLES
