@@ -31,14 +31,17 @@ def _quads(v: DataFrame) -> DataFrame:
     return joins.with_points(joins.with_points(e, v), v, "s", "t")
 
 
-_P = [G.point(c) for c in "uvst"]
+def _p():
+    return [G.point(c) for c in "uvst"]
+
+
 _SAME = f"sign({_turn('u', 'v', 's')}) * sign({_turn('u', 'v', 't')})"
-query("geo5_convex_pair", f"{_with(_C1, _KNN, _QUAD, _PTS.format('qd'))} SELECT site_id, u, v, {_meet('u', 'v', 's', 't')} AS convex FROM p4")(lambda spark, v, d: _quads(v).select("site_id", "u", "v", G.convex_pair(*_P).alias("convex")))
-query("geo6_same_side", f"{_with(_C1, _KNN, _QUAD, _PTS.format('qd'))} SELECT site_id, u, v, {_SAME} >= 0 AS touching, {_SAME} > 0 AS strict FROM p4")(lambda spark, v, d: _quads(v).select("site_id", "u", "v", G.same_side(*_P).alias("touching"), G.same_side(*_P, touch=False).alias("strict")))
-query("geo7_blocking", f"{_with(_C1, _KNN, _QUAD, _PTS.format('qd'))} SELECT site_id, u, v, {_meet('s', 'u', 'v', 't')} AND NOT sign({_turn('s', 'u', 't')}) * sign({_turn('s', 'u', 'v')}) >= 0 AS blocked FROM p4")(lambda spark, v, d: _quads(v).select("site_id", "u", "v", G.blocks(_P[3], _P[2], _P[0], _P[1], _P[3]).alias("blocked")))
-query("geo14_bbox_overlap", f"{_with(_C1, _KNN, _QUAD, _PTS.format('qd'))} SELECT site_id, u, v, greatest(ux, vx) >= least(sx, tx) AND greatest(sx, tx) >= least(ux, vx) AND greatest(uy, vy) >= least(sy, ty) AND greatest(sy, ty) >= least(uy, vy) AS overlap FROM p4")(lambda spark, v, d: _quads(v).select("site_id", "u", "v", G.bbox_overlap(*_P).alias("overlap")))
-query("geo1_crossing_roots", f"{_with(_C1, _KNN, _QUAD, _PTS.format('qd'))} SELECT site_id, u, v, {_meet('u', 'v', 's', 't', '<=')} AND (vx - ux) * (ty - sy) <> (vy - uy) * (tx - sx) AS touching, {_meet('u', 'v', 's', 't')} AS strict FROM p4")(lambda spark, v, d: _quads(v).select("site_id", "u", "v", G.is_crossing(*_P).alias("touching"), G.is_crossing(*_P, touch=False, bbox=False).alias("strict")))
-query("geo8_line_distance", f"{_with(_C1, _KNN, _QUAD, _PTS.format('qd'))} SELECT site_id, u, v, round(abs({_turn('u', 'v', 's')}) / sqrt((ux - vx) * (ux - vx) + (uy - vy) * (uy - vy)), 3) AS distance FROM p4")(lambda spark, v, d: _quads(v).select("site_id", "u", "v", F.round(G.distance_to_line(_P[2], _P[0], _P[1]), 3).alias("distance")))
+query("geo5_convex_pair", f"{_with(_C1, _KNN, _QUAD, _PTS.format('qd'))} SELECT site_id, u, v, {_meet('u', 'v', 's', 't')} AS convex FROM p4")(lambda spark, v, d: _quads(v).select("site_id", "u", "v", G.convex_pair(*_p()).alias("convex")))
+query("geo6_same_side", f"{_with(_C1, _KNN, _QUAD, _PTS.format('qd'))} SELECT site_id, u, v, {_SAME} >= 0 AS touching, {_SAME} > 0 AS strict FROM p4")(lambda spark, v, d: _quads(v).select("site_id", "u", "v", G.same_side(*_p()).alias("touching"), G.same_side(*_p(), touch=False).alias("strict")))
+query("geo7_blocking", f"{_with(_C1, _KNN, _QUAD, _PTS.format('qd'))} SELECT site_id, u, v, {_meet('s', 'u', 'v', 't')} AND NOT sign({_turn('s', 'u', 't')}) * sign({_turn('s', 'u', 'v')}) >= 0 AS blocked FROM p4")(lambda spark, v, d: _quads(v).select("site_id", "u", "v", G.blocks(_p()[3], _p()[2], _p()[0], _p()[1], _p()[3]).alias("blocked")))
+query("geo14_bbox_overlap", f"{_with(_C1, _KNN, _QUAD, _PTS.format('qd'))} SELECT site_id, u, v, greatest(ux, vx) >= least(sx, tx) AND greatest(sx, tx) >= least(ux, vx) AND greatest(uy, vy) >= least(sy, ty) AND greatest(sy, ty) >= least(uy, vy) AS overlap FROM p4")(lambda spark, v, d: _quads(v).select("site_id", "u", "v", G.bbox_overlap(*_p()).alias("overlap")))
+query("geo1_crossing_roots", f"{_with(_C1, _KNN, _QUAD, _PTS.format('qd'))} SELECT site_id, u, v, {_meet('u', 'v', 's', 't', '<=')} AND (vx - ux) * (ty - sy) <> (vy - uy) * (tx - sx) AS touching, {_meet('u', 'v', 's', 't')} AS strict FROM p4")(lambda spark, v, d: _quads(v).select("site_id", "u", "v", G.is_crossing(*_p()).alias("touching"), G.is_crossing(*_p(), touch=False, bbox=False).alias("strict")))
+query("geo8_line_distance", f"{_with(_C1, _KNN, _QUAD, _PTS.format('qd'))} SELECT site_id, u, v, round(abs({_turn('u', 'v', 's')}) / sqrt((ux - vx) * (ux - vx) + (uy - vy) * (uy - vy)), 3) AS distance FROM p4")(lambda spark, v, d: _quads(v).select("site_id", "u", "v", F.round(G.distance_to_line(_p()[2], _p()[0], _p()[1]), 3).alias("distance")))
 query("geo13_rotate", f"{_with(_C1)} SELECT site_id, n, round(x * cos(radians(30)) - y * sin(radians(30)), 3) AS x, round(x * sin(radians(30)) + y * cos(radians(30)), 3) AS y FROM v")(lambda spark, v, d: v.select("site_id", "n", *[F.round(c, 3).alias(k) for c, k in zip(G.rotate((F.col("x"), F.col("y")), F.lit(30)), "xy", strict=True)]))
 query("geo20_blockage", f"{_with(_C1, _KNN, _QUAD, _PTS.format('qd'))}, a AS (SELECT site_id, u, v, abs(atan2((ux - sx) * (vy - sy) - (uy - sy) * (vx - sx), (ux - sx) * (vx - sx) + (uy - sy) * (vy - sy))) AS arc FROM p4) SELECT site_id, u, v, round(pi() / (pi() - arc), 4) AS plain, round(pi() / (pi() - arc) + 4 * arc / pi(), 4) AS extra FROM a WHERE arc < pi() / 2")(lambda spark, v, d: _blockage(v))
 query("geo10_bunch_split")(lambda spark, v, d: _corner_split(v))
@@ -80,7 +83,7 @@ query("mesh13_scale", f"{_with(_C1, _TRI)} SELECT site_id, CAST(sum(abs((b.x - a
 def _blockage(v: DataFrame) -> DataFrame:
     import math
 
-    e = _quads(v).withColumn("arc", F.abs(G.angle(_P[0], _P[2], _P[1]))).filter(F.col("arc") < math.pi / 2)
+    e = _quads(v).withColumn("arc", F.abs(G.angle(_p()[0], _p()[2], _p()[1]))).filter(F.col("arc") < math.pi / 2)
     return e.select("site_id", "u", "v", F.round(G.blockage(F.col("arc")), 4).alias("plain"), F.round(G.blockage(F.col("arc"), True), 4).alias("extra"))
 
 
@@ -89,7 +92,7 @@ def _corner_split(v: DataFrame) -> DataFrame:
     q = _quads(v)
     p = v.filter("n >= 0").select("site_id", F.col("n").alias("m"), F.col("x").alias("px"), F.col("y").alias("py"))
     j = q.join(p, "site_id").filter("m <> u AND m <> v")
-    return j.groupBy("site_id", "u", "v").agg(G.bunch_split(G.point("p"), _P[0], _P[2], _P[1]).alias("split"))
+    return j.groupBy("site_id", "u", "v").agg(G.bunch_split(G.point("p"), _p()[0], _p()[2], _p()[1]).alias("split"))
 
 
 def _midpaths(v: DataFrame) -> DataFrame:
