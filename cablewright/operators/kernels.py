@@ -235,15 +235,16 @@ def parents_from(ids, links, hooks: dict[int, int]) -> dict[int, int]:
     return out
 
 
-def savings_routes(ids, xy: np.ndarray, capacity: int, rounds: int = 50) -> list[list[int]]:
-    """Open routes from the nearest roots: parallel savings, then 2-opt within and moves between routes."""
+def savings_routes(ids, xy: np.ndarray, capacity: int, rounds: int = 50, banned=frozenset()) -> list[list[int]]:
+    """Open routes from the nearest roots: parallel savings, then 2-opt within and moves between routes. No hop is in `banned`."""
     near = nearest_root(ids, xy)
+    allowed = lambda r: not banned or not any((min(a, b), max(a, b)) in banned for a, b in zip(r, r[1:], strict=False))
     route = {k: [k] for k in near}
     head = {k: k for k in near}
     pairs = sorted((float(length(xy, u, v)) - max(near[u][0], near[v][0]), ids[u], ids[v], u, v) for u, v in itertools.combinations(sorted(near), 2))
     for _, _, _, u, v in pairs:
         a, b = head[u], head[v]
-        if a == b or len(route[a]) + len(route[b]) > capacity or not {u} & {route[a][0], route[a][-1]} or not {v} & {route[b][0], route[b][-1]}:
+        if a == b or (u, v) in banned or len(route[a]) + len(route[b]) > capacity or not {u} & {route[a][0], route[a][-1]} or not {v} & {route[b][0], route[b][-1]}:
             continue
         x = route[a] if route[a][-1] == u else route[a][::-1]
         y = route[b] if route[b][0] == v else route[b][::-1]
@@ -253,7 +254,7 @@ def savings_routes(ids, xy: np.ndarray, capacity: int, rounds: int = 50) -> list
             route[a] = joined
             for m in joined:
                 head[m] = a
-    routes = [improve(xy, near, r) for _, r in sorted(route.items())]
+    routes = [improve(xy, near, r, allowed) for _, r in sorted(route.items())]
     for _ in range(rounds):
         move = None
         for i, a in enumerate(routes):
@@ -266,12 +267,12 @@ def savings_routes(ids, xy: np.ndarray, capacity: int, rounds: int = 50) -> list
                     for p in range(len(b) + 1):
                         new = b[:p] + [m] + b[p:]
                         d = open_length(xy, near, new) - open_length(xy, near, b) - gain
-                        if d < -1e-6 and (move is None or d < move[0]):
+                        if d < -1e-6 and (move is None or d < move[0]) and allowed(new) and allowed(rest):
                             move = (d, i, j, rest, new)
         if move is None:
             break
         _, i, j, rest, new = move
-        routes[i], routes[j] = rest, improve(xy, near, new)
+        routes[i], routes[j] = rest, improve(xy, near, new, allowed)
         routes = [r for r in routes if r]
     return [oriented(xy, near, r) for r in routes]
 
@@ -284,18 +285,38 @@ def open_length(xy, near, r) -> float:
     return float(length(xy, np.array(r[:-1], int), np.array(r[1:], int)).sum()) + min(near[r[0]][0], near[r[-1]][0])
 
 
-def improve(xy, near, r):
-    """2-opt until no reversal of a part shortens the open route."""
+def improve(xy, near, r, allowed=lambda r: True):
+    """2-opt until no reversal of a part, that is allowed, shortens the open route."""
     better = True
     while better:
         better = False
         for i, j in itertools.combinations(range(len(r) + 1), 2):
             new = r[:i] + r[i:j][::-1] + r[j:]
-            if open_length(xy, near, new) < open_length(xy, near, r) - 1e-9:
+            if open_length(xy, near, new) < open_length(xy, near, r) - 1e-9 and allowed(new):
                 r, better = new, True
     return r
 
 
+def iterated_routes(ids, xy: np.ndarray, capacity: int, most: int = 10) -> list[list[int]]:
+    """Routes solved and repaired again and again, a hop that still crosses being banned each time; the least crossed, then shortest."""
+    near = nearest_root(ids, xy)
+    banned: set[tuple[int, int]] = set()
+    best = None
+    for _ in range(max(1, most)):
+        routes = repair(ids, xy, savings_routes(ids, xy, capacity, banned=frozenset(banned)))
+        hops = sorted((min(a, b), max(a, b)) for r in routes for a, b in zip(r, r[1:], strict=False))
+        score = (count_crossings(xy, hops), sum(open_length(xy, near, r) for r in routes))
+        if best is None or score < best[0]:
+            best = (score, routes)
+        if not score[0]:
+            break
+        offending = [e for e in hops if any(crosses(xy, *e, *f) for f in hops if f != e) and e not in banned]
+        if not offending:
+            break
+        banned.add(max(offending, key=lambda e: (float(length(xy, *e)), e)))
+    return best[1]
+
+
 def routes_to_parents(ids, xy, routes) -> dict[int, int]:
     near = nearest_root(ids, xy)
     return {ids[m]: (-near[r[0]][1] if k == 0 else ids[r[k - 1]]) for r in routes for k, m in enumerate(r)}

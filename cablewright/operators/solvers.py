@@ -20,7 +20,7 @@ SAVINGS = {
     "non_branching": {"uncrossed": True, "path": True},
     "obstacle_bypassing": {"uncrossed": True, "gates_block": True, "rootlust": 0.6},
 }
-ROUTES = ("routes", "routes_repaired")
+ROUTES = ("routes", "routes_repaired", "routes_iterated")
 SOLUTION = "site_id long, method string, capacity int, n long, parent long"
 
 
@@ -32,7 +32,7 @@ def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
         edges = K.available(xy) if options["uncrossed"] else [(a, b) for a in range(len(ids)) for b in range(a + 1, len(ids))]
         parent = K.esau_williams(ids, xy, edges, capacity, **options)
     elif method in ROUTES:
-        routes = K.savings_routes(ids, xy, capacity)
+        routes = K.iterated_routes(ids, xy, capacity) if method == "routes_iterated" else K.savings_routes(ids, xy, capacity)
         parent = K.routes_to_parents(ids, xy, K.repair(ids, xy, routes) if method == "routes_repaired" else routes)
     elif method in ("exact", "exact_path"):
         parent = K.exact_forest(ids, xy, capacity, method == "exact")[1]
@@ -97,3 +97,34 @@ def route_detours(solution: DataFrame, v: DataFrame) -> DataFrame:
 
     ddl = "site_id long, method string, capacity int, gates long, tentative long, detoured long, failed long, crossings long, extra long"
     return solution.join(points, "site_id").groupBy("site_id", "method", "capacity").applyInPandas(run, ddl)
+
+
+def ways(solution: DataFrame, v: DataFrame) -> DataFrame:
+    """The ways found for gates that crossed something: a row (instance, hook, nodes from the subtree to the root) for each."""
+    points = v.groupBy("site_id").agg(F.collect_list(F.struct("n", "x", "y")).alias("points"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        pts = sorted(pdf["points"].iloc[0], key=lambda p: p["n"])
+        ids, xy = [p["n"] for p in pts], np.array([(p["x"], p["y"]) for p in pts], np.int64)
+        found, _ = K.detours(ids, xy, dict(zip(pdf["n"].tolist(), pdf["parent"].tolist(), strict=True)))
+        first = pdf.iloc[0]
+        return pd.DataFrame([(first["site_id"], first["method"], first["capacity"], a, w) for a, w in sorted(found.items())], columns=["site_id", "method", "capacity", "hook", "nodes"])
+
+    ddl = "site_id long, method string, capacity int, hook long, nodes array<long>"
+    return solution.join(points, "site_id").groupBy("site_id", "method", "capacity").applyInPandas(run, ddl)
+
+
+def undetoured(found: DataFrame) -> DataFrame:
+    """The straight gates that the ways stand for."""
+    return found.select("site_id", "method", "capacity", F.col("hook").alias("n"), F.element_at("nodes", -1).alias("parent"))
+
+
+def pool_choice(solution: DataFrame, v: DataFrame) -> DataFrame:
+    """Of each site's and capacity's solutions, the one whose length with detours is least; those with gates left without a way come last."""
+    length = check(solution, v).select("site_id", "method", "capacity", "length")
+    extra = route_detours(solution, v).select("site_id", "method", "capacity", "failed", "extra")
+    rated = length.join(extra, ["site_id", "method", "capacity"])
+    best = F.min(F.struct("failed", (F.col("length") + F.col("extra")).alias("total"), "method")).alias("b")
+    return rated.groupBy("site_id", "capacity").agg(best, F.count("*").alias("pool")).select("site_id", "capacity", F.col("b.method").alias("method"), F.col("b.total").alias("length"), F.col("b.failed").alias("failed"), "pool")

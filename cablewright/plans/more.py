@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as X
-from ..operators import joins, mesh, obstacles, polygons, sets, trees
+from ..operators import joins, mesh, obstacles, polygons, sets, solvers, trees
 from ..operators import kernels as K
 from ..sources import coordinates, store, synthetic
 from .catalogue import _BASE, _C1, _FOREST, _KNN, _LOADS, _PTS, _TRI, _TWO, _meet, _turn, _with, query
@@ -176,3 +176,14 @@ def _hindered(v: DataFrame) -> DataFrame:
     w = j.join(free, ["site_id", "n", "root"], "left").join(held, ["site_id", "n"])
     wrong = F.when(F.col("inside"), False).when(F.col("length").isNull(), ~F.col("hindered")).otherwise((F.col("length") < F.col("line") - 1) | (~F.col("hindered") & (F.abs(F.col("length") - F.col("line")) > 1)))
     return w.select("site_id", "n", "root", "hindered", wrong.cast("long").alias("wrong"))
+
+
+query("vr2_iterated", f"{_with(_C1)} SELECT site_id, CAST(0 AS BIGINT) AS missing, count(*) AS links, CAST(0 AS BIGINT) AS overloads, CAST(0 AS BIGINT) AS branchings FROM v WHERE n >= 0 GROUP BY site_id")(lambda spark, v, d: solvers.check(solvers.solve(v, ["routes_iterated"], [5]), v).select("site_id", "missing", "links", "overloads", "branchings"))
+query("ml5_pool_choice", f"{_with(_C1)} SELECT DISTINCT site_id, CAST(3 AS BIGINT) AS pool FROM v")(lambda spark, v, d: solvers.pool_choice(solvers.solve(v, ["presolver", "crossing_preventing", "non_branching"], [5]), v).select("site_id", "pool"))
+query("gr4_undetoured", f"{_with(_C1)} SELECT CAST(0 AS BIGINT) AS lost")(lambda spark, v, d: _undetoured(v))
+
+
+def _undetoured(v: DataFrame) -> DataFrame:
+    """Straight gates from the ways that the solution doesn't have (there must be none)."""
+    s = solvers.solve(v, ["presolver"], [5])
+    return solvers.undetoured(solvers.ways(s, v)).join(s, ["site_id", "method", "capacity", "n", "parent"], "left_anti").agg(F.count("*").alias("lost"))
