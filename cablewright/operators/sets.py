@@ -90,3 +90,17 @@ def model_rows(available: DataFrame, exclusive: DataFrame, vertices: DataFrame,
         .unionByName(row(total, "gates", F.col("t") * F.col("r"), F.ceil(F.col("t") / capacity)))
         .unionByName(row(total, "links", F.col("e") + F.col("t") * F.col("r"), F.col("t")))
     )
+
+
+def topology_crossings(topology: DataFrame, exclusive: DataFrame) -> DataFrame:
+    """Pairs of a topology's edges that cross, looked up among the mutually exclusive pairs: no geometry, two semi joins."""
+    e = oriented(topology)
+    other = e.select("site_id", F.col("u").alias("s"), F.col("v").alias("t"))
+    return exclusive.join(e, KEY, "left_semi").join(other, ["site_id", "s", "t"], "left_semi").select("site_id", "u", "v", "s", "t")
+
+
+def edge_crossings(edges: DataFrame, exclusive: DataFrame) -> DataFrame:
+    """Of each given edge, every available edge that crosses it, found from either side of the pairs."""
+    turned = exclusive.select("site_id", F.col("s").alias("u"), F.col("t").alias("v"), F.col("u").alias("s"), F.col("v").alias("t"))
+    both = exclusive.select("site_id", "u", "v", "s", "t").unionByName(turned)
+    return both.join(oriented(edges), KEY, "left_semi").select("site_id", "u", "v", "s", "t")

@@ -169,3 +169,16 @@ def kind_counts(edges: DataFrame, available: DataFrame) -> DataFrame:
     e = edges.select("site_id", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
     j = e.join(a, ["site_id", "a", "b"], "left").withColumn("kind", F.when(F.col("a") < 0, "gate").otherwise(F.coalesce("kind", F.lit("rogue"))))
     return j.groupBy("site_id", "kind").agg(F.count("*").alias("edges"))
+
+
+def from_matrix(rows: DataFrame, terminals: DataFrame, roots: int = 2) -> DataFrame:
+    """Import of 1-based rows (site_id, u, v, load) whose roots come last: terminals 1 to T, roots T + 1 to T + R.
+
+    terminals: site_id, T. Loads are held against those of the tree; a row that differs fails the query.
+    """
+    back = lambda c: F.when(F.col(c) <= F.col("T"), F.col(c) - 1).otherwise(F.col(c) - F.col("T") - 1 - roots)
+    given = rows.join(terminals, "site_id").select("site_id", back("u").alias("n"), back("v").alias("parent"), F.col("load").alias("given"))
+    loads = tree_loads(given.withColumn("root", F.lit(0).cast("long"))).select("site_id", "n", "load")
+    j = given.join(loads, ["site_id", "n"])
+    same = F.when(F.col("load") == F.col("given"), F.col("load")).otherwise(F.raise_error(F.concat_ws(" ", F.lit("load differs at"), "site_id", "n")).cast("long"))
+    return j.select("site_id", "n", "parent", same.alias("load"))

@@ -10,7 +10,7 @@ from ..functions import text as X
 from ..operators import joins, mesh, obstacles, polygons, sets, solvers, trees
 from ..operators import kernels as K
 from ..sources import coordinates, store, synthetic
-from .catalogue import _BASE, _C1, _FOREST, _KNN, _LOADS, _PTS, _TRI, _TWO, _meet, _turn, _with, query
+from .catalogue import _BASE, _C1, _FOREST, _KNN, _LOADS, _PAIRS, _PTS, _TRI, _TWO, _meet, _turn, _with, query
 
 _FE = "fe AS (SELECT DISTINCT site_id, least(n, parent) AS u, greatest(n, parent) AS v FROM f)"
 _DE = "de AS (SELECT DISTINCT site_id, u, v FROM sd)"
@@ -187,3 +187,29 @@ def _undetoured(v: DataFrame) -> DataFrame:
     """Straight gates from the ways that the solution doesn't have (there must be none)."""
     s = solvers.solve(v, ["presolver"], [5])
     return solvers.undetoured(solvers.ways(s, v)).join(s, ["site_id", "method", "capacity", "n", "parent"], "left_anti").agg(F.count("*").alias("lost"))
+
+
+_AV = "av AS (SELECT DISTINCT site_id, u, v FROM sd UNION SELECT site_id, s, t FROM dg)"
+_EX = f"{_PAIRS.format('av')}, {_PTS.replace('p4 AS', 'p5 AS').format('pr')}, ex AS (SELECT site_id, u, v, s, t FROM p5 WHERE {_meet('u', 'v', 's', 't')})"
+query("jn10_topology_crossings", f"{_with(_C1, _KNN, _TRI, _TWO, _AV, _EX)} SELECT site_id, u, v, s, t FROM ex WHERE EXISTS (SELECT 1 FROM e WHERE e.site_id = ex.site_id AND e.u = ex.u AND e.v = ex.v) AND EXISTS (SELECT 1 FROM e WHERE e.site_id = ex.site_id AND e.u = ex.s AND e.v = ex.t)")(lambda spark, v, d: sets.topology_crossings(joins.knn_edges(v), _exclusive(v)))
+query("jn8_edge_crossings", f"{_with(*_BASE, _FOREST, _TRI, _TWO, _AV, _EX, _FE)}, b AS (SELECT * FROM ex UNION ALL SELECT site_id, s, t, u, v FROM ex) SELECT site_id, u, v, s, t FROM b WHERE EXISTS (SELECT 1 FROM fe WHERE fe.site_id = b.site_id AND fe.u = b.u AND fe.v = b.v)")(lambda spark, v, d: sets.edge_crossings(_forest_edges(v), _exclusive(v)))
+query("src12_matrix_import", f"{_LOADS} SELECT site_id, n, parent, load FROM l")(lambda spark, v, d: _matrix(v))
+query("jn15_edge_lookup", f"{_with(*_BASE, _FOREST, _TRI, _TWO)}, av AS (SELECT DISTINCT site_id, u, v, 'delaunay' AS kind FROM sd UNION ALL SELECT site_id, s, t, 'extended' FROM dg) SELECT f.site_id, f.n, f.parent, av.kind FROM f LEFT JOIN av ON av.site_id = f.site_id AND av.u = least(f.n, f.parent) AND av.v = greatest(f.n, f.parent)")(lambda spark, v, d: _looked_up(v))
+
+
+def _exclusive(v: DataFrame) -> DataFrame:
+    return mesh.exclusive_pairs(mesh.triangles(v), v)
+
+
+def _matrix(v: DataFrame) -> DataFrame:
+    loads = trees.tree_loads(trees.seed_forest(v))
+    t = v.filter("n >= 0").groupBy("site_id").agg(F.count("*").alias("T"))
+    number = lambda c: F.when(F.col(c) >= 0, F.col(c) + 1).otherwise(F.col("T") + 3 + F.col(c))
+    rows = loads.join(t, "site_id").select("site_id", number("n").alias("u"), number("parent").alias("v"), "load")
+    return trees.from_matrix(rows, t)
+
+
+def _looked_up(v: DataFrame) -> DataFrame:
+    a = mesh.available_edges(mesh.triangles(v), v).select("site_id", F.col("u").alias("a"), F.col("v").alias("b"), "kind")
+    f = trees.seed_forest(v).select("site_id", "n", "parent", F.least("n", "parent").alias("a"), F.greatest("n", "parent").alias("b"))
+    return f.join(a, ["site_id", "a", "b"], "left").select("site_id", "n", "parent", "kind")
