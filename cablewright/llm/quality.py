@@ -42,7 +42,9 @@ def rule_columns(docs: DataFrame) -> DataFrame:
     keep = docs.columns
     d = _with_words(docs).withColumn("n_words", F.size("w").cast("long"))
     d = d.withColumn("bits", F.ceil(F.log2(F.col("n_words") + 2)).cast("int"))
-    d = d.withColumn("s", F.expr("CASE WHEN n_words > 3 THEN sort_array(transform(sequence(0, cast(n_words AS int) - 3), i -> shiftleft(xxhash64(w[i], w[i + 1], w[i + 2]), bits) | cast(i AS bigint))) ELSE cast(array() AS array<bigint>) END"))
+    d = d.withColumn("h", F.expr("CASE WHEN n_words > 3 THEN transform(sequence(0, cast(n_words AS int) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])) ELSE cast(array() AS array<bigint>) END"))
+    # Most texts have no window twice: those are done here.
+    d = d.withColumn("s", F.expr("CASE WHEN size(array_distinct(h)) < size(h) THEN sort_array(transform(h, (x, i) -> shiftleft(x, bits) | cast(i AS bigint))) ELSE cast(array() AS array<bigint>) END")).drop("h")
     same = "shiftright(x, bits) = shiftright(s[{0}], bits) AND w[cast(x & m AS int)] = w[cast(s[{0}] & m AS int)] AND w[cast(x & m AS int) + 1] = w[cast(s[{0}] & m AS int) + 1] AND w[cast(x & m AS int) + 2] = w[cast(s[{0}] & m AS int) + 2]"
     d = d.withColumn("m", F.expr("shiftleft(1L, bits) - 1")).withColumn("last", F.size("s") - 1)
     d = d.withColumn("again", F.expr(f"sort_array(transform(filter(s, (x, j) -> (j > 0 AND {same.format('greatest(j - 1, 0)')}) OR (j < last AND {same.format('least(j + 1, last)')})), x -> x & m))"))
