@@ -1,18 +1,18 @@
 """Secret scans: fixed patterns, and a battery of randomness tests on long runs.
 
-A candidate is a run of at least `LEAST` characters of the usual encodings. The smallest alphabet
-that holds its characters is inferred (hexadecimal in either case, base 32, lower-case base 36,
-base 62, base 64). Three tests take the run for a sequence drawn evenly from that alphabet:
+A candidate is a run of at least `LEAST` characters of the usual encodings; a '=' that isn't padding
+at a run's end parts two candidates, as in name=value. The smallest alphabet that holds its characters
+is inferred (decimal, hexadecimal in either case, base 32, lower-case base 36, base 62, base 64). Three tests take the run for a sequence drawn evenly from that alphabet:
 
 * chi-squared: counts of the alphabet's classes (vowels, common and rare consonants, upper-case
-  letters, digits, signs), and how many repeated pairs of neighbours there are;
+  letters, digits, signs; of a decimal run each digit), and how many repeated pairs of neighbours there are;
 * runs: Wald-Wolfowitz runs above and below the middle of the alphabet;
 * serial correlation of neighbouring characters' places in the alphabet.
 
 Fisher's method combines their p-values. Over the candidates of the whole corpus, in classes of
 length, the Benjamini-Hochberg step-up rule rejects evenness with a controlled share of false
 rejections; a class's level grows with its length, since longer runs bear a stricter reading.
-What is not rejected, and has digits as well as letters, is a span of kind `random`.
+What is not rejected is a span of kind `random`.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 _ANY = re.compile(r"(?ai:passw|secret|token|api_?key)")
 LEAST = 20
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}(?:=+(?![A-Za-z0-9+/_=-]))?")
 #: Share of false rejections over all candidates, and the lengths at which classes begin.
 LEVEL, CLASSES = 0.05, (20, 24, 32, 40, 64, 128)
 #: Eighths of a natural-log unit in which p-values are counted, and how many.
@@ -40,7 +40,7 @@ STEP, BINS = 8, 512
 KINDS = ("assign", "access", "hex", "random")
 
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_ALPHABETS = [("hex", _DIGITS + "abcdef"), ("HEX", _DIGITS + "ABCDEF"), ("base32", "234567" + _UPPER), ("base36", _DIGITS + _LOWER), ("base62", _DIGITS + _UPPER + _LOWER), ("base64", _DIGITS + _UPPER + _LOWER + "+/_-")]
+_ALPHABETS = [("decimal", _DIGITS), ("hex", _DIGITS + "abcdef"), ("HEX", _DIGITS + "ABCDEF"), ("base32", "234567" + _UPPER), ("base36", _DIGITS + _LOWER), ("base62", _DIGITS + _UPPER + _LOWER), ("base64", _DIGITS + _UPPER + _LOWER + "+/_-")]
 _SETS = [(name, set(a), a) for name, a in _ALPHABETS]
 
 
@@ -56,8 +56,8 @@ def _tables():
         at = np.full(128, -1)
         cl = np.zeros(128, np.int64)
         for k, ch in enumerate(a):
-            at[ord(ch)], cl[ord(ch)] = k, _class(ch)
-        share = np.bincount([_class(ch) for ch in a], minlength=11) / len(a)
+            at[ord(ch)], cl[ord(ch)] = k, k if name == "decimal" else _class(ch)
+        share = np.bincount(cl[[ord(ch) for ch in a]], minlength=11) / len(a)
         out[name] = (at, cl, share, len(a))
     return out
 
@@ -93,10 +93,10 @@ def encoding(run: str) -> str | None:
 
 
 def evenness(run: str) -> float:
-    """The combined p-value of the battery; 0 for a run of no encoding, or of letters or digits alone."""
+    """The combined p-value of the battery; 0 for a run of no encoding or of fewer than `LEAST` characters."""
     body = run.rstrip("=")
     name = encoding(run)
-    if name is None or len(body) < LEAST or body.isalpha() or not any(c.isalpha() for c in body):
+    if name is None or len(body) < LEAST:
         return 0.0
     at, cl, share, size = _TABLE[name]
     code = np.frombuffer(body.encode(), np.uint8)

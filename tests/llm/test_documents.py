@@ -193,6 +193,19 @@ def test_secret_spans(spark):
     assert out[3].spans == "random:4:44" and out[4].spans == out[5].spans == out[6].spans == out[7].spans == ""
 
 
+def test_secrets_behind_names_and_of_one_kind(spark):
+    rng = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    draw = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    key = draw(letters + "0123456789+/", 40)
+    parts = [("aws_secret_access_key=", key, ""), ("sig=", draw(letters + "0123456789", 42), "=="), ("", draw(letters, 20), ""), ("", draw("0123456789", 28), ""), ("a=b=", draw("0123456789abcdef", 30), "&c=d"), ("", "internationalization=counterrevolutionary", ""), ("", "=" * 60, ""), ("", "-" * 60, ""), ("", "1234567890" * 3, ""), ("x=", "z" * 19, "=")]
+    d = spark.createDataFrame([(i, " ".join(["see", a + b + c, "here"])) for i, (a, b, c) in enumerate(parts)], "doc_id long, text string")
+    out = {r.doc_id: r.spans for r in secrets.find_secrets(d).collect()}
+    for i, (a, b, c) in enumerate(parts):
+        begin = 4 + len(a)
+        assert out[i] == (f"random:{begin}:{begin + len(b) + len(c.partition('&')[0])}" if i < 5 else ""), (i, b)
+
+
 def test_evenness_is_calibrated():
     rng = random.Random(1)
     p = [secrets.evenness("a1" + "".join(rng.choice("0123456789abcdef") for _ in range(38))) for _ in range(400)]
