@@ -11,7 +11,8 @@ is inferred (decimal, hexadecimal in either case, base 32, lower-case base 36, b
 
 Fisher's method combines their p-values. Over the candidates of the whole corpus, in classes of
 length, the Benjamini-Hochberg step-up rule rejects evenness with a controlled share of false
-rejections; a class's level grows with its length, since longer runs bear a stricter reading.
+rejections; a class's level falls with its length: in longer runs what is uneven shows far below
+it, and fewer of the even ones are lost.
 What is not rejected is a span of kind `random`.
 """
 
@@ -175,17 +176,16 @@ def _scan(batches):
 def thresholds(counts: dict[tuple[int, int], int], level: float = LEVEL) -> list[int]:
     """For each class of length, the first bin whose p-values are rejected, by the step-up rule.
 
-    counts: (class, bin) -> candidates. A class's share of the level is in proportion to its least
-    length; within a class the bins are taken at their upper ends.
+    counts: (class, bin) -> candidates. The first class has the whole level, the others less in
+    proportion to their least length, whatever the classes hold; within a class the bins are taken
+    at their upper ends.
     """
-    weight = np.array(CLASSES, float)
     m = np.array([sum(n for (c, _), n in counts.items() if c == k) for k in range(len(CLASSES))], float)
-    mean = (weight * m).sum() / m.sum() if m.sum() else 1.0
     out = []
     for k in range(len(CLASSES)):
         first, rank = BINS, m[k]
         for b in range(BINS):  # from the largest p-values down
-            if m[k] and rank and math.exp(-b / STEP) <= level * weight[k] / mean * rank / m[k]:
+            if m[k] and rank and math.exp(-b / STEP) <= level * CLASSES[0] / CLASSES[k] * rank / m[k]:
                 first = b
                 break
             rank -= counts.get((k, b), 0)

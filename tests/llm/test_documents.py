@@ -206,6 +206,23 @@ def test_secrets_behind_names_and_of_one_kind(spark):
         assert out[i] == (f"random:{begin}:{begin + len(b) + len(c.partition('&')[0])}" if i < 5 else ""), (i, b)
 
 
+def test_random_keys_are_found_at_every_length():
+    """Planted keys among many ruled lines and joined words, most candidates being short."""
+    rng = random.Random(6)
+    words = ["counter", "revolution", "international", "ization", "under", "standing", "environment", "configuration"]
+    of = lambda n: sum(n >= c for c in secrets.CLASSES) - 1
+    counts, keys = {}, {}
+    for k, least in enumerate(secrets.CLASSES):
+        noise = [rng.choice(["-" * least, "=-" * (least // 2), "_".join(rng.choices(words, k=least))[:least]]) for _ in range(4000 if k < 2 else 2000)]
+        found = [secrets._bin(secrets.evenness("".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=least)))) for _ in range(300)]
+        keys[k] = found
+        for b in [*map(secrets._bin, map(secrets.evenness, noise)), *found]:
+            counts[of(least), b] = counts.get((of(least), b), 0) + 1
+    limits = secrets.thresholds(counts)
+    share = [sum(b < limits[k] for b in keys[k]) / len(keys[k]) for k in keys]
+    assert min(share) > 0.9 and min(share[4:]) > 0.95, share
+
+
 def test_evenness_is_calibrated():
     rng = random.Random(1)
     p = [secrets.evenness("a1" + "".join(rng.choice("0123456789abcdef") for _ in range(38))) for _ in range(400)]
