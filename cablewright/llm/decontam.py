@@ -7,8 +7,10 @@ marks those words as hit, and the state names the items. Only stretches of a doc
 whose neighbouring word pairs all occur in some item are streamed, since no match of the
 lengths asked for can lie elsewhere.
 
-The benchmark is the bounded side: it is read in blocks of `BLOCK_WORDS` words, each with
-its own automaton, and documents meet the blocks one after another.
+The benchmark is read in blocks of `BLOCK_WORDS` words, each with its own automaton. A task holds
+the automata of `GROUP_BLOCKS` blocks at most: a larger benchmark makes several groups, each with
+its own broadcast and its own pass over the documents. What the passes find is joined by the
+text's hash, of 128 bits, before spans are merged and item ids are counted.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ from . import _text as T
 
 #: Words of benchmark items in one automaton.
 BLOCK_WORDS = 400_000
-#: Words of benchmark items that the automata of one run may hold; more are refused.
-MOST_WORDS = 8_000_000
+#: Blocks whose automata a task holds at once: about 250 MB each.
+GROUP_BLOCKS = 2
+#: Words of benchmark items beyond which a run is refused, where a caller sets it; otherwise any number is taken.
+MOST_WORDS: int | None = None
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -159,24 +163,29 @@ def _hashes(text: str) -> list[int]:
     return [int(x) for x in T.word_hashes(data, np.array([0, len(data)]), "alnum")[0]]
 
 
-def _blocks(benchmark: DataFrame, window: int) -> list[bytes]:
-    """Pickled automata of the benchmark's blocks, in the order of the items' ids."""
+def _groups(benchmark: DataFrame, window: int):
+    """Lists of pickled automata, `GROUP_BLOCKS` at most in each, in the order of the items' ids."""
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    if size > 2 * MOST_WORDS:  # an upper bound of the words
-        raise ValueError(f"the benchmark has {size} characters; one run takes {2 * MOST_WORDS}. Call decontaminate on parts of it and join the results by document.")
-    out, block, held = [], [], 0
-    for name, text in sorted(map(tuple, rows.collect())):
+    if MOST_WORDS is not None:
+        size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+        if size > 2 * MOST_WORDS:  # an upper bound of the words
+            raise ValueError(f"the benchmark has {size} characters; MOST_WORDS is set to {MOST_WORDS}, which takes {2 * MOST_WORDS}.")
+    group, block, held = [], [], 0
+    for name, text in rows.orderBy("item_id", "text").toLocalIterator():
         ws = _hashes(text)
         if ws:
             block.append((name, ws))
             held += len(ws)
         if held >= BLOCK_WORDS:
-            out.append(pickle.dumps(Automaton(block, window)))
+            group.append(pickle.dumps(Automaton(block, window)))
             block, held = [], 0
+            if len(group) == GROUP_BLOCKS:
+                yield group
+                group = []
     if block:
-        out.append(pickle.dumps(Automaton(block, window)))
-    return out
+        group.append(pickle.dumps(Automaton(block, window)))
+    if group:
+        yield group
 
 
 _SCHEMA = pa.schema(
@@ -197,27 +206,99 @@ def _search(automata, share: int, cleaned: bool):
     return run
 
 
-def _judge(ids, text: np.ndarray, at: np.ndarray, automata, share: int, cleaned: bool) -> pa.RecordBatch:
-    h, first = T.word_hashes(text, at, "alnum")
-    n = np.diff(first)
-    rows = len(n)
+_FOUND = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("edges", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), ("names", pa.list_(pa.string()))])
+_FOUND_DDL = "k1 long, k2 long, edges array<struct<a: long, b: long>>, names array<string>"
+
+
+def _find(automata):
+    """What one group of blocks finds: a row for each text with a hit, words counted from the text's first."""
+
+    def run(batches):
+        loaded = [pickle.loads(b) for b in automata.value]
+        for batch in batches:
+            text, at = T.raw(batch.column("text"))
+            for a, b in T.slices(at):
+                h, first = T.word_hashes(text[at[a] : at[b]], at[a : b + 1] - at[a], "alnum")
+                edges, names = _edges(h, first, loaded)
+                rows = sorted(edges)
+                take = pa.array([a + r for r in rows], pa.int64())
+                own = [[{"a": x - int(first[r]), "b": y - int(first[r])} for x, y in _joined(edges[r])] for r in rows]
+                yield pa.RecordBatch.from_arrays([batch.column("k1").take(take), batch.column("k2").take(take), pa.array(own, _FOUND.field("edges").type), pa.array([sorted(names[r]) for r in rows], _FOUND.field("names").type)], schema=_FOUND)
+
+    return run
+
+
+def _keys() -> list:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2")]
+
+
+def _merged(docs: DataFrame, broadcasts: list) -> DataFrame:
+    """k1, k2, edges and names of each text that any of the groups hits. Copies of a text are one row."""
+    keyed = docs.select(F.col("text").cast("string").alias("text"), *_keys())
+    found = None
+    for automata in broadcasts:
+        part = keyed.mapInArrow(_find(automata), _FOUND_DDL).groupBy("k1", "k2").agg(F.first("edges").alias("edges"), F.first("names").alias("names"))
+        found = part if found is None else found.unionByName(part)
+    return found.groupBy("k1", "k2").agg(F.flatten(F.collect_list("edges")).alias("edges"), F.flatten(F.collect_list("names")).alias("names"))
+
+
+def _from_found(batch, a: int, b: int, first: np.ndarray):
+    """The slice's edges and names from the joined columns."""
+    edges, names = {}, {}
+    for r, (e, x) in enumerate(zip(batch.column("edges").slice(a, b - a).to_pylist(), batch.column("names").slice(a, b - a).to_pylist(), strict=True)):
+        if e:
+            edges[r], names[r] = [(int(first[r]) + p["a"], int(first[r]) + p["b"]) for p in e], set(x)
+    return edges, names
+
+
+def _search_found(share: int, cleaned: bool):
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("doc_id")
+            text, at = T.raw(batch.column("text"))
+            for a, b in T.slices(at):
+                _, first = T.words(text[at[a] : at[b]], at[a : b + 1] - at[a], "alnum")
+                yield _result(ids.slice(a, b - a), text[at[a] : at[b]], at[a : b + 1] - at[a], first, *_from_found(batch, a, b, first), share, cleaned)
+
+    return run
+
+
+def _edges(h: np.ndarray, first: np.ndarray, automata):
+    """(begin, end) of every window found, and the items' names, by row."""
     edges, names = defaultdict(list), defaultdict(set)
     for automaton in automata:
         for r, begin, ws in automaton.stretches(h, first):
             for end, length, found in automaton.matches(ws):
                 edges[r].append((begin + end - length, begin + end))
                 names[r].update(found)
+    return edges, names
+
+
+def _joined(edges) -> list[list[int]]:
+    out: list[list[int]] = []
+    for a, b in sorted(edges):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b])
+    return out
+
+
+def _judge(ids, text: np.ndarray, at: np.ndarray, automata, share: int, cleaned: bool) -> pa.RecordBatch:
+    h, first = T.word_hashes(text, at, "alnum")
+    return _result(ids, text, at, first, *_edges(h, first, automata), share, cleaned)
+
+
+def _result(ids, text: np.ndarray, at: np.ndarray, first: np.ndarray, edges: dict, names: dict, share: int, cleaned: bool) -> pa.RecordBatch:
+    n = np.diff(first)
+    rows = len(n)
     hit = np.zeros(rows, np.int64)
     spans: list[list] = [[] for _ in range(rows)]
     whole: list[str | None] = [None] * rows
     starts = T.words(text, at, "alnum")[0] if edges or cleaned else None
     for r, e in edges.items():
-        joined: list[list[int]] = []
-        for a, b in sorted(e):
-            if joined and a <= joined[-1][1]:
-                joined[-1][1] = max(b, joined[-1][1])
-            else:
-                joined.append([a, b])
+        joined = _joined(e)
         hit[r] = sum(b - a for a, b in joined)
         spans[r] = [{"start": a - int(first[r]), "end": b - int(first[r])} for a, b in joined]
         if cleaned:
@@ -263,8 +344,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     without words have no window; items of one id count once. An empty benchmark hits nothing.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    automata = docs.sparkSession.sparkContext.broadcast(_blocks(benchmark, window))
-    return docs.mapInArrow(_search(automata, share, cleaned), RESULT)
+    broadcasts = [docs.sparkSession.sparkContext.broadcast(g) for g in _groups(benchmark, window)] or [docs.sparkSession.sparkContext.broadcast([])]
+    if len(broadcasts) == 1:
+        return docs.mapInArrow(_search(broadcasts[0], share, cleaned), RESULT)
+    rows = docs.select("doc_id", "text", *_keys()).join(_merged(docs, broadcasts), ["k1", "k2"], "left").select("doc_id", "text", "edges", "names")
+    return rows.mapInArrow(_search_found(share, cleaned), RESULT)
 
 
 def _drop(automata, share: int, column: str):
@@ -281,7 +365,27 @@ def _drop(automata, share: int, column: str):
     return run
 
 
+def _drop_found(share: int, at_text: int, names: list[str]):
+    def run(batches):
+        for batch in batches:
+            own = batch.column("own").flatten()
+            text, at = T.raw(own[at_text].cast(pa.string()))
+            rows = pa.RecordBatch.from_arrays(own, names=names)
+            for a, b in T.slices(at):
+                _, first = T.words(text[at[a] : at[b]], at[a : b + 1] - at[a], "alnum")
+                judged = _result(pa.nulls(b - a, pa.int64()), text[at[a] : at[b]], at[a : b + 1] - at[a], first, *_from_found(batch, a, b, first), share, False)
+                keep = np.flatnonzero(~judged.column("contaminated").to_numpy(zero_copy_only=False))
+                if len(keep):
+                    yield rows.slice(a, b - a).take(pa.array(keep))
+
+    return run
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
     """The rows of docs that `decontaminate` doesn't call contaminated, with all their columns."""
-    automata = docs.sparkSession.sparkContext.broadcast(_blocks(benchmark, window))
-    return docs.mapInArrow(_drop(automata, share, "text"), docs.schema)
+    broadcasts = [docs.sparkSession.sparkContext.broadcast(g) for g in _groups(benchmark, window)] or [docs.sparkSession.sparkContext.broadcast([])]
+    if len(broadcasts) == 1:
+        return docs.mapInArrow(_drop(broadcasts[0], share, "text"), docs.schema)
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")
+    rows = docs.select(own, *_keys()).join(_merged(docs, broadcasts), ["k1", "k2"], "left").select("own", "edges", "names")
+    return rows.mapInArrow(_drop_found(share, docs.columns.index("text"), docs.columns), docs.schema)

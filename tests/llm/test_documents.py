@@ -140,6 +140,27 @@ def test_decontaminate_in_blocks(spark, docs, monkeypatch):
         decontam.decontaminate(docs, bench)
 
 
+def test_decontaminate_in_groups(spark, docs, rows, monkeypatch):
+    """A benchmark beyond one group of blocks: as in one, by brute force, and nothing is refused."""
+    items = [*ITEMS, (13, rows[5][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(str, decontam.decontaminate(docs, bench, cleaned=True).collect()))
+    left = sorted(map(str, decontam.drop_contaminated(docs, bench).collect()))
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", 5)
+    monkeypatch.setattr(decontam, "GROUP_BLOCKS", 1)
+    assert len(list(decontam._groups(bench, 13))) > 3 and all(len(g) == 1 for g in decontam._groups(bench, 13))
+    assert sorted(map(str, decontam.decontaminate(docs, bench, cleaned=True).collect())) == whole
+    assert sorted(map(str, decontam.drop_contaminated(docs, bench).collect())) == left
+    got = [(r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontam.decontaminate(docs, bench).collect()]
+    assert sorted(got, key=_key) == sorted(brute.contamination(rows, items), key=_key)
+
+
+def test_a_large_benchmark_is_not_refused(spark):
+    bench = spark.range(17).selectExpr("id AS item_id", "concat_ws(' ', transform(sequence(1, 10000), i -> rpad(concat(id, 'q', i, 'q'), 100, 'z'))) AS text")  # 17 M characters
+    d = bench.filter("item_id < 3").selectExpr("item_id AS doc_id", "substr(text, 1, 10000) AS text")
+    assert [(r.doc_id, r.n_items) for r in decontam.decontaminate(d, bench).orderBy("doc_id").collect()] == [(0, 1), (1, 1), (2, 1)]
+
+
 def test_automaton_against_substrings():
     rng = random.Random(2)
     items = [(str(i), [rng.randrange(4) for _ in range(rng.randrange(1, 12))]) for i in range(30)]
