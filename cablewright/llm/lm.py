@@ -1,13 +1,16 @@
 """Language-model scores by deleted interpolation.
 
-The probability of a token after its predecessor h is
+The probability of a token after its predecessors g, h is
 
-    l2(b) * c(h, w) / c(h)  +  l1(b) * c(w) / N  +  l0(b) / (V + 1)
+    m(a) * c(g, h, w) / c(g, h)  +  (1 - m(a)) * P(w | h)
+    P(w | h) = l2(b) * c(h, w) / c(h)  +  l1(b) * c(w) / N  +  l0(b) / (V + 1)
 
-with maximum-likelihood estimates from the training documents and weights l(b) for
-each bucket b of the context's frequency, floor(log2(c(h) + 1)) up to `BUCKETS` - 1.
-The weights are learned by expectation-maximisation on the tokens of a deleted part of
-the training documents, under the counts of the rest; the final model counts all of them.
+with maximum-likelihood estimates from the training documents and weights l(b), m(a) for
+the buckets b and a of the two contexts' frequencies, floor(log2(c + 1)) up to `BUCKETS` - 1.
+A document's first token has its end as h, and as the pair (g, h). With `order` 2 the
+score is P(w | h). The weights are learned by expectation-maximisation on the tokens of a
+deleted part of the training documents, under the counts of the rest: first l, then m with
+l fixed. The final model counts all of them.
 
 Counts follow the corpus and are never gathered in one place. Slices of documents send
 their distinct n-grams, as hashes, to tasks by hash range; those add up the counts and
@@ -16,7 +19,7 @@ ranges grow as the square root of the corpus, so neither a task nor the number o
 does as fast as the corpus. A frequent word or a repeated passage is one entry of each slice.
 
 For EM the deleted part's tokens are counted by (bucket, eighth-octave of both estimates),
-a grid of a fixed size, so the driver holds at most the grid.
+a grid of a fixed size for either step, so the driver holds at most the grid.
 """
 
 from __future__ import annotations
@@ -66,7 +69,7 @@ def _slices(batches, most: int, only: int | None = None):
 class _Grams:
     """A slice's tokens as indices into its distinct n-grams, which are in ascending order of (range, hash)."""
 
-    def __init__(self, text: pa.Array, ranges: int):
+    def __init__(self, text: pa.Array, ranges: int, order: int):
         data, at = T.raw(text)
         h, first = T.word_hashes(data, at)
         n = np.diff(first)
@@ -79,9 +82,21 @@ class _Grams:
             prev[self.first[:-1]] = _END
         one, self.one_at, self.one_count = np.unique(seq, return_inverse=True, return_counts=True)
         two = T.mix(prev * np.uint64(3) ^ T.mix(seq + _SALT))
+        self.three = None
+        if order == 3:
+            before = np.empty_like(two)
+            before[1:] = two[:-1]
+            if len(seq):
+                before[self.first[:-1]] = _END
+            three = T.mix(before * np.uint64(5) ^ T.mix(seq + _SALT + _SALT))
+            del before
+            self.three, self.three_at, self.three_count = np.unique(three, return_inverse=True, return_counts=True)
+            del three
         two, self.two_at, self.two_count = np.unique(two, return_inverse=True, return_counts=True)
         self.prev_at = np.searchsorted(one, prev)
         self.ranges = ranges
+        if order == 3:
+            self.three_edge = self._edges(self.three)
         self.one, self.one_edge = one, self._edges(one)
         self.two, self.two_edge = two, self._edges(two)
 
@@ -100,28 +115,40 @@ def _unpack(b: bytes) -> np.ndarray:
 
 
 def _six(keys: np.ndarray) -> bytes:
-    """Hashes without their lowest 16 bits, in six bytes each."""
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+    """Ascending hashes without their lowest 16 bits, as gaps: the number of keys, then six planes of bytes.
+
+    A gap's higher bytes are mostly zero, so their planes are compressed; the lower ones are noise.
+    """
+    n = len(keys)
+    short = keys.astype("<u8") >> np.uint64(16)
+    gap = np.diff(short, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
+    high = zlib.compress(np.ascontiguousarray(gap[:, 3:6].T).tobytes(), 1)
+    return n.to_bytes(4, "little") + np.ascontiguousarray(gap[:, :3].T).tobytes() + high
 
 
 def _unsix(b: bytes) -> np.ndarray:
-    x = np.zeros((len(b) // 6, 8), np.uint8)
-    x[:, 2:] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    return x.view("<u8").ravel()
+    n = int.from_bytes(b[:4], "little")
+    gap = np.zeros((n, 8), np.uint8)
+    gap[:, :3] = np.frombuffer(b, np.uint8, 3 * n, 4).reshape(3, n).T
+    gap[:, 3:6] = np.frombuffer(zlib.decompress(b[4 + 3 * n :]), np.uint8).reshape(3, n).T
+    return np.cumsum(gap.view("<u8").ravel(), dtype=np.uint64) << np.uint64(16)
 
 
-_SENT = pa.schema([("range", pa.int32()), ("chunk", pa.int64()), ("role", pa.int32()), ("one", pa.binary()), ("one_count", pa.binary()), ("two", pa.binary()), ("two_count", pa.binary())])
-_BACK = pa.schema([("range", pa.int32()), ("chunk", pa.int64()), ("one", pa.binary()), ("two", pa.binary()), ("one_deleted", pa.binary()), ("two_deleted", pa.binary()), ("tokens", pa.int64()), ("deleted", pa.int64()), ("types", pa.int64())])
+_SENT = pa.schema([("range", pa.int32()), ("chunk", pa.int64()), ("role", pa.int32()), ("one", pa.binary()), ("one_count", pa.binary()), ("two", pa.binary()), ("two_count", pa.binary()), ("three", pa.binary()), ("three_count", pa.binary())])
+_BACK = pa.schema([("range", pa.int32()), ("chunk", pa.int64()), ("one", pa.binary()), ("two", pa.binary()), ("three", pa.binary()), ("one_deleted", pa.binary()), ("two_deleted", pa.binary()), ("three_deleted", pa.binary()), ("tokens", pa.int64()), ("deleted", pa.int64()), ("types", pa.int64())])
 
 
-def _send(most: int, ranges: int):
+def _send(most: int, ranges: int, order: int):
     def run(batches):
         for number, role, _, text in _slices(batches, most):
-            g = _Grams(text, ranges)
+            g = _Grams(text, ranges, order)
             cols: list[list] = [[] for _ in _SENT]
             for k in range(ranges):
                 one, two = slice(g.one_edge[k], g.one_edge[k + 1]), slice(g.two_edge[k], g.two_edge[k + 1])
-                row = (k, number, role, g.one[one].astype("<u8").tobytes(), b"" if role == HELD_OUT else _pack(g.one_count[one]), _six(g.two[two]), b"" if role == HELD_OUT else _pack(g.two_count[two]))
+                row = [k, number, role, g.one[one].astype("<u8").tobytes(), b"" if role == HELD_OUT else _pack(g.one_count[one]), _six(g.two[two]), b"" if role == HELD_OUT else _pack(g.two_count[two]), None, None]
+                if order == 3:
+                    three = slice(g.three_edge[k], g.three_edge[k + 1])
+                    row[-2:] = _six(g.three[three]), b"" if role == HELD_OUT else _pack(g.three_count[three])
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SENT, strict=True)], schema=_SENT)
@@ -147,8 +174,9 @@ def _answer(table: pa.Table) -> pa.Table:
 
     one, one_deleted, tokens, deleted, types = totals("one", lambda b: np.frombuffer(b, "<u8"))
     two, two_deleted, *_ = totals("two", _unsix)
+    three, three_deleted, *_ = totals("three", _unsix) if table.column("three").null_count == 0 else ([None] * len(two), [None] * len(two))
     k, chunks = table.column("range").to_pylist(), table.column("chunk").to_pylist()
-    return pa.table([k + k[:1], chunks + [None], one + [None], two + [None], one_deleted + [None], two_deleted + [None], [None] * len(k) + [tokens], [None] * len(k) + [deleted], [None] * len(k) + [types]], schema=_BACK)
+    return pa.table([k + k[:1], chunks + [None], one + [None], two + [None], three + [None], one_deleted + [None], two_deleted + [None], three_deleted + [None], [None] * len(k) + [tokens], [None] * len(k) + [deleted], [None] * len(k) + [types]], schema=_BACK)
 
 
 def _tag(most: int, only: int | None):
@@ -162,18 +190,27 @@ def _tag(most: int, only: int | None):
     return run
 
 
-def _counts(docs: pa.Table, back: pa.Table, ranges: int, deleted: bool):
-    """The slice's n-grams, and for each token its count, the pair's and the context's (less the deleted part's)."""
+def _counts(docs: pa.Table, back: pa.Table, ranges: int, deleted: bool, order: int):
+    """The slice's n-grams, and counts for each token (less the deleted part's): its own, the pair's, the context's and, of order 3, the triple's and its context's."""
     text = docs.column("text").combine_chunks()
-    g = _Grams(text, ranges)
+    g = _Grams(text, ranges, order)
     back = back.sort_by("range")
-    one, two = (np.concatenate([_unpack(b) for b in back.column(c).to_pylist()] or [np.zeros(0, np.int64)]) for c in ("one", "two"))
-    if len(one) != len(g.one) or len(two) != len(g.two):
-        raise RuntimeError("a slice of documents changed between two reads of the input; write the input to a table first")
-    if deleted:
-        one = one - np.concatenate([_unpack(b) for b in back.column("one_deleted").to_pylist()])
-        two = two - np.concatenate([_unpack(b) for b in back.column("two_deleted").to_pylist()])
-    return g, one[g.one_at], two[g.two_at], one[g.prev_at]
+
+    def read(name: str, keys: np.ndarray) -> np.ndarray:
+        n = np.concatenate([_unpack(b) for b in back.column(name).to_pylist()] or [np.zeros(0, np.int64)])
+        if len(n) != len(keys):
+            raise RuntimeError("a slice of documents changed between two reads of the input; write the input to a table first")
+        return n - np.concatenate([_unpack(b) for b in back.column(f"{name}_deleted").to_pylist()] or [np.zeros(0, np.int64)]) if deleted else n
+
+    one, two = read("one", g.one), read("two", g.two)
+    c1, c2, ch = one[g.one_at], two[g.two_at], one[g.prev_at]
+    if order == 2:
+        return g, c1, c2, ch, None, None
+    cgh = np.empty_like(c2)
+    cgh[1:] = c2[:-1]
+    first = g.first[:-1]
+    cgh[first] = ch[first]  # the pair before a document's first token is as frequent as its end
+    return g, c1, c2, ch, read("three", g.three)[g.three_at], cgh
 
 
 def _bucket(context: np.ndarray) -> np.ndarray:
@@ -186,16 +223,42 @@ def _level(p: np.ndarray) -> np.ndarray:
     return np.where(p > 0, np.clip(x, 0, LEVELS - 2) + 1, 0).astype(np.int64)
 
 
-def _grid(ranges: int, tokens: int):
+def _pairs(c1, c2, ch, tokens: int, types: int, weights: np.ndarray) -> np.ndarray:
+    """P(w | h)."""
+    w = weights[_bucket(ch)]
+    return w[:, 0] / (types + 1) + w[:, 1] * (c1 / max(tokens, 1)) + w[:, 2] * (c2 / np.maximum(ch, 1))
+
+
+def _grid(ranges: int, tokens: int, types: int, weights: np.ndarray | None):
+    """Cells of the first step or, given its weights, of the second."""
+
     def run(docs: pa.Table, back: pa.Table) -> pa.Table:
-        _, c1, c2, ch = _counts(docs, back, ranges, True)
-        code = (_bucket(ch) * LEVELS + _level(c2 / np.maximum(ch, 1))) * LEVELS + _level(c1 / max(tokens, 1))
+        _, c1, c2, ch, c3, cgh = _counts(docs, back, ranges, True, 2 if weights is None else 3)
+        if weights is None:
+            code = (_bucket(ch) * LEVELS + _level(c2 / np.maximum(ch, 1))) * LEVELS + _level(c1 / max(tokens, 1))
+        else:
+            code = (_bucket(cgh) * LEVELS + _level(c3 / np.maximum(cgh, 1))) * LEVELS + _level(_pairs(c1, c2, ch, tokens, types, weights))
         code, n = np.unique(code, return_counts=True)
         return pa.table({"code": pa.array(code), "n": pa.array(n.astype(np.int64))})
 
     return run
 
 
+def learn_share(code: np.ndarray, n: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """The share m of the longer context for each bucket by EM; a context that doesn't occur has none."""
+    b, p3, p2 = code // LEVELS**2, code // LEVELS % LEVELS, code % LEVELS
+    value = np.concatenate([[0.0], 2.0 ** (-np.arange(LEVELS - 1) / 8)])
+    total, out = np.bincount(b, weights=n, minlength=BUCKETS), np.full(BUCKETS, 0.5)
+    for _ in range(rounds):
+        three, two = out[b] * value[p3], (1 - out[b]) * np.maximum(value[p2], 1e-300)
+        # Half a token of each kind keeps every share within 0 and 1.
+        out = np.where(total > 0, (np.bincount(b, weights=n * three / (three + two), minlength=BUCKETS) + 0.5) / (total + 1), out)
+    seen = total[1:] > 0
+    out[1:][~seen] = out[1:][seen].mean() if seen.any() else 0.5
+    out[0] = 0.0
+    return out
+
+
 def learn_weights(code: np.ndarray, n: np.ndarray, types: int, rounds: int = 50) -> np.ndarray:
     """Weights (l0, l1, l2) of each bucket by EM over the grid's cells; a bucket without tokens gets the others' mean."""
     b, p2, p1 = code // LEVELS**2, code // LEVELS % LEVELS, code % LEVELS
@@ -215,11 +278,13 @@ def learn_weights(code: np.ndarray, n: np.ndarray, types: int, rounds: int = 50)
     return out
 
 
-def _score(ranges: int, tokens: int, types: int, weights: np.ndarray):
+def _score(ranges: int, tokens: int, types: int, weights: np.ndarray, share: np.ndarray | None):
     def run(docs: pa.Table, back: pa.Table) -> pa.Table:
-        g, c1, c2, ch = _counts(docs, back, ranges, False)
-        w = weights[_bucket(ch)]
-        p = w[:, 0] / (types + 1) + w[:, 1] * (c1 / max(tokens, 1)) + w[:, 2] * (c2 / np.maximum(ch, 1))
+        g, c1, c2, ch, c3, cgh = _counts(docs, back, ranges, False, 2 if share is None else 3)
+        p = _pairs(c1, c2, ch, tokens, types, weights)
+        if share is not None:
+            m = share[_bucket(cgh)]
+            p = m * (c3 / np.maximum(cgh, 1)) + (1 - m) * p
         at = g.first[:-1]
         add = lambda x: np.add.reduceat(x, at) if len(at) else x
         n = np.diff(g.first)
@@ -238,8 +303,8 @@ def _score(ranges: int, tokens: int, types: int, weights: np.ndarray):
     return run
 
 
-def deleted_interpolation(docs: DataFrame, fold: int = 7, held_out: int = 2, deleted: int = 3) -> DataFrame:
-    """Scores of whole texts under a bigram model of deleted interpolation.
+def deleted_interpolation(docs: DataFrame, fold: int = 7, held_out: int = 2, deleted: int = 3, order: int = 3) -> DataFrame:
+    """Scores of whole texts under a trigram model (or bigram, of order 2) of deleted interpolation.
 
     Documents whose crc32(doc_id as text) mod `fold` is `held_out` are scored but not learned
     from; those where it is `deleted` give the held-out counts of EM. Tokens are words
@@ -248,14 +313,16 @@ def deleted_interpolation(docs: DataFrame, fold: int = 7, held_out: int = 2, del
     both log10. A null text is empty: one token, the end. A null doc_id is learned from. An
     empty table gives an empty result. Repeated rows count each time. Other columns are ignored.
     """
+    if order not in (2, 3):
+        raise ValueError(f"order {order}: 2 or 3 is taken")
     spark = docs.sparkSession
     rest = F.crc32(F.col("doc_id").cast("string")) % fold
     role = F.when(rest == held_out, HELD_OUT).when(rest == deleted, DELETED).otherwise(TRAIN).cast("int")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), role.alias("role"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     most = int(min(SLICE_MOST, max(SLICE_LEAST, SLICE_ROOT * math.sqrt(size))))
-    ranges = max(64, size // 6 // RANGE_KEYS)
-    back = saved(docs.mapInArrow(_send(most, ranges), "range int, chunk long, role int, one binary, one_count binary, two binary, two_count binary").groupBy("range").applyInArrow(_answer, "range int, chunk long, one binary, two binary, one_deleted binary, two_deleted binary, tokens long, deleted long, types long"), "counts")
+    ranges = max(64, size * (order - 1) // 6 // RANGE_KEYS)
+    back = saved(docs.mapInArrow(_send(most, ranges, order), "range int, chunk long, role int, one binary, one_count binary, two binary, two_count binary, three binary, three_count binary").groupBy("range").applyInArrow(_answer, "range int, chunk long, one binary, two binary, three binary, one_deleted binary, two_deleted binary, three_deleted binary, tokens long, deleted long, types long"), "counts")
     tokens, apart, types = (int(x or 0) for x in back.agg(F.sum("tokens"), F.sum("deleted"), F.sum("types")).first())
     answers = back.filter("chunk IS NOT NULL")
     tagged = "chunk long, role int, doc_id long, text string"
@@ -265,7 +332,14 @@ def deleted_interpolation(docs: DataFrame, fold: int = 7, held_out: int = 2, del
         few = answers if only is None else answers.filter("one_deleted IS NOT NULL")
         return rows.groupBy("chunk").cogroup(few.select("chunk", "range", *columns).groupBy("chunk")).applyInArrow(f, schema)
 
-    cells = beside(DELETED, ["one", "two", "one_deleted", "two_deleted"], _grid(ranges, tokens - apart), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
-    weights = learn_weights(cells["code"].to_numpy(np.int64), cells["n"].to_numpy(np.float64), types)
+    names = ["one", "two", "three"]
+
+    def cells(weights: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        have = names[: 2 if weights is None else 3]
+        got = beside(DELETED, [*have, *(f"{x}_deleted" for x in have)], _grid(ranges, tokens - apart, types, weights), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+        return got["code"].to_numpy(np.int64), got["n"].to_numpy(np.float64)
+
+    weights = learn_weights(*cells(None), types)
+    share = learn_share(*cells(weights)) if order == 3 else None
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return beside(None, ["one", "two"], _score(ranges, tokens, types, weights), schema)
+    return beside(None, names[:order], _score(ranges, tokens, types, weights, share), schema)

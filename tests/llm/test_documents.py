@@ -7,6 +7,8 @@ import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from cablewright.llm import decontam, lm, mixing, near, quality, secrets, tokenfile, toxicity
@@ -86,6 +88,56 @@ def test_lm(docs, rows):
     assert all(r.score < 0 for r in out)
 
 
+def test_lm_trigrams(spark):
+    """A word that only its two predecessors tell, and the whole score against dictionaries."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(600):
+        w = []
+        for _ in range(20):
+            a, b = rng.choice("pq"), rng.choice("mn")
+            w += [a, b, {"pm": "x", "pn": "y", "qm": "y", "qn": "x"}[a + b]]
+        texts.append(" ".join(w))
+    texts += [""]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    mean = {}
+    for order in (2, 3):
+        held = [r for r in lm.deleted_interpolation(d, order=order).collect() if r.held_out]
+        mean[order] = sum(r.score for r in held) / sum(r.n_tokens for r in held)
+    # At best 2 even choices for 3 words (-0.197 a token) and the end at one of 20 boundaries (-0.028); pairs leave all three open.
+    assert mean[3] > -0.235 and mean[2] < -0.28, mean
+    role = {i: zlib.crc32(str(i).encode()) % 7 for i in range(len(texts))}
+    three, context = {}, {}
+    for i, t in enumerate(texts):
+        w = [None, None, *t.split(), None]
+        for k in range(2, len(w)):
+            if role[i] != 2:
+                three[tuple(w[k - 2 : k + 1])] = three.get(tuple(w[k - 2 : k + 1]), 0) + 1
+                context[tuple(w[k - 2 : k])] = context.get(tuple(w[k - 2 : k]), 0) + 1
+    rows = pa.table({"doc_id": list(range(len(texts))), "role": pa.array([lm.TRAIN if role[i] != 2 else lm.HELD_OUT for i in role], pa.int32()), "text": texts})
+    answer = lm._answer(pa.Table.from_batches(list(_one_slice(rows))))
+    for r in (lm.TRAIN, lm.HELD_OUT):
+        part = rows.filter(pc.equal(rows.column("role"), r))
+        back = answer.filter(pc.equal(answer.column("chunk"), r))
+        _, _, _, _, c3, cgh = lm._counts(part, back, 1, False, 3)
+        want = [(three.get(tuple(w[k - 2 : k + 1]), 0), context.get(tuple(w[k - 2 : k]), 0)) for t in part.column("text").to_pylist() for w in [[None, None, *t.split(), None]] for k in range(2, len(w))]
+        assert list(zip(c3.tolist(), cgh.tolist(), strict=True)) == want
+
+
+def _one_slice(rows):
+    """A slice for each role, as _send would make it."""
+    for r in (lm.TRAIN, lm.HELD_OUT):
+        g = lm._Grams(rows.filter(pc.equal(rows.column("role"), r)).column("text").combine_chunks(), 1, 3)
+        count = lambda x: b"" if r == lm.HELD_OUT else lm._pack(x)  # noqa: B023, E731
+        yield pa.RecordBatch.from_pylist([{"range": 0, "chunk": r, "role": r, "one": g.one.tobytes(), "one_count": count(g.one_count), "two": lm._six(g.two), "two_count": count(g.two_count), "three": lm._six(g.three), "three_count": count(g.three_count)}], schema=lm._SENT)
+
+
+def test_lm_packed_keys():
+    for n in (0, 1, 5000):
+        x = np.sort(np.random.default_rng(n).integers(0, 1 << 63, n, dtype=np.int64).astype(np.uint64) * np.uint64(2))
+        assert (lm._unsix(lm._six(x)) == x >> np.uint64(16) << np.uint64(16)).all() and (n < 5000 or len(lm._six(x)) < 5.1 * n)
+
+
 def test_lm_probabilities_sum_to_one_or_less():
     w = lm.learn_weights(np.array([5, lm.LEVELS + 9, 3 * lm.LEVELS**2 + 7]), np.array([4.0, 2.0, 9.0]), 100)
     assert np.allclose(w.sum(axis=1), 1) and (w > 0).all()
