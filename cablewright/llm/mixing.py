@@ -5,7 +5,9 @@ cells' weights in turn until their margins meet the targets; the cells' weights
 document a probability, and a hash of its id decides.
 
 Where no target is given, a margin's share is in proportion to a power of what is there. A topic
-is the commonest of `TOPICS` groups of long words (ties: the first), where docs have no topic column.
+is the docs' own where they have a topic column. Elsewhere it is a letter code, which follows spelling
+and not subject: the commonest value of ascii(third character) % `TOPICS` over words of `LONG` or more
+characters (ties: the first). The query's SQL has the same code.
 """
 
 from __future__ import annotations

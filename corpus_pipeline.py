@@ -42,7 +42,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled to the target weights of source, language and topic."""
+    """Documents sampled to the target weights of source, language and topic (a letter code: see `mixing`)."""
     return mixing.sample(docs)
 
 

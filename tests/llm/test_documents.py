@@ -4,12 +4,14 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import brute
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
+from pyspark.sql import functions as F
 
 from cablewright.llm import decontam, lm, mixing, near, quality, secrets, tokenfile, toxicity
 
@@ -347,6 +349,12 @@ def test_mix(docs, rows, monkeypatch):
     assert some.columns == docs.columns and some.count() == sum(r.sampled for r in mixing.mix(docs).collect())
 
 
+def test_topic_column_is_taken_and_the_letter_code_is_named(docs):
+    own = {r.topic for r in mixing.mix(docs.withColumn("topic", F.lit("sport"))).collect()}
+    assert own == {"sport"}
+    assert "letter code" in mixing.__doc__ and "letter code" in (Path(__file__).parents[2] / "README.md").read_text()
+
+
 def test_rake_meets_margins():
     rng = random.Random(3)
     cells = [(s, lg, t, rng.randrange(1, 900)) for s in "abc" for lg in "xy" for t in "pqr"]
