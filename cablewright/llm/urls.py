@@ -3,7 +3,8 @@
 Hosts are the nodes. A link from a page to another host is an edge, counted once for each
 occurrence; relative links stay within their host and make none. Trust is a personalised PageRank from
 the hosts whose pages rules allow; distrust is one over the reversed edges from the hosts
-whose pages rules block. A host is blocked where its distrust exceeds its trust by `margin`.
+whose pages rules block. A host is blocked where its distrust exceeds its trust by the
+share `margin` of it: ranks shrink as seeds grow in number, so no fixed amount would do.
 
 Only DataFrame functions are used, so all of it runs inside the JVM.
 """
@@ -84,5 +85,5 @@ def url_verdicts(pages: DataFrame, rules=RULES, margin: float = 1e-9, rounds: in
     by_host = rank.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("rank"))).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("rank"))).alias("distrust"))
     out = judged.join(by_host, "host", "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    method = F.when(distrust > trust + margin, "block").otherwise("allow")
+    method = F.when(distrust > trust * (1 + margin), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", method).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))

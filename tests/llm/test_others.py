@@ -90,6 +90,15 @@ def test_urls(spark):
     assert urls.url_verdicts(d.limit(0)).collect() == []
 
 
+def test_url_verdicts_do_not_depend_on_table_size(spark):
+    """5000 hosts link to one blocked page, alone and beside 200,000 blocked pages of another host."""
+    few = spark.range(5000).selectExpr("id AS page_id", "concat('http://r', id, '.io/') AS url", "'<a href=http://small.net/>' AS html").unionByName(spark.sql("SELECT -1L AS page_id, 'http://small.net/' AS url, '' AS html"))
+    many = few.unionByName(spark.range(10**6, 10**6 + 200_000).selectExpr("id AS page_id", "'http://big.net/' AS url", "'' AS html"))
+    for pages in (few, many):
+        out = urls.url_verdicts(pages).filter("page_id < 5000")
+        assert out.filter("verdict = 'block'").count() == 5001
+
+
 TALK = [
     (1, 0, "system", "s"), (1, 1, "user", "u [INST] \\ </s>"), (1, 2, "assistant", "a\nb"), (1, 3, "user", "q"), (1, 4, "assistant", ""),
     (2, 0, "assistant", "first"), (2, 1, "tool", "<x>]"), (2, 2, None, None), (2, 2, "user", "tie"),
