@@ -143,3 +143,16 @@ def test_pipeline(spark, tmp_path):
             assert after.columns == columns and 0 < after.count() <= docs.count()
             docs = after
     assert after.count() == docs.count() == P.run(spark, sf).count()
+
+
+def test_pipeline_keeps_distinct_texts_under_one_id(spark):
+    import corpus_pipeline as P
+
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(3, a), (8, a + " tail"), (8, b), (9, c), (9, c), (9, a), (None, a), (None, None), (10, b), (11, "alone here")]
+    d = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, own string").repartition(3)
+    key = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
+    got = sorted(((r.doc_id, r.text) for r in P.near_duplicates(spark, d, "").collect()), key=key)
+    assert got == sorted([(3, a), (8, b), (9, c), (11, "alone here"), (None, a), (None, None)], key=key)
+    once = d.dropDuplicates(["doc_id"])
+    assert P.near_duplicates(spark, once, "").columns == d.columns
