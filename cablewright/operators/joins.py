@@ -146,13 +146,17 @@ def remap(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.groupBy("site_id", "n").agg(F.min(F.struct(F.round(d, 3).alias("d"), F.col("to"))).alias("b")).select("site_id", "n", F.col("b.to").alias("to"))
 
 
+FEW_CABLES = 1000
+
+
 def assign_cables(edges: DataFrame, cables: DataFrame, load: str = "load") -> DataFrame:
     """The cable of the least capacity that bears each edge's load, and the cost by its length; null beyond all.
 
-    cables: cable, capacity, cost. The catalogue is a few rows, so it is broadcast.
+    cables: cable, capacity, cost. A catalogue of up to `FEW_CABLES` rows is broadcast.
     """
+    few = cables.limit(FEW_CABLES + 1).count() <= FEW_CABLES
     keyed = edges.withColumn("_row", F.monotonically_increasing_id())
-    j = keyed.select("_row", load).join(F.broadcast(cables.limit(1000)), F.col("capacity") >= F.col(load))
+    j = keyed.select("_row", load).join(F.broadcast(cables) if few else cables, F.col("capacity") >= F.col(load))
     best = j.groupBy("_row").agg(F.min(F.struct("capacity", "cable", "cost")).alias("b"))
     return keyed.join(best, "_row", "left").select(*edges.columns, F.col("b.cable").alias("cable"), (F.col("length") * F.col("b.cost")).alias("cost"))
 

@@ -251,12 +251,14 @@ def _merges(v: DataFrame) -> DataFrame:
 
 
 def _exact(v: DataFrame) -> DataFrame:
-    """On sites of six terminals: instances where a heuristic is shorter than the exact forest (there must be none)."""
-    small = v.filter("n < 6")
+    """On each six terminals of a site, with its roots: whether a heuristic is shorter than the exact forest for any (there must be none)."""
+    sets = v.filter("n >= 0").select("site_id", F.floor(F.col("n") / 6).alias("k")).distinct()
+    small = v.join(sets, "site_id").filter("n < 0 OR floor(n / 6) = k").select((F.col("site_id") * (1 << 20) + F.col("k")).alias("site_id"), "n", "x", "y")
     s = solvers.check(solvers.solve(small, ["exact", "classic", "presolver", "routes"], [2, 3]), small)
     least = s.groupBy("site_id", "capacity").agg(F.min(F.when(F.col("method") != "exact", F.col("length"))).alias("other"), F.min(F.when(F.col("method") == "exact", F.col("length"))).alias("exact"))
     # Lengths are sums of rounded hops.
-    return least.select("site_id", "capacity", F.when(F.col("other") + 10 < F.col("exact"), 1).otherwise(0).cast("long").alias("worse"))
+    worse = least.select(F.floor(F.col("site_id") / (1 << 20)).cast("long").alias("site_id"), "capacity", F.when(F.col("other") + 10 < F.col("exact"), 1).otherwise(0).cast("long").alias("worse"))
+    return worse.groupBy("site_id", "capacity").agg(F.max("worse").alias("worse"))
 
 
 from . import more  # noqa: E402,F401  (registers its queries)

@@ -4,6 +4,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cablewright.operators import kernels as K
 from cablewright.operators.trees import loads_of
@@ -122,3 +123,22 @@ def test_loads_refuse_a_cycle():
 def test_least_rectangle():
     xy = np.array([[0, 0], [4, 3], [1, 7], [-3, 4]])
     assert abs(K.smallest_rectangle(xy) - 25) < 1e-9
+
+
+def test_a_long_catalogue_of_cables_loses_none(spark):
+    from cablewright.operators.joins import assign_cables
+
+    edges = spark.createDataFrame([(1, 10.0), (1500, 10.0), (3000, 1.0)], "load long, length double")
+    out = assign_cables(edges, spark.range(1, 2001).selectExpr("id AS cable", "id AS capacity", "2 * id AS cost").orderBy(F.desc("id")))
+    assert {(r.load, r.cable, r.cost) for r in out.collect()} == {(1, 1, 20.0), (1500, 1500, 30000.0), (3000, None, None)}
+
+
+def test_exact_covers_every_terminal(spark, monkeypatch):
+    from cablewright.operators import solvers
+    from cablewright.plans import catalogue
+
+    v = spark.createDataFrame([(7, n, x, x * x % 91) for n, x in [(-1, 500), *[(k, 40 * k + 7) for k in range(8)]]], "site_id long, n long, x long, y long")
+    seen, own = [], solvers.solve
+    monkeypatch.setattr(solvers, "solve", lambda small, *a: seen.append(small) or own(small, *a))
+    assert {tuple(r) for r in catalogue._exact(v).collect()} == {(7, 2, 0), (7, 3, 0)}
+    assert {r.n for r in seen[0].collect()} == {-1, *range(8)}
