@@ -1,19 +1,28 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Patterns are whole words or stems; an Aho-Corasick automaton finds them. A clause that holds one
-is read word by word through the composition of four transducers: targets (the pattern stands
-within `NEAR` words of a word that means a person addressed or spoken of), negation (for `NEAR`
-words after a negating word), reported speech (from a verb of saying or an opening quote to the
-clause's end) and threats (verbs of harm, which count only beside a target). The composed output
-names one path for each match; a document's features are the patterns' weights summed by path.
+The lexicon is an Aho-Corasick automaton over whole words and stems; each of its insult patterns
+has a weight. A clause that holds a pattern becomes a string of symbols, one for each word (`SYMBOLS`)
+and one for each opening quote, which the composition of five transducers rewrites:
+
+* insults: a pattern's symbol is marked as an insult that nothing is known of yet;
+* threats: a verb of harm is one where a target stands within `NEAR` words of it, and nothing elsewhere;
+* targets: an insult within `NEAR` words of a word for a person addressed or spoken of is targeted;
+* negation: what follows a negating word within `NEAR` words is negated;
+* reported speech: what follows a verb of saying or an opening quote is reported.
+
+A target may follow its insult, so two of the transducers guess and check: they have an arc for either
+case and states that demand, or forbid, a target among the next words. One path of the composition
+accepts each clause, and its outputs name the kind of each match. A document's features are the weights
+of its matches summed by kind; a logistic regression over them gives each kind's weight and the score.
 
 The insult patterns and their weights are learned: words and stems whose share among documents
-labelled as toxic is significantly larger. A logistic regression over the path features gives the
-score. Labels come from a bounded sample and only from the rows that may be learned from.
+labelled as toxic is significantly larger. Labels come from a bounded sample and only from the rows
+that may be learned from.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 
@@ -22,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import saved
+from ._shared import batched, saved
 
 #: Labelled documents that are learned from, and patterns kept, at most.
 MOST_LABELLED, MOST_CANDIDATES, MOST_PATTERNS = 20_000, 4_000, 400
@@ -37,9 +46,116 @@ THREATS = frozenset("kill hurt destroy punch stab shoot strangle burn tuer frapp
 _WORD = re.compile(r"[^\W\d_]+")
 _CLAUSE = re.compile(r"[.!?;,:|\n]")
 _QUOTES = "\"“«„"
+_PIECE = re.compile(rf"[^\W\d_]+|[{_QUOTES}]")
+#: Symbols of the words of a clause: a pattern, a verb of harm, a target, a negating word, a verb of saying, another word; and an opening quote.
+SYMBOLS = INSULT, HARM, TARGET, NEGATION, REPORT, OTHER, QUOTE = "ihtnroq"
 PATHS = ("plain", "targeted", "negated", "reported", "threat")
 
 
+class Transducer:
+    """arcs(state, symbol): (next state, output, weight) of each arc; final(state): whether a string may end there. The weights of a path multiply."""
+
+    def __init__(self, start, arcs, final=lambda state: True):
+        self.start, self.final, self._arcs = start, final, arcs
+        self._seen: dict = {}
+
+    def arcs(self, state, symbol: str) -> list[tuple]:
+        key = (state, symbol)
+        if key not in self._seen:
+            self._seen[key] = list(self._arcs(state, symbol))
+        return self._seen[key]
+
+    def then(self, other: Transducer) -> Transducer:
+        """The composition: the other one reads what this one writes."""
+
+        def arcs(state, symbol):
+            for p, out, v in self.arcs(state[0], symbol):
+                for q, end, w in other.arcs(state[1], out):
+                    yield (p, q), end, v * w
+
+        return Transducer((self.start, other.start), arcs, lambda state: self.final(state[0]) and other.final(state[1]))
+
+    def outputs(self, symbols) -> list[tuple[str, float]]:
+        """What the accepting path of the largest weight writes, with each arc's weight; of equal ones, the first."""
+        alive = {self.start: (1.0, None)}
+        for symbol in symbols:
+            after: dict = {}
+            for state, (total, path) in alive.items():
+                for q, out, w in self.arcs(state, symbol):
+                    if q not in after or after[q][0] < total:
+                        # Only marks are kept, so that a long clause costs no more than its matches.
+                        after[q] = (total, (path, out, w) if out in MARKS else path)
+            alive = after
+        ends = [(-total, k, path) for k, (state, (total, path)) in enumerate(alive.items()) if self.final(state)]
+        out, path = [], min(ends, key=lambda x: x[:2])[2] if ends else None
+        while path:
+            out.append(path[1:])
+            path = path[0]
+        return out[::-1]
+
+
+#: Marks that the transducers write: an insult, no match after all, and the kinds of a match.
+_FOUND, _NONE, _PLAIN, _TARGETED, _THREAT, _NEGATED, _REPORTED = "I-PVHNR"
+MARKS = {_NONE: None, _PLAIN: "plain", _TARGETED: "targeted", _THREAT: "threat", _NEGATED: "negated", _REPORTED: "reported"}
+
+
+def insults() -> Transducer:
+    return Transducer(0, lambda state, x: [(0, _FOUND if x == INSULT else x, 1.0)])
+
+
+def beside_target(symbol: str, near: str, far: str, weight: float = 1.0) -> Transducer:
+    """Rewrites `symbol` as `near` where a target is within `NEAR` words before or after, else as `far`.
+
+    A state is (words since the last target, words in which a target has to come yet, words in which none may).
+    """
+
+    def arcs(state, x):
+        since, need, none = state
+        if x == QUOTE:
+            yield state, x, 1.0
+            return
+        if x == TARGET:
+            if not none:
+                yield (0, 0, 0), x, 1.0
+            return
+        if need == 1:
+            return
+        since, need, none = min(since + 1, NEAR + 1), max(need - 1, 0), max(none - 1, 0)
+        if x != symbol:
+            yield (since, need, none), x, 1.0
+        elif since <= NEAR:
+            yield (since, need, none), near, weight
+        else:
+            if none < NEAR:
+                yield (since, need or NEAR, none), near, weight
+            if not need:
+                yield (since, need, NEAR), far, 1.0
+
+    return Transducer((NEAR + 1, 0, 0), arcs, lambda state: not state[1])
+
+
+def negation() -> Transducer:
+    def arcs(left, x):
+        if x == NEGATION:
+            yield NEAR, x, 1.0
+        else:
+            yield left if x == QUOTE else max(0, left - 1), _NEGATED if left and MARKS.get(x) else x, 1.0
+
+    return Transducer(0, arcs)
+
+
+def reported_speech() -> Transducer:
+    def arcs(inside, x):
+        yield inside or x in (REPORT, QUOTE), _REPORTED if inside and MARKS.get(x) and x != _NEGATED else x, 1.0
+
+    return Transducer(False, arcs)
+
+
+def grammar() -> Transducer:
+    """From the symbols of a clause to the kinds of its matches."""
+    return insults().then(beside_target(HARM, _THREAT, _NONE)).then(beside_target(_FOUND, _TARGETED, _PLAIN)).then(negation()).then(reported_speech())
+
+
 def features_of(text: str):
     """Words ('w$') and stems ('w*') of a text."""
     out = set()
@@ -55,6 +171,7 @@ class Grammar:
     def __init__(self, patterns: dict[str, float]):
         import ahocorasick
 
+        self.machine = grammar()
         self.find = ahocorasick.Automaton()
         for p, weight in {**{t + "$": 1.0 for t in THREATS}, **patterns}.items():
             old = self.find.get(p[:-1], None)
@@ -76,55 +193,39 @@ class Grammar:
         return [(s, w, t) for s, (_, w, t) in sorted(best.items())]
 
     def features(self, text: str) -> list[float]:
-        """Weights summed by path, as logarithms, and their density."""
+        """Weights summed by path, as logarithms, and their density. The time is in proportion to the text's length."""
         low = text.lower()
         found = self.matches(low)
         total = dict.fromkeys(PATHS, 0.0)
+        signs = [m.start() for m in _CLAUSE.finditer(low)] if found else []
         k = 0
         while k < len(found):
-            start = found[k][0]
-            a = max((low.rfind(c, 0, start) for c in ".!?;,:|\n"), default=-1) + 1
-            m = _CLAUSE.search(low, start)
-            b = m.start() if m else len(low)
+            sign = bisect.bisect_left(signs, found[k][0])
+            a, b = signs[sign - 1] + 1 if sign else 0, signs[sign] if sign < len(signs) else len(low)
             own = {}
             while k < len(found) and found[k][0] < b:
-                own[found[k][0] - a] = found[k][1:]
+                own[found[k][0]] = found[k][1:]
                 k += 1
-            for path, weight in self.clause(low[a:b], own):
+            for path, weight in self.clause(low, own, a, b):
                 total[path] += weight
         every = sum(v for p, v in total.items() if p != "negated")
         density = math.log1p(200 * every / (len(text) / 6 + 20)) if every else 0.0
         return [math.log1p(total[p]) for p in PATHS] + [density, float(every > 0)]
 
-    @staticmethod
-    def clause(clause: str, matched: dict[int, tuple[float, bool]]):
-        """(path, weight) of each match: the outputs of the composed transducers."""
-        negated, reported, since = 0, False, NEAR + 1
-        out: list[list] = []
-        pending: list[tuple[int, list]] = []  # (place, match) that a target may yet follow
-        last = 0
-        for place, m in enumerate(_WORD.finditer(clause)):
+    def clause(self, low: str, matched: dict[int, tuple[float, bool]], a: int, b: int):
+        """(path, weight) of each match in the clause low[a:b]."""
+        symbols, weights = [], []
+        for m in _PIECE.finditer(low, a, b):
             w = m[0]
-            reported = reported or w in REPORTS or any(q in clause[last : m.start()] for q in _QUOTES)
-            last = m.end()
-            since += 1
-            if w in TARGETS:
-                since = 0
-                for at, row in pending:
-                    row[1] = row[1] or place - at <= NEAR
-                pending = []
-            if w in NEGATIONS:
-                negated = NEAR + 1
             if m.start() in matched:
-                weight, threat = matched[m.start()]
-                row = [weight, since <= NEAR, threat, negated > 0, reported]
-                out.append(row)
-                pending.append((place, row))
-            negated = max(0, negated - 1)
-        for weight, target, threat, neg, rep in out:
-            if threat and not target:
-                continue
-            yield "negated" if neg else "reported" if rep else "threat" if threat else "targeted" if target else "plain", weight
+                weight, harm = matched[m.start()]
+                symbols.append(HARM if harm else INSULT)
+                weights.append(weight)
+            else:
+                symbols.append(QUOTE if w in _QUOTES else TARGET if w in TARGETS else NEGATION if w in NEGATIONS else REPORT if w in REPORTS else OTHER)
+        for weight, (mark, factor) in zip(weights, self.machine.outputs(symbols), strict=True):
+            if MARKS[mark]:
+                yield MARKS[mark], weight * factor
 
 
 def _count(batches):
@@ -240,6 +341,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fold: int = 5, held_out:
     score is constant. A null doc_id is not held out. Repeated rows give repeated rows; other columns
     are ignored.
     """
-    patterns, weights = learn(docs, labels, fold, held_out)
+    patterns, weights = learn(batched(docs), labels, fold, held_out)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.crc32(F.col("doc_id").cast("string")) % fold == held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(_scored(patterns, weights), "doc_id long, held_out boolean, score double, predicted int")
