@@ -26,7 +26,33 @@ def saved(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table of a frame that `saved` returned, when nothing will read it again."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._saved_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Bytes of an Arrow batch between the JVM and a Python worker, at most (a single row may be longer).
+BATCH_BYTES = 4 << 20
+
+
+def batched(df: DataFrame) -> DataFrame:
+    """df, in whose session Arrow batches are held to `BATCH_BYTES` from now on.
+
+    Batches are else limited by rows alone, so that long texts fill the memory of both sides. A
+    smaller limit that the session has is kept.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark = df.sparkSession
+    now = spark.conf.get(key, None)
+    if now is None or not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +88,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     e = saved(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
     for _ in range(most_rounds):
-        e = saved(star(star(e, False), True), "edges")
+        old, e = e, saved(star(star(e, False), True), "edges")
+        discard(old)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:
             break
@@ -70,4 +97,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    out = e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    out._saved_at = e._saved_at
+    return out

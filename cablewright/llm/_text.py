@@ -13,7 +13,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text handled at once; a longer document is handled alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -86,6 +86,17 @@ def words(text: np.ndarray, at: np.ndarray, kind: str = "space") -> tuple[np.nda
     return starts, np.searchsorted(starts, at)
 
 
+def ends(text: np.ndarray, at: np.ndarray, kind: str = "space") -> np.ndarray:
+    """Where each word ends."""
+    inside = CLASSES[kind][text]
+    out = inside.copy()
+    out[:-1] &= ~inside[1:]
+    edges = at[1:] - 1
+    edges = edges[(edges >= 0) & (np.diff(at) > 0)]
+    out[edges] = inside[edges]
+    return np.flatnonzero(out) + 1
+
+
 def word_hashes(text: np.ndarray, at: np.ndarray, kind: str = "space") -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word, A-Z lower-cased, and the first word of each row."""
     starts, first = words(text, at, kind)

@@ -5,45 +5,186 @@ cells' weights in turn until their margins meet the targets; the cells' weights
 document a probability, and a hash of its id decides.
 
 Where no target is given, a margin's share is in proportion to a power of what is there. A topic
-is the docs' own where they have a topic column. Elsewhere it is a letter code, which follows spelling
-and not subject: the commonest value of ascii(third character) % `TOPICS` over words of `LONG` or more
-characters (ties: the first). The query's SQL has the same code.
+is the docs' own where they have a topic column. Elsewhere `fit_topics` groups the vocabulary by
+which words occur in the same documents, and a document's topic is the one whose words it has most of.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import saved
+from . import _text as T
+from ._shared import batched, discard, saved
 
 MARGINS = ("source", "lang", "topic")
-TOPICS, LONG = 8, 6
+#: Topics, words of the vocabulary, and the least bytes of such a word.
+TOPICS, VOCABULARY, LONG = 16, 4096, 6
+#: A vocabulary word is in so many documents at least, and in one of so many at most.
+LEAST_DOCS, RARE = 2, 10
 #: Rounds of raking, each over all margins.
 ROUNDS = 12
 #: Powers of the margins' shares, by default: less than 1 evens them out.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 #: Share of all words that the sample should have, and the sample's seed.
 FRACTION, SEED = 0.5, "mix"
-#: Cells that the driver rakes; more of them are raked by Spark.
+#: Cells that the driver rakes and broadcasts; more of them are raked by Spark, to the same weights, and joined.
 MOST_CELLS = 200_000
+#: Words that a task counts before it sends them on.
+HELD_WORDS = 300_000
 _BLANK = " \t\n\x0b\f\r"
 
 
-def _described(docs: DataFrame, whole: bool = False) -> DataFrame:
+class Topics:
+    """Words grouped around the commonest ones.
+
+    words: the vocabulary's hashes, the commonest first: the first `TOPICS` of them are the topics.
+    topic_of: the topic of each word, or -1.
+    """
+
+    def __init__(self, words: np.ndarray, names: list[str], topic_of: np.ndarray | None = None):
+        self.names, self.topic_of = names, topic_of
+        self.order = np.argsort(words)
+        self.words = words[self.order]
+
+    def found(self, text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, word) of every vocabulary word in the rows' texts."""
+        h, _, _, row = long_words(text, at)
+        if not len(h) or not len(self.words):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        slot = np.searchsorted(self.words, h)
+        slot[slot == len(self.words)] = 0
+        hit = self.words[slot] == h
+        return row[hit], self.order[slot[hit]]
+
+    def together(self, text: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """For each word and topic: the rows that have the word and the topic's own."""
+        row, word = self.found(text, at)
+        size, k = len(self.words), len(self.names)
+        row, word = np.divmod(np.unique(row * max(size, 1) + word), max(size, 1))
+        own = np.zeros((len(at) - 1, k), bool)
+        own[row[word < k], word[word < k]] = True
+        out = np.zeros((size, k), np.int64)
+        for t in range(k):
+            out[:, t] = np.bincount(word[own[row, t]], minlength=size)
+        return out
+
+    def of_rows(self, text: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The topic whose words each row has most of, of equals the commoner; -1 without any."""
+        row, word = self.found(text, at)
+        topic = self.topic_of[word]
+        row, topic = row[topic >= 0], topic[topic >= 0]
+        k = max(len(self.names), 1)
+        n = np.bincount(row * k + topic, minlength=(len(at) - 1) * k).reshape(-1, k)
+        return np.where(n.any(axis=1), n.argmax(axis=1), -1)
+
+
+def long_words(text: np.ndarray, at: np.ndarray):
+    """Hash, begin, end and row of every word of `LONG` bytes or more."""
+    h, first = T.word_hashes(text, at, "alnum")
+    starts, _ = T.words(text, at, "alnum")
+    ends = T.ends(text, at, "alnum")
+    row = np.repeat(np.arange(len(at) - 1), np.diff(first))
+    keep = ends - starts >= LONG
+    return h[keep], starts[keep], ends[keep], row[keep]
+
+
+def _texts(batches):
+    """(batch, first row, last row, bytes, offsets) of every slice."""
+    for batch in batches:
+        text, at = T.raw(batch.column("text"))
+        for a, b in T.slices(at):
+            yield batch, a, b, text[at[a] : at[b]], at[a : b + 1] - at[a]
+
+
+def _document_counts(batches):
+    held: dict[int, list] = {}
+
+    def sent():
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x[0] for x in held.values()], pa.string()), pa.array([x[1] for x in held.values()], pa.int64())], ["h", "word", "docs"])
+
+    for _, _, _, text, at in _texts(batches):
+        h, starts, ends, row = long_words(text, at)
+        order = np.lexsort((row, h))
+        new = np.ones(len(h), bool)
+        new[1:] = (np.diff(h[order]) != 0) | (np.diff(row[order]) != 0)
+        pick = order[new]
+        _, first, count = np.unique(h[pick], return_index=True, return_counts=True)
+        for k, n in zip(pick[first].tolist(), count.tolist(), strict=True):
+            x = held.get(key := int(h[k].view(np.int64)))
+            if x is None:
+                held[key] = [text[starts[k] : ends[k]].tobytes().lower().decode("utf-8", "replace"), n]
+            else:
+                x[1] += n
+        if len(held) >= HELD_WORDS:
+            yield sent()
+            held.clear()
+    if held:
+        yield sent()
+
+
+def _beside(model: Topics):
+    def run(batches):
+        total = np.zeros((len(model.words), len(model.names)), np.int64)
+        for _, _, _, text, at in _texts(batches):
+            total += model.together(text, at)
+        word, topic = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(topic.astype(np.int64)), pa.array(total[word, topic])], ["word", "topic", "n"])
+
+    return run
+
+
+def fit_topics(docs: DataFrame) -> Topics:
+    """Topics from all texts of docs.
+
+    The vocabulary has the words that most documents hold, but for those that more than one in `RARE`
+    holds. Each of them goes to the topic whose own word's documents hold it most often, in proportion; of
+    equals, to the commoner topic. `VOCABULARY` rows, and `TOPICS` times as many, reach the driver.
+    """
+    text = docs.select(F.col("text").cast("string").alias("text"))
+    counts = text.mapInArrow(_document_counts, "h long, word string, docs long").groupBy("h").agg(F.min("word").alias("word"), F.sum("docs").alias("docs"))
+    rows = counts.filter((F.col("docs") >= LEAST_DOCS) & (RARE * F.col("docs") <= text.count())).orderBy(F.desc("docs"), "word").limit(VOCABULARY).collect()
+    hashes = np.array([r.h for r in rows], np.int64).view(np.uint64)
+    model = Topics(hashes, [r.word for r in rows[:TOPICS]])
+    share = np.zeros((len(rows), len(model.names)))
+    for word, topic, n in text.mapInArrow(_beside(model), "word long, topic long, n long").groupBy("word", "topic").agg(F.sum("n").alias("n")).collect():
+        share[word, topic] = n / rows[topic].docs
+    model.topic_of = np.where(share.any(axis=1), share.argmax(axis=1), -1) if len(rows) else np.zeros(0, np.int64)
+    return model
+
+
+def _with_topic(model: Topics, columns: list[str]):
+    names = pa.array(["", *model.names])
+
+    def run(batches):
+        for batch, a, b, text, at in _texts(batches):
+            topic = names.take(pa.array(model.of_rows(text, at) + 1))
+            words = np.diff(T.words(text, at)[1]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in columns), topic, pa.array(words)], names=[*columns, "topic", "n_tokens"])
+
+    return run
+
+
+def _described(docs: DataFrame, model: Topics | None, whole: bool = False) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens of each row, with nulls as ''; if whole, also the row itself."""
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("")
     own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")] if whole else []
-    d = docs.select(*own, "doc_id", named("source").alias("source"), named("lang").alias("lang"), named("topic").alias("topic"), F.btrim(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(_BLANK)).alias("bare"))
-    d = d.withColumn("w", F.when(F.col("bare") == "", F.array().cast("array<string>")).otherwise(F.split("bare", r"[ \t-\r]+", -1)))
-    out = [*(["own"] if whole else []), "doc_id", *MARGINS, "n_tokens"]
-    d = d.withColumn("n_tokens", F.size("w").cast("long"))
-    if "topic" in docs.columns:
-        return d.select(*out)
-    d = d.withColumn("g", F.expr(f"transform(filter(w, x -> length(x) >= {LONG}), x -> ascii(substr(x, 3, 1)) % {TOPICS})"))
-    d = d.withColumn("c", F.array(*[F.expr(f"size(filter(g, x -> x = {t}))") for t in range(TOPICS)]))
-    return d.withColumn("topic", F.concat(F.lit("t"), (F.array_position("c", F.array_max("c")) - 1).cast("string"))).select(*out)
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    d = docs.select(*own, "doc_id", named("source").alias("source"), named("lang").alias("lang"), *([named("topic").alias("topic")] if model is None else []), text)
+    kept = [*(["own"] if whole else []), "doc_id", "source", "lang"]
+    if model is not None:
+        schema = d.select(*kept, F.lit("").alias("topic"), F.lit(0).cast("long").alias("n_tokens")).schema
+        return d.mapInArrow(_with_topic(model, kept), schema)
+    bare = F.btrim("text", F.lit(_BLANK))
+    return d.select(*kept, "topic", F.when(bare == "", 0).otherwise(F.size(F.split(bare, r"[ \t-\r]+", -1))).cast("long").alias("n_tokens"))
+
+
+def _model(docs: DataFrame) -> Topics | None:
+    return None if "topic" in docs.columns else fit_topics(batched(docs))
 
 
 def _targets(shares: dict[str, float], power: float) -> dict[str, float]:
@@ -77,7 +218,9 @@ def _rake_frame(cells: DataFrame, targets: DataFrame, rounds: int) -> DataFrame:
             have = w.groupBy(m).agg(F.sum("weight").alias("have"))
             scale = have.join(targets.filter(F.col("margin") == m).select(F.col("name").alias(m), "want"), m, "left").select(m, F.when(F.col("have") > 0, F.coalesce("want", F.lit(0.0)) / F.col("have")).otherwise(0.0).alias("scale"))
             w = w.join(scale, m).withColumn("weight", F.col("weight") * F.col("scale")).drop("scale")
-        w = saved(w, "raked")
+        old, w = w, saved(w, "raked")
+        if hasattr(old, "_saved_at"):
+            discard(old)
     return w
 
 
@@ -112,7 +255,9 @@ def probabilities(found: DataFrame, targets: dict[str, dict[str, float]] | None,
         weights = rake(rows, want, rounds) if rows else []
         rate = rate_for([r[3] for r in rows], weights, fraction)
         table = [(*r[:3], w, min(1.0, rate * w / r[3]) if w > 0 else 0.0) for r, w in zip(rows, weights, strict=True)]
-        return spark.createDataFrame(table, "source string, lang string, topic string, weight double, probability double")
+        out = spark.createDataFrame(table, "source string, lang string, topic string, weight double, probability double")
+        out._few = True  # MOST_CELLS rows at most
+        return out
     parts = []
     for m in MARGINS:
         given = (targets or {}).get(m)
@@ -124,20 +269,26 @@ def probabilities(found: DataFrame, targets: dict[str, dict[str, float]] | None,
         norm = share.agg(F.sum("p")).first()[0]
         parts.append(share.select(F.lit(m).alias("margin"), "name", (F.col("p") / F.lit(norm)).alias("want")))
     raked = _rake_frame(live, saved(parts[0].unionByName(parts[1]).unionByName(parts[2]), "targets"), rounds)
-    # The rate by bisection, a pass over the cells each.
-    goal, low, high = fraction * float(live.agg(F.sum("tokens")).first()[0]), 0.0, 1.0
-    reach = lambda r: raked.agg(F.sum(F.least(F.col("tokens").cast("double"), F.col("weight") * F.lit(r)))).first()[0]
-    while reach(high) < goal and high < 1e30:
-        high *= 16
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if reach(mid) < goal else (low, mid)
-    return raked.select(*MARGINS, "weight", F.least(F.lit(1.0), F.lit(high) * F.col("weight") / F.col("tokens")).alias("probability"))
+    rate = _rate(raked, fraction * float(live.agg(F.sum("tokens")).first()[0]))
+    return raked.select(*MARGINS, "weight", F.when(F.col("weight") > 0, F.least(F.lit(1.0), F.lit(rate) * F.col("weight") / F.col("tokens"))).otherwise(0.0).alias("probability"))
+
+
+def _rate(raked: DataFrame, goal: float) -> float:
+    """As `rate_for`: each round adds the cells that the rate takes whole, until none is added."""
+    rate = 0.0
+    while True:
+        whole = F.col("tokens") <= F.lit(rate) * F.col("weight")
+        full, rest = raked.filter("weight > 0").agg(F.sum(F.when(whole, F.col("tokens")).otherwise(0)), F.sum(F.when(whole, 0.0).otherwise(F.col("weight")))).first()
+        if not rest:
+            return math.inf
+        if (goal - float(full)) / rest <= rate:
+            return rate
+        rate = (goal - float(full)) / rest
 
 
 def _drawn(found: DataFrame, table: DataFrame, seed: str) -> DataFrame:
     """found with weight, probability and sampled."""
-    out = found.join(table, list(MARGINS), "left").withColumn("weight", F.coalesce("weight", F.lit(0.0))).withColumn("probability", F.coalesce("probability", F.lit(1.0)))
+    out = found.join(F.broadcast(table) if getattr(table, "_few", False) else table, list(MARGINS), "left").withColumn("weight", F.coalesce("weight", F.lit(0.0))).withColumn("probability", F.coalesce("probability", F.lit(1.0)))
     u = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / float(16**13)
     return out.withColumn("sampled", u < F.col("probability"))
 
@@ -151,11 +302,12 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, fra
     weight is kept whole if the fraction can't be met. Rows of one doc_id in one cell share their
     fate; a null doc_id is hashed as ''.
     """
-    found = saved(_described(docs), "described")
+    found = saved(_described(docs, _model(docs)), "described")
     return _drawn(found, probabilities(found, targets, fraction, rounds), seed).select("doc_id", *MARGINS, "n_tokens", "weight", "probability", "sampled")
 
 
 def sample(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, fraction: float = FRACTION, seed: str = SEED, rounds: int = ROUNDS) -> DataFrame:
-    """The rows of docs that `mix` samples, with their own columns; texts are read twice, never dealt."""
-    table = probabilities(_described(docs), targets, fraction, rounds)
-    return _drawn(_described(docs, whole=True), table, seed).filter("sampled").select("own.*")
+    """The rows of docs that `mix` samples, with their own columns. Texts are dealt only where there are more than `MOST_CELLS` cells."""
+    model = _model(docs)
+    table = probabilities(_described(docs, model), targets, fraction, rounds)
+    return _drawn(_described(docs, model, whole=True), table, seed).filter("sampled").select("own.*")

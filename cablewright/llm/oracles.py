@@ -54,10 +54,16 @@ def _mix() -> str:
             steps.append(f"{name} AS MATERIALIZED (SELECT q.source, q.lang, q.topic, q.t, q.w * g.want / sum(q.w) OVER (PARTITION BY q.{m}) AS w FROM {last} q JOIN want_{m} g ON g.name = q.{m})")
             last = name
     wants = ", ".join(f"share_{m} AS (SELECT {m} AS name, pow(sum(t) / (SELECT sum(t) FROM c), {mixing.POWERS[m]}) AS p FROM c GROUP BY {m}), want_{m} AS MATERIALIZED (SELECT name, p / (SELECT sum(p) FROM share_{m}) AS want FROM share_{m})" for m in mixing.MARGINS)
-    return f"""WITH a AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, regexp_extract_all(coalesce(text, ''), {_SPACE}) AS x FROM documents),
-g AS (SELECT doc_id, source, lang, CAST(len(x) AS BIGINT) AS n_tokens, list_transform(list_filter(x, lambda y: length(y) >= {mixing.LONG}), lambda y: ascii(substr(y, 3, 1)) % {mixing.TOPICS}) AS b FROM a),
-h AS (SELECT *, list_transform(range(0, {mixing.TOPICS}), lambda k: len(list_filter(b, lambda y: y = k))) AS f FROM g),
-d AS MATERIALIZED (SELECT doc_id, source, lang, 't' || (list_position(f, list_max(f)) - 1) AS topic, n_tokens FROM h),
+    return f"""WITH a AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+  CAST(len(regexp_extract_all(coalesce(text, ''), {_SPACE})) AS BIGINT) AS n_tokens, {_words(_ALNUM)} AS x FROM documents),
+e AS MATERIALIZED (SELECT r, y, count(*) AS k FROM (SELECT r, unnest(x) AS y FROM a) q WHERE strlen(y) >= {mixing.LONG} GROUP BY r, y),
+v AS MATERIALIZED (SELECT y, docs, row_number() OVER (ORDER BY docs DESC, y) AS k FROM (SELECT y, count(*) AS docs FROM e GROUP BY y) q
+  WHERE docs >= {mixing.LEAST_DOCS} AND {mixing.RARE} * docs <= (SELECT count(*) FROM documents) QUALIFY k <= {mixing.VOCABULARY}),
+i AS MATERIALIZED (SELECT r, e.k, v.k AS word, docs FROM e JOIN v ON e.y = v.y),
+b AS MATERIALIZED (SELECT word, topic FROM (SELECT i.word, s.word AS topic, row_number() OVER (PARTITION BY i.word ORDER BY count(*) / CAST(s.docs AS DOUBLE) DESC, s.word) AS z
+  FROM i JOIN i s ON i.r = s.r AND s.word <= {mixing.TOPICS} GROUP BY i.word, s.word, s.docs) q WHERE z = 1),
+f AS MATERIALIZED (SELECT r, topic FROM (SELECT r, topic, row_number() OVER (PARTITION BY r ORDER BY sum(i.k) DESC, topic) AS z FROM i JOIN b ON b.word = i.word GROUP BY r, topic) q WHERE z = 1),
+d AS MATERIALIZED (SELECT doc_id, source, lang, coalesce(v.y, '') AS topic, n_tokens FROM a LEFT JOIN f ON f.r = a.r LEFT JOIN v ON v.k = f.topic),
 c AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS t FROM d GROUP BY source, lang, topic HAVING sum(n_tokens) > 0),
 {wants}, w0 AS (SELECT *, t / (SELECT sum(t) FROM c) AS w FROM c), {", ".join(steps)},
 o AS (SELECT *, t / w AS ratio, sum(t) OVER z - t AS full_t, (SELECT sum(w) FROM {last}) - (sum(w) OVER z - w) AS rest FROM {last} WINDOW z AS (ORDER BY t / w, source, lang, topic)),

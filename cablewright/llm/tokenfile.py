@@ -99,7 +99,7 @@ class WordEncoder:
         slot = np.searchsorted(self.known, distinct)
         slot[slot == len(self.known)] = 0
         old = self.known[slot] == distinct if len(self.known) else np.zeros(len(distinct), bool)
-        stops = _ends(text, at)
+        stops = T.ends(text, at)
         data = text.tobytes()
         fresh, fresh_begin, fresh_length = self._encode([data[starts[k] : stops[k]].decode("utf-8", "replace") for k in where[~old]])
         begin, length = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
@@ -145,17 +145,6 @@ def _case_hashes(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return T.mix(np.add.reduceat(table[text] * p[: len(text)], starts) * inverse[starts]), first
 
 
-def _ends(text: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Where each word ends."""
-    inside = T.CLASSES["space"][text]
-    ends = inside.copy()
-    ends[:-1] &= ~inside[1:]
-    edges = at[1:] - 1
-    edges = edges[(edges >= 0) & (np.diff(at) > 0)]
-    ends[edges] = inside[edges]
-    return np.flatnonzero(ends) + 1
-
-
 def _write(folder: str, tokenizer: str, end: int):
     schema = pa.schema([("shard", pa.int32()), ("writer", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int32())])
 
@@ -168,7 +157,7 @@ def _write(folder: str, tokenizer: str, end: int):
         for batch in batches:
             text, at = T.raw(batch.column("text"))
             ids = batch.column("doc_id").cast(pa.int64()).fill_null(_NULL).to_numpy()
-            for a, b in T.slices(at, 2 * T.SLICE_BYTES):
+            for a, b in T.slices(at, 4 << 20):
                 if files is None:
                     fs, path = pafs.FileSystem.from_uri(folder)
                     fs.create_dir(path, recursive=True)

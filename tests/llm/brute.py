@@ -6,6 +6,8 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -93,3 +95,177 @@ def contamination(rows, items, window=13, share=20):
                     found |= win[x]
         out.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and share * len(hit) >= len(w)))
     return out
+
+
+ALL = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_-"
+
+
+def _base(text):
+    out = []
+    either = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
+    names = "|".join([either("password"), either("passwd"), either("secret"), either("token"), either("api") + "_?" + either("key")])
+    patterns = [("assign", f"(?:{names})[\"']?[ ]*[:=][ ]*[\"']?([A-Za-z0-9+/_.=-]+)", 8), ("access", "(AKIA[A-Z0-9]+)", 16), ("hex", "([0-9a-f]+)", 32)]
+    for order, (kind, pattern, least) in enumerate(patterns):
+        out += [(m.start(), order, kind, m.end()) for m in re.finditer(pattern, text) if len(m[1]) >= least]
+    return sorted(out)
+
+
+def _candidates(text):
+    """(begin, end) of runs of 20 or more, with padding that nothing follows."""
+    k, out = 0, []
+    while k < len(text):
+        if text[k] not in ALL:
+            k += 1
+            continue
+        e = k
+        while e < len(text) and text[e] in ALL:
+            e += 1
+        p = e
+        while p < len(text) and text[p] == "=":
+            p += 1
+        padded = p > e and (p == len(text) or text[p] not in ALL)
+        if e - k >= 20:
+            out.append((k, p if padded else e))
+        k = e
+    return out
+
+
+def _evenness(run, order):
+    body = run.rstrip("=")
+    digits, low, up = ALL[:10], ALL[36:62], ALL[10:36]
+    own = next(set(a) for a in (digits, digits + "abcdef", digits + "ABCDEF", "234567" + up, digits + low, ALL[:62], ALL) if set(body) <= set(a))
+    place = {c: i for i, c in enumerate(c for c in order if c in own)}
+    x, n, size = [place[c] for c in body], len(body), len(place)
+
+    def chi2(v, df):  # the upper tail, by the series of the lower incomplete gamma function
+        if v <= 0:
+            return 1.0
+        term = total = 1.0 / (df / 2)
+        k = df / 2
+        while term > total * 1e-17:
+            k += 1
+            term *= v / 2 / k
+            total += term
+        if v / 2 > 200:
+            return None
+        return max(0.0, 1 - total * math.exp(-v / 2 + df / 2 * math.log(v / 2) - math.lgamma(df / 2)))
+
+    tail = lambda z: math.erfc(abs(z) / math.sqrt(2))
+    freq = Counter(x)
+    stat = sum((freq.get(k, 0) - n / size) ** 2 / (n / size) for k in range(size))
+    df = max(1, round((size - 1) * n / (n - 1)))
+    quarter, room = Counter(4 * k // size for k in x), Counter(4 * k // size for k in range(size))
+    changes = sum((a * 2 >= size) != (b * 2 >= size) for a, b in zip(x, x[1:], strict=False))
+    half = size // 2 / size
+    odds = 2 * half * (1 - half)
+    mid = (size - 1) / 2
+    expect = (n - 1) * (n - 2) / 2 / size**2
+    repeats = n - 1 - len(set(zip(x, x[1:], strict=False)))
+    p = [
+        chi2(stat * df / (size - 1), df),
+        chi2(sum((quarter.get(q, 0) - n * room[q] / size) ** 2 / (n * room[q] / size) for q in range(4)), 3),
+        tail(max(0.0, abs(changes - odds * (n - 1)) - 0.5) / math.sqrt(odds * (1 - odds) * (n - 1))),
+        tail(sum((a - mid) * (b - mid) for a, b in zip(x, x[1:], strict=False)) / ((size**2 - 1) / 12) / math.sqrt(n - 1)),
+        tail(max(0.0, repeats - expect) / math.sqrt(expect + 0.25)),
+    ]
+    if None in p or min(p) < 1e-12:
+        return 0.0  # far below what can be found
+    return chi2(-2 * sum(map(math.log, p)), 10) or 0.0
+
+
+def secrets(rows, S):
+    """Sorted (doc_id, n_assign, n_access, n_hex, base_sha256, spans). S: the module, for the strings drawn of a chain and for constants."""
+    chain = Counter()
+    for _, t in rows:
+        joined = "".join(w for w in re.findall(r"[0-9A-Za-z+/_-]+", t or "") if len(w) < 20 and not any(c.isdigit() for c in w))
+        chain.update(zip(joined, joined[1:], strict=False))
+    counts = [0] * len(ALL) ** 2
+    for (a, b), n in chain.items():
+        counts[ALL.index(a) * len(ALL) + ALL.index(b)] += n
+    # Texts meet in slices in no fixed order; what joins them is a handful of transitions.
+    ordinary = S.Ordinary(np.array(counts))
+    tails = ordinary.tails()
+    of = {}
+    for i, (_, t) in enumerate(rows):
+        for a, b in _candidates(t or ""):
+            p = _evenness(t[a:b], ordinary.order)
+            of[i, a, b] = (max(k for k, c in enumerate(S.CLASSES) if b - a >= c), S.BINS - 1 if p <= 0 else min(S.BINS - 1, int(-math.log(p) * S.STEP)))
+    out = []
+    for i, (d, t) in enumerate(rows):
+        base = _base(t or "")
+        spans = [(a, o, k, b) for a, o, k, b in base]
+        for a, b in _candidates(t or ""):
+            size, at = of[i, a, b]
+            every = [x for c, x in of.values() if c == size]
+            # The step-up rule: found if some bin no better than this one passes.
+            found = any(at <= worst < -math.log(S.UNEVEN) * S.STEP - 1 and tails[size][worst] * len(every) <= S.LEVEL * sum(x <= worst for x in every) for worst in range(S.BINS))
+            if found and not any(x <= a and y >= b for x, _, _, y in base):
+                spans.append((a, 3, "random", b))
+        text = lambda s: ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(s))
+        n = Counter(k for _, _, k, _ in base)
+        out.append((d, n["assign"], n["access"], n["hex"], hashlib.sha256(text(base).encode()).hexdigest(), text(spans)))
+    return sorted(out)
+
+
+def kinds(clause, near):
+    """The kind of each i and h of a clause's symbols, or None."""
+    words = [c for c in clause if c != "q"]
+    out, place = [], -1
+    for k, c in enumerate(clause):
+        if c == "q":
+            continue
+        place += 1
+        if c not in "ih":
+            continue
+        around = words[max(0, place - near) : place] + words[place + 1 : place + 1 + near]
+        target = "t" in around
+        if c == "h" and not target:
+            out.append(None)
+        elif "n" in words[max(0, place - near) : place]:
+            out.append("negated")
+        elif "r" in clause[:k] or "q" in clause[:k]:
+            out.append("reported")
+        else:
+            out.append("threat" if c == "h" else "targeted" if target else "plain")
+    return out
+
+
+def toxic_paths(text, patterns, T):
+    """Weights summed by kind. patterns: pattern -> (weight, whole word)."""
+    total = Counter()
+    for clause in re.split(r"[.!?;,:|\n]", text.lower()):
+        symbols, weights = "", []
+        for w in re.findall(r"[a-zà-ÿ]+|[\"“«„]", clause):
+            fits = [(len(p), x, "i") for p, (x, whole) in patterns.items() if (w == p if whole else w.startswith(p))]
+            fits += [(len(w), 1.0, "h")] if w in T.THREATS and w not in patterns else []
+            if fits:
+                _, x, c = max(fits)
+                weights.append(x)
+            else:
+                c = "q" if w in '"“«„' else "t" if w in T.TARGETS else "n" if w in T.NEGATIONS else "r" if w in T.REPORTS else "o"
+            symbols += c
+        for x, k in zip(weights, kinds(symbols, T.NEAR), strict=True):
+            if k:
+                total[k] += x
+    return total
+
+
+def topics(texts, M):
+    """(topic, words) of each text."""
+    words = [Counter(w for w in ALNUM.findall((t or "").translate(UP)) if len(w.encode()) >= M.LONG) for t in texts]
+    docs = Counter(w for c in words for w in c)
+    vocabulary = sorted((w for w, n in docs.items() if n >= M.LEAST_DOCS and n * M.RARE <= len(texts)), key=lambda w: (-docs[w], w.encode()))[: M.VOCABULARY]
+    seeds = vocabulary[: M.TOPICS]
+    topic = {}
+    for w in vocabulary:
+        score = [sum(w in c and s in c for c in words) / docs[s] for s in seeds]
+        if any(score):
+            topic[w] = score.index(max(score))
+    out = []
+    for t, c in zip(texts, words, strict=True):
+        n = Counter()
+        for w, k in c.items():
+            if w in topic:
+                n[topic[w]] += k
+        out.append((seeds[min(n, key=lambda k: (-n[k], k))] if n else "", len(SPACE.findall(t or ""))))
+    return out

@@ -1,8 +1,10 @@
 """Operators on documents against brute force, with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 from pathlib import Path
 
@@ -10,6 +12,7 @@ import brute
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -253,9 +256,48 @@ def test_token_files(spark, docs, rows, tmp_path):
     assert isinstance(ids, np.memmap) and ids.dtype == np.uint16
 
 
-def test_secrets(docs, rows):
-    got = {(r.doc_id, r.base_sha256, r.spans) for r in secrets.find_secrets(docs).collect()}
-    assert len(got) <= len(rows) and all(h == hashlib.sha256(s.encode()).hexdigest() for _, h, s in got if "random" not in s)
+def test_secrets(spark):
+    """Against a plain restatement: base patterns, candidates, the chain, every test of the battery, and the step-up rule."""
+    rng = random.Random(11)
+    draw = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    base62, words = brute.ALL[:62], ["counter", "revolution", "state", "x9", "Under", "standing", "paper", "river", "naïve"]
+    texts = [None, "", "  ", "ſecret=abcdefghij", "token token=" + "q" * 3000, "API-key api_key='" + "k.-=/" * 4, "AKIA" + "A" * 11, "AKIA" * 9 + " é AKIA0", "a" * 31 + " " + "0123456789abcdef" * 30]
+    for k in range(150):
+        parts = [" ".join(rng.choices(words, k=rng.randrange(1, 30)))]
+        if k % 3 == 0:
+            parts += [rng.choice(["key=", "see ", "\"", "a=b="]) + draw(rng.choice([base62, "0123456789abcdef", base62 + "+/", "0123456789"]), rng.choice([19, 20, 23, 28, 40, 70, 130])) + rng.choice(["", "=", "==", "=x", "!"])]
+        if k % 4 == 0:
+            parts += ["_".join(rng.choices(words, k=5)), "-" * rng.randrange(10, 80), "password: " + draw(base62, rng.randrange(5, 30))]
+        rng.shuffle(parts)
+        texts.append(" ".join(parts) + ("\n" + " ".join(rng.choices(words, k=3000)) if k == 7 else ""))
+    texts += texts[20:23]
+    d = spark.createDataFrame([(i if i else None, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, spans string").repartition(3)
+    got = sorted((r.doc_id or 0, r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) for r in secrets.find_secrets(d).collect())
+    want = brute.secrets(list(enumerate(texts)), secrets)
+    assert got == want
+    assert sum("random" in x[-1] for x in want) > 20
+
+
+def test_ordinary_runs_are_seldom_found():
+    """Of what is found among ordinary strings and some keys, few are ordinary; each class for itself."""
+    counts = np.zeros(len(secrets.ALL) ** 2, np.int64)
+    rng = random.Random(2)
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist()
+    words = [w for t in texts for w in re.findall(r"[A-Za-z]+", t or "") if len(w) < secrets.LEAST]
+    for t in texts:
+        counts += secrets.transitions(np.frombuffer((t or "").encode(), np.uint8))
+    ordinary = secrets.Ordinary(counts)
+    tails, battery = ordinary.tails(), secrets.Battery(ordinary.order)
+    for k, least in enumerate(secrets.CLASSES):
+        plain = ["".join(rng.choices(words, k=least))[:least] for _ in range(1500)] + ["_".join(rng.choices(words, k=least))[:least] for _ in range(500)]
+        keys = ["".join(rng.choices(secrets.ALL[:62], k=least)) for _ in range(200)]
+        cells = {}
+        bins = {x: secrets._bin(battery.evenness(x)) for x in plain + keys}
+        for x in plain + keys:
+            cells[k, bins[x]] = cells.get((k, bins[x]), 0) + 1
+        limit = secrets.thresholds(cells, tails)[k]
+        false, true = sum(bins[x] < limit for x in plain), sum(bins[x] < limit for x in keys)
+        assert false <= (0.12 if least == secrets.LEAST else secrets.LEVEL) * (false + true) and true >= 0.95 * len(keys), (least, false, true)
 
 
 def test_secret_spans(spark):
@@ -285,22 +327,23 @@ def test_random_keys_are_found_at_every_length():
     """Planted keys among many ruled lines and joined words, most candidates being short."""
     rng = random.Random(6)
     words = ["counter", "revolution", "international", "ization", "under", "standing", "environment", "configuration"]
-    of = lambda n: sum(n >= c for c in secrets.CLASSES) - 1
+    ordinary = secrets.Ordinary(secrets.transitions(np.frombuffer(" ".join(words).encode(), np.uint8)))
+    battery = secrets.Battery(ordinary.order)
+    found = lambda x: secrets._bin(battery.evenness(x))
     counts, keys = {}, {}
     for k, least in enumerate(secrets.CLASSES):
         noise = [rng.choice(["-" * least, "=-" * (least // 2), "_".join(rng.choices(words, k=least))[:least]]) for _ in range(4000 if k < 2 else 2000)]
-        found = [secrets._bin(secrets.evenness("".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=least)))) for _ in range(300)]
-        keys[k] = found
-        for b in [*map(secrets._bin, map(secrets.evenness, noise)), *found]:
-            counts[of(least), b] = counts.get((of(least), b), 0) + 1
-    limits = secrets.thresholds(counts)
+        keys[k] = [found("".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=least))) for _ in range(300)]
+        for b in [*map(found, noise), *keys[k]]:
+            counts[k, b] = counts.get((k, b), 0) + 1
+    limits = secrets.thresholds(counts, ordinary.tails())
     share = [sum(b < limits[k] for b in keys[k]) / len(keys[k]) for k in keys]
     assert min(share) > 0.9 and min(share[4:]) > 0.95, share
 
 
 def test_evenness_is_calibrated():
     rng = random.Random(1)
-    p = [secrets.evenness("a1" + "".join(rng.choice("0123456789abcdef") for _ in range(38))) for _ in range(400)]
+    p = [secrets.Battery().evenness("a1" + "".join(rng.choice("0123456789abcdef") for _ in range(38))) for _ in range(400)]
     assert sum(x < 0.05 for x in p) < 45
 
 
@@ -328,7 +371,7 @@ def test_toxicity(spark):
 
 def test_grammar_paths():
     g = toxicity.Grammar({"idiot$": 2.0, "scum*": 1.5})
-    paths = lambda t: [p for m in [g.matches(t.lower())] for p, _ in g.clause(t.lower(), {s: (w, k) for s, w, k in m})]
+    paths = lambda t: [p for m in [g.matches(t.lower())] for p, _ in g.clause(t.lower(), {s: (w, k) for s, w, k in m}, 0, len(t))]
     assert paths("what an idiot") == ["plain"]
     assert paths("you are an idiot") == paths("idiot like you") == ["targeted"]
     assert paths("he is not an idiot") == ["negated"]
@@ -337,6 +380,45 @@ def test_grammar_paths():
     assert paths("scumbags") == ["plain"] and paths("idiotic") == []
 
 
+def test_grammar_against_brute_force():
+    """The composed transducers on random clauses, against the definition of each kind by places."""
+    rng = random.Random(12)
+    machine = toxicity.grammar()
+    for _ in range(4000):
+        clause = "".join(rng.choice("iihhttnnrooooq") for _ in range(rng.randrange(0, 14)))
+        assert [(toxicity.MARKS[m], w) for m, w in machine.outputs(clause)] == [(k, 1.0) for k in brute.kinds(clause, toxicity.NEAR)], clause
+
+
+def test_toxicity_features_against_brute_force():
+    rng = random.Random(13)
+    g = toxicity.Grammar({"idiot$": 2.0, "scum*": 1.5, "vile*": 0.7, "you$": 1.1})
+    some = ["idiot", "scumbag", "vile", "VILENESS", "idiots", "kill", "you", "Him", "not", "never", "said", '"', "“", "kill.", "stone", "x1", ",", "\n", "a|b", "tree's"]
+    for _ in range(600):
+        text = " ".join(rng.choice(some) for _ in range(rng.randrange(0, 40)))
+        want = brute.toxic_paths(text, {"idiot": (2.0, True), "scum": (1.5, False), "vile": (0.7, False), "you": (1.1, True)}, toxicity)
+        got = g.features(text)
+        assert [round(math.expm1(x), 9) for x in got[: len(toxicity.PATHS)]] == [round(want.get(p, 0.0), 9) for p in toxicity.PATHS], text
+
+
+def test_toxicity_is_linear_in_the_text():
+    g = toxicity.Grammar({"idiot$": 2.0})
+    taken = []
+    for n in (50_000, 400_000):
+        text = "you stone idiot tree " * n  # one clause
+        began = time.process_time()
+        x = g.features(text)
+        taken.append(time.process_time() - began)
+        assert abs(math.expm1(x[toxicity.PATHS.index("targeted")]) - 2.0 * n) < 1e-3 * n
+    assert taken[1] < 24 * max(taken[0], 0.05)
+
+
+def test_topics_and_mix_against_brute_force(docs, rows):
+    want = brute.topics([t for _, t in rows], mixing)
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.topic, r.n_tokens) for r in mixing.mix(docs).collect())
+    assert got == sorted((d if d is not None else -1, t, n) for (d, _), (t, n) in zip(rows, want, strict=True))
+    assert len({t for _, t, _ in got}) > 3
+
+
 def test_mix(docs, rows, monkeypatch):
     out = {(r.doc_id, r.source, r.lang, r.topic): r for r in mixing.mix(docs).collect()}
     for r in out.values():
@@ -344,15 +426,14 @@ def test_mix(docs, rows, monkeypatch):
     monkeypatch.setattr(mixing, "MOST_CELLS", 1)
     for r in mixing.mix(docs).collect():
         q = out[r.doc_id, r.source, r.lang, r.topic]
-        assert abs(q.weight - r.weight) < 1e-9 and abs(q.probability - r.probability) < 1e-6
+        assert abs(q.weight - r.weight) < 1e-9 and abs(q.probability - r.probability) < 1e-9
     some = mixing.sample(docs)
     assert some.columns == docs.columns and some.count() == sum(r.sampled for r in mixing.mix(docs).collect())
 
 
-def test_topic_column_is_taken_and_the_letter_code_is_named(docs):
+def test_topic_column_is_taken(docs):
     own = {r.topic for r in mixing.mix(docs.withColumn("topic", F.lit("sport"))).collect()}
     assert own == {"sport"}
-    assert "letter code" in mixing.__doc__ and "letter code" in (Path(__file__).parents[2] / "README.md").read_text()
 
 
 def test_rake_meets_margins():
