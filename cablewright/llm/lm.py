@@ -14,9 +14,13 @@ l fixed. The final model counts all of them.
 
 Counts follow the corpus and are never gathered in one place. Slices of documents send
 their distinct n-grams, as hashes, to tasks by hash range; those add up the counts and
-answer each slice with the totals of its own n-grams. A slice's volume and the number of
-ranges grow as the square root of the corpus, so neither a task nor the number of messages
-does as fast as the corpus. A frequent word or a repeated passage is one entry of each slice.
+answer each slice with the totals of its own n-grams. A range holds about `RANGE_KEYS` keys, so
+their number follows the corpus; a slice's volume follows its root, up to `SLICE_MOST`. A slice
+sends a message to each range that it has n-grams in, so there are never more messages than
+n-grams: up to some hundred GB a message holds thousands of them, at 100 TB a few, and
+messages then cost as much as rows would. A frequent word or a repeated passage is one entry of
+each slice. A word's hash has 64 bits; of those of pairs and triples, 48 bits beyond the bits
+that name the range are kept, so more of them as the corpus grows.
 
 For EM the deleted part's tokens are counted by (bucket, eighth-octave of both estimates),
 a grid of a fixed size for either step, so the driver holds at most the grid.
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._shared import saved
+from ._shared import batched, saved
 
 BUCKETS = 16
 #: Levels of an estimate in the EM grid: eighths of an octave, and 0 for an estimate of 0.
@@ -42,6 +46,8 @@ LEVELS = 512
 RANGE_KEYS = 3_000_000
 #: A slice of documents: this many bytes times the root of the corpus's bytes, within limits.
 SLICE_ROOT, SLICE_LEAST, SLICE_MOST = 128, 1 << 18, 256 << 20
+#: Bytes of messages that a task yields at once.
+SENT_BYTES = 4 << 20
 TRAIN, DELETED, HELD_OUT = 0, 1, 2
 _END = np.uint64(0x5851F42D4C957F2D)
 _SALT = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -52,24 +58,42 @@ def _slices(batches, most: int, only: int | None = None):
     from pyspark import TaskContext
 
     number = TaskContext.get().partitionId() << 32
+    held: dict[int, list] = {r: [] for r in (TRAIN, DELETED, HELD_OUT)}
+    volume = dict.fromkeys(held, 0)
+
+    def taken(r: int):
+        ids, texts = zip(*held[r], strict=True)
+        held[r], volume[r] = [], 0
+        return pa.concat_arrays(ids), pa.concat_arrays(texts)
+
     for batch in batches:
         role = batch.column("role").to_numpy()
-        for r in (TRAIN, DELETED, HELD_OUT):
+        for r in held:
             rows = np.flatnonzero(role == r)
             if not len(rows):
                 continue
             part = batch.take(pa.array(rows))
             _, at = T.raw(part.column("text"))
             for a, b in T.slices(at, most):
-                if only in (None, r):
-                    yield number, r, part.column("doc_id").slice(a, b - a), part.column("text").slice(a, b - a)
-                number += 1
+                held[r].append((part.column("doc_id").slice(a, b - a), part.column("text").slice(a, b - a)))
+                volume[r] += int(at[b] - at[a])
+                if volume[r] >= most // 2:
+                    got = taken(r)
+                    if only in (None, r):
+                        yield number, r, *got
+                    number += 1
+    for r in held:
+        if held[r]:
+            got = taken(r)
+            if only in (None, r):
+                yield number, r, *got
+            number += 1
 
 
 class _Grams:
-    """A slice's tokens as indices into its distinct n-grams, which are in ascending order of (range, hash)."""
+    """A slice's tokens as indices into its distinct n-grams, which are in ascending order of (range, hash). There are 2**bits ranges."""
 
-    def __init__(self, text: pa.Array, ranges: int, order: int):
+    def __init__(self, text: pa.Array, bits: int, order: int):
         data, at = T.raw(text)
         h, first = T.word_hashes(data, at)
         n = np.diff(first)
@@ -94,16 +118,18 @@ class _Grams:
             del three
         two, self.two_at, self.two_count = np.unique(two, return_inverse=True, return_counts=True)
         self.prev_at = np.searchsorted(one, prev)
-        self.ranges = ranges
+        self.bits = bits
         if order == 3:
             self.three_edge = self._edges(self.three)
         self.one, self.one_edge = one, self._edges(one)
         self.two, self.two_edge = two, self._edges(two)
+        #: A sum over all n-grams, by which two readings of a slice are told apart.
+        total = sum(int(T.mix(x ^ _SALT).sum(dtype=np.uint64)) for x in (one, two, *([self.three] if order == 3 else [])))
+        self.check = (total + (1 << 63)) % (1 << 64) - (1 << 63)
 
     def _edges(self, keys: np.ndarray) -> np.ndarray:
-        """Where each range begins: hashes are split evenly by their high bits."""
-        step = (1 << 64) // self.ranges + 1
-        return np.append(np.searchsorted(keys, np.array([step * k for k in range(self.ranges)], np.uint64)), len(keys))
+        """Where each range begins: a hash's high bits name its range."""
+        return np.append(np.searchsorted(keys, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)) if self.bits else np.zeros(1, np.int64), len(keys))
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -114,13 +140,13 @@ def _unpack(b: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(b[:-1]), "<u" + b[-1:].decode()).astype(np.int64)
 
 
-def _six(keys: np.ndarray) -> bytes:
-    """Ascending hashes without their lowest 16 bits, as gaps: the number of keys, then six planes of bytes.
+def _six(keys: np.ndarray, bits: int) -> bytes:
+    """Ascending hashes of one range, 48 bits behind the `bits` that name it, as gaps: the number of keys, then six planes of bytes.
 
     A gap's higher bytes are mostly zero, so their planes are compressed; the lower ones are noise.
     """
     n = len(keys)
-    short = keys.astype("<u8") >> np.uint64(16)
+    short = keys.astype("<u8") << np.uint64(bits) >> np.uint64(16)
     gap = np.diff(short, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
     high = zlib.compress(np.ascontiguousarray(gap[:, 3:6].T).tobytes(), 1)
     return n.to_bytes(4, "little") + np.ascontiguousarray(gap[:, :3].T).tobytes() + high
@@ -131,27 +157,34 @@ def _unsix(b: bytes) -> np.ndarray:
     gap = np.zeros((n, 8), np.uint8)
     gap[:, :3] = np.frombuffer(b, np.uint8, 3 * n, 4).reshape(3, n).T
     gap[:, 3:6] = np.frombuffer(zlib.decompress(b[4 + 3 * n :]), np.uint8).reshape(3, n).T
-    return np.cumsum(gap.view("<u8").ravel(), dtype=np.uint64) << np.uint64(16)
+    return np.cumsum(gap.view("<u8").ravel(), dtype=np.uint64)
 
 
-_SENT = pa.schema([("range", pa.int32()), ("chunk", pa.int64()), ("role", pa.int32()), ("one", pa.binary()), ("one_count", pa.binary()), ("two", pa.binary()), ("two_count", pa.binary()), ("three", pa.binary()), ("three_count", pa.binary())])
-_BACK = pa.schema([("range", pa.int32()), ("chunk", pa.int64()), ("one", pa.binary()), ("two", pa.binary()), ("three", pa.binary()), ("one_deleted", pa.binary()), ("two_deleted", pa.binary()), ("three_deleted", pa.binary()), ("tokens", pa.int64()), ("deleted", pa.int64()), ("types", pa.int64())])
+_SENT = pa.schema([("range", pa.int32()), ("chunk", pa.int64()), ("role", pa.int32()), ("one", pa.binary()), ("one_count", pa.binary()), ("two", pa.binary()), ("two_count", pa.binary()), ("three", pa.binary()), ("three_count", pa.binary()), ("check", pa.int64())])
+_BACK = pa.schema([("range", pa.int32()), ("chunk", pa.int64()), ("one", pa.binary()), ("two", pa.binary()), ("three", pa.binary()), ("one_deleted", pa.binary()), ("two_deleted", pa.binary()), ("three_deleted", pa.binary()), ("tokens", pa.int64()), ("deleted", pa.int64()), ("types", pa.int64()), ("check", pa.int64())])
 
 
-def _send(most: int, ranges: int, order: int):
+def _send(most: int, bits: int, order: int):
     def run(batches):
         for number, role, _, text in _slices(batches, most):
-            g = _Grams(text, ranges, order)
+            g = _Grams(text, bits, order)
+            edges = [g.one_edge, g.two_edge, *([g.three_edge] if order == 3 else [])]
             cols: list[list] = [[] for _ in _SENT]
-            for k in range(ranges):
+            held = 0
+            for k in np.flatnonzero(sum(np.diff(e) for e in edges)).tolist():
                 one, two = slice(g.one_edge[k], g.one_edge[k + 1]), slice(g.two_edge[k], g.two_edge[k + 1])
-                row = [k, number, role, g.one[one].astype("<u8").tobytes(), b"" if role == HELD_OUT else _pack(g.one_count[one]), _six(g.two[two]), b"" if role == HELD_OUT else _pack(g.two_count[two]), None, None]
+                row = [k, number, role, g.one[one].astype("<u8").tobytes(), b"" if role == HELD_OUT else _pack(g.one_count[one]), _six(g.two[two], bits), b"" if role == HELD_OUT else _pack(g.two_count[two]), None, None, g.check]
                 if order == 3:
                     three = slice(g.three_edge[k], g.three_edge[k + 1])
-                    row[-2:] = _six(g.three[three]), b"" if role == HELD_OUT else _pack(g.three_count[three])
+                    row[-3:-1] = _six(g.three[three], bits), b"" if role == HELD_OUT else _pack(g.three_count[three])
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SENT, strict=True)], schema=_SENT)
+                held += sum(len(x) for x in row if isinstance(x, bytes))
+                if held > SENT_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SENT, strict=True)], schema=_SENT)
+                    cols, held = [[] for _ in _SENT], 0
+            if cols[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SENT, strict=True)], schema=_SENT)
 
     return run
 
@@ -176,7 +209,7 @@ def _answer(table: pa.Table) -> pa.Table:
     two, two_deleted, *_ = totals("two", _unsix)
     three, three_deleted, *_ = totals("three", _unsix) if table.column("three").null_count == 0 else ([None] * len(two), [None] * len(two))
     k, chunks = table.column("range").to_pylist(), table.column("chunk").to_pylist()
-    return pa.table([k + k[:1], chunks + [None], one + [None], two + [None], three + [None], one_deleted + [None], two_deleted + [None], three_deleted + [None], [None] * len(k) + [tokens], [None] * len(k) + [deleted], [None] * len(k) + [types]], schema=_BACK)
+    return pa.table([k + k[:1], chunks + [None], one + [None], two + [None], three + [None], one_deleted + [None], two_deleted + [None], three_deleted + [None], [None] * len(k) + [tokens], [None] * len(k) + [deleted], [None] * len(k) + [types], table.column("check").to_pylist() + [None]], schema=_BACK)
 
 
 def _tag(most: int, only: int | None):
@@ -190,19 +223,19 @@ def _tag(most: int, only: int | None):
     return run
 
 
-def _counts(docs: pa.Table, back: pa.Table, ranges: int, deleted: bool, order: int):
+def _counts(docs: pa.Table, back: pa.Table, bits: int, deleted: bool, order: int, sent_order: int):
     """The slice's n-grams, and counts for each token (less the deleted part's): its own, the pair's, the context's and, of order 3, the triple's and its context's."""
     text = docs.column("text").combine_chunks()
-    g = _Grams(text, ranges, order)
+    g = _Grams(text, bits, sent_order)
     back = back.sort_by("range")
+    if set(back.column("check").to_pylist()) != {g.check}:
+        raise RuntimeError("a slice of documents changed between two reads of the input; write the input to a table first")
 
-    def read(name: str, keys: np.ndarray) -> np.ndarray:
-        n = np.concatenate([_unpack(b) for b in back.column(name).to_pylist()] or [np.zeros(0, np.int64)])
-        if len(n) != len(keys):
-            raise RuntimeError("a slice of documents changed between two reads of the input; write the input to a table first")
+    def read(name: str) -> np.ndarray:
+        n = np.concatenate([_unpack(b) for b in back.column(name).to_pylist()])
         return n - np.concatenate([_unpack(b) for b in back.column(f"{name}_deleted").to_pylist()] or [np.zeros(0, np.int64)]) if deleted else n
 
-    one, two = read("one", g.one), read("two", g.two)
+    one, two = read("one"), read("two")
     c1, c2, ch = one[g.one_at], two[g.two_at], one[g.prev_at]
     if order == 2:
         return g, c1, c2, ch, None, None
@@ -210,7 +243,7 @@ def _counts(docs: pa.Table, back: pa.Table, ranges: int, deleted: bool, order: i
     cgh[1:] = c2[:-1]
     first = g.first[:-1]
     cgh[first] = ch[first]  # the pair before a document's first token is as frequent as its end
-    return g, c1, c2, ch, read("three", g.three)[g.three_at], cgh
+    return g, c1, c2, ch, read("three")[g.three_at], cgh
 
 
 def _bucket(context: np.ndarray) -> np.ndarray:
@@ -229,11 +262,11 @@ def _pairs(c1, c2, ch, tokens: int, types: int, weights: np.ndarray) -> np.ndarr
     return w[:, 0] / (types + 1) + w[:, 1] * (c1 / max(tokens, 1)) + w[:, 2] * (c2 / np.maximum(ch, 1))
 
 
-def _grid(ranges: int, tokens: int, types: int, weights: np.ndarray | None):
+def _grid(bits: int, order: int, tokens: int, types: int, weights: np.ndarray | None):
     """Cells of the first step or, given its weights, of the second."""
 
     def run(docs: pa.Table, back: pa.Table) -> pa.Table:
-        _, c1, c2, ch, c3, cgh = _counts(docs, back, ranges, True, 2 if weights is None else 3)
+        _, c1, c2, ch, c3, cgh = _counts(docs, back, bits, True, 2 if weights is None else 3, order)
         if weights is None:
             code = (_bucket(ch) * LEVELS + _level(c2 / np.maximum(ch, 1))) * LEVELS + _level(c1 / max(tokens, 1))
         else:
@@ -278,9 +311,9 @@ def learn_weights(code: np.ndarray, n: np.ndarray, types: int, rounds: int = 50)
     return out
 
 
-def _score(ranges: int, tokens: int, types: int, weights: np.ndarray, share: np.ndarray | None):
+def _score(bits: int, tokens: int, types: int, weights: np.ndarray, share: np.ndarray | None):
     def run(docs: pa.Table, back: pa.Table) -> pa.Table:
-        g, c1, c2, ch, c3, cgh = _counts(docs, back, ranges, False, 2 if share is None else 3)
+        g, c1, c2, ch, c3, cgh = _counts(docs, back, bits, False, 2 if share is None else 3, 2 if share is None else 3)
         p = _pairs(c1, c2, ch, tokens, types, weights)
         if share is not None:
             m = share[_bucket(cgh)]
@@ -312,17 +345,23 @@ def deleted_interpolation(docs: DataFrame, fold: int = 7, held_out: int = 2, del
     doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram) and score,
     both log10. A null text is empty: one token, the end. A null doc_id is learned from. An
     empty table gives an empty result. Repeated rows count each time. Other columns are ignored.
+    docs is read several times and has to give the same rows in the same partitions: of files it does.
+    Should it not, the run ends in an error, never in other scores.
     """
     if order not in (2, 3):
         raise ValueError(f"order {order}: 2 or 3 is taken")
     spark = docs.sparkSession
     rest = F.crc32(F.col("doc_id").cast("string")) % fold
     role = F.when(rest == held_out, HELD_OUT).when(rest == deleted, DELETED).otherwise(TRAIN).cast("int")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), role.alias("role"))
+    docs = batched(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), role.alias("role")))
+    split = "spark.sql.files.minPartitionNum"
+    if not (spark.conf.get(split, None) or "").isdigit():
+        # Else the number of cores decides how files are split, which changes with the executors.
+        spark.conf.set(split, str(spark.sparkContext.defaultParallelism))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     most = int(min(SLICE_MOST, max(SLICE_LEAST, SLICE_ROOT * math.sqrt(size))))
-    ranges = max(64, size * (order - 1) // 6 // RANGE_KEYS)
-    back = saved(docs.mapInArrow(_send(most, ranges, order), "range int, chunk long, role int, one binary, one_count binary, two binary, two_count binary, three binary, three_count binary").groupBy("range").applyInArrow(_answer, "range int, chunk long, one binary, two binary, three binary, one_deleted binary, two_deleted binary, three_deleted binary, tokens long, deleted long, types long"), "counts")
+    bits = (max(64, size * (order - 1) // 6 // RANGE_KEYS) - 1).bit_length()
+    back = saved(docs.mapInArrow(_send(most, bits, order), "range int, chunk long, role int, one binary, one_count binary, two binary, two_count binary, three binary, three_count binary, check long").groupBy("range").applyInArrow(_answer, "range int, chunk long, one binary, two binary, three binary, one_deleted binary, two_deleted binary, three_deleted binary, tokens long, deleted long, types long, check long"), "counts")
     tokens, apart, types = (int(x or 0) for x in back.agg(F.sum("tokens"), F.sum("deleted"), F.sum("types")).first())
     answers = back.filter("chunk IS NOT NULL")
     tagged = "chunk long, role int, doc_id long, text string"
@@ -330,16 +369,16 @@ def deleted_interpolation(docs: DataFrame, fold: int = 7, held_out: int = 2, del
     def beside(only: int | None, columns: list[str], f, schema: str) -> DataFrame:
         rows = docs.mapInArrow(_tag(most, only), tagged)
         few = answers if only is None else answers.filter("one_deleted IS NOT NULL")
-        return rows.groupBy("chunk").cogroup(few.select("chunk", "range", *columns).groupBy("chunk")).applyInArrow(f, schema)
+        return rows.groupBy("chunk").cogroup(few.select("chunk", "range", "check", *columns).groupBy("chunk")).applyInArrow(f, schema)
 
     names = ["one", "two", "three"]
 
     def cells(weights: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         have = names[: 2 if weights is None else 3]
-        got = beside(DELETED, [*have, *(f"{x}_deleted" for x in have)], _grid(ranges, tokens - apart, types, weights), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+        got = beside(DELETED, [*have, *(f"{x}_deleted" for x in have)], _grid(bits, order, tokens - apart, types, weights), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
         return got["code"].to_numpy(np.int64), got["n"].to_numpy(np.float64)
 
     weights = learn_weights(*cells(None), types)
     share = learn_share(*cells(weights)) if order == 3 else None
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return beside(None, names[:order], _score(ranges, tokens, types, weights, share), schema)
+    return beside(None, names[:order], _score(bits, tokens, types, weights, share), schema)
