@@ -7,15 +7,16 @@ marks those words as hit, and the state names the items. Only stretches of a doc
 whose neighbouring word pairs all occur in some item are streamed, since no match of the
 lengths asked for can lie elsewhere.
 
-The benchmark is read in blocks of `BLOCK_WORDS` words, each with its own automaton. A task holds
-the automata of `GROUP_BLOCKS` blocks at most: a larger benchmark makes several groups, each with
-its own broadcast and its own pass over the documents. What the passes find is joined by the
+Items are dealt to blocks of about `BLOCK_WORDS` words, each with its own automaton that a task builds.
+A task that searches holds the automata of `GROUP_BLOCKS` blocks at most: a larger benchmark makes several
+groups, one after the other, each with its own broadcast and its own pass over the documents. What the passes find is joined by the
 text's hash, of 128 bits, before spans are merged and item ids are counted.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import pickle
 import re
 from collections import defaultdict
@@ -26,13 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
+from ._shared import batched, saved
 
 #: Words of benchmark items in one automaton.
 BLOCK_WORDS = 400_000
 #: Blocks whose automata a task holds at once: about 250 MB each.
 GROUP_BLOCKS = 2
-#: Words of benchmark items beyond which a run is refused, where a caller sets it; otherwise any number is taken.
-MOST_WORDS: int | None = None
+#: Characters of a word and what parts it from the next, on average at least.
+WORD_CHARS = 4
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -163,29 +165,31 @@ def _hashes(text: str) -> list[int]:
     return [int(x) for x in T.word_hashes(data, np.array([0, len(data)]), "alnum")[0]]
 
 
+def _built(window: int):
+    def run(table: pa.Table) -> pa.Table:
+        items = sorted(zip(table.column("item_id").to_pylist(), table.column("text").to_pylist(), strict=True))
+        items = [(name, ws) for name, text in items if (ws := _hashes(text))]
+        data = pickle.dumps(Automaton(items, window))
+        return pa.table({"block": table.column("block")[:1], "automaton": pa.array([data], pa.binary())})
+
+    return run
+
+
 def _groups(benchmark: DataFrame, window: int):
-    """Lists of pickled automata, `GROUP_BLOCKS` at most in each, in the order of the items' ids."""
+    """Broadcasts of pickled automata, `GROUP_BLOCKS` at most in each.
+
+    Items are dealt to blocks by a hash, a task builds each block's automaton and writes it to the shared
+    folder; the driver holds one group at a time.
+    """
+    spark = benchmark.sparkSession
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    if MOST_WORDS is not None:
-        size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-        if size > 2 * MOST_WORDS:  # an upper bound of the words
-            raise ValueError(f"the benchmark has {size} characters; MOST_WORDS is set to {MOST_WORDS}, which takes {2 * MOST_WORDS}.")
-    group, block, held = [], [], 0
-    for name, text in rows.orderBy("item_id", "text").toLocalIterator():
-        ws = _hashes(text)
-        if ws:
-            block.append((name, ws))
-            held += len(ws)
-        if held >= BLOCK_WORDS:
-            group.append(pickle.dumps(Automaton(block, window)))
-            block, held = [], 0
-            if len(group) == GROUP_BLOCKS:
-                yield group
-                group = []
-    if block:
-        group.append(pickle.dumps(Automaton(block, window)))
-    if group:
-        yield group
+    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // (BLOCK_WORDS * WORD_CHARS)))
+    dealt = rows.withColumn("block", F.expr(f"cast(pmod(xxhash64(item_id, text), {blocks}) AS int)"))
+    built = saved(dealt.groupBy("block").applyInArrow(_built(window), "block int, automaton binary"), "automata")
+    for first in range(0, blocks, GROUP_BLOCKS):
+        part = built.filter((F.col("block") >= first) & (F.col("block") < first + GROUP_BLOCKS))
+        yield spark.sparkContext.broadcast([bytes(r.automaton) for r in part.orderBy("block").collect()])
 
 
 _SCHEMA = pa.schema(
@@ -233,16 +237,26 @@ def _keys() -> list:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2")]
 
 
-def _merged(docs: DataFrame, broadcasts: list) -> DataFrame:
+def _merged(docs: DataFrame, groups: list) -> DataFrame:
     """k1, k2, edges and names of each text that any of the groups hits. Copies of a text are one row."""
     keyed = docs.select(F.col("text").cast("string").alias("text"), *_keys())
     found = None
-    for automata in broadcasts:
-        part = keyed.mapInArrow(_find(automata), _FOUND_DDL).groupBy("k1", "k2").agg(F.first("edges").alias("edges"), F.first("names").alias("names"))
+    for automata in groups:
+        # Written, so that no more than one group is held anywhere.
+        part = saved(keyed.mapInArrow(_find(automata), _FOUND_DDL).groupBy("k1", "k2").agg(F.first("edges").alias("edges"), F.first("names").alias("names")), "found")
+        automata.unpersist()
         found = part if found is None else found.unionByName(part)
     return found.groupBy("k1", "k2").agg(F.flatten(F.collect_list("edges")).alias("edges"), F.flatten(F.collect_list("names")).alias("names"))
 
 
+def _one_or_more(benchmark: DataFrame, window: int):
+    """The first group, and an iterator over all groups if there are others."""
+    groups = _groups(benchmark, window)
+    first = next(groups)
+    second = next(groups, None)
+    return first, itertools.chain([first, second], groups) if second is not None else None
+
+
 def _from_found(batch, a: int, b: int, first: np.ndarray):
     """The slice's edges and names from the joined columns."""
     edges, names = {}, {}
@@ -343,11 +357,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     without its spans. Null and empty texts have no words; a null item_id is named ''. Items
     without words have no window; items of one id count once. An empty benchmark hits nothing.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    broadcasts = [docs.sparkSession.sparkContext.broadcast(g) for g in _groups(benchmark, window)] or [docs.sparkSession.sparkContext.broadcast([])]
-    if len(broadcasts) == 1:
-        return docs.mapInArrow(_search(broadcasts[0], share, cleaned), RESULT)
-    rows = docs.select("doc_id", "text", *_keys()).join(_merged(docs, broadcasts), ["k1", "k2"], "left").select("doc_id", "text", "edges", "names")
+    docs = batched(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    only, groups = _one_or_more(benchmark, window)
+    if groups is None:
+        return docs.mapInArrow(_search(only, share, cleaned), RESULT)
+    rows = docs.select("doc_id", "text", *_keys()).join(_merged(docs, groups), ["k1", "k2"], "left").select("doc_id", "text", "edges", "names")
     return rows.mapInArrow(_search_found(share, cleaned), RESULT)
 
 
@@ -383,9 +397,9 @@ def _drop_found(share: int, at_text: int, names: list[str]):
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
     """The rows of docs that `decontaminate` doesn't call contaminated, with all their columns."""
-    broadcasts = [docs.sparkSession.sparkContext.broadcast(g) for g in _groups(benchmark, window)] or [docs.sparkSession.sparkContext.broadcast([])]
-    if len(broadcasts) == 1:
-        return docs.mapInArrow(_drop(broadcasts[0], share, "text"), docs.schema)
+    only, groups = _one_or_more(benchmark, window)
+    if groups is None:
+        return batched(docs).mapInArrow(_drop(only, share, "text"), docs.schema)
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")
-    rows = docs.select(own, *_keys()).join(_merged(docs, broadcasts), ["k1", "k2"], "left").select("own", "edges", "names")
+    rows = docs.select(own, *_keys()).join(_merged(docs, groups), ["k1", "k2"], "left").select("own", "edges", "names")
     return rows.mapInArrow(_drop_found(share, docs.columns.index("text"), docs.columns), docs.schema)
