@@ -14,8 +14,9 @@ The format, in one folder:
 
 Shards follow the ascending doc_id; bases are prefix sums of the shards' n_ids. A task that
 is run twice writes under another name, and only the run whose rows reach the manifest counts,
-so a lost executor leaves unused files at worst. Files go through pyarrow's file systems, local
-ones are memory-mapped when read.
+so a lost executor leaves unused files at worst. Files go through pyarrow's file systems: local
+ones are memory-mapped when read, of others only the parts that are asked for are read. A shard holds
+`SHARD_BYTES` of text on average, or less where the session has more shuffle partitions.
 """
 
 from __future__ import annotations
@@ -32,10 +33,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._shared import saved, work_dir
+from ._shared import batched, saved, work_dir
 
 END = 1
 _NULL = np.iinfo(np.int64).min
+#: Bytes of text in a shard, on average at most, and ids that are read at once (a document's are, though, whatever they are).
+SHARD_BYTES, READ_IDS = 256 << 20, 1 << 20
 #: Words whose ids a worker keeps between slices: about 40 MB.
 CACHE = 1_000_000
 #: Letters with signs behind: two pieces to the tokenizer, or one. Such words are encoded many at a time.
@@ -157,7 +160,7 @@ def _write(folder: str, tokenizer: str, end: int):
         for batch in batches:
             text, at = T.raw(batch.column("text"))
             ids = batch.column("doc_id").cast(pa.int64()).fill_null(_NULL).to_numpy()
-            for a, b in T.slices(at, 4 << 20):
+            for a, b in T.slices(at, 2 << 20):
                 if files is None:
                     fs, path = pafs.FileSystem.from_uri(folder)
                     fs.create_dir(path, recursive=True)
@@ -191,28 +194,56 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = END) -
     Null texts are empty: their ids are the end alone. Nulls in doc_id come first; rows of one
     doc_id are in the order of their texts' hashes. An empty table has an empty manifest.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = batched(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
     rows = rows.withColumn("tie", F.xxhash64("text"))
-    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES), 1)
     ordered = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     shards = saved(ordered.mapInArrow(_write(folder, tokenizer, end), "shard int, writer string, n_docs long, n_ids long, width int"), "shards")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return saved(shards.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long"))), "manifest")
 
 
-def _map(folder: str, name: str, dtype: str) -> np.ndarray:
-    fs, path = pafs.FileSystem.from_uri(folder)
-    if not isinstance(fs, pafs.LocalFileSystem):
-        with fs.open_input_file(f"{path}/{name}") as f:
-            return np.frombuffer(f.read(), dtype)
-    size = fs.get_file_info(f"{path}/{name}").size
-    return np.memmap(f"{path}/{name}", dtype=dtype, mode="r") if size else np.zeros(0, dtype)
+class _Flat:
+    """A flat file of unsigned or signed integers: any part of it as an array. Local files are memory-mapped, of others only the part is read."""
 
+    def __init__(self, folder: str, name: str, dtype: str):
+        fs, path = pafs.FileSystem.from_uri(folder)
+        self.dtype = np.dtype(dtype)
+        self.local = isinstance(fs, pafs.LocalFileSystem)
+        if self.local:
+            size = fs.get_file_info(f"{path}/{name}").size
+            self.data = np.memmap(f"{path}/{name}", dtype=dtype, mode="r") if size else np.zeros(0, dtype)
+        else:
+            self.data = fs.open_input_file(f"{path}/{name}")
 
-def read_shard(folder: str, shard: int, writer: str, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Memory-mapped: doc_ids, the starts (one more than documents), the ids."""
+    def __getitem__(self, part: slice) -> np.ndarray:
+        if self.local:
+            return np.asarray(self.data[part])
+        size = self.dtype.itemsize
+        return np.frombuffer(self.data.read_at((part.stop - part.start) * size, part.start * size), self.dtype)
+
+    def close(self) -> None:
+        if not self.local:
+            self.data.close()
+
+
+def read_shard(folder: str, shard: int, writer: str, width: int) -> tuple[_Flat, _Flat, _Flat]:
+    """The doc_ids, the starts (one more than documents) and the ids of a shard."""
     name = f"{shard:06d}-{writer}.bin"
-    return _map(folder, f"docs-{name}", "<i8"), _map(folder, f"starts-{name}", "<u8"), _map(folder, f"ids-{name}", f"<u{width}")
+    return _Flat(folder, f"docs-{name}", "<i8"), _Flat(folder, f"starts-{name}", "<u8"), _Flat(folder, f"ids-{name}", f"<u{width}")
+
+
+def documents_of(files: tuple[_Flat, _Flat, _Flat], n_docs: int):
+    """(doc_ids, starts, ids) of some documents at a time; the starts have one more, and are counted in the shard."""
+    docs, starts, ids = files
+    for a in range(0, n_docs, 8192):
+        own, begin = docs[a : min(a + 8192, n_docs)], starts[a : min(a + 8192, n_docs) + 1].astype(np.int64)
+        k = 0
+        while k < len(own):
+            end = max(k + 1, int(np.searchsorted(begin, begin[k] + READ_IDS, "right")) - 1)
+            yield own[k:end], begin[k : end + 1], ids[int(begin[k]) : int(begin[end])]
+            k = end
 
 
 def _read(folder: str):
@@ -221,11 +252,13 @@ def _read(folder: str):
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                docs, starts, ids = read_shard(folder, row["shard"], row["writer"], row["width"])
-                for a in range(0, len(docs), 8192):
-                    own, begin = np.asarray(docs[a : a + 8192]), np.asarray(starts[a : a + 8193]).astype(np.int64)
-                    crc = [zlib.crc32(ids[x:y].astype("<u4").tobytes()) for x, y in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+                files = read_shard(folder, row["shard"], row["writer"], row["width"])
+                for own, begin, ids in documents_of(files, row["n_docs"]):
+                    at = (begin - begin[0]).tolist()
+                    crc = [zlib.crc32(ids[x:y].astype("<u4").tobytes()) for x, y in zip(at[:-1], at[1:], strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(own, mask=own == _NULL), pa.array(begin[:-1] + row["base"]), pa.array(np.diff(begin)), pa.array(crc, pa.int64())], schema=schema)
+                for f in files:
+                    f.close()
 
     return run
 
@@ -233,7 +266,7 @@ def _read(folder: str):
 def read_tokens(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens and ids_crc32 of each document, from the files."""
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    return manifest.select("shard", "writer", "width", "base").repartition(n, "shard").mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("shard", "writer", "width", "base", "n_docs").repartition(n, "shard").mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def default_tokenizer() -> str:
