@@ -34,48 +34,51 @@ POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 FRACTION, SEED = 0.5, "mix"
 #: Cells that the driver rakes and broadcasts; more of them are raked by Spark, to the same weights, and joined.
 MOST_CELLS = 200_000
-#: Words that a task counts before it sends them on.
-HELD_WORDS = 300_000
+#: Distinct words that a task holds before it sends them on.
+HELD_WORDS = 1_000_000
 _BLANK = " \t\n\x0b\f\r"
 
 
 class Topics:
     """Words grouped around the commonest ones.
 
-    words: the vocabulary's hashes, the commonest first: the first `TOPICS` of them are the topics.
+    words: hashes of the vocabulary. The first `seeds` of them may be topics; names are those of the topics that are.
     topic_of: the topic of each word, or -1.
     """
 
-    def __init__(self, words: np.ndarray, names: list[str], topic_of: np.ndarray | None = None):
-        self.names, self.topic_of = names, topic_of
+    def __init__(self, words: np.ndarray, seeds: int):
         self.order = np.argsort(words)
-        self.words = words[self.order]
+        self.words, self.seeds = words[self.order], seeds
+        self.names: list[str] = []
+        self.topic_of = np.full(len(words), -1)
 
-    def found(self, text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, word) of every vocabulary word in the rows' texts."""
-        h, _, _, row = long_words(text, at)
+    def found(self, text: np.ndarray, at: np.ndarray):
+        """(row, word, begin, end) of every vocabulary word in the rows' texts."""
+        h, starts, ends, row = long_words(text, at)
         if not len(h) or not len(self.words):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return (np.zeros(0, np.int64),) * 4
         slot = np.searchsorted(self.words, h)
         slot[slot == len(self.words)] = 0
         hit = self.words[slot] == h
-        return row[hit], self.order[slot[hit]]
-
-    def together(self, text: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """For each word and topic: the rows that have the word and the topic's own."""
-        row, word = self.found(text, at)
-        size, k = len(self.words), len(self.names)
-        row, word = np.divmod(np.unique(row * max(size, 1) + word), max(size, 1))
-        own = np.zeros((len(at) - 1, k), bool)
-        own[row[word < k], word[word < k]] = True
-        out = np.zeros((size, k), np.int64)
-        for t in range(k):
-            out[:, t] = np.bincount(word[own[row, t]], minlength=size)
-        return out
+        return row[hit], self.order[slot[hit]], starts[hit], ends[hit]
+
+    def together(self, text: np.ndarray, at: np.ndarray, names: dict[int, str]) -> tuple[np.ndarray, np.ndarray]:
+        """(word * seeds + seed, rows that have both); names gets the words of seeds that it lacks."""
+        row, word, starts, ends = self.found(text, at)
+        for k in np.flatnonzero(word < self.seeds).tolist():
+            if (w := int(word[k])) not in names:
+                names[w] = text[starts[k] : ends[k]].tobytes().lower().decode("utf-8", "replace")
+        size = max(len(self.words), 1)
+        row, word = np.divmod(np.unique(row * size + word), size)
+        seed = word < self.seeds
+        # The seeds of each row stand beside each of its words.
+        begin, many = np.searchsorted(row[seed], row, "left"), np.bincount(row[seed], minlength=len(at))[row]
+        at_seed = np.repeat(begin, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        return np.unique(np.repeat(word, many) * self.seeds + word[seed][at_seed], return_counts=True) if many.sum() else (np.zeros(0, np.int64),) * 2
 
     def of_rows(self, text: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The topic whose words each row has most of, of equals the commoner; -1 without any."""
-        row, word = self.found(text, at)
+        row, word, _, _ = self.found(text, at)
         topic = self.topic_of[word]
         row, topic = row[topic >= 0], topic[topic >= 0]
         k = max(len(self.names), 1)
@@ -101,39 +104,41 @@ def _texts(batches):
             yield batch, a, b, text[at[a] : at[b]], at[a : b + 1] - at[a]
 
 
+def _merged_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    keys, at = np.unique(keys, return_inverse=True)
+    return keys, np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64)  # exact below 2**53
+
+
 def _document_counts(batches):
-    held: dict[int, list] = {}
+    held: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def sent():
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x[0] for x in held.values()], pa.string()), pa.array([x[1] for x in held.values()], pa.int64())], ["h", "word", "docs"])
+    def sent(keys, n):
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "docs"])
 
     for _, _, _, text, at in _texts(batches):
-        h, starts, ends, row = long_words(text, at)
-        order = np.lexsort((row, h))
-        new = np.ones(len(h), bool)
-        new[1:] = (np.diff(h[order]) != 0) | (np.diff(row[order]) != 0)
-        pick = order[new]
-        _, first, count = np.unique(h[pick], return_index=True, return_counts=True)
-        for k, n in zip(pick[first].tolist(), count.tolist(), strict=True):
-            x = held.get(key := int(h[k].view(np.int64)))
-            if x is None:
-                held[key] = [text[starts[k] : ends[k]].tobytes().lower().decode("utf-8", "replace"), n]
-            else:
-                x[1] += n
-        if len(held) >= HELD_WORDS:
-            yield sent()
-            held.clear()
+        h, _, _, row = long_words(text, at)
+        h, _ = T.distinct_by_row(h, np.searchsorted(row, np.arange(len(at))))
+        held.append(np.unique(h, return_counts=True))
+        if sum(len(k) for k, _ in held) >= HELD_WORDS:
+            held = [_merged_counts(held)]
+            if len(held[0][0]) >= HELD_WORDS // 2:
+                yield sent(*held.pop())
     if held:
-        yield sent()
+        yield sent(*_merged_counts(held))
 
 
 def _beside(model: Topics):
     def run(batches):
-        total = np.zeros((len(model.words), len(model.names)), np.int64)
+        names: dict[int, str] = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for _, _, _, text, at in _texts(batches):
-            total += model.together(text, at)
-        word, topic = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(topic.astype(np.int64)), pa.array(total[word, topic])], ["word", "topic", "n"])
+            held.append(model.together(text, at, names))
+            if sum(len(k) for k, _ in held) >= HELD_WORDS:
+                held = [_merged_counts(held)]
+        code, n = _merged_counts(held) if held else (np.zeros(0, np.int64),) * 2
+        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n), pa.nulls(len(code), pa.string())], ["code", "n", "name"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(names), pa.int64()), pa.nulls(len(names), pa.int64()), pa.array(list(names.values()), pa.string())], ["code", "n", "name"])
 
     return run
 
@@ -141,19 +146,32 @@ def _beside(model: Topics):
 def fit_topics(docs: DataFrame) -> Topics:
     """Topics from all texts of docs.
 
-    The vocabulary has the words that most documents hold, but for those that more than one in `RARE`
-    holds. Each of them goes to the topic whose own word's documents hold it most often, in proportion; of
-    equals, to the commoner topic. `VOCABULARY` rows, and `TOPICS` times as many, reach the driver.
+    The vocabulary has the words that most documents hold, but for those that more than one in `RARE` holds:
+    `VOCABULARY` of them, or fewer, for words that equally many documents hold come in or stay out together.
+    The commonest `TOPICS` of them, by their documents and then in the order of words, are the topics. Each
+    word goes to the topic whose own word's documents hold it most often, in proportion; of equals, to the
+    commoner topic. What reaches the driver is bounded by `VOCABULARY` and by it times `TOPICS`, but for ties.
     """
     text = docs.select(F.col("text").cast("string").alias("text"))
-    counts = text.mapInArrow(_document_counts, "h long, word string, docs long").groupBy("h").agg(F.min("word").alias("word"), F.sum("docs").alias("docs"))
-    rows = counts.filter((F.col("docs") >= LEAST_DOCS) & (RARE * F.col("docs") <= text.count())).orderBy(F.desc("docs"), "word").limit(VOCABULARY).collect()
-    hashes = np.array([r.h for r in rows], np.int64).view(np.uint64)
-    model = Topics(hashes, [r.word for r in rows[:TOPICS]])
-    share = np.zeros((len(rows), len(model.names)))
-    for word, topic, n in text.mapInArrow(_beside(model), "word long, topic long, n long").groupBy("word", "topic").agg(F.sum("n").alias("n")).collect():
-        share[word, topic] = n / rows[topic].docs
-    model.topic_of = np.where(share.any(axis=1), share.argmax(axis=1), -1) if len(rows) else np.zeros(0, np.int64)
+    counts = text.mapInArrow(_document_counts, "h long, docs long").groupBy("h").agg(F.sum("docs").alias("docs"))
+    rows = counts.filter((F.col("docs") >= LEAST_DOCS) & (RARE * F.col("docs") <= text.count())).orderBy(F.desc("docs")).limit(VOCABULARY + 1).collect()
+    if len(rows) > VOCABULARY:
+        rows = [r for r in rows if r.docs > rows[-1].docs]
+    docs_of = np.array([r.docs for r in rows], np.int64)
+    model = Topics(np.array([r.h for r in rows], np.int64).view(np.uint64), int((docs_of >= docs_of[min(TOPICS, len(rows)) - 1]).sum()) if rows else 0)
+    if not rows:
+        return model
+    share = np.zeros((len(rows), model.seeds))
+    names = {}
+    together = text.mapInArrow(_beside(model), "code long, n long, name string")
+    for code, n, name in together.groupBy("code", "name").agg(F.sum("n").alias("n")).select("code", "n", "name").collect():
+        if name is None:
+            share[divmod(code, model.seeds)] = n / docs_of[code % model.seeds]
+        else:
+            names[code] = name
+    topics = sorted(range(model.seeds), key=lambda k: (-docs_of[k], names[k].encode()))[:TOPICS]
+    model.names, share = [names[k] for k in topics], share[:, topics]
+    model.topic_of = np.where(share.any(axis=1), share.argmax(axis=1), -1)
     return model
 
 

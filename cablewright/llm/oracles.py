@@ -58,7 +58,7 @@ def _mix() -> str:
   CAST(len(regexp_extract_all(coalesce(text, ''), {_SPACE})) AS BIGINT) AS n_tokens, {_words(_ALNUM)} AS x FROM documents),
 e AS MATERIALIZED (SELECT r, y, count(*) AS k FROM (SELECT r, unnest(x) AS y FROM a) q WHERE strlen(y) >= {mixing.LONG} GROUP BY r, y),
 v AS MATERIALIZED (SELECT y, docs, row_number() OVER (ORDER BY docs DESC, y) AS k FROM (SELECT y, count(*) AS docs FROM e GROUP BY y) q
-  WHERE docs >= {mixing.LEAST_DOCS} AND {mixing.RARE} * docs <= (SELECT count(*) FROM documents) QUALIFY k <= {mixing.VOCABULARY}),
+  WHERE docs >= {mixing.LEAST_DOCS} AND {mixing.RARE} * docs <= (SELECT count(*) FROM documents) QUALIFY count(*) OVER (ORDER BY docs DESC) <= {mixing.VOCABULARY}),
 i AS MATERIALIZED (SELECT r, e.k, v.k AS word, docs FROM e JOIN v ON e.y = v.y),
 b AS MATERIALIZED (SELECT word, topic FROM (SELECT i.word, s.word AS topic, row_number() OVER (PARTITION BY i.word ORDER BY count(*) / CAST(s.docs AS DOUBLE) DESC, s.word) AS z
   FROM i JOIN i s ON i.r = s.r AND s.word <= {mixing.TOPICS} GROUP BY i.word, s.word, s.docs) q WHERE z = 1),

@@ -62,6 +62,88 @@ def lm_base(rows, fold=7, held_out=2):
     return [(d, h, len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws)) for (d, _), h, ws in zip(rows, held, toks, strict=True)]
 
 
+def lm_scores(rows, L, order=3, fold=7, held_out=2, deleted=3):
+    """[(doc_id, held_out, n_tokens, score)]; L: the module, for its constants."""
+    toks = [[None, None, *SPACE.findall((t or "").translate(UP)), None] for _, t in rows]
+    role = [crc(d) % fold if d is not None else -1 for d, _ in rows]
+
+    def counted(keep):
+        one, two, three = Counter(), Counter(), Counter()
+        for w, r in zip(toks, role, strict=True):
+            if keep(r):
+                for k in range(2, len(w)):
+                    one[w[k]] += 1
+                    two[w[k - 1], w[k], k == 2] += 1
+                    three[w[k - 2], w[k - 1], w[k], min(k - 2, 2)] += 1
+        # A pair that begins a text is the pair of an end and a word, as within no text.
+        return one, two, three
+
+    def token(counts, w, k):
+        one, two, three = counts
+        c2 = two[w[k - 1], w[k], k == 2]
+        context = one[None] if k == 2 else two[w[k - 2], w[k - 1], k == 3]
+        return one[w[k]], c2, one[w[k - 1]], three[w[k - 2], w[k - 1], w[k], min(k - 2, 2)], context
+
+    bucket = lambda c: min(L.BUCKETS - 1, int(math.log2(c + 1)))
+    level = lambda p: 0 if p <= 0 else int(min(max(round(-8 * math.log2(p)), 0), L.LEVELS - 2)) + 1
+    value = lambda v: 0.0 if v == 0 else 2.0 ** (-(v - 1) / 8)
+    every, rest = counted(lambda r: r != held_out), counted(lambda r: r not in (held_out, deleted))
+    n_all, n_rest, types = sum(every[0].values()), sum(rest[0].values()), len(every[0])
+    apart = [(w, k) for w, r in zip(toks, role, strict=True) if r == deleted for k in range(2, len(w))]
+
+    cells = Counter()
+    for w, k in apart:
+        c1, c2, ch, _, _ = token(rest, w, k)
+        cells[bucket(ch), level(c2 / max(ch, 1)), level(c1 / max(n_rest, 1))] += 1
+    weights = {}
+    for b in range(L.BUCKETS):
+        own = [(value(p2), value(p1), n) for (x, p2, p1), n in cells.items() if x == b]
+        if not own:
+            continue
+        x = [1 / 3] * 3
+        for _ in range(50):
+            got = [0.0] * 3
+            for p2, p1, n in own:
+                part = [x[0] / (types + 1), x[1] * p1, x[2] * p2]
+                for i in range(3):
+                    got[i] += n * part[i] / sum(part)
+            x = [(g + 0.5) / (sum(got) + 1.5) for g in got]
+        weights[b] = x
+    mean = [sum(x[i] for x in weights.values()) / len(weights) for i in range(3)] if weights else [1 / 3] * 3
+
+    def pairs(counts, n, w, k):
+        c1, c2, ch, _, _ = token(counts, w, k)
+        x = weights.get(bucket(ch), mean)
+        return x[0] / (types + 1) + x[1] * c1 / max(n, 1) + x[2] * c2 / max(ch, 1)
+
+    cells = Counter()
+    for w, k in apart:
+        _, _, _, c3, context = token(rest, w, k)
+        cells[bucket(context), level(c3 / max(context, 1)), level(pairs(rest, n_rest, w, k))] += 1
+    share = {}
+    for b in range(1, L.BUCKETS):
+        own = [(value(p3), value(p2), n) for (x, p3, p2), n in cells.items() if x == b]
+        if own:
+            m = 0.5
+            for _ in range(50):
+                got = sum(n * m * p3 / (m * p3 + (1 - m) * max(p2, 1e-300)) for p3, p2, n in own)
+                m = (got + 0.5) / (sum(n for *_, n in own) + 1)
+            share[b] = m
+    other = sum(share.values()) / len(share) if share else 0.5
+    out = []
+    for (d, _), w, r in zip(rows, toks, role, strict=True):
+        score = 0.0
+        for k in range(2, len(w)):
+            p = pairs(every, n_all, w, k)
+            if order == 3:
+                _, _, _, c3, context = token(every, w, k)
+                m = share.get(bucket(context), other) if bucket(context) else 0.0
+                p = m * c3 / max(context, 1) + (1 - m) * p
+            score += math.log10(p)
+        out.append((d, r == held_out, len(w) - 2, score))
+    return out
+
+
 def quality(text):
     t = text or ""
     w = SPACE.findall(t)
@@ -254,7 +336,8 @@ def topics(texts, M):
     """(topic, words) of each text."""
     words = [Counter(w for w in ALNUM.findall((t or "").translate(UP)) if len(w.encode()) >= M.LONG) for t in texts]
     docs = Counter(w for c in words for w in c)
-    vocabulary = sorted((w for w, n in docs.items() if n >= M.LEAST_DOCS and n * M.RARE <= len(texts)), key=lambda w: (-docs[w], w.encode()))[: M.VOCABULARY]
+    vocabulary = sorted((w for w, n in docs.items() if n >= M.LEAST_DOCS and n * M.RARE <= len(texts)), key=lambda w: (-docs[w], w.encode()))
+    vocabulary = [w for w in vocabulary if sum(docs[x] >= docs[w] for x in vocabulary) <= M.VOCABULARY]
     seeds = vocabulary[: M.TOPICS]
     topic = {}
     for w in vocabulary:

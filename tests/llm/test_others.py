@@ -145,6 +145,32 @@ def test_pipeline(spark, tmp_path):
     assert after.count() == docs.count() == P.run(spark, sf).count()
 
 
+def test_stages_take_any_table(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and ids, clashing columns, and no rows, through every stage."""
+    import corpus_pipeline as P
+
+    sf = "/root/testdata/sf0.001"
+    plain = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source").limit(40)
+    odd = [(None, None, None, None), (None, "no id here", "en", "a"), (7, "", "", ""), (7, "  \n", None, "b"), (10**9, " ".join(f"w{k}" for k in range(200_000)), "en", "a")]
+    added = ["kept", "own", "n_words", "w", "topic", "weight", "sid", "base", "n_tokens", "llr", "value"]
+    d = plain.unionByName(plain.limit(3)).unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string, source string"))
+    d = d.select("*", *[F.lit(c).alias(c) for c in added]).repartition(3)
+    d.write.parquet(f"{tmp_path}/d")
+    for table in (spark.read.parquet(f"{tmp_path}/d"), spark.read.parquet(f"{tmp_path}/d").limit(0)):
+        n = table.count()
+        for name, stage in P.STAGES[:-1]:
+            out = stage(spark, table, sf)
+            rows = out.collect()
+            assert out.columns == table.columns and len(rows) <= n, name
+            assert all(r.value == "value" for r in rows), name
+            if name == "ngram_jaccard_join" and n:
+                assert sum(r.doc_id is None for r in rows) == 2 and any(r.doc_id == 10**9 for r in rows)
+            if name == "decontamination" and n:
+                assert any(r.doc_id == 10**9 for r in rows) and sum(r.doc_id is None for r in rows) == 2
+        out = P.STAGES[-1][1](spark, table, sf)
+        assert out.count() == n
+
+
 def test_pipeline_keeps_distinct_texts_under_one_id(spark):
     import corpus_pipeline as P
 
