@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Digits of node tags: letters that are easily told apart.
-DIGITS = "abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0"[:50]
-#: Roots are named by Greek letters from alpha on.
-ALPHA = 0x3B1
+#: The fifty digits of node tags, letters without 'l' and 'I'; and the roots' letters, which begin anew after the last.
+DIGITS = "abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNOPQRSTUVWXYZ"
+ROOTS = "αβγδεζηθικλμνξοπρςστυφχψω"
+#: Digits of the largest 64-bit number.
+PLACES = 12
+#: What a solver's summary gives extrema of.
+EXTREMA = ("Cost", "Penalty", "Trials", "Time")
 
 
 def handle(name: Column) -> Column:
@@ -16,16 +19,34 @@ def handle(name: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_replace(name, r"^![^!]*!", "")), " ", "_")
 
 
-def node_tag(n: Column, places: int = 4) -> Column:
+def node_tag(n: Column) -> Column:
     """A terminal's number in base 50, a root's Greek letter."""
-    out, rest, more = F.lit(""), n, F.lit(True)
-    for _ in range(places):
-        digit = F.substr(F.lit(DIGITS), F.pmod(rest, F.lit(50)).cast("int") + 1, F.lit(1))
-        out = F.when(more, F.concat(digit, out)).otherwise(out)
-        rest = F.floor(rest / 50)
-        more = more & (rest > 0)
-    greek = F.substr(F.lit("".join(chr(ALPHA + k) for k in range(17))), (-n).cast("int"), F.lit(1))
-    return F.when(n < 0, greek).otherwise(out)
+    # Whole-number division, as doubles would lose the last digits of large numbers.
+    digits, rest = [], n
+    for _ in range(PLACES):
+        digits.append(F.when(rest > 0, F.substr(F.lit(DIGITS), (rest % 50).cast("int") + 1, F.lit(1))).otherwise(""))
+        rest = F.call_function("div", rest, F.lit(50))
+    tag = F.when(n == 0, DIGITS[0]).otherwise(F.concat(*reversed(digits)))
+    return F.when(n < 0, F.substr(F.lit(ROOTS), ((-n - 1) % len(ROOTS)).cast("int") + 1, F.lit(1))).otherwise(tag)
+
+
+def node_of(tag: Column) -> Column:
+    """The number that `node_tag` names (of roots, the first of that letter)."""
+    digits = F.split(tag, "")
+    value = F.aggregate(F.filter(digits, lambda c: c != ""), F.lit(0).cast("long"), lambda a, c: a * 50 + F.instr(F.lit(DIGITS), c) - 1)
+    root = F.instr(F.lit(ROOTS), tag)
+    return F.when((F.length(tag) == 1) & (root > 0), -root.cast("long")).otherwise(value)
+
+
+def named(**columns: Column) -> Column:
+    """A struct of named columns."""
+    return F.struct(*[c.alias(k) for k, c in columns.items()])
+
+
+def summary_extrema(text: Column) -> list[Column]:
+    """The least and the largest of each of `EXTREMA` in a solver's summary, null where it says nothing."""
+    found = lambda k, e: F.regexp_extract(text, rf"{k}\.{e} = (-?[0-9.]*[0-9])", 1).cast("double").alias(f"{k.lower()}_{e}")
+    return [found(k, e) for k in EXTREMA for e in ("min", "max")]
 
 
 def node_list(ids: Column, sep: str = ", ") -> Column:

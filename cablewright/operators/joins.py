@@ -5,6 +5,7 @@ Where pairs within a site are asked for, the site's cell grid (`grid_pairs`) lim
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -49,6 +50,19 @@ def complete_graph(v: DataFrame, prune: bool = True) -> DataFrame:
     return pairs.select("site_id", "u", "v", G.d2(G.point("u"), G.point("v")).alias("l2"))
 
 
+def arcs(edges: DataFrame, hull: DataFrame, v: DataFrame) -> DataFrame:
+    """The angle that each root sees an edge under: site_id, u, v, root, exempt, arc. Edges of the hull block nothing: they are exempt, with an arc of 0.
+
+    Edges that some root sees under a right angle or more are left out: from their ends it is shorter to go to that root.
+    """
+    e = with_points(edges.select("site_id", "u", "v"), v)
+    e = e.join(hull.select("site_id", "u", "v", F.lit(True).alias("exempt")), ["site_id", "u", "v"], "left").withColumn("exempt", F.coalesce("exempt", F.lit(False)))
+    r = v.filter("n < 0").select("site_id", F.col("n").alias("root"), F.col("x").alias("rx"), F.col("y").alias("ry"))
+    j = e.join(r, "site_id").withColumn("arc", F.when(F.col("exempt"), 0.0).otherwise(F.abs(G.angle(G.point("u"), G.point("r"), G.point("v")))))
+    most = F.max("arc").over(Window.partitionBy("site_id", "u", "v"))
+    return j.withColumn("most", most).filter(F.col("most") < math.pi / 2).select("site_id", "u", "v", "root", "exempt", "arc")
+
+
 def edge_root(v: DataFrame, edges: DataFrame) -> DataFrame:
     """The root nearest to each edge's midpoint (compared at twice the scale, exactly); ties go to the least root id."""
     e = with_points(edges, v)

@@ -1,31 +1,81 @@
 """Sequential algorithms on one site, in NumPy and plain Python. Nothing here imports Spark.
 
-A site is (ids, xy): ids of its points, roots negative, and whole-number coordinates. Edges are pairs
-of indices into ids. Ties are broken by length, then by ids, so results don't depend on input order.
+A site is (ids, xy): ids of its points, roots negative, and coordinates as `points` gives them. Edges are
+pairs of indices into ids. Ties are broken by length, then by ids, so results don't depend on input order.
 """
 
 from __future__ import annotations
 
 import heapq
 import itertools
+from fractions import Fraction
 
 import numpy as np
 
+#: Extent within which all tests on whole numbers stay below 2**63.
+EXTENT = 28_000
+#: Relative errors of the two determinants below in doubles, rounded up (Shewchuk, 1997).
+TURN_ERROR, CIRCLE_ERROR = 4e-16, 1.2e-15
+
+
+def points(xy) -> np.ndarray:
+    """Coordinates as 64-bit whole numbers if they are whole and within `EXTENT`, else as doubles; tests on either are exact."""
+    xy = np.asarray(xy)
+    if not len(xy):
+        return xy.reshape(0, 2).astype(np.int64)
+    span = max(float(xy[:, k].max()) - float(xy[:, k].min()) for k in (0, 1))
+    if span <= EXTENT and (xy == np.rint(xy)).all() and abs(xy).max() < 1 << 52:
+        xy = xy.astype(np.int64)
+        return xy if abs(xy).max() < 1 << 30 else xy - xy.min(axis=0)
+    return xy.astype(np.float64)
+
+
+def _settled(det, error, exact, *at) -> np.ndarray:
+    """det, with what an error as large as given would leave unsure computed exactly."""
+    det = np.asarray(det)
+    unsure = (np.abs(det) <= error) & (np.asarray(error) > 0)
+    if not unsure.any():
+        return det
+    out, at = np.array(det, float), [np.broadcast_to(x, det.shape + (2,)) for x in at]
+    for k in zip(*np.nonzero(unsure), strict=True) if det.ndim else [()]:
+        out[k] = float(exact(*([Fraction(float(c)) for c in x[k]] for x in at)))
+    return out
+
+
+def _turn(p, q, r):
+    return (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+
+
+def _circle(a, b, c, d):
+    p, q, r = ([x[0] - d[0], x[1] - d[1]] for x in (a, b, c))
+    s, t, u = (x[0] * x[0] + x[1] * x[1] for x in (p, q, r))
+    return s * (q[0] * r[1] - q[1] * r[0]) - t * (p[0] * r[1] - p[1] * r[0]) + u * (p[0] * q[1] - p[1] * q[0])
+
 
 def orient(xy: np.ndarray, a, b, c) -> np.ndarray:
+    """Positive where a, b, c turn counter-clockwise; the sign is exact."""
     p, q, r = xy[a], xy[b], xy[c]
-    return (q[..., 0] - p[..., 0]) * (r[..., 1] - p[..., 1]) - (q[..., 1] - p[..., 1]) * (r[..., 0] - p[..., 0])
+    left, right = (q[..., 0] - p[..., 0]) * (r[..., 1] - p[..., 1]), (q[..., 1] - p[..., 1]) * (r[..., 0] - p[..., 0])
+    if xy.dtype != np.float64:
+        return left - right
+    return _settled(left - right, TURN_ERROR * (np.abs(left) + np.abs(right)), _turn, p, q, r)
 
 
 def in_circle(xy: np.ndarray, a: int, b: int, c: int, d: np.ndarray) -> np.ndarray:
-    """Positive where d lies within the circle of the counter-clockwise triangle abc."""
+    """Positive where d lies within the circle of the counter-clockwise triangle abc; the sign is exact."""
     p, q, r = (xy[k] - xy[d] for k in (a, b, c))
     s, t, u = ((v * v).sum(axis=-1) for v in (p, q, r))
-    return s * (q[..., 0] * r[..., 1] - q[..., 1] * r[..., 0]) - t * (p[..., 0] * r[..., 1] - p[..., 1] * r[..., 0]) + u * (p[..., 0] * q[..., 1] - p[..., 1] * q[..., 0])
+    x, y, z = ((m[..., 0] * n[..., 1], m[..., 1] * n[..., 0]) for m, n in ((q, r), (p, r), (p, q)))
+    det = s * (x[0] - x[1]) - t * (y[0] - y[1]) + u * (z[0] - z[1])
+    if xy.dtype != np.float64:
+        return det
+    size = sum(w * (np.abs(m) + np.abs(n)) for w, (m, n) in zip((s, t, u), (x, y, z), strict=True))
+    return _settled(det, CIRCLE_ERROR * size, _circle, xy[a], xy[b], xy[c], xy[d])
 
 
 def delaunay(xy: np.ndarray) -> list[tuple[int, int, int]]:
     """Counter-clockwise triangles, by closing one open side after another with the point of an empty circle."""
+    xy = points(xy)
     n = len(xy)
     if n < 3:
         return []
@@ -125,87 +175,126 @@ def spanning_forest(ids, xy: np.ndarray, edges) -> list[tuple[int, int]]:
 
 
 def nearest_root(ids, xy: np.ndarray) -> dict[int, tuple[float, int]]:
+    """Of each terminal: the distance to the nearest root, and its id; ties go to the least id."""
     roots = [k for k, i in enumerate(ids) if i < 0]
-    return {k: min((float(length(xy, k, r)), -ids[r]) for r in roots) for k, i in enumerate(ids) if i >= 0}
+    return {k: min((float(length(xy, k, r)), ids[r]) for r in roots) for k, i in enumerate(ids) if i >= 0}
+
 
+def crossed_by(xy: np.ndarray, edges: np.ndarray, others: np.ndarray) -> list[list[int]]:
+    """For each edge, the indices of the others that it crosses."""
+    if not len(others):
+        return [[] for _ in edges]
+    return [np.flatnonzero(crosses(xy, u, v, others[:, 0], others[:, 1])).tolist() for u, v in edges.tolist()]
 
-def esau_williams(ids, xy: np.ndarray, edges, capacity: int, *, uncrossed: bool = True, gates_block: bool = False, path: bool = False, rootlust: float = 0.0, blocked=()) -> dict[int, int]:
+
+#: How a subtree's best merge is chosen, by (weight, closeness of the far end to its root, ids): the least weight;
+#: of those within 2 % of the least weight the closest; of twentieths of the least weight, then the closest.
+RULES = ("weight", "margin", "bins")
+
+
+def _chosen(options: list[tuple], rule: str):
+    """options: (weight, distance of the far end to its root, ids in order, near end, far end)."""
+    least = min(o[0] for o in options)
+    if rule == "margin":
+        return min((o for o in options if o[0] <= 1.02 * least), key=lambda o: (o[1], o[0], *o[2:]))
+    if rule == "bins" and least > 0:
+        return min(options, key=lambda o: (float(np.rint(20 * o[0] / least)), o[1], o[0], *o[2:]))
+    return min(options)
+
+
+def esau_williams(ids, xy: np.ndarray, edges, capacity: int, *, rule: str = "weight", uncrossed: bool = True, gates_block: bool = False, path: bool = False, rootlust: float = 0.0, blocked=()) -> dict[int, int]:
     """Parents of a capacitated forest, by savings over a star.
 
-    Every terminal starts with a gate to its nearest root. The merge with the least tradeoff, the
-    edge's length less that of the gate that goes, is taken if the load fits and, with `uncrossed`,
-    the edge crosses no edge before it (with `gates_block`, nor a gate of a full subtree). With
-    `path`, only a subtree's hook and its tail are joined. `rootlust` favours subtrees far from
-    their root; `blocked` are segments (x, y, x, y) that no edge may cross.
+    Every terminal starts with a gate to its nearest root. Each subtree has a best merge, chosen by `rule`
+    among the edges to other subtrees that fit and are no longer than its gate; the merge of the
+    least tradeoff, its length less that of the gate that goes, is made, as long as one isn't positive.
+    With `uncrossed` an edge that crosses one made before is out; with `gates_block`, so is one that
+    crosses the gate of a full subtree. With `path`, only a subtree's ends are joined. `rootlust` favours
+    subtrees far from their root; `blocked` are segments (x, y, x, y) that no edge may cross.
     """
+    if rule not in RULES:
+        raise ValueError(f"no rule {rule!r}")
+    xy = np.asarray(xy)
     near = nearest_root(ids, xy)
-    at = {k: i for i, k in enumerate(ids)}
+    at = {i: k for k, i in enumerate(ids)}
+    walls = np.array(blocked, float).reshape(-1, 4)
+    own = [(u, v) for u, v in edges if ids[u] >= 0 and ids[v] >= 0 and not _hits(xy, u, v, walls)]
+    both = np.array(own, int).reshape(-1, 2)
+    weight = length(xy, both[:, 0], both[:, 1]).tolist()
+    against = crossed_by(xy, both, both) if uncrossed else [[]] * len(own)
+    hooks = sorted(near)
+    by_gate: dict[int, list[int]] = {h: [] for h in hooks}
+    if gates_block and hooks:
+        gates = np.array([(h, at[near[h][1]]) for h in hooks])
+        for e, met in enumerate(crossed_by(xy, both, gates)):
+            for k in met:
+                by_gate[hooks[k]].append(e)
+    adj: dict[int, dict[int, int]] = {k: {} for k in near}
+    for e, (u, v) in enumerate(own):
+        adj[u][v] = adj[v][u] = e
     comp = {k: k for k in near}  # by the hook
     members = {k: [k] for k in near}
     tail = {k: k for k in near}
-    gate = {k: near[k] for k in near}
     links: list[tuple[int, int]] = []
-    walls = np.array(blocked, float).reshape(-1, 4)
-    adj: dict[int, list[int]] = {k: [] for k in near}
-    size: dict[tuple[int, int], float] = {}
-    for (u, v), w in zip(edges, length(xy, *np.array(edges, int).reshape(-1, 2).T).tolist(), strict=True):
-        if ids[u] >= 0 and ids[v] >= 0 and not _hits(xy, u, v, walls):
-            adj[u].append(v)
-            adj[v].append(u)
-            size[u, v] = size[v, u] = w
-    for u in adj:
-        adj[u].sort(key=lambda v: (size[u, v], ids[v]))
 
     def best(hook: int):
-        """The best (tradeoff, ids, node of the subtree, node joined) for giving up this subtree's gate."""
-        options = []
+        """(tradeoff, ids, hook, near end, far end) of the merge that gives up this subtree's gate."""
+        gate, room = near[hook][0], capacity - len(members[hook])
+        limit, options = gate * (1 + rootlust), []
         for u in members[hook] if not path else {hook, tail[hook]}:
-            for v in adj[u]:
+            for v, e in adj[u].items():
                 other = comp[v]
-                if other == hook or len(members[hook]) + len(members[other]) > capacity:
-                    continue
-                if path and v not in ((other, tail[other]) if len(members[other]) == 1 else (tail[other],)):
+                if other == hook or len(members[other]) > room or weight[e] > limit or (path and v != tail[other]):
                     continue
-                w = size[u, v]
-                if w >= gate[hook][0] * (1 + rootlust):  # the rest of u's edges are longer still
-                    break
-                options.append((w - gate[hook][0] * (1 + rootlust * len(members[hook]) / capacity), tuple(sorted((ids[u], ids[v]))), u, v))
-        return sorted(options)
-
-    heap = [(o[0][0], o[0][1], h) for h in near if (o := best(h))]
+                options.append((weight[e], near[v][0], min(ids[u], ids[v]), max(ids[u], ids[v]), u, v))
+        if not options:
+            return None
+        w, _, a, b, u, v = _chosen(options, rule)
+        t = w - gate * (1 + rootlust * len(members[hook]) / capacity)
+        return (t, a, b, ids[hook], hook, u, v) if t <= 0 else None
+
+    def banned(found) -> set[int]:
+        """The subtrees whose edges went."""
+        out = set()
+        for e in found:
+            u, v = own[e]
+            if adj[u].pop(v, None) is not None:
+                del adj[v][u]
+                out |= {comp[u], comp[v]}
+        return out
+
+    def full(hook: int) -> set[int]:
+        return banned(by_gate[hook]) if gates_block and len(members[hook]) == capacity else set()
+
+    stale = set().union(*(full(h) for h in hooks)) if capacity == 1 else set()
+    heap = [o for h in near if (o := best(h))]
     heapq.heapify(heap)
-    refused: set[tuple[int, int]] = set()
-    while heap:
-        t, key, hook = heapq.heappop(heap)
+    while heap or stale:
+        for h in stale:
+            if h in members and (o := best(h)):
+                heapq.heappush(heap, o)
+        stale = set()
+        if not heap:
+            break
+        top = heapq.heappop(heap)
+        hook = top[4]
         if hook not in members:
             continue
-        options = [o for o in best(hook) if (min(o[2:]), max(o[2:])) not in refused]
-        if not options or options[0][0] >= 0:
-            continue
-        if (options[0][0], options[0][1]) != (t, key):
-            heapq.heappush(heap, (options[0][0], options[0][1], hook))
-            continue
-        _, _, u, v = options[0]
-        other = comp[v]
-        bad = uncrossed and links and bool(crosses(xy, u, v, *np.array(links).T).any())
-        if not bad and gates_block:
-            full = [(h, at[-gate[h][1]]) for h in members if len(members[h]) == capacity]
-            bad = bool(full) and bool(crosses(xy, u, v, *np.array(full).T).any())
-        if bad:
-            refused.add((min(u, v), max(u, v)))
-            heapq.heappush(heap, (t, key, hook))
+        now = best(hook)
+        if now != top:
+            if now:
+                heapq.heappush(heap, now)
             continue
+        *_, u, v = top
+        e, other = adj[u][v], comp[v]
         links.append((u, v))
-        own = members.pop(hook)
-        for m in own:
-            comp[m] = other
-        members[other] += own
         if path:
             tail[other] = tail[hook] if u == hook else hook
-        for h in {other, *(comp[w] for m in own for w in adj[m])}:
-            if h in members and (o := best(h)):
-                heapq.heappush(heap, (o[0][0], o[0][1], h))
-    return parents_from(ids, links, {h: -gate[h][1] for h in members})
+        for m in (moved := members.pop(hook)):
+            comp[m] = other
+        members[other] += moved
+        stale = {other, *(comp[w] for m in members[other] for w in adj[m])} | banned(against[e]) | full(other)
+    return parents_from(ids, links, {h: near[h][1] for h in members})
 
 
 def _hits(xy, u, v, walls: np.ndarray) -> bool:
@@ -235,65 +324,104 @@ def parents_from(ids, links, hooks: dict[int, int]) -> dict[int, int]:
     return out
 
 
-def savings_routes(ids, xy: np.ndarray, capacity: int, rounds: int = 50, banned=frozenset()) -> list[list[int]]:
-    """Open routes from the nearest roots: parallel savings, then 2-opt within and moves between routes. No hop is in `banned`."""
+def savings_routes(ids, xy: np.ndarray, capacity: int, rounds: int = 50, banned=frozenset(), vehicles: int | None = None) -> list[list[int]]:
+    """Open routes from the nearest roots: parallel savings, then 2-opt within and moves between routes. No hop is in `banned`.
+
+    With `vehicles`, routes are joined on to at most so many, or to as few as the savings' ends allow.
+    """
     near = nearest_root(ids, xy)
+    d = _distances(xy)
     allowed = lambda r: not banned or not any((min(a, b), max(a, b)) in banned for a, b in zip(r, r[1:], strict=False))
     route = {k: [k] for k in near}
     head = {k: k for k in near}
-    pairs = sorted((float(length(xy, u, v)) - max(near[u][0], near[v][0]), ids[u], ids[v], u, v) for u, v in itertools.combinations(sorted(near), 2))
-    for _, _, _, u, v in pairs:
-        a, b = head[u], head[v]
-        if a == b or (u, v) in banned or len(route[a]) + len(route[b]) > capacity or not {u} & {route[a][0], route[a][-1]} or not {v} & {route[b][0], route[b][-1]}:
-            continue
-        x = route[a] if route[a][-1] == u else route[a][::-1]
-        y = route[b] if route[b][0] == v else route[b][::-1]
-        joined = x + y
-        if open_length(xy, near, joined) < open_length(xy, near, route[a]) + open_length(xy, near, route[b]) - 1e-9:
-            del route[b]
-            route[a] = joined
-            for m in joined:
-                head[m] = a
-    routes = [improve(xy, near, r, allowed) for _, r in sorted(route.items())]
+    pairs = sorted((d[u][v] - max(near[u][0], near[v][0]), ids[u], ids[v], u, v) for u, v in itertools.combinations(sorted(near), 2))
+    for forced in (False, True) if vehicles else (False,):
+        for _, _, _, u, v in pairs:
+            if forced and len(route) <= vehicles:
+                break
+            a, b = head[u], head[v]
+            x, y = route[a], route[b]
+            if a == b or (u, v) in banned or len(x) + len(y) > capacity or u not in (x[0], x[-1]) or v not in (y[0], y[-1]):
+                continue
+            joined = (x if x[-1] == u else x[::-1]) + (y if y[0] == v else y[::-1])
+            if forced or _open(d, near, joined) < _open(d, near, x) + _open(d, near, y) - 1e-9:
+                del route[b]
+                route[a] = joined
+                for m in joined:
+                    head[m] = a
+    routes = [improve(d, near, r, allowed) for _, r in sorted(route.items())]
+    return [oriented(xy, near, r) for r in moved(d, near, routes, capacity, rounds, allowed)]
+
+
+#: Nearest nodes beside which a node may be moved.
+NEIGHBOURS = 10
+
+
+def moved(d, near, routes: list[list[int]], capacity: int, rounds: int, allowed) -> list[list[int]]:
+    """Routes improved by moving single nodes beside near ones of other routes, each pass over all nodes, until none gains."""
+    nodes = sorted(near)
+    close = {m: sorted((k for k in nodes if k != m), key=lambda k: (d[m][k], k))[:NEIGHBOURS] for m in nodes}
+    of = {m: i for i, r in enumerate(routes) for m in r}
+    size = [_open(d, near, r) for r in routes]
     for _ in range(rounds):
-        move = None
-        for i, a in enumerate(routes):
-            for m in a:
-                rest = [k for k in a if k != m]
-                gain = open_length(xy, near, a) - (open_length(xy, near, rest) if rest else 0.0)
-                for j, b in enumerate(routes):
-                    if i == j or len(b) >= capacity:
+        changed = False
+        for m in nodes:
+            i = of[m]
+            rest = [k for k in routes[i] if k != m]
+            gain = size[i] - (_open(d, near, rest) if rest else 0.0)
+            best = None
+            for j in sorted({of[k] for k in close[m]} - {i}):
+                b = routes[j]
+                if len(b) >= capacity:
+                    continue
+                for p in range(len(b) + 1):
+                    if not ((p and b[p - 1] in close[m]) or (p < len(b) and b[p] in close[m])):
                         continue
-                    for p in range(len(b) + 1):
-                        new = b[:p] + [m] + b[p:]
-                        d = open_length(xy, near, new) - open_length(xy, near, b) - gain
-                        if d < -1e-6 and (move is None or d < move[0]) and allowed(new) and allowed(rest):
-                            move = (d, i, j, rest, new)
-        if move is None:
+                    new = b[:p] + [m] + b[p:]
+                    x = _open(d, near, new) - size[j] - gain
+                    if x < -1e-6 and (best is None or x < best[0]) and allowed(new) and allowed(rest):
+                        best = (x, j, new)
+            if best:
+                _, j, new = best
+                routes[i], routes[j] = rest, improve(d, near, new, allowed)
+                size[i], size[j] = _open(d, near, rest) if rest else 0.0, _open(d, near, routes[j])
+                of[m] = j
+                changed = True
+        if not changed:
             break
-        _, i, j, rest, new = move
-        routes[i], routes[j] = rest, improve(xy, near, new, allowed)
-        routes = [r for r in routes if r]
-    return [oriented(xy, near, r) for r in routes]
+    return [r for r in routes if r]
+
+
+def _distances(xy: np.ndarray) -> list[list[float]]:
+    k = np.arange(len(xy))
+    return length(xy, k[:, None], k[None, :]).tolist()
 
 
 def oriented(xy, near, r):
     return r if near[r[0]][0] <= near[r[-1]][0] else r[::-1]
 
 
+def _open(d, near, r) -> float:
+    total = min(near[r[0]][0], near[r[-1]][0])
+    for a, b in zip(r, r[1:], strict=False):
+        total += d[a][b]
+    return total
+
+
 def open_length(xy, near, r) -> float:
     return float(length(xy, np.array(r[:-1], int), np.array(r[1:], int)).sum()) + min(near[r[0]][0], near[r[-1]][0])
 
 
-def improve(xy, near, r, allowed=lambda r: True):
+def improve(d, near, r, allowed=lambda r: True):
     """2-opt until no reversal of a part, that is allowed, shortens the open route."""
-    better = True
+    better, now = True, _open(d, near, r)
     while better:
         better = False
         for i, j in itertools.combinations(range(len(r) + 1), 2):
             new = r[:i] + r[i:j][::-1] + r[j:]
-            if open_length(xy, near, new) < open_length(xy, near, r) - 1e-9 and allowed(new):
-                r, better = new, True
+            size = _open(d, near, new)
+            if size < now - 1e-9 and allowed(new):
+                r, now, better = new, size, True
     return r
 
 
@@ -319,7 +447,7 @@ def iterated_routes(ids, xy: np.ndarray, capacity: int, most: int = 10) -> list[
 
 def routes_to_parents(ids, xy, routes) -> dict[int, int]:
     near = nearest_root(ids, xy)
-    return {ids[m]: (-near[r[0]][1] if k == 0 else ids[r[k - 1]]) for r in routes for k, m in enumerate(r)}
+    return {ids[m]: (near[r[0]][1] if k == 0 else ids[r[k - 1]]) for r in routes for k, m in enumerate(r)}
 
 
 def count_crossings(xy, edges) -> int:
@@ -398,7 +526,7 @@ def exact_forest(ids, xy: np.ndarray, capacity: int, branching: bool = True, mos
     while mask:
         _, ls, h = single[choice[mask]]
         links += ls
-        hooks[h] = -near[h][1]
+        hooks[h] = near[h][1]
         mask ^= choice[mask]
     return best[-1], parents_from(ids, links, hooks)
 
@@ -430,43 +558,83 @@ def detours(ids, xy: np.ndarray, parent: dict[int, int], blocked=()) -> tuple[di
             bad.append((a, b))
         else:
             fixed.append((at[a], at[b]))
+    # Segments that nothing fixed crosses; each segment fixed later takes those that it crosses away.
+    i, j = np.triu_indices(n, 1)
+    seen = np.zeros((n, n), bool)
+    seen[i, j] = True
+
+    def block(s: int, t: int) -> None:
+        k, m = np.nonzero(seen)
+        hit = crosses(xy, k, m, s, t)
+        seen[k[hit], m[hit]] = False
+
+    for s, t in fixed if bad else ():
+        block(s, t)
+    for w in walls if bad else ():
+        k, m = np.nonzero(seen)
+        pts = np.concatenate([xy.astype(float), w.reshape(2, 2)])
+        hit = crosses(pts, k, m, n, n + 1)
+        seen[k[hit], m[hit]] = False
+    d = length(xy, np.arange(n)[:, None], np.arange(n)[None, :])
+    roots = np.array([i < 0 for i in ids])
     ways, failed = {}, []
     for a, b in bad:
-        seen = np.zeros((n, n), bool)
-        i, j = np.triu_indices(n, 1)
-        ok = np.ones(len(i), bool)
-        for s, t in fixed:
-            ok &= ~crosses(xy, i, j, s, t)
-        for w in walls:
-            pts = np.concatenate([xy.astype(float), w.reshape(2, 2)])
-            ok &= ~crosses(pts, i, j, n, n + 1)
-        seen[i[ok], j[ok]] = seen[j[ok], i[ok]] = True
-        dist = {at[m]: 0.0 for m in parent if tops[m] == a}
-        prev: dict[int, int] = {}
-        heap = [(0.0, k) for k in sorted(dist)]
-        while heap:
-            w, k = heapq.heappop(heap)
-            if w > dist[k] or k == at[b]:
-                continue
-            for m in np.flatnonzero(seen[k]).tolist():
-                if ids[m] < 0 and m != at[b]:
-                    continue
-                x = w + float(length(xy, k, m))
-                if x < dist.get(m, float("inf")) - 1e-9:
-                    dist[m], prev[m] = x, k
-                    heapq.heappush(heap, (x, m))
-        if at[b] not in prev:
+        free = seen | seen.T
+        end = at[b]
+        dist = np.full(n, np.inf)
+        dist[[at[m] for m in parent if tops[m] == a]] = 0.0
+        prev, done = np.full(n, -1), np.zeros(n, bool)
+        while True:
+            k = int(np.argmin(np.where(done, np.inf, dist)))
+            if done[k] or not np.isfinite(dist[k]) or k == end:
+                break
+            done[k] = True
+            reach = np.where(free[k] & ~done & (~roots | (np.arange(n) == end)), dist[k] + d[k], np.inf)
+            shorter = reach < dist - 1e-9
+            dist[shorter], prev[shorter] = reach[shorter], k
+        if prev[end] < 0:
             failed.append(a)
-            fixed.append((at[a], at[b]))
+            block(at[a], end)
             continue
-        way = [at[b]]
-        while way[-1] in prev:
-            way.append(prev[way[-1]])
+        way = [end]
+        while prev[way[-1]] >= 0:
+            way.append(int(prev[way[-1]]))
         ways[a] = [ids[k] for k in way[::-1]]
-        fixed += list(zip(way, way[1:], strict=False))
+        for s, t in zip(way, way[1:], strict=False):
+            block(s, t)
     return ways, failed
 
 
+def rerouted(ids, parent: dict[int, int], ways: dict[int, list[int]]) -> list[tuple[int, int, int, str]]:
+    """(from, to, load, kind) of the routeset's hops: links, straight gates, and the hops of ways, each of which bears its subtree's load.
+
+    A way may begin at another node than the hook that it stands for: the links on the way from the
+    hook to that node turn round. Hops are listed from the far end of the flow to the root.
+    """
+    own = dict(parent)
+    for hook, way in ways.items():
+        chain = [way[0]]
+        while chain[-1] != hook:
+            chain.append(parent[chain[-1]])
+        for a, b in zip(chain, chain[1:], strict=False):
+            own[b] = a
+        own[way[0]] = way[-1]
+    load = dict.fromkeys(own, 0)
+    for n in own:
+        m = n
+        while m >= 0:
+            load[m] += 1
+            m = own[m]
+    starts = {way[0]: way for way in ways.values()}
+    out = []
+    for n, p in sorted(own.items()):
+        if n in starts:
+            out += [(a, b, load[n], "detour") for a, b in zip(starts[n], starts[n][1:], strict=False)]
+        else:
+            out.append((n, p, load[n], "gate" if p < 0 else "link"))
+    return out
+
+
 def smallest_rectangle(xy: np.ndarray) -> float:
     """Area of the least rectangle around the points: over the hull's sides, the least bounding box along one."""
     pts = sorted(map(tuple, xy.tolist()))
@@ -487,6 +655,34 @@ def smallest_rectangle(xy: np.ndarray) -> float:
     return best
 
 
+def convex_ring(xy: np.ndarray) -> list[int]:
+    """Indices of the convex hull's corners, counter-clockwise from the least; points on its sides are none."""
+    order = np.lexsort((xy[:, 1], xy[:, 0])).tolist()
+    out: list[int] = []
+    for seq in (order, order[::-1]):
+        part: list[int] = []
+        for k in seq:
+            while len(part) > 1 and orient(xy, part[-2], part[-1], k) <= 0:
+                part.pop()
+            part.append(k)
+        out += part[:-1]
+    return out
+
+
+def pockets(ring) -> list[list[int]]:
+    """Parts of a simple ring between neighbouring corners of its hull that lie inside the hull: indices with both corners, in the ring's order."""
+    xy = points(ring)
+    n, corners = len(xy), set(convex_ring(xy))
+    on = [k for k in range(n) if k in corners]
+    out = []
+    for a, b in zip(on, on[1:] + on[:1], strict=True):
+        part = [(a + k) % n for k in range((b - a) % n + 1)]
+        # Points on the hull's own side make no pocket.
+        if len(part) > 2 and any(orient(xy, a, b, k) != 0 for k in part[1:-1]):
+            out.append(part)
+    return out
+
+
 def constrained(xy: np.ndarray, constraints) -> list[tuple[int, int, int]]:
     """The Delaunay triangulation with some sides forced, by Anglada's method.
 

@@ -13,9 +13,9 @@ from .joins import with_points
 
 
 def site(pdf: pd.DataFrame) -> tuple[list[int], np.ndarray]:
-    """ids in ascending order and their coordinates."""
+    """ids in ascending order and their coordinates, whole or not."""
     pdf = pdf.sort_values("n")
-    return pdf["n"].tolist(), pdf[["x", "y"]].to_numpy(np.int64)
+    return pdf["n"].tolist(), K.points(pdf[["x", "y"]].to_numpy())
 
 
 def triangles(v: DataFrame) -> DataFrame:
@@ -97,8 +97,19 @@ def spanning_forest(v: DataFrame) -> DataFrame:
     return v.groupBy("site_id").applyInPandas(run, "site_id long, u long, v long, l2 long")
 
 
-def root_distances(t: DataFrame, v: DataFrame) -> DataFrame:
-    """Length of the shortest way along the mesh's sides from each point to each root, in thousandths. A kernel for each site."""
+def best_paths(t: DataFrame, v: DataFrame) -> DataFrame:
+    """For each terminal: the root nearest along the mesh's sides, the way's length in thousandths, and the next point on it; ties go to the least id."""
+    d = root_distances(t, v, exact=True)
+    e = available_edges(t, v).filter("kind = 'delaunay'").select("site_id", "u", "v", F.sqrt(F.col("l2").cast("double")).alias("w"))
+    both = e.unionByName(e.select("site_id", F.col("v").alias("u"), F.col("u").alias("v"), "w"))
+    mille = lambda c: F.round(c * 1000).cast("long")
+    near = d.filter("n >= 0").groupBy("site_id", "n").agg(F.min(F.struct(mille(F.col("way")).alias("length"), F.col("root"))).alias("b")).select("site_id", "n", "b.root", "b.length")
+    step = near.join(both.withColumnRenamed("u", "n"), ["site_id", "n"]).join(d.select("site_id", "root", F.col("n").alias("v"), "way"), ["site_id", "root", "v"])
+    return step.groupBy("site_id", "n", "root", "length").agg(F.min(F.struct(mille(F.col("w") + F.col("way")).alias("d"), F.col("v"))).alias("b")).select("site_id", "n", "root", "length", F.col("b.v").alias("step"))
+
+
+def root_distances(t: DataFrame, v: DataFrame, exact: bool = False) -> DataFrame:
+    """Length of the shortest way along the mesh's sides from each terminal to each root, in thousandths; if exact, of every point, as `way`, a double. A kernel for each site."""
     import heapq
 
     e = available_edges(t, v).filter("kind = 'delaunay'")
@@ -119,7 +130,7 @@ def root_distances(t: DataFrame, v: DataFrame) -> DataFrame:
                     if d + w < dist.get(m, float("inf")):
                         dist[m] = d + w
                         heapq.heappush(heap, (d + w, m))
-            out += [(pdf["site_id"].iloc[0], n, root, round(x * 1000)) for n, x in dist.items() if n >= 0]
-        return pd.DataFrame(out, columns=["site_id", "n", "root", "length"])
+            out += [(pdf["site_id"].iloc[0], n, root, x if exact else round(x * 1000)) for n, x in dist.items() if exact or n >= 0]
+        return pd.DataFrame(out, columns=["site_id", "n", "root", "way" if exact else "length"])
 
-    return e.groupBy("site_id").applyInPandas(run, "site_id long, n long, root long, length long")
+    return e.groupBy("site_id").applyInPandas(run, f"site_id long, n long, root long, {'way double' if exact else 'length long'}")

@@ -22,6 +22,13 @@ def cut_edges(edges: DataFrame, v: DataFrame, polygons: DataFrame) -> DataFrame:
     return met.groupBy("site_id", "u", "v").agg(F.count("*").alias("sides"))
 
 
+def shortcuts(triples: DataFrame, v: DataFrame, polygons: DataFrame) -> DataFrame:
+    """For points s, b, t of a path: whether the straight line from s to t is free, so that b may be left out."""
+    cut = cut_edges(triples.select("site_id", F.col("s").alias("u"), F.col("t").alias("v")).distinct(), v, polygons)
+    j = triples.join(cut.select("site_id", F.col("u").alias("s"), F.col("v").alias("t"), "sides"), ["site_id", "s", "t"], "left")
+    return j.select("site_id", "path", "s", "b", "t", F.col("sides").isNull().alias("free"))
+
+
 def _joined(v: DataFrame, polygons: DataFrame) -> DataFrame:
     """Points and polygon vertices of a site as rows (site_id, n, x, y, poly_id, seq); poly_id is null for points."""
     p = polygons.select("site_id", F.lit(None).cast("long").alias("n"), "x", "y", F.col("poly_id").cast("long").alias("poly_id"), F.col("seq").cast("long").alias("seq"))
@@ -34,10 +41,10 @@ def _split(pdf: pd.DataFrame):
     rings, at = [], len(ids)
     parts = [xy]
     for _, ring in pdf[pdf["poly_id"].notna()].sort_values(["poly_id", "seq"]).groupby("poly_id"):
-        parts.append(ring[["x", "y"]].to_numpy(np.int64))
+        parts.append(ring[["x", "y"]].to_numpy())
         rings.append(list(range(at, at + len(ring))))
         at += len(ring)
-    return [int(i) for i in ids], np.vstack(parts), rings
+    return [int(i) for i in ids], K.points(np.vstack(parts)), rings
 
 
 def navigation_mesh(v: DataFrame, polygons: DataFrame) -> DataFrame:
@@ -85,7 +92,7 @@ def solve_around(v: DataFrame, polygons: DataFrame, capacity: int) -> DataFrame:
         ids, xy, rings = _split(pdf)
         own = xy[: len(ids)]
         walls = [(*xy[r[k]].tolist(), *xy[r[(k + 1) % len(r)]].tolist()) for r in rings[1:] for k in range(len(r))]
-        parent = K.esau_williams(ids, own, K.available(own), capacity, gates_block=True, rootlust=0.6, blocked=walls)
+        parent = K.esau_williams(ids, own, K.available(own), capacity, rule="bins", gates_block=True, rootlust=0.6, blocked=walls)
         at = {i: k for k, i in enumerate(ids)}
         cut = sum(K._hits(own, at[a], at[b], np.array(walls, float)) for a, b in parent.items() if b >= 0)
         ways, failed = K.detours(ids, own, parent, walls)

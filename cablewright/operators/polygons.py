@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,6 +81,36 @@ def rescale(unit: DataFrame, v: DataFrame) -> DataFrame:
     return f.select("site_id", "n", back("x"), back("y"))
 
 
+def notched_border(v: DataFrame, margin: int = MARGIN) -> DataFrame:
+    """The grown bounding box with a notch: the upper side's middle is drawn down by a quarter of the height."""
+    b = v.groupBy("site_id").agg((F.min("x") - margin).alias("x0"), (F.max("x") + margin).alias("x1"), (F.min("y") - margin).alias("y0"), (F.max("y") + margin).alias("y1"))
+    b = b.withColumn("xm", F.floor((F.col("x0") + F.col("x1")) / 2)).withColumn("ym", F.col("y1") - F.floor((F.col("y1") - F.col("y0")) / 4))
+    corners = [("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("xm", "ym"), ("x0", "y1")]
+    rows = F.array(*[F.struct(F.lit(k).alias("seq"), F.col(x).alias("x"), F.col(y).alias("y")) for k, (x, y) in enumerate(corners)])
+    return b.select("site_id", F.lit(0).alias("poly_id"), F.explode(rows).alias("c")).select("site_id", "poly_id", "c.*")
+
+
+def concavities(border: DataFrame) -> DataFrame:
+    """What the convex hull of each border has beyond it: polygons (concavity, seq, x, y), each from a hull corner along the border to the next."""
+    from .kernels import pockets
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ring = pdf.sort_values("seq")
+        found = pockets(ring[["x", "y"]].to_numpy())
+        rows = [(int(ring["site_id"].iloc[0]), c, k, int(ring["x"].iloc[i]), int(ring["y"].iloc[i])) for c, part in enumerate(found) for k, i in enumerate(part)]
+        return pd.DataFrame(rows, columns=["site_id", "concavity", "seq", "x", "y"])
+
+    return border.groupBy("site_id").applyInPandas(run, "site_id long, concavity int, seq int, x long, y long")
+
+
+def unit_area(v: DataFrame, border: DataFrame) -> DataFrame:
+    """Coordinates less the border's least ones, over the root of its area, in millionths."""
+    area = area_perimeter(border).select("site_id", F.sqrt((F.abs("area2") / 2).cast("double")).alias("side"))
+    f = v.join(area, "site_id").join(border.groupBy("site_id").agg(F.min("x").alias("x0"), F.min("y").alias("y0")), "site_id")
+    unit = lambda c: F.round((F.col(c) - F.col(f"{c}0")) / F.col("side") * 1_000_000).cast("long").alias(c)
+    return f.select("site_id", "n", unit("x"), unit("y"))
+
+
 def single_root(v: DataFrame) -> DataFrame:
     """Terminals as they are, and in place of the roots their centroid, rounded down, as root -1."""
     c = v.filter("n < 0").groupBy("site_id").agg(F.floor(F.avg("x")).alias("x"), F.floor(F.avg("y")).alias("y"))

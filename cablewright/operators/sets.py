@@ -62,6 +62,12 @@ def expand(topology: DataFrame, available: DataFrame, first: int) -> DataFrame:
     return j.select("site_id", "edge_u", "edge_v", F.explode(hops).alias("h")).select("site_id", "h.*", "edge_u", "edge_v")
 
 
+def triples(paths: DataFrame) -> DataFrame:
+    """Neighbouring points s, b, t of paths (site_id, path, seq, n)."""
+    w = Window.partitionBy("site_id", "path").orderBy("seq")
+    return paths.select("site_id", "path", F.col("n").alias("s"), F.lead("n").over(w).alias("b"), F.lead("n", 2).over(w).alias("t")).filter("t IS NOT NULL")
+
+
 def contract(hops: DataFrame) -> DataFrame:
     """The topology that `expand` came from."""
     return hops.select("site_id", F.col("edge_u").alias("u"), F.col("edge_v").alias("v")).distinct()

@@ -1,6 +1,7 @@
 """Solvers over instances: a row of `instances` is a site, a method and a capacity, and one call of a kernel.
 
-Instances are independent, so they spread over tasks; a site's points are sent once for each instance.
+Instances are independent, so they spread over tasks; a site's points are sent once for each instance,
+with the solution's rows beside them where there is one.
 """
 
 from __future__ import annotations
@@ -14,11 +15,11 @@ from .mesh import site
 
 #: Methods: kernel options of the savings family.
 SAVINGS = {
-    "presolver": {"uncrossed": True},
-    "classic": {"uncrossed": False},
-    "crossing_preventing": {"uncrossed": True, "gates_block": True},
-    "non_branching": {"uncrossed": True, "path": True},
-    "obstacle_bypassing": {"uncrossed": True, "gates_block": True, "rootlust": 0.6},
+    "presolver": {"rule": "margin"},
+    "classic": {"rule": "weight", "uncrossed": False},
+    "crossing_preventing": {"rule": "bins", "gates_block": True},
+    "non_branching": {"rule": "bins", "path": True},
+    "obstacle_bypassing": {"rule": "bins", "gates_block": True, "rootlust": 0.6},
 }
 ROUTES = ("routes", "routes_repaired", "routes_iterated")
 SOLUTION = "site_id long, method string, capacity int, n long, parent long"
@@ -29,7 +30,7 @@ def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
     method, capacity, where = pdf["method"].iloc[0], int(pdf["capacity"].iloc[0]), pdf["site_id"].iloc[0]
     if method in SAVINGS:
         options = SAVINGS[method]
-        edges = K.available(xy) if options["uncrossed"] else [(a, b) for a in range(len(ids)) for b in range(a + 1, len(ids))]
+        edges = K.available(xy) if options.get("uncrossed", True) else [(a, b) for a in range(len(ids)) for b in range(a + 1, len(ids))]
         parent = K.esau_williams(ids, xy, edges, capacity, **options)
     elif method in ROUTES:
         routes = K.iterated_routes(ids, xy, capacity) if method == "routes_iterated" else K.savings_routes(ids, xy, capacity)
@@ -49,71 +50,98 @@ def solve(v: DataFrame, methods: list[str], capacities: list[int]) -> DataFrame:
     return v.crossJoin(F.broadcast(grid)).groupBy("site_id", "method", "capacity").applyInPandas(_solve, SOLUTION)
 
 
+def _beside(solution: DataFrame, v: DataFrame) -> DataFrame:
+    """The points of each instance of the solution, with the parent of those that have one."""
+    keys = ["site_id", "method", "capacity"]
+    points = solution.select(*keys).distinct().join(v.select("site_id", "n", "x", "y"), "site_id")
+    return points.join(solution, [*keys, "n"], "left").groupBy(*keys)
+
+
+def _read(pdf: pd.DataFrame):
+    """(key, ids, coordinates, parents) of an instance."""
+    pdf = pdf.sort_values("n")
+    ids, xy = site(pdf)
+    have = pdf[pdf["parent"].notna()]
+    key = (int(pdf["site_id"].iloc[0]), pdf["method"].iloc[0], int(pdf["capacity"].iloc[0]))
+    return key, ids, xy, dict(zip(have["n"].astype(int).tolist(), have["parent"].astype(int).tolist(), strict=True))
+
+
 def check(solution: DataFrame, v: DataFrame) -> DataFrame:
-    """For each instance: terminals missing, links, overloads, crossings of links, terminals of degree over 2, length in thousandths."""
-    joined = solution.join(v.filter("n >= 0").groupBy("site_id").agg(F.count("*").alias("t")), "site_id")
-    points = v.groupBy("site_id").agg(F.collect_list(F.struct("n", "x", "y")).alias("points"))
+    """For each instance: terminals missing, links, overloads, crossings of links with links and with gates, terminals of degree over 2, length in thousandths, gates."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
         from .trees import loads_of
 
-        pts = pdf["points"].iloc[0]
-        ids = sorted(p["n"] for p in pts)
+        key, ids, xy, parent = _read(pdf)
         at = {n: k for k, n in enumerate(ids)}
-        xy = np.array([(p["x"], p["y"]) for p in sorted(pts, key=lambda p: p["n"])], np.int64)
-        parent = dict(zip(pdf["n"].tolist(), pdf["parent"].tolist(), strict=True))
         loads = loads_of(parent)
         links = [(at[a], at[b]) for a, b in parent.items() if b >= 0]
+        gates = [(at[a], at[b]) for a, b in parent.items() if b < 0]
         degree = pd.Series([k for a, b in parent.items() for k in (a, b) if k >= 0]).value_counts()
         total = sum(round(float(K.length(xy, at[a], at[b])) * 1000) for a, b in parent.items())
-        first = pdf.iloc[0]
-        return pd.DataFrame([(first["site_id"], first["method"], first["capacity"], first["t"] - len(parent), len(parent), int(sum(x[0] > first["capacity"] for x in loads.values())), K.count_crossings(xy, links), int((degree > 2).sum()), total, int(sum(b < 0 for b in parent.values())))], columns=["site_id", "method", "capacity", "missing", "links", "overloads", "crossings", "branchings", "length", "gates"])
+        missing = sum(i >= 0 for i in ids) - len(parent)
+        row = (*key, missing, len(parent), int(sum(x[0] > key[2] for x in loads.values())), K.count_crossings(xy, links), K.count_crossings(xy, links + gates) - K.count_crossings(xy, links), int((degree > 2).sum()), total, len(gates))
+        return pd.DataFrame([row], columns=["site_id", "method", "capacity", "missing", "links", "overloads", "crossings", "gate_crossings", "branchings", "length", "gates"])
+
+    ddl = "site_id long, method string, capacity int, missing long, links long, overloads long, crossings long, gate_crossings long, branchings long, length long, gates long"
+    return _beside(solution, v).applyInPandas(run, ddl)
+
+
+def costs(solution: DataFrame, v: DataFrame) -> DataFrame:
+    """The summed length of each instance."""
+    p = v.select("site_id", "n", "x", "y")
+    hop = solution.join(p, ["site_id", "n"]).join(p.select("site_id", F.col("n").alias("parent"), F.col("x").alias("px"), F.col("y").alias("py")), ["site_id", "parent"])
+    return hop.groupBy("site_id", "method", "capacity").agg(F.sum(F.sqrt(F.pow((F.col("x") - F.col("px")).cast("double"), 2) + F.pow((F.col("y") - F.col("py")).cast("double"), 2))).alias("cost"))
+
 
-    ddl = "site_id long, method string, capacity int, missing long, links long, overloads long, crossings long, branchings long, length long, gates long"
-    return joined.join(points, "site_id").groupBy("site_id", "method", "capacity").applyInPandas(run, ddl)
+def gaps(solution: DataFrame, v: DataFrame) -> DataFrame:
+    """The length of each instance (objective), the length of the site's minimum spanning forest, which no solution goes below (bound), and 1 - bound / objective."""
+    from .mesh import spanning_forest
+
+    bound = spanning_forest(v).groupBy("site_id").agg(F.sum(F.sqrt(F.col("l2").cast("double"))).alias("bound"))
+    j = costs(solution, v).join(bound, "site_id")
+    return j.select("site_id", "method", "capacity", F.round("bound", 3).alias("bound"), F.round("cost", 3).alias("objective"), F.round(1 - F.col("bound") / F.col("cost"), 6).alias("gap"))
 
 
 def route_detours(solution: DataFrame, v: DataFrame) -> DataFrame:
-    """For each instance: gates, those that crossed something, ways found, hooks left without, and the ways' extra length in thousandths."""
-    points = v.groupBy("site_id").agg(F.collect_list(F.struct("n", "x", "y")).alias("points"))
+    """For each instance: gates, those that crossed something, ways found, hooks left without, crossings left but for theirs, and the ways' extra length in thousandths."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        pts = sorted(pdf["points"].iloc[0], key=lambda p: p["n"])
-        ids, xy = [p["n"] for p in pts], np.array([(p["x"], p["y"]) for p in pts], np.int64)
+        key, ids, xy, parent = _read(pdf)
         at = {n: k for k, n in enumerate(ids)}
-        parent = dict(zip(pdf["n"].tolist(), pdf["parent"].tolist(), strict=True))
         ways, failed = K.detours(ids, xy, parent)
-        straight = {a: b for a, b in parent.items() if b < 0 and a not in ways}
-        after = [(at[a], at[b]) for a, b in parent.items() if b >= 0] + [(at[a], at[b]) for a, b in straight.items() if a not in failed] + [(at[a], at[b]) for w in ways.values() for a, b in zip(w, w[1:], strict=False)]
+        after = [(at[a], at[b]) for a, b, _, _ in K.rerouted(ids, parent, ways) if a not in failed or b >= 0]
         size = lambda w: sum(float(K.length(xy, at[a], at[b])) for a, b in zip(w, w[1:], strict=False))
         extra = sum(size(w) - float(K.length(xy, at[a], at[parent[a]])) for a, w in ways.items())
-        first = pdf.iloc[0]
         gates = sum(b < 0 for b in parent.values())
-        return pd.DataFrame([(first["site_id"], first["method"], first["capacity"], gates, len(ways) + len(failed), len(ways), len(failed), K.count_crossings(xy, after), round(extra * 1000))], columns=["site_id", "method", "capacity", "gates", "tentative", "detoured", "failed", "crossings", "extra"])
+        row = (*key, gates, len(ways) + len(failed), len(ways), len(failed), K.count_crossings(xy, after), round(extra * 1000))
+        return pd.DataFrame([row], columns=["site_id", "method", "capacity", "gates", "tentative", "detoured", "failed", "crossings", "extra"])
 
     ddl = "site_id long, method string, capacity int, gates long, tentative long, detoured long, failed long, crossings long, extra long"
-    return solution.join(points, "site_id").groupBy("site_id", "method", "capacity").applyInPandas(run, ddl)
+    return _beside(solution, v).applyInPandas(run, ddl)
+
+
+def routesets(solution: DataFrame, v: DataFrame) -> DataFrame:
+    """The hops of each instance with its detours made: n, parent, load, kind (link, gate, detour, or tentative for a gate left without a way)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        key, ids, xy, parent = _read(pdf)
+        ways, failed = K.detours(ids, xy, parent)
+        rows = [(*key, a, b, load, "tentative" if kind == "gate" and a in failed else kind) for a, b, load, kind in K.rerouted(ids, parent, ways)]
+        return pd.DataFrame(rows, columns=["site_id", "method", "capacity", "n", "parent", "load", "kind"])
+
+    return _beside(solution, v).applyInPandas(run, "site_id long, method string, capacity int, n long, parent long, load long, kind string")
 
 
 def ways(solution: DataFrame, v: DataFrame) -> DataFrame:
     """The ways found for gates that crossed something: a row (instance, hook, nodes from the subtree to the root) for each."""
-    points = v.groupBy("site_id").agg(F.collect_list(F.struct("n", "x", "y")).alias("points"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        pts = sorted(pdf["points"].iloc[0], key=lambda p: p["n"])
-        ids, xy = [p["n"] for p in pts], np.array([(p["x"], p["y"]) for p in pts], np.int64)
-        found, _ = K.detours(ids, xy, dict(zip(pdf["n"].tolist(), pdf["parent"].tolist(), strict=True)))
-        first = pdf.iloc[0]
-        return pd.DataFrame([(first["site_id"], first["method"], first["capacity"], a, w) for a, w in sorted(found.items())], columns=["site_id", "method", "capacity", "hook", "nodes"])
+        key, ids, xy, parent = _read(pdf)
+        found, _ = K.detours(ids, xy, parent)
+        return pd.DataFrame([(*key, a, w) for a, w in sorted(found.items())], columns=["site_id", "method", "capacity", "hook", "nodes"])
 
-    ddl = "site_id long, method string, capacity int, hook long, nodes array<long>"
-    return solution.join(points, "site_id").groupBy("site_id", "method", "capacity").applyInPandas(run, ddl)
+    return _beside(solution, v).applyInPandas(run, "site_id long, method string, capacity int, hook long, nodes array<long>")
 
 
 def undetoured(found: DataFrame) -> DataFrame:

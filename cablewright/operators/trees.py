@@ -155,6 +155,22 @@ def path_lengths(forest: DataFrame, v: DataFrame) -> DataFrame:
     return l.groupBy("site_id").applyInPandas(run, "site_id long, leaf long, root long, hops long, length long")
 
 
+def paths(forest: DataFrame) -> DataFrame:
+    """The way of each terminal that nothing feeds from to its root: site_id, path (the terminal), seq, n. One call for each site."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        parent = dict(zip(pdf["n"].tolist(), pdf["parent"].tolist(), strict=True))
+        out = []
+        for leaf in sorted(set(parent) - set(parent.values())):
+            n, seq = leaf, 0
+            while n is not None:
+                out.append((pdf["site_id"].iloc[0], leaf, seq, n))
+                n, seq = parent.get(n), seq + 1
+        return pd.DataFrame(out, columns=["site_id", "path", "seq", "n"])
+
+    return forest.select("site_id", "n", "parent").groupBy("site_id").applyInPandas(run, "site_id long, path long, seq long, n long")
+
+
 def route_positions(forest: DataFrame) -> DataFrame:
     """For subtrees: a terminal's place by depth, and how many of its subtree lie at its depth or beyond."""
     l = tree_loads(forest)

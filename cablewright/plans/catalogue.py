@@ -111,8 +111,6 @@ query("mesh5_diagonals", f"{_with(_C1, _TRI, _TWO)} SELECT site_id, s, t, u, v F
 query("mesh14_available_edges", f"{_with(_C1, _TRI, _TWO)} SELECT q.site_id, q.u, q.v, kind, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS l2 FROM (SELECT DISTINCT site_id, u, v, 'delaunay' AS kind FROM sd UNION ALL SELECT site_id, s, t, 'extended' FROM dg) q JOIN v a ON a.site_id = q.site_id AND a.n = q.u JOIN v b ON b.site_id = q.site_id AND b.n = q.v")(lambda spark, v, d: mesh.available_edges(mesh.triangles(v), v))
 query("jn9_exclusive_pairs", f"{_with(_C1, _TRI, _TWO)}, e AS (SELECT DISTINCT site_id, u, v FROM sd UNION SELECT site_id, s, t FROM dg), {_PAIRS.format('e')}, {_PTS.replace('p4 AS', 'p5 AS').format('pr')} SELECT site_id, u, v, s, t FROM p5 WHERE {_meet('u', 'v', 's', 't')}")(lambda spark, v, d: mesh.exclusive_pairs(mesh.triangles(v), v))
 query("agg4_kind_counts", f"{_with(*_BASE, _FOREST, _TRI, _TWO)}, av AS (SELECT DISTINCT site_id, u, v, 'delaunay' AS kind FROM sd UNION ALL SELECT site_id, s, t, 'extended' FROM dg) SELECT f.site_id, CASE WHEN f.parent < 0 THEN 'gate' ELSE coalesce(av.kind, 'rogue') END AS kind, count(*) AS edges FROM f LEFT JOIN av ON av.site_id = f.site_id AND av.u = least(f.n, f.parent) AND av.v = greatest(f.n, f.parent) GROUP BY ALL")(lambda spark, v, d: trees.kind_counts(trees.seed_forest(v).select("site_id", F.col("parent").alias("u"), F.col("n").alias("v")), mesh.available_edges(mesh.triangles(v), v)))
-query("gr1_spanning_forest", f"{_with(_C1)} SELECT site_id, count(*) FILTER (WHERE n >= 0) AS edges, CAST(0 AS BIGINT) AS longer FROM v GROUP BY site_id")(lambda spark, v, d: _forest_property(v))
-query("mesh12_root_distances")(lambda spark, v, d: mesh.root_distances(mesh.triangles(v), v))
 query("agg6_area_perimeter", f"{_with(_C1)}, b AS (SELECT site_id, min(x) - 500 AS x0, max(x) + 500 AS x1, min(y) - 500 AS y0, max(y) + 500 AS y1 FROM v GROUP BY site_id) SELECT site_id, 0 AS poly_id, 2 * (x1 - x0) * (y1 - y0) AS area2, 2000 * (x1 - x0 + y1 - y0) AS perimeter FROM b UNION ALL SELECT site_id, 1, -2 * 600 * 600, 4 * 600 * 1000 FROM b")(lambda spark, v, d: polygons.area_perimeter(polygons.box_border(v).unionByName(polygons.box_obstacle(v))))
 query("geo16_point_in_polygon", f"{_with(_C1)}, b AS (SELECT site_id, 0 AS poly_id, min(x) - 500 AS x0, max(x) + 500 AS x1, min(y) - 500 AS y0, max(y) + 500 AS y1 FROM v GROUP BY site_id UNION ALL SELECT site_id, 1, CAST(floor(avg(x)) AS BIGINT) - 300, CAST(floor(avg(x)) AS BIGINT) + 300, CAST(floor(avg(y)) AS BIGINT) - 300, CAST(floor(avg(y)) AS BIGINT) + 300 FROM v GROUP BY site_id) SELECT v.site_id, poly_id, n, x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AS inside FROM v JOIN b USING (site_id)")(lambda spark, v, d: polygons.contains(v, polygons.box_border(v).unionByName(polygons.box_obstacle(v))))
 query("geo17_clears", f"{_with(_C1)} SELECT site_id, n, x, y FROM v WHERE n >= 0 AND NOT EXISTS (SELECT 1 FROM v r WHERE r.site_id = v.site_id AND r.n < 0 AND (v.x - r.x) * (v.x - r.x) + (v.y - r.y) * (v.y - r.y) < 4000000)")(lambda spark, v, d: polygons.clears(v.filter("n >= 0"), v.filter("n < 0"), 2000))
@@ -123,16 +121,12 @@ query("prj7_frame", f"{_with(_C1)} SELECT site_id, min(x) AS x0, min(y) AS y0, m
 query("geo_scalars", f"{_with(_C1)}, t AS (SELECT a.site_id, a.n, a.x AS ux, a.y AS uy, b.x AS vx, b.y AS vy, c.x AS sx, c.y AS sy FROM v a JOIN v b ON b.site_id = a.site_id AND b.n = -1 JOIN v c ON c.site_id = a.site_id AND c.n = -2 WHERE a.n >= 0) SELECT site_id, n, {_turn('u', 'v', 's')} AS turn, {_turn('u', 'v', 's')} > 0 AS ccw, round(abs({_turn('v', 's', 'u')}) / sqrt((vx - sx) * (vx - sx) + (vy - sy) * (vy - sy)), 3) AS line, round(atan2((vx - ux) * (sy - uy) - (vy - uy) * (sx - ux), (vx - ux) * (sx - ux) + (vy - uy) * (sy - uy)), 6) AS angle, round(CASE WHEN {_turn('u', 'v', 's')} <> 0 THEN greatest((ux - vx) * (ux - vx) + (uy - vy) * (uy - vy), (vx - sx) * (vx - sx) + (vy - sy) * (vy - sy), (sx - ux) * (sx - ux) + (sy - uy) * (sy - uy)) * 0.8660254037844386 / abs({_turn('u', 'v', 's')}) END, 3) AS aspect FROM t")(lambda spark, v, d: _scalars(v))
 query("geo11_opposite_sides", f"{_with(_C1)} SELECT v.site_id, max(sign({_turn('a.', 'b.', 'v.')})) > 0 AND min(sign({_turn('a.', 'b.', 'v.')})) < 0 AS opposite FROM v JOIN v a ON a.site_id = v.site_id AND a.n = -1 JOIN v b ON b.site_id = v.site_id AND b.n = -2 WHERE v.n >= 0 GROUP BY v.site_id")(lambda spark, v, d: _opposite(v))
 query("src3_degrees", "SELECT * FROM (VALUES (0, 11.372216666666667), (1, -44.92776666666667), (2, NULL), (3, -7.5)) t(k, degrees)")(lambda spark, v, d: spark.createDataFrame([(0, "11°22.333'N"), (1, "44°55.666'W"), (2, "north"), (3, "7°30'S")], "k int, t string").select("k", coordinates.degrees(F.col("t")).alias("degrees")))
-query("src4_utm")(lambda spark, v, d: _utm(spark))
 query("src16_lattice", "SELECT i, j, 100 * (2 * i + j) AS x2, 100 * j AS y3 FROM range(-40, 41) a(i), range(-40, 41) b(j) WHERE (100 * (2 * i + j)) * (100 * (2 * i + j)) + 3 * (100 * j) * (100 * j) <= 4 * 1000 * 1000")(lambda spark, v, d: synthetic.lattice(spark, 1000, 100))
 query("src17_poisson_disc", f"{_with(_C1)} SELECT DISTINCT site_id, CAST(0 AS BIGINT) AS too_close, CAST(0 AS BIGINT) AS outside FROM v")(lambda spark, v, d: _poisson(v))
-query("src18_terminal_count", "SELECT CAST(u AS BIGINT) AS k, CAST(least(200, floor(pow(pow(10.0, -0.5) + u / 100.0 * (pow(201.0, -0.5) - pow(10.0, -0.5)), -2))) AS BIGINT) AS terminals FROM range(0, 100) t(u)")(lambda spark, v, d: spark.range(100).select(F.col("id").alias("k"), synthetic.terminal_count(F.col("id") / 100.0, 10, 200, 1.5).alias("terminals")))
 query("snk3_node_sets", f"{_with(_C1)} SELECT site_id, sha256(string_agg(n || ':' || x || ':' || y, ';' ORDER BY n)) AS digest, count(*) FILTER (WHERE n >= 0) AS T, count(*) FILTER (WHERE n < 0) AS R FROM v GROUP BY site_id")(lambda spark, v, d: store.node_sets(v))
 query("snk1_store_roundtrip", f"{_LOADS} SELECT site_id, count(*) AS terminals, CAST(sum(length) AS BIGINT) AS length, CAST(0 AS BIGINT) AS added_again FROM len GROUP BY site_id")(lambda spark, v, d: _stored(spark, v))
-query("snk11_drawing", f"{_with(_C1)} SELECT site_id, count(*) AS dots, count(*) FILTER (WHERE n >= 0) AS lines FROM v GROUP BY site_id")(lambda spark, v, d: store.drawing(trees.seed_forest(v), v).select("site_id", F.regexp_count("svg", F.lit("<circle ")).cast("long").alias("dots"), F.regexp_count("svg", F.lit("<line ")).cast("long").alias("lines")))
 query("sf3_log_parse", "SELECT * FROM (VALUES (0, 4.5, 120.25), (1, NULL, NULL)) t(k, seconds, cost)")(lambda spark, v, d: _log(spark))
 query("top3_best_merge", f"{_with(*_BASE, _KNN)}, m AS (SELECT e.site_id, d.n, e.u, e.v, sqrt(CAST(e.l2 AS DOUBLE)) AS w, d.d2 FROM e JOIN near d ON d.site_id = e.site_id AND (d.n = e.u OR d.n = e.v) WHERE e.u >= 0), k AS (SELECT q.*, row_number() OVER (PARTITION BY site_id, n ORDER BY w, u, v) AS r1, row_number() OVER (PARTITION BY site_id, n ORDER BY round_even(20 * w / mw, 0), d2x, u, v) AS r3 FROM (SELECT m.*, min(w) OVER (PARTITION BY m.site_id, m.n) AS mw, least(a.d2, b.d2) AS d2x FROM m JOIN near a ON a.site_id = m.site_id AND a.n = m.u JOIN near b ON b.site_id = m.site_id AND b.n = m.v) q) SELECT a.site_id, a.n, a.u AS u2, a.v AS v2, b.u AS u3, b.v AS v3 FROM k a JOIN k b ON a.site_id = b.site_id AND a.n = b.n AND a.r1 = 1 AND b.r3 = 1")(lambda spark, v, d: _merges(v))
-query("flagship_route_costs")(lambda spark, v, d: flagship.route_costs(spark, d))
 
 _EXPECT = f"{_with(_C1)}, t AS (SELECT site_id, count(*) AS t FROM v WHERE n >= 0 GROUP BY site_id), g(method) AS (VALUES {{0}}), c(capacity) AS (VALUES (3), (5), (8)) SELECT site_id, method, capacity, CAST(0 AS BIGINT) AS missing, t AS links, CAST(0 AS BIGINT) AS overloads, {{1}} FROM t, g, c"
 
@@ -143,45 +137,8 @@ def _instances(name: str, methods: list[str], columns: dict[str, str]) -> None:
 
 
 _ZERO = "CAST(0 AS BIGINT)"
-_instances("ew1_presolver", ["presolver"], {"crossings": _ZERO})
-query("ew2_classic", _EXPECT.replace(", {1}", "").format("('classic')"))(lambda spark, v, d: solvers.check(solvers.solve(v, ["classic"], [3, 5, 8]), v).select("site_id", "method", "capacity", "missing", "links", "overloads"))
-_instances("ew3_crossing_preventing", ["crossing_preventing"], {"crossings": _ZERO})
-_instances("ew4_non_branching", ["non_branching"], {"crossings": _ZERO, "branchings": _ZERO})
-_instances("ew5_obstacle_bypassing", ["obstacle_bypassing"], {"crossings": _ZERO})
 _instances("vr1_routes", ["routes"], {"branchings": _ZERO})
 _instances("rp1_repair", ["routes_repaired"], {"branchings": _ZERO})
-query("ew7_costs")(lambda spark, v, d: solvers.check(solvers.solve(v, ["presolver", "non_branching"], [5]), v))
-query("pf2_detours")(lambda spark, v, d: solvers.route_detours(solvers.solve(v, ["presolver"], [5]), v))
-query("ml1_exact_small", f"{_with(_C1)} SELECT DISTINCT site_id, capacity, CAST(0 AS BIGINT) AS worse FROM v, (VALUES (2), (3)) c(capacity)")(lambda spark, v, d: _exact(v))
-
-
-def _forest_property(v: DataFrame) -> DataFrame:
-    """Edges of the forest, and triangulation edges that would shorten it (there must be none)."""
-    import numpy as np
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, xy = mesh.site(pdf)
-        edges = {(min(a, b), max(a, b)) for t in K.delaunay(xy) for a, b in zip(t, t[1:] + t[:1], strict=True)}
-        forest = K.spanning_forest(ids, xy, edges)
-        adj: dict[int, list] = {}
-        for a, b in forest:
-            w = float(K.length(xy, a, b))
-            adj.setdefault(a, []).append((b, w))
-            adj.setdefault(b, []).append((a, w))
-        longer = 0
-        for a, b in edges - {(min(e), max(e)) for e in forest}:
-            todo, seen = [(a, 0.0)], {a: 0.0}
-            while todo:
-                k, top = todo.pop()
-                for m, w in adj.get(k, ()):
-                    if m not in seen:
-                        seen[m] = max(top, w)
-                        todo.append((m, seen[m]))
-            longer += b in seen and seen[b] > float(K.length(xy, a, b)) + 1e-9
-        return pd.DataFrame([(pdf["site_id"].iloc[0], len(forest), int(np.int64(longer)))], columns=["site_id", "edges", "longer"])
-
-    return v.groupBy("site_id").applyInPandas(run, "site_id long, edges long, longer long")
 
 
 def _corner(v: DataFrame) -> DataFrame:
@@ -199,19 +156,16 @@ def _opposite(v: DataFrame) -> DataFrame:
     return _corner(v).groupBy("site_id").agg(G.opposite_sides(u, w, s).alias("opposite"))
 
 
-def _utm(spark: SparkSession) -> DataFrame:
-    rows = [("a", "T1 56°30.477'N 11°11.026'E\nT2 56°31.000'N 11°12.500'E"), ("b", "[54°02.000'S, 7°45.500'W]")]
-    out = coordinates.located(spark.createDataFrame(rows, "name string, text string"))
-    return out.withColumn("x", F.round("x", 3)).withColumn("y", F.round("y", 3))
-
-
 def _poisson(v: DataFrame) -> DataFrame:
-    f = polygons.frame(v).select("site_id", "x0", "y0", (F.col("x0") + F.col("w")).alias("x1"), (F.col("y0") + F.col("h")).alias("y1"))
-    p = synthetic.poisson_disc(f, 40, 1500)
+    """Points in a notched border with an obstacle, away from the roots: how many lie too close to another or to a root, or outside (there must be none)."""
+    border, hole = polygons.notched_border(v), polygons.box_obstacle(v)
+    roots = v.filter("n < 0").select("site_id", "x", "y")
+    p = synthetic.poisson_disc(border.unionByName(hole), roots, 40, 1500, 800)
     a, b = p.alias("a"), p.alias("b")
     near = a.join(b, F.expr("a.site_id = b.site_id AND a.n < b.n")).filter("(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < 1500 * 1500").groupBy(F.col("a.site_id").alias("site_id")).agg(F.count("*").alias("too_close"))
-    out = p.join(f, "site_id").groupBy("site_id").agg(F.count_if((F.col("x") < F.col("x0")) | (F.col("x") > F.col("x1")) | (F.col("y") < F.col("y0")) | (F.col("y") > F.col("y1"))).alias("outside"))
-    return out.join(near, "site_id", "left").select("site_id", F.coalesce("too_close", F.lit(0).cast("long")).alias("too_close"), "outside")
+    out = polygons.contains(p, border).groupBy("site_id").agg(F.count_if(~F.col("inside")).alias("outside"))
+    lost = p.join(polygons.clears(p, roots, 800), ["site_id", "n"], "left_anti").groupBy("site_id").agg(F.count("*").alias("lost"))
+    return out.join(near, "site_id", "left").join(lost, "site_id", "left").select("site_id", (F.coalesce("too_close", F.lit(0)) + F.coalesce("lost", F.lit(0))).cast("long").alias("too_close"), "outside")
 
 
 def _stored(spark: SparkSession, v: DataFrame) -> DataFrame:
@@ -250,15 +204,4 @@ def _merges(v: DataFrame) -> DataFrame:
     return first.select("site_id", "n", F.col("p.u").alias("u2"), F.col("p.v").alias("v2"), F.col("q.u").alias("u3"), F.col("q.v").alias("v3"))
 
 
-def _exact(v: DataFrame) -> DataFrame:
-    """On each six terminals of a site, with its roots: whether a heuristic is shorter than the exact forest for any (there must be none)."""
-    sets = v.filter("n >= 0").select("site_id", F.floor(F.col("n") / 6).alias("k")).distinct()
-    small = v.join(sets, "site_id").filter("n < 0 OR floor(n / 6) = k").select((F.col("site_id") * (1 << 20) + F.col("k")).alias("site_id"), "n", "x", "y")
-    s = solvers.check(solvers.solve(small, ["exact", "classic", "presolver", "routes"], [2, 3]), small)
-    least = s.groupBy("site_id", "capacity").agg(F.min(F.when(F.col("method") != "exact", F.col("length"))).alias("other"), F.min(F.when(F.col("method") == "exact", F.col("length"))).alias("exact"))
-    # Lengths are sums of rounded hops.
-    worse = least.select(F.floor(F.col("site_id") / (1 << 20)).cast("long").alias("site_id"), "capacity", F.when(F.col("other") + 10 < F.col("exact"), 1).otherwise(0).cast("long").alias("worse"))
-    return worse.groupBy("site_id", "capacity").agg(F.max("worse").alias("worse"))
-
-
-from . import more  # noqa: E402,F401  (registers its queries)
+from . import more, solutions, records  # noqa: E402,F401  (register their queries)

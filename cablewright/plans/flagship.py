@@ -1,4 +1,4 @@
-"""Presolver, loads and cable costs of every site at several capacities."""
+"""Routes, loads and cable costs of every site at several capacities."""
 
 from __future__ import annotations
 
@@ -17,10 +17,10 @@ def cables(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(CABLES), "cable long, capacity long, cost long")
 
 
-def route_costs(spark: SparkSession, sf_dir: str, capacities=(5, 8)) -> DataFrame:
+def route_costs(spark: SparkSession, sf_dir: str, capacities=(5, 8), method: str = "presolver") -> DataFrame:
     """site_id, capacity, terminals, gates, length, cost."""
     v = vertices(spark, sf_dir)
-    s = solvers.solve(v, ["presolver"], list(capacities))
+    s = solvers.solve(v, [method], list(capacities))
     # An instance is a site of its own to the tree operators.
     code = F.col("site_id") * 1000 + F.col("capacity")
     forest = s.select(code.alias("site_id"), "n", "parent", F.lit(0).cast("long").alias("root"))

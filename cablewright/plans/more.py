@@ -44,7 +44,6 @@ query("geo1_crossing_roots", f"{_with(_C1, _KNN, _QUAD, _PTS.format('qd'))} SELE
 query("geo8_line_distance", f"{_with(_C1, _KNN, _QUAD, _PTS.format('qd'))} SELECT site_id, u, v, round(abs({_turn('u', 'v', 's')}) / sqrt((ux - vx) * (ux - vx) + (uy - vy) * (uy - vy)), 3) AS distance FROM p4")(lambda spark, v, d: _quads(v).select("site_id", "u", "v", F.round(G.distance_to_line(_p()[2], _p()[0], _p()[1]), 3).alias("distance")))
 query("geo13_rotate", f"{_with(_C1)} SELECT site_id, n, round(x * cos(radians(30)) - y * sin(radians(30)), 3) AS x, round(x * sin(radians(30)) + y * cos(radians(30)), 3) AS y FROM v")(lambda spark, v, d: v.select("site_id", "n", *[F.round(c, 3).alias(k) for c, k in zip(G.rotate((F.col("x"), F.col("y")), F.lit(30)), "xy", strict=True)]))
 query("geo20_blockage", f"{_with(_C1, _KNN, _QUAD, _PTS.format('qd'))}, a AS (SELECT site_id, u, v, abs(atan2((ux - sx) * (vy - sy) - (uy - sy) * (vx - sx), (ux - sx) * (vx - sx) + (uy - sy) * (vy - sy))) AS arc FROM p4) SELECT site_id, u, v, round(pi() / (pi() - arc), 4) AS plain, round(pi() / (pi() - arc) + 4 * arc / pi(), 4) AS extra FROM a WHERE arc < pi() / 2")(lambda spark, v, d: _blockage(v))
-query("geo10_bunch_split")(lambda spark, v, d: _corner_split(v))
 query("geo18_rank_within", "SELECT CAST(r AS BIGINT) AS r, r BETWEEN 3 AND 6 AS inside, r <= 3 OR r >= 6 AS wrapped, r > 3 AND r < 6 AS strict FROM range(0, 10) t(r)")(lambda spark, v, d: spark.range(10).select(F.col("id").alias("r"), G.rank_within(F.col("id"), F.lit(3), F.lit(6), F.lit(False)).alias("inside"), G.rank_within(F.col("id"), F.lit(3), F.lit(6), F.lit(True)).alias("wrapped"), G.rank_within(F.col("id"), F.lit(3), F.lit(6), F.lit(False), False).alias("strict")))
 query("set1_edge_difference", f"{_with(*_BASE, _FOREST, _TRI, _FE, _DE)} SELECT site_id, u, v FROM fe EXCEPT SELECT site_id, u, v FROM de")(lambda spark, v, d: sets.difference(_forest_edges(v), _sides(v)))
 query("jn16_edges_present", f"{_with(*_BASE, _FOREST, _TRI, _FE, _DE)} SELECT site_id, u, v FROM fe INTERSECT SELECT site_id, u, v FROM de")(lambda spark, v, d: sets.present(_forest_edges(v), _sides(v)))
@@ -57,22 +56,18 @@ query("ml1_model_rows", f"{_with(_C1, _TRI, _TWO)}, av AS (SELECT DISTINCT site_
 query("ml2_model_incidence", f"{_with(_C1, _TRI, _TWO)}, av AS (SELECT DISTINCT site_id, u, v FROM sd UNION SELECT site_id, s, t FROM dg), ends AS (SELECT site_id, u AS n FROM av WHERE u >= 0 UNION ALL SELECT site_id, v FROM av WHERE u >= 0), own AS (SELECT site_id, n, count(*) + 2 AS size FROM ends GROUP BY site_id, n) SELECT site_id, family, count(*) AS \"rows\", CAST(sum(size) AS BIGINT) AS size FROM own, (VALUES ('outgoing'), ('flow')) g(family) GROUP BY site_id, family")(lambda spark, v, d: _model(v).filter("family IN ('outgoing', 'flow')").groupBy("site_id", "family").agg(F.count("*").alias("rows"), F.sum("size").alias("size")))
 query("src2_entries", "SELECT * FROM (VALUES ('a', 0, 'T1', '1.5', '2.5'), ('a', 1, NULL, '3', '4'), ('b', 0, 'X', '5', '-6')) t(k, seq, tag, a, b)")(lambda spark, v, d: spark.createDataFrame([("a", "T1 1.5, 2.5\n\n[3; 4]"), ("b", "  X (5 -6) ")], "k string, t string").select("k", F.posexplode(coordinates.entries(F.col("t"))).alias("seq", "e")).select("k", "seq", "e.tag", "e.a", "e.b"))
 query("src10_border", f"{_with(_C1)}, b AS (SELECT site_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM v GROUP BY site_id) SELECT site_id, s AS seq, CASE WHEN s IN (0, 3) THEN x0 ELSE x1 END AS x, CASE WHEN s < 2 THEN y0 ELSE y1 END AS y FROM b, (VALUES (0), (1), (2), (3)) t(s)")(lambda spark, v, d: polygons.box_border(v, 0).drop("poly_id"))
-query("src14_toy", "SELECT count(*) AS points, count(*) FILTER (WHERE k < 12) AS terminals FROM range(0, 13) t(k)")(lambda spark, v, d: synthetic.toy(spark).agg(F.count("*").alias("points"), F.count_if(F.col("n") >= 0).alias("terminals")))
 query("src15_convex_border", f"{_with(_C1, _TRI)} SELECT site_id, count(*) AS vertices FROM (SELECT site_id, u, v FROM sd GROUP BY site_id, u, v HAVING count(*) = 1) q GROUP BY site_id")(lambda spark, v, d: mesh.hull_edges(mesh.triangles(v)).groupBy("site_id").agg(F.count("*").alias("vertices")))
 query("snk10_coordinates", f"{_with(_C1)} SELECT site_id, string_agg(x || ' ' || y, ';' ORDER BY n < 0 DESC, CASE WHEN n < 0 THEN -n ELSE n END) AS points FROM v GROUP BY site_id")(lambda spark, v, d: v.groupBy("site_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((F.col("n") >= 0).alias("a"), F.abs("n").alias("b"), "x", "y"))), lambda p: F.concat_ws(" ", p["x"], p["y"])), ";").alias("points")))
 query("snk13_problem_file", f"{_with(_C1)} SELECT site_id, 'DIMENSION: ' || count(*) || chr(10) || 'CAPACITY: 5' || chr(10) || string_agg(n + 2 || ' ' || x || ' ' || y, chr(10) ORDER BY n) || chr(10) || 'EOF' AS problem FROM v WHERE n >= -1 GROUP BY site_id")(lambda spark, v, d: v.filter("n >= -1").groupBy("site_id").agg(F.count("*").alias("k"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "x", "y"))), lambda p: F.concat_ws(" ", p["n"] + 2, p["x"], p["y"])), "\n").alias("lines")).select("site_id", F.format_string("DIMENSION: %d\nCAPACITY: 5\n%s\nEOF", "k", "lines").alias("problem")))
-query("snk4_methods")(lambda spark, v, d: store.methods([("savings", {"capacity": 5, "gates_limit": 7}), ("savings", {"gates_limit": "given", "capacity": "5"}), ("exact", {})], spark))
 query("snk2_add_absent", "SELECT CAST(k AS BIGINT) AS k, CASE k WHEN 0 THEN 10 ELSE 0 END AS added FROM range(0, 2) t(k)")(lambda spark, v, d: _absent(spark, v))
 query("sf2_handle", "SELECT * FROM (VALUES ('horns_rev_1'), ('two_words'), ('plain')) t(handle)")(lambda spark, v, d: spark.createDataFrame([("!x!Horns Rev 1",), ("Two Words",), ("plain",)], "name string").select(X.handle(F.col("name")).alias("handle")))
 query("sf6_scalars", f"{_with(*_BASE)} SELECT site_id, n, root, round(sqrt(CAST(d2 AS DOUBLE)), 3) AS dist, CAST(ceil(d2 / 1000.0) AS BIGINT) AS up, CAST(floor(d2 / 1000.0) AS BIGINT) AS down, round(log10(d2), 6) AS mag FROM d")(lambda spark, v, d: joins.d2roots(v).select("site_id", "n", "root", F.round(F.hypot(F.sqrt(F.col("d2").cast("double")), F.lit(0.0)), 3).alias("dist"), F.ceil(F.col("d2") / 1000).alias("up"), F.floor(F.col("d2") / 1000).alias("down"), F.round(F.log10("d2"), 6).alias("mag")))
 query("sf7_arrays", "SELECT * FROM (VALUES (0, '1,2,4', '9,4,3,2,1', '4,3'), (1, '7', '7,3', '3')) t(k, without, turned, part)")(lambda spark, v, d: _arrays(spark))
 query("sf8_options", """SELECT * FROM (VALUES (0, '{"a":"1","b":"2"}')) t(k, options)""")(lambda spark, v, d: spark.createDataFrame([(0, {"b": "2", "a": "1", "secret": "x"})], "k int, o map<string,string>").select("k", X.options_json(F.col("o"), ["secret"]).alias("options")))
-query("prj9_node_tags")(lambda spark, v, d: v.select("site_id", "n", X.node_tag(F.col("n")).alias("tag")))
 query("prj6_site_only", f"{_with(*_BASE, _FOREST)} SELECT DISTINCT site_id, n FROM (SELECT site_id, n FROM f UNION ALL SELECT site_id, parent FROM f) q")(lambda spark, v, d: trees.degrees(trees.seed_forest(v)).select("site_id", "n"))
 query("prj1_lengths", f"{_LOADS} SELECT site_id, n, parent, length FROM len")(lambda spark, v, d: trees.lengths(trees.seed_forest(v).select("site_id", "n", "parent"), v))
 query("agg10_power", f"{_with(_C1)} SELECT site_id, CAST(sum(CASE WHEN n % 7 = 0 THEN 3 ELSE 1 END) AS BIGINT) AS power FROM v WHERE n >= 0 GROUP BY site_id")(lambda spark, v, d: v.filter("n >= 0").withColumn("power", F.when(F.col("n") % 7 == 0, F.lit(3))).groupBy("site_id").agg(F.sum(F.coalesce("power", F.lit(1))).alias("power")))
 query("agg13_least_rectangle", f"{_with(_C1, _TRI)}, h AS (SELECT q.site_id, b.x - a.x AS dx, b.y - a.y AS dy FROM (SELECT site_id, u, v FROM sd GROUP BY site_id, u, v HAVING count(*) = 1) q JOIN v a ON a.site_id = q.site_id AND a.n = q.u JOIN v b ON b.site_id = q.site_id AND b.n = q.v) SELECT site_id, min(area) AS area FROM (SELECT h.site_id, h.dx, h.dy, round((max(h.dx * v.x + h.dy * v.y) - min(h.dx * v.x + h.dy * v.y)) * 1.0 * (max(h.dx * v.y - h.dy * v.x) - min(h.dx * v.y - h.dy * v.x)) / (h.dx * h.dx + h.dy * h.dy)) AS area FROM h JOIN v USING (site_id) GROUP BY h.site_id, h.dx, h.dy) q GROUP BY site_id")(lambda spark, v, d: _rectangles(v))
-query("agg15_duplicates", f"{_with(_C1)} SELECT CAST(count(*) AS BIGINT) AS distinct_sites FROM (SELECT DISTINCT site_id FROM v) q")(lambda spark, v, d: store.node_sets(v.unionByName(v.withColumn("site_id", F.col("site_id") + 100))).dropDuplicates(["digest"]).agg(F.count("*").alias("distinct_sites")))
 query("win3_ring", f"{_with(_C1)}, b AS (SELECT site_id, min(x) - 500 AS x0, max(x) + 500 AS x1, min(y) - 500 AS y0, max(y) + 500 AS y1 FROM v GROUP BY site_id) SELECT site_id, 0 AS poly_id, s AS seq, CASE WHEN s IN (0, 3) THEN x0 ELSE x1 END AS x, CASE WHEN s < 2 THEN y0 ELSE y1 END AS y, CASE WHEN s IN (2, 3) THEN x0 ELSE x1 END AS tx, CASE WHEN s IN (0, 3) THEN y0 ELSE y1 END AS ty FROM b, (VALUES (0), (1), (2), (3)) t(s)")(lambda spark, v, d: polygons.sides(polygons.box_border(v)))
 query("win4_slices", f"{_with(*_BASE, _FOREST)}, g AS (SELECT site_id, root, count(*) AS k FROM f GROUP BY site_id, root) SELECT site_id, root, CAST(sum(k) OVER (PARTITION BY site_id ORDER BY root) AS BIGINT) AS upto FROM g")(lambda spark, v, d: trees.seed_forest(v).groupBy("site_id", "root").agg(F.count("*").alias("k")).select("site_id", "root", F.sum("k").over(Window.partitionBy("site_id").orderBy("root")).alias("upto")))
 query("top4_near_best", f"{_with(*_BASE, _KNN)}, m AS (SELECT e.site_id, q.n, e.u, e.v, e.l2, q.d2, min(e.l2) OVER (PARTITION BY e.site_id, q.n) AS least FROM e JOIN near q ON q.site_id = e.site_id AND (q.n = e.u OR q.n = e.v)) SELECT site_id, n, u, v FROM (SELECT *, row_number() OVER (PARTITION BY site_id, n ORDER BY greatest(u, v), l2) AS k FROM m WHERE l2 * 10000 <= least * 10404) q WHERE k = 1")(lambda spark, v, d: _near_best(v))
@@ -87,14 +82,6 @@ def _blockage(v: DataFrame) -> DataFrame:
     return e.select("site_id", "u", "v", F.round(G.blockage(F.col("arc")), 4).alias("plain"), F.round(G.blockage(F.col("arc"), True), 4).alias("extra"))
 
 
-def _corner_split(v: DataFrame) -> DataFrame:
-    """For each terminal with its tree neighbours: whether the site's roots see the others split by the corner."""
-    q = _quads(v)
-    p = v.filter("n >= 0").select("site_id", F.col("n").alias("m"), F.col("x").alias("px"), F.col("y").alias("py"))
-    j = q.join(p, "site_id").filter("m <> u AND m <> v")
-    return j.groupBy("site_id", "u", "v").agg(G.bunch_split(G.point("p"), _p()[0], _p()[2], _p()[1]).alias("split"))
-
-
 def _midpaths(v: DataFrame) -> DataFrame:
     """A made-up midpath, of node 0, for edges whose lower end is even."""
     return sets.oriented(_forest_edges(v)).filter("u % 2 = 0").withColumn("midpath", F.array(F.lit(0).cast("long")))
@@ -180,13 +167,6 @@ def _hindered(v: DataFrame) -> DataFrame:
 
 query("vr2_iterated", f"{_with(_C1)} SELECT site_id, CAST(0 AS BIGINT) AS missing, count(*) AS links, CAST(0 AS BIGINT) AS overloads, CAST(0 AS BIGINT) AS branchings FROM v WHERE n >= 0 GROUP BY site_id")(lambda spark, v, d: solvers.check(solvers.solve(v, ["routes_iterated"], [5]), v).select("site_id", "missing", "links", "overloads", "branchings"))
 query("ml5_pool_choice", f"{_with(_C1)} SELECT DISTINCT site_id, CAST(3 AS BIGINT) AS pool FROM v")(lambda spark, v, d: solvers.pool_choice(solvers.solve(v, ["presolver", "crossing_preventing", "non_branching"], [5]), v).select("site_id", "pool"))
-query("gr4_undetoured", f"{_with(_C1)} SELECT CAST(0 AS BIGINT) AS lost")(lambda spark, v, d: _undetoured(v))
-
-
-def _undetoured(v: DataFrame) -> DataFrame:
-    """Straight gates from the ways that the solution doesn't have (there must be none)."""
-    s = solvers.solve(v, ["presolver"], [5])
-    return solvers.undetoured(solvers.ways(s, v)).join(s, ["site_id", "method", "capacity", "n", "parent"], "left_anti").agg(F.count("*").alias("lost"))
 
 
 _AV = "av AS (SELECT DISTINCT site_id, u, v FROM sd UNION SELECT site_id, s, t FROM dg)"

@@ -18,6 +18,12 @@ def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("rn", rn).select(F.col("label").cast("long").alias("site_id"), F.when(F.col("rn") <= ROOTS, -F.col("rn")).otherwise(F.col("rn") - ROOTS - 1).cast("long").alias("n"), "x", "y")
 
 
+def instance(positions: DataFrame) -> DataFrame:
+    """Canonical vertices from positions (site_id, x, y, is_root): terminals from 0 and roots from -1 down, by x and then y."""
+    rn = F.row_number().over(Window.partitionBy("site_id", "is_root").orderBy("x", "y"))
+    return positions.select("site_id", F.when(F.col("is_root"), -rn).otherwise(rn - 1).cast("long").alias("n"), "x", "y")
+
+
 def terminals(v: DataFrame) -> DataFrame:
     return v.filter("n >= 0")
 

@@ -50,6 +50,30 @@ def read_sites(spark: SparkSession, path: str) -> DataFrame:
     return both.join(zones, "handle").withColumn("x", F.when(F.col("zones") == 1, F.col("x")).otherwise(F.raise_error(F.concat(F.lit("more than one UTM zone: "), F.col("handle"))).cast("double"))).drop("zone", "zones")
 
 
+def write_sites(vertices: DataFrame, folder: str) -> DataFrame:
+    """A YAML file with planar coordinates for each handle in `folder`; returns their paths. vertices: as `read_sites` gives them, but for tag."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        import pyarrow.fs as pafs
+
+        def lines(part: pd.DataFrame, indent: str) -> str:
+            return "".join(f"{indent}{float(x)!r} {float(y)!r}\n" for x, y in part.sort_values("seq")[["x", "y"]].itertuples(index=False))
+
+        name = pdf["handle"].iloc[0]
+        text = "COORDINATE_FORMAT: planar\n"
+        for key, section in (("EXTENTS", "border"), ("SUBSTATIONS", "root"), ("TURBINES", "terminal")):
+            text += f"{key}: |\n" + lines(pdf[pdf["section"] == section], "  ")
+        holes = pdf[pdf["section"] == "obstacle"].groupby("poly_id")
+        text += "OBSTACLES:\n" + "".join("  - |\n" + lines(part, "    ") for _, part in holes) if len(holes) else ""
+        fs, path = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(path, recursive=True)
+        with fs.open_output_stream(f"{path}/{name}.yaml") as f:
+            f.write(text.encode())
+        return pd.DataFrame({"path": [f"{folder}/{name}.yaml"]})
+
+    return vertices.groupBy("handle").applyInPandas(run, "path string")
+
+
 def numbered(vertices: DataFrame, site_id: str = "handle") -> DataFrame:
     """Canonical ids: terminals from 0, then border and obstacles, roots from -R to -1 in order."""
     from pyspark.sql import Window
@@ -64,7 +88,15 @@ def read_windio(spark: SparkSession, site_path: str, layout_path: str) -> DataFr
     """Nested descriptions (site with boundaries, layout with coordinates) as section, seq, x, y."""
     import yaml
 
-    load = lambda p: yaml.safe_load("\n".join(r.value for r in spark.read.text(p).collect()).replace("!include", ""))
+    def load(path: str):
+        """The document at `path`, with what it includes read from beside it. Descriptions are small files."""
+
+        class Loader(yaml.SafeLoader):
+            pass
+
+        Loader.add_constructor("!include", lambda loader, node: load(f"{path.rsplit('/', 1)[0]}/{loader.construct_scalar(node)}"))
+        return yaml.load("".join(r.value for r in spark.read.text(path, wholetext=True).collect()), Loader)
+
     site, farm = load(site_path), load(layout_path)
     farm = farm.get("wind_farm", farm)
     site = site.get("site", site)

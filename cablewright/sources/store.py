@@ -15,6 +15,36 @@ def folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/store/{uuid.uuid4().hex}"
 
 
+#: The store's tables.
+SCHEMAS = {
+    "nodesets": "site_id bigint, digest string, T bigint, R bigint",
+    "methods": "digest string, solver_name string, options string",
+    "machines": "name string, attributes string",
+    "routesets": "site_id bigint, nodes string, method string, capacity int, edges array<bigint>, length bigint, num_gates array<bigint>",
+}
+
+
+def create(spark: SparkSession, path: str) -> None:
+    """Empty tables where there are none yet."""
+    for table, ddl in SCHEMAS.items():
+        spark.createDataFrame([], ddl).write.mode("ignore").parquet(f"{path}/{table}")
+
+
+def machine(spark: SparkSession) -> DataFrame:
+    """The machine that drives this session, as a row of `machines`."""
+    import json
+    import platform
+
+    about = {"cores": spark.sparkContext.defaultParallelism, "master": spark.sparkContext.master}
+    return spark.createDataFrame([(platform.node(), json.dumps(about, sort_keys=True))], SCHEMAS["machines"])
+
+
+def stamped(rows: DataFrame) -> DataFrame:
+    """Rows with the time of writing, in UTC, as `timestamp`, where they have none."""
+    now = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
+    return rows.withColumn("timestamp", F.coalesce("timestamp", now) if "timestamp" in rows.columns else now)
+
+
 def node_sets(v: DataFrame) -> DataFrame:
     """site_id, digest (of the points in order), T, R."""
     points = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "x", "y"))), lambda p: F.concat_ws(":", p["n"], p["x"], p["y"])), ";")

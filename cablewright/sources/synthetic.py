@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def toy(spark: SparkSession) -> DataFrame:
     """Twelve terminals in three staggered rows about one root, as site 0."""
     i = F.col("id")
-    return spark.range(12).select(F.lit(0).cast("long").alias("site_id"), i.alias("n"), (i % 4 * 900 + i / 4 % 2 * 300).cast("long").alias("x"), (F.floor(i / 4) * 800).cast("long").alias("y")).unionByName(spark.range(1).select(F.lit(0).cast("long").alias("site_id"), F.lit(-1).cast("long").alias("n"), F.lit(1500).cast("long").alias("x"), F.lit(-700).cast("long").alias("y")))
+    return spark.range(12).select(F.lit(0).cast("long").alias("site_id"), i.alias("n"), (i % 4 * 900 + F.floor(i / 4) % 2 * 300).cast("long").alias("x"), (F.floor(i / 4) * 800).cast("long").alias("y")).unionByName(spark.range(1).select(F.lit(0).cast("long").alias("site_id"), F.lit(-1).cast("long").alias("n"), F.lit(1500).cast("long").alias("x"), F.lit(-700).cast("long").alias("y")))
 
 
 def lattice(spark: SparkSession, radius: int, spacing: int) -> DataFrame:
@@ -24,25 +24,43 @@ def lattice(spark: SparkSession, radius: int, spacing: int) -> DataFrame:
     return p.filter(F.col("x2") * F.col("x2") + 3 * F.col("y3") * F.col("y3") <= 4 * radius * radius)
 
 
-def terminal_count(u: Column, least: int, most: int, eta: float) -> Column:
-    """Inverse distribution: the count at share u of a density that falls with the power `eta` of the count."""
-    a, b = float(least) ** (1 - eta), float(most + 1) ** (1 - eta)
-    return F.least(F.lit(most), F.floor(F.pow(a + u * (b - a), F.lit(1 / (1 - eta))))).cast("long")
+def terminal_count(u: Column, least: int, most: int, eta: float, bound: float) -> Column:
+    """Inverse distribution: the terminal count at share u, where counts T have a density of 2 * sqrt(eta / pi / T) - bound.
 
+    eta is the share of the area that circles as wide as the least distance cover, bound that
+    distance's lower bound. With s the root of T, the mass up to T is 4 * c * s - bound * s**2.
+    """
+    c = float(np.sqrt(eta / np.pi))
+    mass = lambda t: 4 * c * float(np.sqrt(t)) - bound * t
+    low, high = mass(least - 0.4999999), mass(most + 0.5)
+    y = F.lit(low) + u * F.lit(high - low)
+    root = (F.lit(2 * c) - F.sqrt(F.lit(4 * c * c) - F.lit(bound) * y)) / F.lit(bound)
+    return F.rint(root * root).cast("long")
 
-def poisson_disc(sites: DataFrame, count: int, least: int, seed: int = 1, tries: int = 200) -> DataFrame:
-    """Up to `count` random points in each site's box (site_id, x0, y0, x1, y1), no two closer than `least`; a seed for each site."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
-        rng = np.random.default_rng([seed, int(r["site_id"])])
+def poisson_disc(borders: DataFrame, repellers: DataFrame, count: int, least: int, clear: int, seed: int = 1, tries: int = 200) -> DataFrame:
+    """Up to `count` random points in each site's polygons, no two closer than `least`, none closer than `clear` to a repeller.
+
+    borders: site_id, poly_id, seq, x, y; polygon 0 is the border, others are obstacles. repellers: site_id, x, y.
+    """
+    from ..operators.kernels import inside
+
+    def run(rings: pd.DataFrame, away: pd.DataFrame) -> pd.DataFrame:
+        if not len(rings):
+            return pd.DataFrame({"site_id": [], "n": [], "x": [], "y": []})
+        where = int(rings["site_id"].iloc[0])
+        rng = np.random.default_rng([seed, where])
+        polygons = {k: g.sort_values("seq")[["x", "y"]].to_numpy() for k, g in rings.groupby("poly_id")}
+        border, holes, far = polygons.pop(0), list(polygons.values()), away[["x", "y"]].to_numpy()
+        (x0, y0), (x1, y1) = border.min(axis=0), border.max(axis=0)
         got = np.zeros((0, 2), np.int64)
         for _ in range(count * tries):
-            p = np.array([rng.integers(r["x0"], r["x1"] + 1), rng.integers(r["y0"], r["y1"] + 1)])
-            if not len(got) or (((got - p) ** 2).sum(axis=1) >= least * least).all():
+            p = np.array([rng.integers(x0, x1 + 1), rng.integers(y0, y1 + 1)])
+            free = inside(border, p) and not any(inside(h, p) for h in holes)
+            if free and (((got - p) ** 2).sum(axis=1) >= least * least).all() and (((far - p) ** 2).sum(axis=1) >= clear * clear).all():
                 got = np.vstack([got, p])
             if len(got) == count:
                 break
-        return pd.DataFrame({"site_id": r["site_id"], "n": np.arange(len(got)), "x": got[:, 0], "y": got[:, 1]})
+        return pd.DataFrame({"site_id": where, "n": np.arange(len(got)), "x": got[:, 0], "y": got[:, 1]})
 
-    return sites.groupBy("site_id").applyInPandas(run, "site_id long, n long, x long, y long")
+    return borders.groupBy("site_id").cogroup(repellers.groupBy("site_id")).applyInPandas(run, "site_id long, n long, x long, y long")
