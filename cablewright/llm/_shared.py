@@ -64,7 +64,7 @@ def lower_ascii(c):
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected edges (u, v): a row (node, root) for each node.
 
     The root is the component's least node. Alternates the large-star and
@@ -87,15 +87,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     e = saved(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
-    for _ in range(most_rounds):
+    while True:
         old, e = e, saved(star(star(e, False), True), "edges")
         discard(old)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:
             break
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     out = e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
     out._saved_at = e._saved_at

@@ -140,7 +140,9 @@ def distinct_by_row(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
     """The distinct values of each row in ascending order, and the first one of each row."""
     n = len(first) - 1
     row = np.repeat(np.arange(n), np.diff(first))
-    order = np.lexsort((h, row)) if n > 1 else np.argsort(h, kind="stable")
+    order = np.argsort(h)
+    if n > 1:  # by row again: a radix sort, if the rows' numbers have 16 bits
+        order = order[np.argsort(row[order].astype(np.uint16 if n <= 1 << 16 else np.int64), kind="stable")]
     h, row = h[order], row[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])

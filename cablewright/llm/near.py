@@ -1,29 +1,39 @@
 """N-gram Jaccard join by count-vector R-trees.
 
 Each document becomes the set of its distinct k-word shingles. The sets' elements
-are hashed into `GROUPS` groups; the counts by group are a point, and the summed
-minima of two points bound the sets' intersection (`_rtree`). The work is laid out
-so that no group of rows grows without bound:
+are hashed into groups; the counts by group are a point, and the summed minima of
+two points bound the sets' intersection. The index is a forest of R-trees over these
+points, and every pair that it passes is verified:
 
 1. One pass gives each document its set's size, a 64-bit identity of the set and
-   its point; exact copies meet in one identity. The pass also sums a fixed-size
-   sketch of shingle frequencies.
-2. A second pass deals every set to blocks by its rarest shingles, as many as a
-   partner must share one of (the prefix principle): the order is by the sketch,
-   so passages that many documents share come last. Blocks of one set vanish.
-3. In each block the R-tree finds the pairs that pass the bound; blocks over
-   `CELL` sets are cut into cells, and pairs of cells go to tasks of their own.
-   Each task returns a spanning forest of its pairs, not the pairs.
-4. The forests' components hold every linked pair. A third pass fetches the sets
-   of documents in components of two or more, again in cells; there the R-tree's
-   pairs are verified exactly, but for pairs that verified links join already.
+   its point of up to `MOST_GROUPS` groups; exact copies meet in one identity. The
+   pass also sums a sketch of how frequent shingles are.
+2. The forest's roots are the finest groups, one for each 64-bit hash. By the bound
+   on summed minima, two sets that are linked share some roots among the rarest few of
+   either, so a second pass deals a set's point to those trees alone, the sketch
+   giving the order: passages that many documents share come last. Where no other
+   point of a fitting size has come, a point leaves its tree again; a set that stays in
+   fewer trees than it would share with the least set it could be linked with, leaves all.
+3. In each tree the nodes' maxima bound the overlap, and leaves are joined pair by
+   pair under the bound (`_rtree`). Trees over `CELL` points are cut into chunks
+   that share some pivots; a second round compares what isn't connected to the
+   tree's largest component by then with all chunks. Each task returns a spanning
+   forest of its pairs, not the pairs.
+4. The pairs' components hold every linked pair. A third pass fetches the sets of
+   documents in components of two or more, cut into chunks in the same way; there
+   the pairs of an R-tree over a component are verified exactly, but for pairs that
+   verified links join already.
 5. The verified links' components, by the least doc_id of their documents.
 
-Sets over 64-bit hashes stand for the shingles themselves.
+One tree over all points would not do: at a similarity of 0.8 or 0.9 the maxima of a
+node of unrelated points exceed every bound but that on sizes, so its join tests
+nearly all pairs of sets of like sizes. Sets over 64-bit hashes stand for the
+shingles themselves.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -32,19 +42,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._rtree import CountTree, Forest
-from ._shared import components, saved
+from ._rtree import FAN, CountTree, Forest
+from ._shared import batched, components, discard, saved
 
 #: Groups of shingle hashes: the dimensions of the points in the tree. Two unrelated sets of n
 #: elements differ by about sqrt(n * groups) in sum, and linked ones by less than a share of n, so
 #: points of larger sets have up to `MOST_GROUPS` finer groups, which pairs are tested by as well.
-GROUPS, MOST_GROUPS = 32, 256
-#: Counters of the frequency sketch, and the pieces in which it is summed.
-SKETCH, PIECES = 1 << 20, 64
-#: Sets that a cell of a large block, or of a large component, holds.
-CELL = 768
-#: Bits of the filter by which the third pass chooses documents.
-FILTER = 1 << 23
+GROUPS, MOST_GROUPS, PER_GROUP = 32, 256, 16
+#: Each of the sketch's two rows has a counter for so many shingles, within limits; and the pieces in which it is summed.
+LOAD, SKETCH_LEAST, SKETCH_MOST, PIECES = 256, 1 << 19, 1 << 22, 64
+#: Points of a tree that one task joins, at most, and elements of sets; pivots that the chunks of a larger tree share.
+CELL, ELEMENTS, PIVOTS = 768, 1 << 21, 32
+#: Points, and elements of sets, that a task gets on average.
+TASK_ROWS, TASK_ELEMENTS = 20_000, 1 << 21
+#: Bits for each set in the filter by which the third pass chooses documents, and the most: beyond, it lets more sets through.
+FILTER_BITS, FILTER_MOST = 128, 1 << 28
 
 
 def _set_of(h: np.ndarray) -> int:
@@ -57,7 +69,7 @@ def _set_of(h: np.ndarray) -> int:
 def _groups(n: int) -> int:
     """Groups of the point of a set of n elements."""
     g = GROUPS
-    while g < MOST_GROUPS and n >= 32 * g:
+    while g < MOST_GROUPS and n >= PER_GROUP * g:
         g *= 2
     return g
 
@@ -98,14 +110,27 @@ def _sets(batches, k: int):
                 yield batch, r, h[first[r - a] : first[r - a + 1]]
 
 
-def _profile(k: int):
+def _counters(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The counters of shingles in the two rows of a sketch."""
+    low = np.uint64(size - 1)
+    return ((h >> np.uint64(40)) & low).astype(np.int64), ((h >> np.uint64(8)) & low).astype(np.int64)
+
+
+def _profile(k: int, size: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sid", pa.int64()), ("point", pa.binary()), ("piece", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
         from pyspark import TaskContext
 
-        sketch = np.zeros(SKETCH, np.int64)
+        sketch = np.zeros((2, size), np.uint32)
+        held: list[np.ndarray] = []
+        waiting = 0
         rows: list[tuple] = []
+
+        def count():
+            for row, at in zip(sketch, _counters(np.concatenate(held), size), strict=True):
+                row += np.bincount(at, minlength=size).astype(np.uint32)
+            held.clear()
         ids, last = None, None
 
         def flush():
@@ -118,7 +143,11 @@ def _profile(k: int):
             if batch is not last:
                 ids, last = batch.column("doc_id").to_pylist(), batch
             if len(h):
-                np.add.at(sketch, (h >> np.uint64(44)).astype(np.int64), 1)
+                held.append(h)
+                waiting += len(h)
+                if waiting >= size:
+                    count()
+                    waiting = 0
                 rows.append((ids[r], len(h), _set_of(h), _point(h)))
             else:
                 rows.append((ids[r], 0, None, None))
@@ -126,6 +155,8 @@ def _profile(k: int):
                 yield flush()
         if rows:
             yield flush()
+        if held:
+            count()
         if sketch.any():
             part = TaskContext.get().partitionId()
             for piece, c in enumerate(sketch.reshape(PIECES, -1)):
@@ -135,27 +166,44 @@ def _profile(k: int):
 
 
 def _summed(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in table.column("counts").to_pylist())
-    return pa.table({"piece": table.column("piece")[:1], "part": table.column("part")[:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+    total = 0
+    for x in table.column("counts"):
+        c = np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
+        total = np.minimum(c + np.int64(0) + total, (1 << 32) - 1)
+    return pa.table({"piece": table.column("piece")[:1], "part": table.column("part")[:1], "counts": pa.array([zlib.compress(total.astype(np.uint32).tobytes(), 1)], pa.binary())})
 
 
-def _levels(profile: DataFrame) -> np.ndarray:
-    """The sketch as quarter-octave levels, one byte for each counter: at most `SKETCH` bytes reach the driver and the executors."""
+def _levels(profile: DataFrame, size: int) -> np.ndarray:
+    """The sketch as quarter-octave levels, one byte for each counter: 2 * `SKETCH_MOST` bytes at most reach the driver and the executors."""
     schema = "piece int, part int, counts binary"
     rows = profile.filter("piece IS NOT NULL").select("piece", "part", "counts")
-    some = rows.withColumn("part", F.expr("pmod(part, 256)")).groupBy("piece", "part").applyInArrow(_summed, schema)
+    some = rows.withColumn("part", F.expr("cast(part div 256 AS int)")).groupBy("piece", "part").applyInArrow(_summed, schema)
     got = some.groupBy("piece").applyInArrow(_summed, schema).select("piece", "counts").collect()
-    total = np.zeros((PIECES, SKETCH // PIECES), np.int64)
+    total = np.zeros((PIECES, 2 * size // PIECES), np.uint32)
     for piece, counts in got:
-        total[piece] = np.frombuffer(zlib.decompress(counts), np.int64)
-    return np.minimum(255, np.floor(np.log2(total.ravel() + 1) * 4)).astype(np.uint8)
+        total[piece] = np.frombuffer(zlib.decompress(counts), np.uint32)
+    return np.floor(np.log2(total.ravel() + 1.0) * 4).astype(np.uint8).reshape(2, size)
+
+
+_DEALT = pa.schema([("key", pa.int64()), ("salt", pa.int32()), ("n", pa.int32()), ("sid", pa.int64()), ("short", pa.bool_())])
+
+
+def shared_roots(n: int, num: int, den: int) -> int:
+    """How many of its trees a set of n elements shares with any set that it is linked with and that is no smaller."""
+    return 1 + n * (den - num) // (4 * den)
 
 
-def _prefixes(k: int, num: int, den: int, levels):
-    schema = pa.schema([("key", pa.int64()), ("sid", pa.int64()), ("short", pa.bool_())])
+def _prefixes(k: int, num: int, den: int, levels, size: int):
+    """The trees that each set's point is dealt to.
+
+    Points of a tree that the sketch has for much larger than its counters' mean are dealt by a salt, too.
+    """
 
     def run(batches):
         level = levels.value
+        step = 2.0 ** ((np.arange(256)) / 4)
+        most_rows = max(4 * CELL, 16 * step[int(np.median(level))])
+        salts = np.where(step > most_rows, np.ceil(step / most_rows), 1).astype(np.int64)
         seen: set[int] = set()
         out: list[tuple] = []
         held = 0
@@ -164,59 +212,136 @@ def _prefixes(k: int, num: int, den: int, levels):
             if not n or (sid := _set_of(h)) in seen:
                 continue
             seen.add(sid)
-            most = n - -(-num * n // den) + 1
-            short = n - -(-2 * num * n // (num + den)) + 1
-            lv = level[(h >> np.uint64(44)).astype(np.int64)]
+            # Sets with an intersection of x or more share r of their first n - x + r elements in any one order.
+            r = shared_roots(n, num, den)
+            most = min(n, n - -(-num * n // den) + r)
+            short = n - -(-2 * num * n // (num + den)) + r
+            i, j = _counters(h, size)
+            lv = np.minimum(level[0][i], level[1][j])
             if most < n:  # only the ranks up to `most` are sorted
                 edge = np.partition(lv, most - 1)[most - 1]
                 near = np.flatnonzero(lv <= edge)
                 h, lv = h[near], lv[near]
-            take = h[np.argsort(lv, kind="stable")[:most]]
-            out.append((take.view(np.int64), sid, short))
+            take = np.argsort(lv, kind="stable")[:most]
+            of = salts[lv[take]]
+            out.append((h[take].view(np.int64), np.where(of > 1, (sid & 0x7FFFFFFF) % of, -1).astype(np.int32), n, sid, short))
             held += len(take)
             if held >= 65536:
-                yield _rows(out, schema)
+                yield _rows(out)
                 out, held = [], 0
         if out:
-            yield _rows(out, schema)
+            yield _rows(out)
 
     return run
 
 
-def _rows(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    n = [len(x[0]) for x in out]
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    m = [len(x[0]) for x in out]
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.concatenate([x[0] for x in out])),
-            pa.array(np.repeat(np.array([x[1] for x in out], np.int64), n)),
-            pa.array(np.concatenate([np.arange(m) < x[2] for m, x in zip(n, out, strict=True)])),
+            pa.array(np.concatenate([x[1] for x in out])),
+            pa.array(np.repeat(np.array([x[2] for x in out], np.int32), m)),
+            pa.array(np.repeat(np.array([x[3] for x in out], np.int64), m)),
+            pa.array(np.concatenate([np.arange(c) < x[4] for c, x in zip(m, out, strict=True)])),
         ],
-        schema=schema,
+        schema=_DEALT,
     )
 
 
-def _cells(rows: DataFrame, block: str, count: str) -> DataFrame:
-    """Rows with the task they go to: blocks of up to `CELL` by a hash of the block, larger ones by pairs of cells.
+def _meeting(num: int, den: int):
+    """Of rows in the order of key, salt, n and sid, those that stand beside another set of a fitting size in their tree.
 
-    `task` deals small blocks to 1024 tasks and every pair of cells to its own.
+    Of the sizes that fit a set's, its neighbours' are the nearest, so only these are looked at.
+    Rows with a salt stay: their tree goes on elsewhere.
     """
-    cells = F.ceil(F.col(count) / CELL).cast("int")
-    rows = rows.withColumn("cells", cells).withColumn("cell", F.expr("pmod(xxhash64(sid), cells)").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    rows = rows.withColumn("low", F.least("cell", "other")).withColumn("high", F.greatest("cell", "other"))
-    small = F.expr(f"pmod(xxhash64({block}), 1024)")
-    return rows.withColumn("task", F.when(F.col("cells") == 1, small).otherwise(F.xxhash64(block, "low", "high")))
 
+    def chosen(c: list[np.ndarray]) -> pa.RecordBatch:
+        key, salt, n, sid, short = c
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])
+        key, salt, n, sid, short = (x[new] for x in c)
+        fits = np.zeros(len(key) + 1, bool)  # rows k - 1 and k
+        fits[1:-1] = (key[1:] == key[:-1]) & (salt[1:] == salt[:-1]) & (n[:-1].astype(np.int64) * den >= n[1:].astype(np.int64) * num)
+        keep = fits[1:] | fits[:-1] | (salt >= 0)
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, salt, n, sid, short)], schema=_DEALT)
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            c = [batch.column(f.name).to_numpy(zero_copy_only=False) for f in _DEALT]
+            if not len(c[0]):
+                continue
+            c = [np.concatenate(x) for x in zip(held, c, strict=True)] if held else c
+            last = int(np.searchsorted(c[0], c[0][-1], "left"))  # the last key may go on in the next batch
+            if last:
+                yield chosen([x[:last] for x in c])
+            held = [x[last:] for x in c]
+        if held:
+            yield chosen(held)
 
-def _blocks(table: pa.Table, block: str):
-    """The rows of each block (and pair of cells) of a task."""
-    b = np.stack([table.column(c).to_numpy().astype(np.int64) for c in (block, "low", "high")])
+    return run
+
+
+def _linked(light: DataFrame, whole_rows, run, elements: bool) -> DataFrame:
+    """Edges (u, v) by which `run` connects the rows of each block, in two rounds.
+
+    light: block, c (its sets), e (their elements), sid, n; whole_rows adds what run reads to some of these rows.
+
+    Blocks over `CELL` sets, or over `ELEMENTS` elements if these are what a task holds, are cut into
+    chunks that some pivots belong to besides, as many on average as `PIVOTS`. The second round takes
+    a cut block's sets outside its largest component so far, if there are any, against all its sets.
+    """
+    size = F.greatest(F.col("c") / CELL, F.col("e") / ELEMENTS) if elements else F.col("c") / CELL
+    light = light.withColumn("chunks", F.ceil(size).cast("int"))
+    total = light.agg(F.count("*"), F.sum(F.col("n").cast("long")), F.max("chunks")).first()
+    tasks = max(1, -(-(total[1] or 0) // TASK_ELEMENTS) if elements else -(-total[0] // TASK_ROWS), light.sparkSession.sparkContext.defaultParallelism)
+    own = lambda n, seed: F.expr(f"cast(pmod(xxhash64(sid, block, {seed}), {n}) AS int)")
+    every = F.sequence(F.lit(0), F.col("chunks") - 1)
+    pivot = F.expr("pmod(xxhash64(sid, block, 0), c)") < PIVOTS
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.drop("c", "e", "chunks").withColumn("task", F.expr(f"pmod(xxhash64(block, a, b), {tasks})")).groupBy("task").applyInArrow(run, "u long, v long")
+
+    once = F.explode(F.when((F.col("chunks") > 1) & pivot, every).otherwise(F.array(own("chunks", 1))))
+    edges = dealt(whole_rows(light).withColumn("a", once).withColumn("b", F.lit(0)).withColumn("r", F.col("sid")))
+    if (total[2] or 0) <= 1:
+        return edges
+    edges = saved(edges, "first")
+    cut = light.filter("chunks > 1").join(components(edges).select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("r", F.coalesce("root", "sid")).drop("root")
+    cut = saved(cut, "labelled")
+    most = cut.groupBy("block", "r").agg(F.count("*").alias("k")).groupBy("block").agg(F.max_by("r", F.struct("k", "r")).alias("main"), (F.sum("k") - F.max("k")).alias("rest")).filter("rest > 0")
+    most = saved(most, "most")
+    if most.isEmpty():
+        return edges
+    cut = whole_rows(saved(cut.join(most, "block"), "cut")).withColumn("parts", F.ceil(F.greatest(F.col("rest") / CELL, F.col("rest") * F.col("chunks") / F.col("c"))).cast("int"))
+    inside = cut.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("a", own("chunks", 1))
+    outside = cut.filter("r <> main").withColumn("a", F.explode(every)).withColumn("b", own("parts", 2))
+    both = inside.unionByName(outside).drop("main", "rest", "parts")
+    return edges.unionByName(dealt(both))
+
+
+def _blocks(table: pa.Table):
+    """The rows of each block and chunk of a task, a set once."""
+    b = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("sid", "b", "a", "block")])
     order = np.lexsort(b)
     b = b[:, order]
+    new = np.ones(len(order), bool)
+    new[1:] = (b[:, 1:] != b[:, :-1]).any(axis=0)
+    order, b = order[new], b[1:, new]
     edge = np.flatnonzero(np.concatenate([[True], (b[:, 1:] != b[:, :-1]).any(axis=0)])) if len(order) else np.zeros(0, np.int64)
     return order, edge, np.diff(np.append(edge, len(order)))
 
 
+def _started(r: np.ndarray) -> Forest:
+    """A forest in which rows of one component are joined."""
+    forest = Forest(len(r))
+    first: dict[int, int] = {}
+    for k, x in enumerate(r.tolist()):
+        forest.join(first.setdefault(x, k), k)
+    return forest
+
+
 def _forest(sid: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Table:
     """A star for each component of the pairs (a, b) of indices into sid: each node's edge to its root."""
     up = np.arange(len(sid))
@@ -240,33 +365,34 @@ def _candidates(num: int, den: int):
         size = n[first]
         fine = _fine([blobs[int(i)].as_py() for i in first], size)
         points = _coarse(fine)
-        order, edge, count = _blocks(table, "key")
+        root = table.column("r").to_numpy()
+        order, edge, count = _blocks(table)
         got: list[tuple] = []
 
         def test(i: np.ndarray, j: np.ndarray) -> None:
             """i, j: rows of the table."""
             ni, nj = n[i], n[j]
-            ok = np.where(ni == nj, short[i] | short[j], np.where(ni < nj, short[i], short[j])) & (np.minimum(ni, nj) * den >= np.maximum(ni, nj) * num)
+            ok = np.where(ni == nj, short[i] | short[j], np.where(ni < nj, short[i], short[j])) & (np.minimum(ni, nj) * den >= np.maximum(ni, nj) * num) & (root[i] != root[j])
             code = np.unique(np.minimum(at[i[ok]], at[j[ok]]) * len(sid) + np.maximum(at[i[ok]], at[j[ok]]))
             for k in range(0, len(code), 1 << 17):
                 a, b = np.divmod(code[k : k + (1 << 17)], len(sid))
                 need = -(-(num * (size[a] + size[b])) // (num + den))
                 ok = (np.minimum(points[a], points[b]).sum(axis=1) >= need) & (a != b)
-                large = np.flatnonzero(ok & (np.minimum(size[a], size[b]) >= 32 * GROUPS))
+                large = np.flatnonzero(ok & (np.minimum(size[a], size[b]) >= PER_GROUP * GROUPS))
                 ok[large] = [_close(fine[x], fine[y], z) for x, y, z in zip(a[large], b[large], need[large], strict=True)]
                 got.append((a[ok], b[ok]))
 
-        for m in np.unique(count[(count > 1) & (count <= 2 * 16)]):
+        for m in np.unique(count[(count > 1) & (count <= FAN)]):  # trees of one leaf, many at a time
             i, j = np.triu_indices(m, 1)
             begin = edge[count == m]
             step = max(1, (1 << 19) // len(i))
             for k in range(0, len(begin), step):
                 base = begin[k : k + step, None]
                 test(order[(base + i).ravel()], order[(base + j).ravel()])
-        for begin, m in zip(edge[count > 2 * 16], count[count > 2 * 16], strict=True):
+        for begin, m in zip(edge[count > FAN], count[count > FAN], strict=True):
             own = order[begin : begin + m]
             tree = CountTree(points[at[own]], n[own], num, den)
-            forest = Forest(len(own))
+            forest = _started(root[own])
             for a, b in tree.pairs():
                 ok = np.where(n[own[a]] == n[own[b]], short[own[a]] | short[own[b]], np.where(n[own[a]] < n[own[b]], short[own[a]], short[own[b]]))
                 need = tree.needed(n[own[a[ok]]], n[own[b[ok]]]).tolist()
@@ -288,46 +414,61 @@ def _fetch(k: int, wanted):
         seen: set[int] = set()
         ids: list[int] = []
         blobs: list[bytes] = []
+        held = 0
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], schema=schema)
+
         for _, _, h in _sets(batches, k):
             if not len(h) or (sid := _set_of(h)) in seen:
                 continue
-            slot = sid % FILTER
+            slot = sid % (8 * len(bits))
             if not bits[slot >> 3] >> (slot & 7) & 1:
                 continue
             seen.add(sid)
             ids.append(sid)
             blobs.append(h.tobytes())
-            if len(ids) >= 512:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], schema=schema)
-                ids, blobs = [], []
+            held += len(blobs[-1])
+            if held >= 1 << 20:
+                yield batch()
+                ids, blobs, held = [], [], 0
         if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], schema=schema)
+            yield batch()
 
     return run
 
 
 def _wanted(nodes: DataFrame) -> bytes:
-    """A filter of `FILTER` bits over the sids: a set bit may be another's, a clear bit is certain."""
-    slot = F.expr(f"pmod(sid, {FILTER})")
-    words = nodes.select((slot / 32).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(sid, {FILTER}) % 32 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    out = np.zeros(FILTER // 32, np.uint32)
-    for w, b in words.collect():  # FILTER / 32 rows at most
-        out[w] = b
-    return out.tobytes()
+    """A filter over the sids: a set bit may be another's, a clear bit is certain. `FILTER_MOST` bits at most reach the driver."""
+    count = nodes.count()
+    size = min(FILTER_MOST, max(1 << 16, 1 << (FILTER_BITS * count - 1).bit_length()))
+    piece = size // 64
+
+    def marked(table: pa.Table) -> pa.Table:
+        slot = table.column("slot").to_numpy()
+        bits = np.zeros(piece, bool)
+        bits[slot % piece] = True
+        return pa.table({"piece": pa.array([int(slot[0]) // piece], pa.int32()), "bits": pa.array([zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)], pa.binary())})
+
+    out = bytearray(size // 8)
+    slots = nodes.select(F.expr(f"pmod(sid, {size})").alias("slot")).distinct()
+    for p, bits in slots.groupBy(F.expr(f"cast(slot / {piece} AS int)").alias("piece")).applyInArrow(lambda t: marked(t), "piece int, bits binary").collect():
+        out[p * piece // 8 : (p + 1) * piece // 8] = zlib.decompress(bits)
+    return bytes(out)
 
 
 def _verified(num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
         sid, n = table.column("sid").to_numpy(), table.column("n").to_numpy().astype(np.int64)
-        blobs, sets = table.column("point"), table.column("hashes")
-        order, edge, count = _blocks(table, "cid")
+        blobs, sets, root = table.column("point"), table.column("hashes"), table.column("r").to_numpy()
+        order, edge, count = _blocks(table)
         links: list[tuple[int, int]] = []
         for begin, m in zip(edge[count > 1], count[count > 1], strict=True):
             own = order[begin : begin + m]
             h = [np.frombuffer(sets[int(i)].as_buffer(), np.uint64) for i in own]
             fine = _fine([blobs[int(i)].as_py() for i in own], n[own])
             tree = CountTree(_coarse(fine), n[own], num, den)
-            forest = Forest(m)
+            forest = _started(root[own])
             for a, b in tree.pairs():
                 need = tree.needed(n[own[a]], n[own[b]]).tolist()
                 for x, y, z in zip(a.tolist(), b.tolist(), need, strict=True):
@@ -357,27 +498,39 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     if not 0 < num <= den:
         raise ValueError("the similarity must be in (0, 1]")
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = saved(docs.mapInArrow(_profile(k), "doc_id long, n int, sid long, point binary, piece int, part int, counts binary"), "profile")
-    members = profile.filter("piece IS NULL").select("doc_id", "n", "sid", "point")
-    levels = spark.sparkContext.broadcast(_levels(profile))
-    rows = saved(docs.select("text").mapInArrow(_prefixes(k, num, den, levels), "key long, sid long, short boolean"), "prefixes")
-    shared = rows.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("b"), F.count("*").alias("c"), F.max("short").alias("s")).filter("a < b AND s").select("key", "c")
-    blocks = rows.join(shared, "key").groupBy("key", "sid").agg(F.max("short").alias("short"), F.max("c").alias("c"))
-    sets = members.filter("sid IS NOT NULL").groupBy("sid").agg(F.first("n").alias("n"), F.first("point").alias("point"))
-    blocks = _cells(blocks.join(sets, "sid"), "key", "c").select("task", "key", "low", "high", "sid", "n", "short", "point")
-    edges = blocks.groupBy("task").applyInArrow(_candidates(num, den), "u long, v long")
-    clusters = saved(components(edges).select(F.col("node").alias("sid"), F.col("root").alias("cid")), "clusters")
-    wanted = spark.sparkContext.broadcast(_wanted(clusters))
-    fetched = docs.select("text").mapInArrow(_fetch(k, wanted), "sid long, hashes binary").dropDuplicates(["sid"])
-    sized = clusters.join(clusters.groupBy("cid").agg(F.count("*").alias("c")), "cid").join(sets, "sid").join(fetched, "sid")
-    cells = _cells(sized, "cid", "c").select("task", "cid", "low", "high", "sid", "n", "point", "hashes")
-    links = cells.groupBy("task").applyInArrow(_verified(num, den), "u long, v long")
-    joined = saved(components(links), "components")
-    label = members.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least")).join(joined.withColumnRenamed("node", "sid"), "sid")
-    least = label.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = label.join(least, "root").select("sid", "component_id")
-    alone = members.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least"))
-    named = alone.join(named, "sid", "left").select("sid", F.coalesce("component_id", "least").alias("component_id"))
+    docs = batched(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = min(SKETCH_MOST, max(SKETCH_LEAST, 1 << math.ceil(math.log2(max(1, volume / 6 / LOAD)))))
+    profile = saved(docs.mapInArrow(_profile(k, size), "doc_id long, n int, sid long, point binary, piece int, part int, counts binary"), "profile")
+    members = profile.filter("piece IS NULL").select("doc_id", "n", "sid")
+    sets = saved(profile.filter("piece IS NULL AND sid IS NOT NULL").groupBy("sid").agg(F.first("n").alias("n"), F.first("point").alias("point"), F.min("doc_id").alias("least")), "sets")
+    levels = spark.sparkContext.broadcast(_levels(profile, size))
+    dealt = docs.select("text").mapInArrow(_prefixes(k, num, den, levels, size), "key long, salt int, n int, sid long, short boolean")
+    met = saved(dealt.repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "sid").mapInArrow(_meeting(num, den), "key long, salt int, n int, sid long, short boolean").select(F.col("key").alias("block"), "n", "sid", "short"), "met")
+    least = F.expr(f"1 + ((({num} * max(n) + {den - 1}) div {den}) * {den - num}) div {4 * den}")
+    some = met.groupBy("sid").agg(F.count("*").alias("trees"), least.alias("least")).filter("trees >= least").select("sid")
+    old, met = met, saved(met.join(some, "sid", "left_semi"), "met")
+    discard(old)
+    trees = met.groupBy("block").agg(F.count("*").alias("c"), F.sum(F.col("n").cast("long")).alias("e"), F.max("short").alias("any")).filter("c > 1 AND any").drop("any")
+    trees = met.join(trees, "block")
+    near = components(_linked(trees, lambda t: t.join(sets.select("sid", "point"), "sid"), _candidates(num, den), False))
+    clusters = saved(near.select(F.col("node").alias("sid"), F.col("root").alias("block")), "clusters")
+    discard(near)
+    sized = clusters.join(sets.select("sid", "n"), "sid")
+    sized = saved(sized.join(sized.groupBy("block").agg(F.count("*").alias("c"), F.sum(F.col("n").cast("long")).alias("e")), "block"), "sized")
+
+    def with_sets(t: DataFrame) -> DataFrame:
+        wanted = spark.sparkContext.broadcast(_wanted(t.select("sid").distinct()))
+        fetched = docs.select("text").mapInArrow(_fetch(k, wanted), "sid long, hashes binary").dropDuplicates(["sid"])
+        return t.join(sets.select("sid", "point"), "sid").join(fetched, "sid")
+
+    links = components(_linked(sized, with_sets, _verified(num, den), True))
+    joined = links.withColumnRenamed("node", "sid")
+    least = joined.join(sets.select("sid", "least"), "sid").groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written, so that the join with the members, where copies of one set can be many, stands alone and can be split.
+    named = saved(sets.select("sid", "least").join(joined.join(least, "root"), "sid", "left").select("sid", F.coalesce("component_id", "least").alias("component_id")), "named")
     out = members.join(named, "sid", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = saved(out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")), "near")
+    for table in (profile, sets, met, clusters, sized, links, named):
+        discard(table)
+    return out

@@ -97,7 +97,7 @@ def bucket_weights(docs: DataFrame, labels: DataFrame, most: int = MOST_TARGETS)
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most: int = MOST_TARGETS) -> DataFrame:
-    """The rule columns, llr (per n-gram) and kept of every row of docs, beside its own columns.
+    """The rule columns, llr (per n-gram) and kept of every row of docs, beside its own columns but those of the same names.
 
     kept is false if base_failed, else whether llr >= threshold. A null text counts as empty
     (its own column stays null); an empty text has llr 0 and fails the base rules. Without

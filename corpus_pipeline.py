@@ -17,7 +17,10 @@ SHINGLE, NUM, DEN = 5, 80, 100
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep, by row: every column as it was.
+
+    A null or empty text has too few words and goes; a null doc_id counts as unlabelled; repeated rows share their fate.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), "doc_id", "text")
     return quality.quality_filter(rows, labels).filter("kept").select("own.*")
@@ -43,17 +46,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated by a benchmark item."""
+    """Documents that aren't contaminated by a benchmark item, by row: a null or empty text has no word that could be and stays, as does a null doc_id."""
     return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled to the target weights of source, language and topic (a letter code: see `mixing`)."""
+    """Documents sampled to the target weights of source, language and topic (of the docs, or fitted: see `mixing`).
+
+    Nulls are names like others; a text without words has no weight and stays where its cell has none either. Rows of one doc_id and cell share their fate.
+    """
     return mixing.sample(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files, and where each document lies in them."""
+    """Token files, and where each document lies in them: a row for each row of docs. A null or empty text is the end id alone; null doc_ids come first."""
     return tokenfile.token_files(docs)
 
 
