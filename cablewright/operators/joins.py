@@ -72,11 +72,33 @@ def edge_root(v: DataFrame, edges: DataFrame) -> DataFrame:
     return e.join(r, "site_id").groupBy("site_id", "u", "v").agg(best).select("site_id", "u", "v", F.col("b.root").alias("root"))
 
 
+#: Rings of grid cells in which neighbours are looked for; what they leave open is looked for in the whole site.
+RINGS = (1, 4)
+
+
 def knn_edges(v: DataFrame, k: int = 4) -> DataFrame:
-    """Undirected edges from every point to its k nearest, ties by id."""
-    pairs = _pairs(v, before=False).filter("u <> v").withColumn("l2", G.d2(G.point("u"), G.point("v")))
+    """Undirected edges from every point to its k nearest, ties by id.
+
+    Candidates come from the cells around a point's own, of a grid whose cells hold k points on average. A
+    point is done with a ring if its k-th neighbour is no farther than the ring is wide; the others go on.
+    """
+    f = v.groupBy("site_id").agg(F.count("*").alias("k"), *[(F.max(c) - F.min(c)).cast("double").alias(c) for c in ("x", "y")])
+    f = f.select("site_id", F.greatest(F.lit(1e-9), F.sqrt(F.greatest("x", F.col("y") / 1000) * F.greatest("y", F.col("x") / 1000) * k / F.col("k"))).alias("side"))
+    cells = v.select("site_id", "n", "x", "y").join(f, "site_id").withColumn("gx", F.floor(F.col("x") / F.col("side"))).withColumn("gy", F.floor(F.col("y") / F.col("side")))
+    other = cells.select("site_id", "gx", "gy", F.col("n").alias("v"), F.col("x").alias("vx"), F.col("y").alias("vy"))
+    left = cells.select("site_id", "gx", "gy", "side", F.col("n").alias("u"), F.col("x").alias("ux"), F.col("y").alias("uy"))
     rank = F.row_number().over(Window.partitionBy("site_id", "u").orderBy("l2", "v"))
-    return pairs.withColumn("r", rank).filter(F.col("r") <= k).select("site_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "l2").distinct()
+    nearest = lambda pairs: pairs.filter("u <> v").withColumn("l2", G.d2(G.point("u"), G.point("v"))).withColumn("r", rank).filter(F.col("r") <= k)
+    found = None
+    for ring in RINGS:
+        about = lambda c: F.explode(F.sequence(F.col(c) - ring, F.col(c) + ring))  # noqa: B023, E731
+        got = nearest(left.withColumn("gx", about("gx")).withColumn("gy", about("gy")).join(other, ["site_id", "gx", "gy"]))
+        got = got.withColumn("far", F.max("l2").over(Window.partitionBy("site_id", "u"))).withColumn("have", F.count("*").over(Window.partitionBy("site_id", "u")))
+        got = got.filter((F.col("have") == k) & (F.col("far") <= F.pow(ring * F.col("side"), F.lit(2.0)))).select("site_id", "u", "v", "l2")
+        left = left.join(got.select("site_id", "u").distinct(), ["site_id", "u"], "left_anti")
+        found = got if found is None else found.unionByName(got)
+    rest = nearest(left.drop("gx", "gy").join(other.drop("gx", "gy"), "site_id")).select("site_id", "u", "v", "l2")
+    return found.unionByName(rest).select("site_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "l2").distinct()
 
 
 def with_points(edges: DataFrame, v: DataFrame, u: str = "u", w: str = "v") -> DataFrame:

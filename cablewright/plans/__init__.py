@@ -1 +1,3 @@
-"""Whole plans: the registered queries and their equivalents in SQL."""
+"""Registered queries and their SQL; the catalogue loads its parts in their order."""
+
+from . import catalogue  # noqa: F401

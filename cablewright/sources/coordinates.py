@@ -30,13 +30,13 @@ def utm_zone(lon: Column) -> Column:
     return (F.floor((lon + 180) / 6) + 1).cast("long")
 
 
-def utm(lat: Column, lon: Column) -> tuple[Column, Column]:
-    """Easting and northing in the longitude's zone, by Krueger's series to the third order; south of the equator 10,000 km are added."""
+def utm(lat: Column, lon: Column, zone: Column | None = None) -> tuple[Column, Column]:
+    """Easting and northing in the zone given, or else in the longitude's, by Krueger's series to the third order; south of the equator 10,000 km are added."""
     n = FLATTENING / (2 - FLATTENING)
     radius = RADIUS / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
     alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
     k = 2 * math.sqrt(n) / (1 + n)
-    phi, turn = F.radians(lat), F.radians(lon - (utm_zone(lon) * 6 - 183))
+    phi, turn = F.radians(lat), F.radians(lon - ((utm_zone(lon) if zone is None else zone) * 6 - 183))
     atanh = lambda x: F.lit(0.5) * F.log((1 + x) / (1 - x))
     t = F.sinh(atanh(F.sin(phi)) - k * atanh(k * F.sin(phi)))
     xi, eta = F.atan2(t, F.cos(turn)), atanh(F.sin(turn) / F.sqrt(1 + t * t))

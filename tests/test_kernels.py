@@ -45,7 +45,7 @@ def test_spanning_forest(seed):
 
 
 @pytest.mark.parametrize("seed", range(3))
-@pytest.mark.parametrize("options", [{}, {"gates_block": True}, {"path": True}, {"rootlust": 0.6}])
+@pytest.mark.parametrize("options", [{}, {"rule": "margin"}, {"rule": "bins", "gates_block": True}, {"path": True}, {"rootlust": 0.6}])
 def test_savings(seed, options):
     ids, xy = site(seed)
     parent = K.esau_williams(ids, xy, K.available(xy), 5, **options)
@@ -133,12 +133,69 @@ def test_a_long_catalogue_of_cables_loses_none(spark):
     assert {(r.load, r.cable, r.cost) for r in out.collect()} == {(1, 1, 20.0), (1500, 1500, 30000.0), (3000, None, None)}
 
 
-def test_exact_covers_every_terminal(spark, monkeypatch):
-    from cablewright.operators import solvers
-    from cablewright.plans import catalogue
+def test_exact_covers_every_terminal(spark):
+    from cablewright.plans import solutions
 
     v = spark.createDataFrame([(7, n, x, x * x % 91) for n, x in [(-1, 500), *[(k, 40 * k + 7) for k in range(8)]]], "site_id long, n long, x long, y long")
-    seen, own = [], solvers.solve
-    monkeypatch.setattr(solvers, "solve", lambda small, *a: seen.append(small) or own(small, *a))
-    assert {tuple(r) for r in catalogue._exact(v).collect()} == {(7, 2, 0), (7, 3, 0)}
-    assert {r.n for r in seen[0].collect()} == {-1, *range(8)}
+    got = {(r.site_id, r.k, r.capacity): r.cost for r in solutions._exact(v).collect()}
+    assert set(got) == {(7, k, c) for k in (0, 1) for c in (2, 3)}
+    rows = {r.n: (r.x, r.y) for r in v.collect()}
+    ids = [-1, 6, 7]
+    assert abs(got[7, 1, 2] - K.exact_forest(ids, np.array([rows[i] for i in ids]), 2)[0]) < 1e-3
+
+
+def test_predicates_are_exact_beyond_whole_numbers_of_64_bits():
+    xy = K.points(np.array([[0, 0], [200_000, 0], [0, 200_000], [150_000, 150_000]]))
+    assert K.in_circle(xy, 0, 1, 2, np.array([3]))[0] > 0
+    # A point on the circle, and ones that doubles alone can't tell from it.
+    far = 2.0**27
+    xy = K.points(np.array([[far, 0.5], [0.5 + far, 1.0], [far, 1.5], [far - 0.5, 1.0], [far - 0.5, 1.0 + 2.0**-40], [far - 0.5 + 2.0**-25, 1.0]]))
+    got = np.sign(K.in_circle(xy, 0, 1, 2, np.array([3, 4, 5]))).tolist()
+    assert got == [0, -1, 1]
+    line = K.points(np.array([[0.1, 0.1], [0.2, 0.2], [0.3, 0.3], [0.3, 0.1 + 0.2]]))
+    exact = [K._turn(*([__import__("fractions").Fraction(float(c)) for c in line[k]] for k in (0, 1, m))) for m in (2, 3)]
+    assert np.sign(K.orient(line, 0, 1, np.array([2, 3]))).tolist() == [np.sign(float(x)) for x in exact]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_coordinates_need_not_be_whole_or_small(seed):
+    ids, xy = site(seed, 30)
+    plain = (K.delaunay(xy), K.esau_williams(ids, xy, K.available(xy), 5))
+    for moved in (xy / 8.0, xy * 1024.0 + 6_000_000, xy * 1000):
+        assert (K.delaunay(moved), K.esau_williams(ids, K.points(moved), K.available(K.points(moved)), 5)) == plain
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rerouted_bears_every_terminal(seed):
+    ids, xy = site(seed)
+    parent = K.esau_williams(ids, xy, K.available(xy), 5, rule="margin")
+    ways, failed = K.detours(ids, xy, parent)
+    hops = K.rerouted(ids, parent, ways)
+    assert sum(load for _, b, load, _ in hops if b < 0) == 40 and max(load for _, _, load, _ in hops) <= 5
+    assert {a for a, _, _, kind in hops if kind != "detour"} | {w[0] for w in ways.values()} == {i for i in ids if i >= 0}
+
+
+def test_few_vehicles():
+    ids, xy = site(3, 24, 1)
+    routes = K.savings_routes(ids, xy, 8, vehicles=3)
+    assert len(routes) == 3 and sorted(k for r in routes for k in r) == [k for k, i in enumerate(ids) if i >= 0] and max(map(len, routes)) <= 8
+
+
+def test_pockets():
+    ring = [(0, 0), (10, 0), (10, 10), (6, 10), (5, 4), (4, 10), (0, 10)]
+    assert K.pockets(np.array(ring)) == [[2, 3, 4, 5, 6]]
+    assert K.pockets(np.array([(0, 0), (5, 0), (10, 0), (10, 10), (0, 10)])) == []
+
+
+def test_knn_beyond_the_rings(spark):
+    """A tight cluster, a lonely point and equal distances, against all pairs."""
+    from cablewright.operators.joins import knn_edges
+
+    rng = np.random.default_rng(5)
+    pts = [(1, n, int(x), int(y)) for n, (x, y) in enumerate(rng.integers(0, 40, (60, 2)))] + [(1, 60, 100_000, 5), (1, -1, 3, 90_000), (2, 0, 0, 0), (2, 1, 0, 7), (3, 0, 5, 5)]
+    v = spark.createDataFrame(pts, "site_id long, n long, x long, y long")
+    want = set()
+    for s, n, x, y in pts:
+        near = sorted(((x - a) ** 2 + (y - b) ** 2, m) for t, m, a, b in pts if t == s and m != n)[:4]
+        want |= {(s, min(n, m), max(n, m), d) for d, m in near}
+    assert {tuple(r) for r in knn_edges(v).collect()} == want

@@ -104,3 +104,98 @@ def test_stream_replay(spark, tmp_path):
     q.awaitTermination(120)
     want = {tuple(r) for r in replay.replay(log).collect()}
     assert {tuple(r) for r in spark.table("edges").collect()} == want and want
+
+
+def test_included_sections_are_read(spark, tmp_path):
+    from cablewright.sources import sites
+
+    (tmp_path / "site.yaml").write_text("boundaries: !include border.yaml\n")
+    (tmp_path / "border.yaml").write_text("polygons: [{x: [0, 4, 4], y: [0, 0, 3]}]\n")
+    (tmp_path / "farm.yaml").write_text("wind_farm:\n  layouts:\n    initial_layout:\n      coordinates: {x: [1, 2.5], y: [1, 0.5]}\n  electrical_substations:\n    coordinates: {x: [3], y: [1]}\n")
+    got = {(r.section, r.seq, r.x, r.y) for r in sites.read_windio(spark, f"file://{tmp_path}/site.yaml", f"file://{tmp_path}/farm.yaml").collect()}
+    assert got == {("border", 0, 0.0, 0.0), ("border", 1, 4.0, 0.0), ("border", 2, 4.0, 3.0), ("terminal", 0, 1.0, 1.0), ("terminal", 1, 2.5, 0.5), ("root", 0, 3.0, 1.0)}
+
+
+def test_records_of_the_store(spark, tmp_path):
+    from cablewright.sources import store
+
+    r = store.machine(spark).first()
+    assert r["name"] and '"cores"' in r["attributes"]
+    d = spark.createDataFrame([(1, None), (2, "2024-01-02 03:04:05")], "k int, t string").selectExpr("k", "cast(t as timestamp) AS timestamp")
+    out = {x.k: x.timestamp for x in store.stamped(d).collect()}
+    assert out[1] is not None and str(out[2]) == "2024-01-02 03:04:05"
+    assert store.stamped(d.select("k")).columns == ["k", "timestamp"]
+
+
+def test_logs_go_to_two_streams():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "from cablewright.logs import to_streams as t; t(); l = t(); l.info('low'); l.warning('high'); l.debug('none')"
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).resolve().parent.parent)
+    assert said.stdout == "INFO cablewright: low\n" and said.stderr == "WARNING cablewright: high\n"
+
+
+def _pbf(path, nodes, ways, dense=True):
+    """A small extract: nodes (id, lat, lon, tags), ways (id, refs, tags)."""
+    import struct
+    import zlib
+
+    def var(x):
+        out = b""
+        while True:
+            out += bytes([x & 0x7F | (0x80 if x > 0x7F else 0)])
+            x >>= 7
+            if not x:
+                return out
+
+    zig = lambda x: var(x << 1 if x >= 0 else (-x << 1) - 1)
+    num, raw = lambda n, x: var(n << 3) + var(x), lambda n, b: var(n << 3 | 2) + var(len(b)) + b
+    texts = [b""]
+
+    def code(s):
+        if s.encode() not in texts:
+            texts.append(s.encode())
+        return texts.index(s.encode())
+
+    def steps(xs):
+        return b"".join(zig(b - a) for a, b in zip([0, *xs], xs, strict=False))
+
+    grid = [(i, round(a * 1e7), round(o * 1e7), t) for i, a, o, t in nodes]
+    keys = lambda t: raw(2, b"".join(var(code(k)) for k in t)) + raw(3, b"".join(var(code(v)) for v in t.values()))
+    if dense:
+        marks = b"".join(b"".join(var(code(k)) + var(code(v)) for k, v in t.items()) + b"\0" for *_, t in grid)
+        group = raw(2, raw(1, steps([g[0] for g in grid])) + raw(8, steps([g[1] for g in grid])) + raw(9, steps([g[2] for g in grid])) + raw(10, marks))
+    else:
+        group = b"".join(raw(1, var(1 << 3) + zig(i) + keys(t) + var(8 << 3) + zig(a) + var(9 << 3) + zig(o)) for i, a, o, t in grid)
+    more = b"".join(raw(3, num(1, i) + keys(t) + raw(8, steps(refs))) for i, refs, t in ways)
+    block = raw(1, b"".join(raw(1, s) for s in texts)) + raw(2, group) + raw(2, more)
+    with open(path, "wb") as f:
+        for kind, body in ((b"OSMHeader", raw(1, b"")), (b"OSMData", num(2, len(block)) + raw(3, zlib.compress(block)))):
+            head = raw(1, kind) + num(3, len(body))
+            f.write(struct.pack(">I", len(head)) + head + body)
+
+
+def test_map_extracts(spark, tmp_path):
+    import numpy as np
+
+    from cablewright.sources import pbf
+
+    nodes = [(10, 54.5, 7.5, {"power": "generator", "ref": "A1"}), (11, 54.51, 7.52, {"power": "generator"}), (-3, 54.49, 7.49, {}), (20, 54.4, 7.4, {}), (21, 54.4, 7.6, {}), (22, 54.6, 7.6, {}), (23, 54.6, 7.4, {"man_made": "x"})]
+    ways = [(5, [20, 21, 22, 23, 20], {"power": "plant", "name": "farm"}), (6, [20, 21, 20], {"power": "substation"})]
+    paths = []
+    for dense in (True, False):
+        paths.append(f"file://{tmp_path}/{dense}.osm.pbf")
+        _pbf(paths[-1][7:], nodes, ways, dense)
+        got = {(r.kind, r.id): r for r in pbf.read_pbf(spark, paths[-1:]).collect()}
+        for i, a, o, t in nodes:
+            r = got["node", i]
+            assert abs(r.lat - a) < 1e-7 and abs(r.lon - o) < 1e-7 and r.tags == t
+        assert got["way", 5].refs == [20, 21, 22, 23, 20] and got["way", 6].tags == {"power": "substation"} and len(got) == 9
+    assert pbf.read_pbf(spark, paths).count() == 18
+    site = {(r.section, r.seq): r for r in pbf.assemble(pbf.read_pbf(spark, paths[:1])).collect()}
+    assert sorted(site) == [("border", 0), ("border", 1), ("border", 2), ("border", 3), ("root", 0), ("terminal", 0), ("terminal", 1)]
+    assert site["terminal", 0].tag == "A1" and 400_000 < site["terminal", 0].x < 410_000 and 6_030_000 < site["terminal", 0].y < 6_050_000
+    turned = np.array([[0, 0], [4, 0], [4, 2], [0, 2]]) @ np.array([[np.cos(0.3), np.sin(0.3)], [-np.sin(0.3), np.cos(0.3)]])
+    assert abs(pbf.landscape_angle(turned) - np.degrees(0.3)) < 1e-9
