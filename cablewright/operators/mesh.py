@@ -84,6 +84,39 @@ def exclusive_pairs(t: DataFrame, v: DataFrame) -> DataFrame:
     return own.unionByName(met)
 
 
+def flipped(t: DataFrame, d: DataFrame, links: DataFrame) -> DataFrame:
+    """The triangles once the diagonals among the links (site_id, u, v) have taken their sides' places.
+
+    Diagonals of one triangle cross, so links that don't cross flip no triangle twice.
+    """
+    used = d.join(links.select("site_id", F.least("u", "v").alias("s"), F.greatest("u", "v").alias("t")).distinct(), ["site_id", "s", "t"])
+    gone = used.select("site_id", "u", "v", F.explode(F.array("s", "t")).alias("w"))
+    corner = lambda x, y, z: F.array_sort(F.array(x, y, z))
+    gone = gone.select("site_id", corner("u", "v", "w").alias("k"))
+    new = used.select("site_id", F.explode(F.array(corner("s", "t", "u"), corner("s", "t", "v"))).alias("k"))
+    kept = t.select("site_id", corner("a", "b", "c").alias("k")).join(gone, ["site_id", "k"], "left_anti")
+    return kept.unionByName(new).select("site_id", *[F.col("k")[i].alias(c) for i, c in enumerate("abc")])
+
+
+def build(v: DataFrame) -> DataFrame:
+    """The mesh of each site as one table (site_id, kind, a, b, c, value): triangles, sides and diagonals with squared lengths, hull sides, pairs of edges
+    that exclude each other (a, b, c and value hold u, v, s, t), and the lengths of ways to roots in thousandths."""
+    t = triangles(v)
+    none = F.lit(None).cast("long")
+    e = available_edges(t, v)
+    parts = [
+        t.select("site_id", F.lit("triangle").alias("kind"), "a", "b", "c", none.alias("value")),
+        e.select("site_id", "kind", F.col("u").alias("a"), F.col("v").alias("b"), none.alias("c"), F.col("l2").alias("value")),
+        hull_edges(t).select("site_id", F.lit("hull").alias("kind"), F.col("u").alias("a"), F.col("v").alias("b"), none.alias("c"), none.alias("value")),
+        exclusive_pairs(t, v).select("site_id", F.lit("exclusive").alias("kind"), F.col("u").alias("a"), F.col("v").alias("b"), F.col("s").alias("c"), F.col("t").alias("value")),
+        root_distances(t, v).select("site_id", F.lit("way").alias("kind"), F.col("n").alias("a"), F.col("root").alias("b"), none.alias("c"), F.col("length").alias("value")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def spanning_forest(v: DataFrame) -> DataFrame:
     """Minimum spanning forest over the triangulation, a tree for each root."""
 

@@ -62,6 +62,18 @@ def expand(topology: DataFrame, available: DataFrame, first: int) -> DataFrame:
     return j.select("site_id", "edge_u", "edge_v", F.explode(hops).alias("h")).select("site_id", "h.*", "edge_u", "edge_v")
 
 
+def routeset(links: DataFrame, available: DataFrame, crossed: DataFrame) -> DataFrame:
+    """Each link n - parent of a topology with its kind: of the available edges, or rogue; gate, or tentative for a gate that crosses a link.
+
+    available: site_id, u, v, kind; crossed: site_id, n of such gates.
+    """
+    a = available.select("site_id", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "kind")
+    j = links.withColumn("a", F.least("n", "parent")).withColumn("b", F.greatest("n", "parent")).join(a, ["site_id", "a", "b"], "left")
+    j = j.join(crossed.select("site_id", "n", F.lit(True).alias("crossed")).distinct(), ["site_id", "n"], "left")
+    gate = F.when(F.col("crossed"), "tentative").otherwise("gate")
+    return j.select("site_id", "n", "parent", F.when(F.col("parent") < 0, gate).otherwise(F.coalesce("kind", F.lit("rogue"))).alias("kind"))
+
+
 def triples(paths: DataFrame) -> DataFrame:
     """Neighbouring points s, b, t of paths (site_id, path, seq, n)."""
     w = Window.partitionBy("site_id", "path").orderBy("seq")

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
 from . import kernels as K
 from .mesh import site
 
@@ -133,6 +134,17 @@ def routesets(solution: DataFrame, v: DataFrame) -> DataFrame:
     return _beside(solution, v).applyInPandas(run, "site_id long, method string, capacity int, n long, parent long, load long, kind string")
 
 
+def crossed_gates(solution: DataFrame, v: DataFrame) -> DataFrame:
+    """Gates of each instance that cross one of its links: site_id, method, capacity, n, parent."""
+    keys = ["site_id", "method", "capacity"]
+    p = v.select("site_id", "n", "x", "y")
+    ends = solution.join(p, ["site_id", "n"]).join(p.select("site_id", F.col("n").alias("parent"), F.col("x").alias("px"), F.col("y").alias("py")), ["site_id", "parent"])
+    gates = ends.filter("parent < 0").select(*keys, "n", "parent", F.col("x").alias("ux"), F.col("y").alias("uy"), F.col("px").alias("vx"), F.col("py").alias("vy"))
+    links = ends.filter("parent >= 0").select(*keys, F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("px").alias("tx"), F.col("py").alias("ty"))
+    met = gates.join(links, keys).filter(G.is_crossing(*(G.point(c) for c in "uvst"), touch=False))
+    return met.select(*keys, "n", "parent").distinct()
+
+
 def ways(solution: DataFrame, v: DataFrame) -> DataFrame:
     """The ways found for gates that crossed something: a row (instance, hook, nodes from the subtree to the root) for each."""
 

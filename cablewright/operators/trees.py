@@ -68,10 +68,11 @@ def degrees(forest: DataFrame) -> DataFrame:
 
 
 def lengths(forest: DataFrame, v: DataFrame) -> DataFrame:
-    """The forest with length, in thousandths of a unit, as a whole number."""
+    """The forest with length, in thousandths of a unit, as a whole number. Lengths that it has stay."""
     j = with_points(forest.drop("l2"), v, "n", "parent")
-    l2 = G.d2(G.point("n"), G.point("parent"))
-    return j.select(*[c for c in forest.columns if c != "l2"], F.round(F.sqrt(l2.cast("double")) * 1000).cast("long").alias("length"))
+    own = F.round(F.sqrt(G.d2(G.point("n"), G.point("parent")).cast("double")) * 1000).cast("long")
+    length = F.coalesce(F.col("length").cast("long"), own) if "length" in forest.columns else own
+    return j.select(*[c for c in forest.columns if c not in ("l2", "length")], length.alias("length"))
 
 
 def cabled(forest: DataFrame, v: DataFrame, cables: DataFrame) -> DataFrame:
@@ -104,6 +105,25 @@ def hooked_to_nearest(forest: DataFrame, v: DataFrame) -> DataFrame:
     return j.groupBy("site_id", "root", "subtree").agg(best).select("site_id", "root", "subtree", F.col("b.n").alias("hook"), F.col("b.d2").alias("d2"))
 
 
+def rehooked(forest: DataFrame, hooks: DataFrame) -> DataFrame:
+    """The forest with each subtree fed from its new hook (site_id, root, subtree, hook), and loads: links between the old hook and the new one turn round."""
+
+    def run(trees: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:
+        parent = dict(zip(trees["n"].tolist(), trees["parent"].tolist(), strict=True))
+        root = dict(zip(trees["n"].tolist(), trees["root"].tolist(), strict=True))
+        own = dict(parent)
+        for hook in chosen["hook"].tolist():
+            n, before = hook, parent[hook]
+            own[hook] = root[hook]
+            while before >= 0:
+                own[before] = n
+                n, before = before, parent[before]
+        loads = loads_of(own)
+        return pd.DataFrame([(trees["site_id"].iloc[0], n, root[n], p, loads[n][0]) for n, p in own.items()], columns=["site_id", "n", "root", "parent", "load"])
+
+    return forest.select("site_id", "n", "root", "parent").groupBy("site_id").cogroup(hooks.select("site_id", "hook").groupBy("site_id")).applyInPandas(run, "site_id long, n long, root long, parent long, load long")
+
+
 def hooked_to_head(forest: DataFrame, v: DataFrame) -> DataFrame:
     """As hooked_to_nearest, for subtrees that are paths, whose ends alone may be hooks."""
     l = tree_loads(forest)

@@ -65,7 +65,7 @@ query("sf6_scalars", f"{_with(*_BASE)} SELECT site_id, n, root, round(sqrt(CAST(
 query("sf7_arrays", "SELECT * FROM (VALUES (0, '1,2,4', '9,4,3,2,1', '4,3'), (1, '7', '7,3', '3')) t(k, without, turned, part)")(lambda spark, v, d: _arrays(spark))
 query("sf8_options", """SELECT * FROM (VALUES (0, '{"a":"1","b":"2"}')) t(k, options)""")(lambda spark, v, d: spark.createDataFrame([(0, {"b": "2", "a": "1", "secret": "x"})], "k int, o map<string,string>").select("k", X.options_json(F.col("o"), ["secret"]).alias("options")))
 query("prj6_site_only", f"{_with(*_BASE, _FOREST)} SELECT DISTINCT site_id, n FROM (SELECT site_id, n FROM f UNION ALL SELECT site_id, parent FROM f) q")(lambda spark, v, d: trees.degrees(trees.seed_forest(v)).select("site_id", "n"))
-query("prj1_lengths", f"{_LOADS} SELECT site_id, n, parent, length FROM len")(lambda spark, v, d: trees.lengths(trees.seed_forest(v).select("site_id", "n", "parent"), v))
+query("prj1_lengths", f"{_LOADS} SELECT site_id, n, parent, CASE WHEN n % 2 = 0 THEN -n ELSE length END AS length FROM len")(lambda spark, v, d: trees.lengths(trees.seed_forest(v).select("site_id", "n", "parent", F.when(F.col("n") % 2 == 0, -F.col("n")).alias("length")), v))
 query("agg10_power", f"{_with(_C1)} SELECT site_id, CAST(sum(CASE WHEN n % 7 = 0 THEN 3 ELSE 1 END) AS BIGINT) AS power FROM v WHERE n >= 0 GROUP BY site_id")(lambda spark, v, d: v.filter("n >= 0").withColumn("power", F.when(F.col("n") % 7 == 0, F.lit(3))).groupBy("site_id").agg(F.sum(F.coalesce("power", F.lit(1))).alias("power")))
 query("agg13_least_rectangle", f"{_with(_C1, _TRI)}, h AS (SELECT q.site_id, b.x - a.x AS dx, b.y - a.y AS dy FROM (SELECT site_id, u, v FROM sd GROUP BY site_id, u, v HAVING count(*) = 1) q JOIN v a ON a.site_id = q.site_id AND a.n = q.u JOIN v b ON b.site_id = q.site_id AND b.n = q.v) SELECT site_id, min(area) AS area FROM (SELECT h.site_id, h.dx, h.dy, round((max(h.dx * v.x + h.dy * v.y) - min(h.dx * v.x + h.dy * v.y)) * 1.0 * (max(h.dx * v.y - h.dy * v.x) - min(h.dx * v.y - h.dy * v.x)) / (h.dx * h.dx + h.dy * h.dy)) AS area FROM h JOIN v USING (site_id) GROUP BY h.site_id, h.dx, h.dy) q GROUP BY site_id")(lambda spark, v, d: _rectangles(v))
 query("win3_ring", f"{_with(_C1)}, b AS (SELECT site_id, min(x) - 500 AS x0, max(x) + 500 AS x1, min(y) - 500 AS y0, max(y) + 500 AS y1 FROM v GROUP BY site_id) SELECT site_id, 0 AS poly_id, s AS seq, CASE WHEN s IN (0, 3) THEN x0 ELSE x1 END AS x, CASE WHEN s < 2 THEN y0 ELSE y1 END AS y, CASE WHEN s IN (2, 3) THEN x0 ELSE x1 END AS tx, CASE WHEN s IN (0, 3) THEN y0 ELSE y1 END AS ty FROM b, (VALUES (0), (1), (2), (3)) t(s)")(lambda spark, v, d: polygons.sides(polygons.box_border(v)))
@@ -147,7 +147,12 @@ def _around(v: DataFrame) -> DataFrame:
 
 _BOX = "bx AS (SELECT site_id, CAST(floor(avg(x)) AS BIGINT) AS cx, CAST(floor(avg(y)) AS BIGINT) AS cy FROM v GROUP BY site_id), ob AS (SELECT site_id, cx + a * 300 AS sx, cy + b * 300 AS sy, cx + c * 300 AS tx, cy + g * 300 AS ty FROM bx, (VALUES (-1, -1, -1, 1), (-1, 1, 1, 1), (1, 1, 1, -1), (1, -1, -1, -1)) k(a, b, c, g))"
 query("mesh9_cut_edges", f"{_with(_C1, _KNN, _BOX)}, q AS (SELECT e.site_id, e.u, e.v, a.x AS ux, a.y AS uy, b.x AS vx, b.y AS vy, sx, sy, tx, ty FROM e JOIN v a ON a.site_id = e.site_id AND a.n = e.u JOIN v b ON b.site_id = e.site_id AND b.n = e.v JOIN ob ON ob.site_id = e.site_id) SELECT site_id, u, v, count(*) AS sides FROM q WHERE {_meet('u', 'v', 's', 't')} GROUP BY site_id, u, v")(lambda spark, v, d: obstacles.cut_edges(joins.knn_edges(v), v, polygons.box_obstacle(v)))
-query("mesh10_navigation_mesh", f"{_with(_C1)}, b AS (SELECT site_id, (max(x) - min(x) + 1000) * (max(y) - min(y) + 1000) AS a FROM v GROUP BY site_id) SELECT site_id, CAST(2 * a - 2 * 600 * 600 AS BIGINT) AS area2, CAST(0 AS BIGINT) AS lacking, CAST(0 AS BIGINT) AS in_holes FROM b")(lambda spark, v, d: obstacles.navigation_mesh(v, _around(v)).drop("triangles"))
+# A polygon with h holes, b corners on all rings and i points inside is cut into 2 * i + b + 2 * h - 2 triangles.
+_NOTCH = "nb AS (SELECT site_id, min(x) - 500 AS x0, max(x) + 500 AS x1, min(y) - 500 AS y0, max(y) + 500 AS y1 FROM v GROUP BY site_id), nm AS (SELECT *, CAST(floor((x0 + x1) / 2.0) AS BIGINT) AS xm, y1 - CAST(floor((y1 - y0) / 4.0) AS BIGINT) AS ym FROM nb)"
+_INNER = "ip AS (SELECT v.site_id, count(*) AS i FROM v JOIN bx USING (site_id) JOIN nm USING (site_id) WHERE NOT (x BETWEEN cx - 300 AND cx + 300 AND y BETWEEN cy - 300 AND cy + 300) {} GROUP BY v.site_id)"
+query("mesh10_navigation_mesh", f"{_with(_C1, _BOX, _NOTCH, _INNER.format(''))} SELECT site_id, 2 * i + 4 + 4 + 2 - 2 AS triangles, CAST(2 * (x1 - x0) * (y1 - y0) - 2 * 600 * 600 AS BIGINT) AS area2, CAST(0 AS BIGINT) AS lacking, CAST(0 AS BIGINT) AS in_holes FROM nm JOIN ip USING (site_id)")(lambda spark, v, d: obstacles.navigation_mesh(v, _around(v)))
+_IN_NOTCH = "AND NOT ((xm - x1) * (y - y1) - (ym - y1) * (x - x1) < 0 AND (x0 - xm) * (y - ym) - (y1 - ym) * (x - xm) < 0)"
+query("mesh10_concave_border", f"{_with(_C1, _BOX, _NOTCH, _INNER.format(_IN_NOTCH))} SELECT site_id, 2 * i + 5 + 4 + 2 - 2 AS triangles, CAST(2 * (x1 - x0) * (y1 - y0) - (x1 - x0) * (y1 - ym) - 2 * 600 * 600 AS BIGINT) AS area2, CAST(0 AS BIGINT) AS lacking, CAST(0 AS BIGINT) AS in_holes FROM nm JOIN ip USING (site_id)")(lambda spark, v, d: obstacles.navigation_mesh(v, polygons.notched_border(v).unionByName(polygons.box_obstacle(v))))
 query("mesh12_free_distances", f"{_with(*_BASE, _BOX)}, h AS (SELECT d.site_id, d.n, d.root, d2, x AS ux, y AS uy, rx AS vx, ry AS vy, sx, sy, tx, ty FROM d JOIN ob USING (site_id)) SELECT site_id, n, root, CASE WHEN bool_or({_meet('u', 'v', 's', 't')}) THEN true ELSE false END AS hindered, CAST(0 AS BIGINT) AS wrong FROM h GROUP BY site_id, n, root")(lambda spark, v, d: _hindered(v))
 query("ew5_around_obstacles", f"{_with(_C1)} SELECT site_id, count(*) FILTER (WHERE n >= 0) AS links, CAST(0 AS BIGINT) AS cut_links, CAST(0 AS BIGINT) AS cut_ways FROM v GROUP BY site_id")(lambda spark, v, d: obstacles.solve_around(v, _around(v), 5).drop("ways", "failed"))
 

@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import joins, mesh, solvers, trees
+from ..operators import mesh, sets, solvers, trees
 from . import flagship
-from .catalogue import _BASE, _C1, _TRI, _TWO, _meet, _with, query
+from .catalogue import _ANC, _BASE, _C1, _FOREST, _PAIRS, _PTS, _TRI, _TWO, _meet, _with, query
 
 CAPACITIES = (3, 5, 8)
 _AVAILABLE = "av AS (SELECT DISTINCT site_id, u, v FROM sd UNION SELECT site_id, s, t FROM dg)"
@@ -126,6 +126,24 @@ ll AS (SELECT g.site_id, g.capacity, a.x AS sx, a.y AS sy, b.x AS tx, b.y AS ty
 xg AS (SELECT DISTINCT gl.site_id, gl.capacity, n, parent FROM gl JOIN ll ON ll.site_id = gl.site_id AND ll.capacity = gl.capacity WHERE {_meet('u', 'v', 's', 't')})"""
 query("pf2_detours", f"{_with(*_savings('presolver', (5,)), _CROSSED, recursive=True)} SELECT site_id, count(*) AS gates, (SELECT count(*) FROM xg WHERE xg.site_id = gl.site_id) AS tentative, CAST(0 AS BIGINT) AS crossings FROM gl GROUP BY site_id")(lambda spark, v, d: solvers.route_detours(solvers.solve(v, ["presolver"], [5]), v).select("site_id", "gates", "tentative", "crossings"))
 query("gr4_undetoured", f"{_with(*_savings('presolver', (5,)), _CROSSED, recursive=True)} SELECT site_id, n, parent FROM xg")(lambda spark, v, d: solvers.undetoured(solvers.ways(solvers.solve(v, ["presolver"], [5]), v)).select("site_id", "n", "parent"))
+_KINDS = "ak AS (SELECT DISTINCT site_id, u, v, 'delaunay' AS kind FROM sd UNION ALL SELECT site_id, s, t, 'extended' FROM dg)"
+query("gr2_routeset", f"{_with(*_savings('presolver', (5,)), _CROSSED, _KINDS, recursive=True)} SELECT wk.site_id, wk.n, wk.parent, CASE WHEN wk.parent >= 0 THEN coalesce(kind, 'rogue') WHEN xg.n IS NOT NULL THEN 'tentative' ELSE 'gate' END AS kind FROM wk LEFT JOIN ak ON ak.site_id = wk.site_id AND ak.u = least(wk.n, wk.parent) AND ak.v = greatest(wk.n, wk.parent) LEFT JOIN xg ON xg.site_id = wk.site_id AND xg.n = wk.n")(lambda spark, v, d: _routeset(v))
+query("mesh15_flipped", f"""{_with(*_savings('presolver', (5,)), recursive=True)}, us AS (SELECT DISTINCT dg.* FROM dg JOIN wk ON wk.site_id = dg.site_id AND dg.s = least(wk.n, wk.parent) AND dg.t = greatest(wk.n, wk.parent) AND wk.parent >= 0),
+nw AS (SELECT site_id, list_sort([s, t, u]) AS k FROM us UNION ALL SELECT site_id, list_sort([s, t, v]) FROM us UNION ALL SELECT site_id, [a, b, c] FROM tri WHERE NOT EXISTS (SELECT 1 FROM us WHERE us.site_id = tri.site_id AND us.u IN (a, b, c) AND us.v IN (a, b, c) AND (us.s IN (a, b, c) OR us.t IN (a, b, c))))
+SELECT site_id, k[1] AS a, k[2] AS b, k[3] AS c FROM nw""")(lambda spark, v, d: _flipped(v))
+
+
+def _routeset(v: DataFrame) -> DataFrame:
+    s = solvers.solve(v, ["presolver"], [5])
+    return sets.routeset(s.select("site_id", "n", "parent"), mesh.available_edges(mesh.triangles(v), v), solvers.crossed_gates(s, v))
+
+
+def _flipped(v: DataFrame) -> DataFrame:
+    t = mesh.triangles(v)
+    links = solvers.solve(v, ["presolver"], [5]).filter("parent >= 0").select("site_id", F.col("n").alias("u"), F.col("parent").alias("v"))
+    return mesh.flipped(t, mesh.diagonals(t, v), links)
+
+
 query("pf2_routeset")(lambda spark, v, d: solvers.routesets(solvers.solve(v, ["presolver"], [5]), v))
 
 
@@ -139,3 +157,18 @@ _WAYS = (
 )
 query("mesh12_root_distances", f"{_with(_C1, _TRI, *_WAYS, recursive=True)} SELECT site_id, n, root, CAST(round(d * 1000) AS BIGINT) AS length FROM rf WHERE n >= 0")(lambda spark, v, d: mesh.root_distances(mesh.triangles(v), v))
 query("pf3_best_paths", f"{_with(_C1, _TRI, *_WAYS, recursive=True)}, rn AS (SELECT site_id, n, arg_min(root, (round(d * 1000), root)) AS root, CAST(min(round(d * 1000)) AS BIGINT) AS length FROM rf WHERE n >= 0 GROUP BY site_id, n) SELECT rn.site_id, rn.n, rn.root, rn.length, arg_min(ss.v, (round((ss.w + rf.d) * 1000), ss.v)) AS step FROM rn JOIN ss ON ss.site_id = rn.site_id AND ss.u = rn.n AND ss.v <> rn.n JOIN rf ON rf.site_id = rn.site_id AND rf.root = rn.root AND rf.n = ss.v GROUP BY ALL")(lambda spark, v, d: mesh.best_paths(mesh.triangles(v), v))
+
+_AVP = f"{_AVAILABLE}, {_PAIRS.format('av')}, {_PTS.replace('p4 AS', 'p5 AS').format('pr')}, ex AS (SELECT site_id, u, v, s, t FROM p5 WHERE {_meet('u', 'v', 's', 't')})"
+query("mesh1_build", f"""{_with(_C1, _TRI, _TWO, _AVP, *_WAYS, recursive=True)}, ak AS (SELECT DISTINCT site_id, u, v, 'delaunay' AS kind FROM sd UNION ALL SELECT site_id, s, t, 'extended' FROM dg)
+SELECT site_id, 'triangle' AS kind, a, b, c, CAST(NULL AS BIGINT) AS value FROM tri
+UNION ALL SELECT ak.site_id, kind, u, v, NULL, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) FROM ak JOIN v a ON a.site_id = ak.site_id AND a.n = ak.u JOIN v b ON b.site_id = ak.site_id AND b.n = ak.v
+UNION ALL SELECT site_id, 'hull', u, v, NULL, NULL FROM sd GROUP BY site_id, u, v HAVING count(*) = 1
+UNION ALL SELECT site_id, 'exclusive', u, v, s, t FROM ex
+UNION ALL SELECT site_id, 'way', n, root, NULL, CAST(round(d * 1000) AS BIGINT) FROM rf WHERE n >= 0""")(lambda spark, v, d: mesh.build(v))
+
+# Subtrees fed from their node nearest to the root: links between the old hook and the new one turn round.
+_HOOKS = "hk AS (SELECT site_id, root, subtree, hook FROM (SELECT l.site_id, l.root, l.subtree, l.n AS hook, row_number() OVER (PARTITION BY l.site_id, l.root, l.subtree ORDER BY d.d2, l.n) AS k FROM l JOIN d ON d.site_id = l.site_id AND d.n = l.n AND d.root = l.root) q WHERE k = 1)"
+query("gr5_rehooked", f"""{_with(*_BASE, _FOREST, _ANC, _HOOKS, recursive=True)}, pt AS (SELECT a.site_id, a.node, a.parent FROM anc a JOIN hk ON hk.site_id = a.site_id AND hk.hook = a.leaf),
+np AS (SELECT site_id, n, root, parent FROM f WHERE NOT EXISTS (SELECT 1 FROM pt WHERE pt.site_id = f.site_id AND pt.node = f.n) UNION ALL SELECT pt.site_id, pt.parent, f.root, pt.node FROM pt JOIN f ON f.site_id = pt.site_id AND f.n = pt.node WHERE pt.parent >= 0 UNION ALL SELECT site_id, hook, root, root FROM hk),
+un AS (SELECT site_id, n AS node, parent FROM np UNION ALL SELECT un.site_id, np.n, np.parent FROM un JOIN np ON np.site_id = un.site_id AND np.n = un.parent)
+SELECT np.site_id, np.n, np.root, np.parent, (SELECT count(*) FROM un WHERE un.site_id = np.site_id AND un.node = np.n) AS load FROM np""")(lambda spark, v, d: trees.rehooked(trees.seed_forest(v), trees.hooked_to_nearest(trees.seed_forest(v), v)))
