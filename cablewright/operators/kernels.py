@@ -489,17 +489,21 @@ def repair(ids, xy: np.ndarray, routes: list[list[int]], rounds: int = 20) -> li
     return routes
 
 
-def exact_forest(ids, xy: np.ndarray, capacity: int, branching: bool = True, most: int = 10) -> tuple[float, dict[int, int]]:
-    """The least total length of a capacitated forest over all edges, by dynamic programming over subsets of up to `most` terminals."""
+def exact_forest(ids, xy: np.ndarray, capacity: int, branching: bool = True, most: int = 10, power: dict[int, int] | None = None, gates: int | None = None) -> tuple[float, dict[int, int]]:
+    """The least total length of a capacitated forest over all edges, by dynamic programming over subsets of up to `most` terminals.
+
+    power: what terminals feed in, by id, if not 1; gates: the most gates. Infinite, without parents, if that can't be.
+    """
     t = [k for k, i in enumerate(ids) if i >= 0]
     if len(t) > most:
         raise ValueError(f"{len(t)} terminals; the exact search takes {most}")
     near = nearest_root(ids, xy)
     d = {(a, b): float(length(xy, a, b)) for a in t for b in t}
+    feeds = [(power or {}).get(ids[k], 1) for k in t]
     single: dict[int, tuple[float, list, int]] = {}
     for mask in range(1, 1 << len(t)):
         own = [t[k] for k in range(len(t)) if mask >> k & 1]
-        if len(own) > capacity:
+        if sum(feeds[k] for k in range(len(t)) if mask >> k & 1) > capacity:
             continue
         if branching:
             links, inside, cost = [], [own[0]], 0.0
@@ -514,21 +518,61 @@ def exact_forest(ids, xy: np.ndarray, capacity: int, branching: bool = True, mos
             links, hook = list(zip(p, p[1:], strict=False)), p[0]
             cost -= near[hook][0]
         single[mask] = (cost + near[hook][0], links, hook)
-    best = [0.0] + [float("inf")] * ((1 << len(t)) - 1)
-    choice = [0] * (1 << len(t))
-    for mask in range(1, 1 << len(t)):
-        low, sub = mask & -mask, mask
-        while sub:
-            if sub & low and sub in single and single[sub][0] + best[mask ^ sub] < best[mask] - 1e-9:
-                best[mask], choice[mask] = single[sub][0] + best[mask ^ sub], sub
-            sub = (sub - 1) & mask
-    links, hooks, mask = [], {}, (1 << len(t)) - 1
-    while mask:
-        _, ls, h = single[choice[mask]]
+    # A layer for each number of gates left; without a limit, one.
+    layers = 1 if gates is None else gates + 1
+    best = [[0.0] + [float("inf")] * ((1 << len(t)) - 1) for _ in range(layers)]
+    choice = [[0] * (1 << len(t)) for _ in range(layers)]
+    for g in range(layers):
+        before = g if gates is None else g - 1
+        for mask in range(1, 1 << len(t)) if before >= 0 else ():
+            low, sub = mask & -mask, mask
+            while sub:
+                if sub & low and sub in single and single[sub][0] + best[before][mask ^ sub] < best[g][mask] - 1e-9:
+                    best[g][mask], choice[g][mask] = single[sub][0] + best[before][mask ^ sub], sub
+                sub = (sub - 1) & mask
+    links, hooks, mask, g = [], {}, (1 << len(t)) - 1, layers - 1
+    total = best[g][mask]
+    while mask and np.isfinite(total):
+        _, ls, h = single[choice[g][mask]]
         links += ls
         hooks[h] = near[h][1]
-        mask ^= choice[mask]
-    return best[-1], parents_from(ids, links, hooks)
+        mask ^= choice[g][mask]
+        g -= gates is not None
+    return total, parents_from(ids, links, hooks)
+
+
+def improved_forest(ids, xy: np.ndarray, capacity: int, parent: dict[int, int], most: int = 7) -> dict[int, int]:
+    """A solution no longer than the one given: pairs of near subtrees, of up to `most` terminals together, are solved exactly for as long as one gains.
+
+    Crossings aren't looked at.
+    """
+    at = {i: k for k, i in enumerate(ids)}
+    own = dict(parent)
+    roots = [i for i in ids if i < 0]
+    size = lambda p: sum(float(length(xy, at[a], at[b])) for a, b in p.items())
+
+    def top(n: int) -> int:
+        while own[n] >= 0:
+            n = own[n]
+        return n
+
+    near = {(min(ids[u], ids[v]), max(ids[u], ids[v])) for u, v in available(xy) if ids[u] >= 0 and ids[v] >= 0}
+    done: set[frozenset] = set()
+    changed = True
+    while changed:
+        changed = False
+        for a, b in sorted(near):
+            x, y = top(a), top(b)
+            part = frozenset(n for n in own if top(n) in (x, y))
+            if x == y or len(part) > most or part in done:
+                continue
+            done.add(part)
+            some = [*roots, *sorted(part)]
+            cost, new = exact_forest(some, xy[[at[i] for i in some]], capacity, most=most)
+            if cost < size({n: own[n] for n in part}) - 1e-9:
+                own.update(new)
+                changed = True
+    return own
 
 
 def detours(ids, xy: np.ndarray, parent: dict[int, int], blocked=()) -> tuple[dict[int, list[int]], list[int]]:
@@ -770,10 +814,10 @@ def navigation_mesh(xy: np.ndarray, border, holes) -> list[tuple[int, int, int]]
     return keep
 
 
-def free_distances(xy: np.ndarray, source: int, walls: np.ndarray, corners) -> np.ndarray:
-    """Lengths of the shortest ways from a point to all that cross no wall, bending at corners alone; inf if there is none."""
+def free_ways(xy: np.ndarray, source: int, walls: np.ndarray, corners) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of the shortest ways from a point to all that cross no wall, bending at corners alone (inf if there is none), and the point before each on its way (-1 if none)."""
     n = len(xy)
-    dist = np.full(n, np.inf)
+    dist, before = np.full(n, np.inf), np.full(n, -1)
     dist[source] = 0.0
     done = np.zeros(n, bool)
     bend = np.zeros(n, bool)
@@ -784,7 +828,7 @@ def free_distances(xy: np.ndarray, source: int, walls: np.ndarray, corners) -> n
         open_ = np.where(done, np.inf, dist)
         k = int(np.argmin(open_))
         if not np.isfinite(open_[k]):
-            return dist
+            return dist, before
         done[k] = True
         if not bend[k]:
             continue
@@ -792,4 +836,9 @@ def free_distances(xy: np.ndarray, source: int, walls: np.ndarray, corners) -> n
         for s, t in walls:
             free &= ~crosses(xy, k, every, s, t)
         reach = dist[k] + length(xy, k, every)
-        dist = np.where(free & (reach < dist), reach, dist)
+        shorter = free & (reach < dist)
+        dist[shorter], before[shorter] = reach[shorter], k
+
+
+def free_distances(xy: np.ndarray, source: int, walls: np.ndarray, corners) -> np.ndarray:
+    return free_ways(xy, source, walls, corners)[0]

@@ -66,16 +66,19 @@ def navigation_mesh(v: DataFrame, polygons: DataFrame) -> DataFrame:
     return _joined(v, polygons).groupBy("site_id").applyInPandas(run, "site_id long, triangles long, area2 long, lacking long, in_holes long")
 
 
+def _walls(rings) -> np.ndarray:
+    """Sides of the obstacles and their inner diagonals: without these, ways could pass from corner to corner within."""
+    sides = [(r[k], r[(k + 1) % len(r)]) for r in rings[1:] for k in range(len(r))]
+    inner = [(r[a], r[b]) for r in rings[1:] for a in range(len(r)) for b in range(a + 2, len(r)) if (a, b) != (0, len(r) - 1)]
+    return np.array(sides + inner, int).reshape(-1, 2)
+
+
 def root_distances(v: DataFrame, polygons: DataFrame) -> DataFrame:
     """site_id, n, root, length (thousandths) of the shortest way that crosses no obstacle; null if there is none."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, xy, rings = _split(pdf)
-        walls = np.array([(r[k], r[(k + 1) % len(r)]) for r in rings[1:] for k in range(len(r))]).reshape(-1, 2)
-        # A diagonal of an obstacle is a wall as well: else ways could pass from corner to corner within.
-        inner = [(r[a], r[b]) for r in rings[1:] for a in range(len(r)) for b in range(a + 2, len(r)) if (a, b) != (0, len(r) - 1)]
-        walls = np.vstack([walls, np.array(inner).reshape(-1, 2)]).astype(int)
-        out = []
+        walls, out = _walls(rings), []
         for k, i in enumerate(ids):
             if i < 0:
                 d = K.free_distances(xy, k, walls, [c for r in rings[1:] for c in r])
@@ -85,6 +88,34 @@ def root_distances(v: DataFrame, polygons: DataFrame) -> DataFrame:
     return _joined(v, polygons).groupBy("site_id").applyInPandas(run, "site_id long, n long, root long, length long")
 
 
+def contours(edges: DataFrame, v: DataFrame, polygons: DataFrame) -> DataFrame:
+    """For edges that an obstacle cuts: the length (thousandths) of the shortest way around, and its corners as (poly_id, seq). Edges without a way are left out.
+
+    polygons: the border as polygon 0, and obstacles.
+    """
+    cut = cut_edges(edges, v, polygons.filter("poly_id > 0")).select(F.col("site_id").alias("site"), F.col("u").alias("u"), F.col("v").alias("v"))
+
+    def run(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(own):
+            ids, xy, rings = _split(pdf)
+            walls, corners = _walls(rings), [c for r in rings[1:] for c in r]
+            names = {c: {"poly_id": p, "seq": k} for p, r in enumerate(rings) for k, c in enumerate(r)}
+            at = {i: k for k, i in enumerate(ids)}
+            for u, part in own.groupby("u"):
+                dist, before = K.free_ways(xy, at[u], walls, corners)
+                for w in sorted(part["v"].tolist()):
+                    if np.isfinite(dist[at[w]]):
+                        way, k = [], int(before[at[w]])
+                        while k != at[u]:
+                            way.append(names[k])
+                            k = int(before[k])
+                        out.append((own["site"].iloc[0], u, w, round(dist[at[w]] * 1000), way[::-1]))
+        return pd.DataFrame(out, columns=["site_id", "u", "v", "length", "corners"])
+
+    return _joined(v, polygons).groupBy("site_id").cogroup(cut.groupBy("site")).applyInPandas(run, "site_id long, u long, v long, length long, corners array<struct<poly_id: int, seq: int>>")
+
+
 def solve_around(v: DataFrame, polygons: DataFrame, capacity: int) -> DataFrame:
     """Savings forests whose links cross no obstacle's side, and ways for the gates that would: checks for each site."""
 

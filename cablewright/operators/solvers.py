@@ -38,6 +38,13 @@ def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
         parent = K.routes_to_parents(ids, xy, K.repair(ids, xy, routes) if method == "routes_repaired" else routes)
     elif method in ("exact", "exact_path"):
         parent = K.exact_forest(ids, xy, capacity, method == "exact")[1]
+    elif method == "exact_power":
+        # Terminals whose number sevens divide feed in three.
+        parent = K.exact_forest(ids, xy, capacity, power={i: 3 for i in ids if i >= 0 and i % 7 == 0})[1]
+    elif method == "exact_least_gates":
+        parent = K.exact_forest(ids, xy, capacity, gates=-(-sum(i >= 0 for i in ids) // capacity))[1]
+    elif method == "improved":
+        parent = K.improved_forest(ids, xy, capacity, K.esau_williams(ids, xy, K.available(xy), capacity, **SAVINGS["presolver"]))
     else:
         raise ValueError(f"no method {method!r}")
     rows = [(where, method, capacity, n, p) for n, p in sorted(parent.items())]

@@ -199,3 +199,26 @@ def test_knn_beyond_the_rings(spark):
         near = sorted(((x - a) ** 2 + (y - b) ** 2, m) for t, m, a, b in pts if t == s and m != n)[:4]
         want |= {(s, min(n, m), max(n, m), d) for d, m in near}
     assert {tuple(r) for r in knn_edges(v).collect()} == want
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_improved_from_a_warm_start(seed):
+    ids, xy = site(seed)
+    at = {i: k for k, i in enumerate(ids)}
+    size = lambda p: sum(float(K.length(xy, at[a], at[b])) for a, b in p.items())
+    start = K.esau_williams(ids, xy, K.available(xy), 3, rule="margin")
+    better = K.improved_forest(ids, xy, 3, start)
+    tri = {tuple(sorted(e)) for t in K.delaunay(xy) for e in itertools.combinations(t, 2)}
+    bound = sum(float(K.length(xy, *e)) for e in K.spanning_forest(ids, xy, tri))
+    assert bound <= size(better) <= size(start) + 1e-9 and _forest(better, 3) and sorted(better) == sorted(start)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_exact_with_power_and_gates(seed):
+    ids, xy = site(seed, 6, 1)
+    free = K.exact_forest(ids, xy, 3)[0]
+    few, parent = K.exact_forest(ids, xy, 3, gates=2)
+    assert few >= free - 1e-9 and sum(p < 0 for p in parent.values()) == 2 and _forest(parent, 3)
+    assert K.exact_forest(ids, xy, 2, gates=2) == (float("inf"), {})
+    strong, parent = K.exact_forest(ids, xy, 3, power={0: 3, 1: 3})
+    assert strong >= free - 1e-9 and parent[0] < 0 and parent[1] < 0 and not {0, 1} & set(parent.values())
