@@ -191,10 +191,12 @@ def assign_cables(edges: DataFrame, cables: DataFrame, load: str = "load") -> Da
     cables: cable, capacity, cost. A catalogue of up to `FEW_CABLES` rows is broadcast.
     """
     few = cables.limit(FEW_CABLES + 1).count() <= FEW_CABLES
-    keyed = edges.withColumn("_row", F.monotonically_increasing_id())
-    j = keyed.select("_row", load).join(F.broadcast(cables) if few else cables, F.col("capacity") >= F.col(load))
-    best = j.groupBy("_row").agg(F.min(F.struct("capacity", "cable", "cost")).alias("b"))
-    return keyed.join(best, "_row", "left").select(*edges.columns, F.col("b.cable").alias("cable"), (F.col("length") * F.col("b.cost")).alias("cost"))
+    # Each load's cable is found once: edges share their loads.
+    loads = edges.select(F.col(load).alias("_load")).distinct()
+    j = loads.join(F.broadcast(cables) if few else cables, F.col("capacity") >= F.col("_load"))
+    best = j.groupBy("_load").agg(F.min(F.struct("capacity", "cable", "cost")).alias("_best"))
+    out = edges.join(best, F.col(load) == F.col("_load"), "left")
+    return out.select(*[F.col(c) for c in edges.columns], F.col("_best.cable").alias("cable"), (F.col("length") * F.col("_best.cost")).alias("cost"))
 
 
 def length_matrix(v: DataFrame, edges: DataFrame, depot: int = -1) -> DataFrame:
