@@ -154,6 +154,39 @@ def quality(text):
     return (*out, len(w) < 50 or 100 * len(rep) > 50 * len(w))
 
 
+def llr(rows, labels, Q):
+    """[(doc_id, llr, kept)]. Q: the module, for its constants."""
+    import regex
+    import xxhash
+
+    unit = regex.compile(r"[\p{L}\p{N}]+|[^ \t\n\x0B\f\r\p{L}\p{N}]+")
+
+    def buckets(text):
+        u = unit.findall(text or "")
+        one = [xxhash.xxh64_intdigest(x.encode(), 42) for x in u]
+        # Of several arguments, each is hashed with the hash before as the seed; one that is null leaves the seed.
+        two = one[:1] + [xxhash.xxh64_intdigest(u[k - 1].encode(), one[k]) for k in range(1, len(u))]
+        return [(h - (1 << 64) if h >> 63 else h) % Q.BUCKETS for h in one + two]
+
+    good = {d for d, q, _ in labels if q == 1 and d is not None}
+    raw, target = Counter(), Counter()
+    grams = [buckets(t) for _, t in rows]
+    for (d, _), g in zip(rows, grams, strict=True):
+        raw.update(g)
+        if d in good:
+            target.update(g)
+    n, m = sum(raw.values()), sum(target.values())
+    weight = {}
+    for b in raw:
+        floor = (raw[b] + 1.0) / (n + Q.BUCKETS)
+        weight[b] = math.log((target[b] + 20.0 * Q.BUCKETS * floor / 64) / (m + 20.0 * Q.BUCKETS / 64)) - math.log(floor)
+    out = []
+    for (d, t), g in zip(rows, grams, strict=True):
+        x = sum(weight[b] for b in g) / len(g) if g else 0.0
+        out.append((d, round(x, 6), not quality(t)[-1] and x >= Q.THRESHOLD))
+    return out
+
+
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 

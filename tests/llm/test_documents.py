@@ -194,6 +194,15 @@ def test_quality_llr(spark, docs):
 ITEMS = [(1, " ".join(map(str, range(100, 140)))), (2, "one two"), (2, "x1 zeta3"), (None, " ".join(map(str, range(120, 134)))), (10, ""), (11, None), (12, "same line same line same line x")]
 
 
+def test_quality_llr_against_brute_force(spark, docs, rows):
+    """Units, hashes, both multinomials and every document's ratio, by dictionaries."""
+    labels = [(d, int(d % 3 == 0), 0) for d, _ in rows if d is not None] + [(None, 1, 0), (10**7, 1, 1), (3, 1, 0)]
+    want = brute.llr(rows, labels, quality)
+    got = [(r.doc_id, round(r.llr, 6), r.kept) for r in quality.quality_filter(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()]
+    assert sorted(got, key=_key) == sorted(want, key=_key)
+    assert len({x for _, x, _ in want}) > 20
+
+
 def test_decontaminate(spark, docs, rows):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     out = decontam.decontaminate(docs, bench, cleaned=True)

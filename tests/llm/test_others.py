@@ -90,6 +90,18 @@ def test_urls(spark):
     assert urls.url_verdicts(d.limit(0)).collect() == []
 
 
+def test_long_pages_and_turns(spark):
+    """A page of a million characters with thousands of links, and a turn as long."""
+    links = "".join(f'<a href="http://h{k % 50}.io/{k}">' for k in range(20_000)) + "x" * 1_000_000
+    d = spark.createDataFrame([(1, "http://big.io/", links), (2, "http://h7.io/" + "p" * 100_000 + "?q", ""), (3, "http://a.net/", '<a href="http://big.io/">')], "page_id long, url string, html string")
+    got = {r.page_id: r for r in urls.url_verdicts(d).collect()}
+    assert got[2].path == "/" + "p" * 100_000 and got[3].verdict == "block" and len(got) == 3
+    text = "[INST] \\ </s>" * 100_000
+    talk = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    r = chat.read_back(chat.format_chat(talk)).first()
+    assert r.loss_chars == len(text) and r.loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_url_verdicts_do_not_depend_on_table_size(spark):
     """5000 hosts link to one blocked page, alone and beside 200,000 blocked pages of another host."""
     few = spark.range(5000).selectExpr("id AS page_id", "concat('http://r', id, '.io/') AS url", "'<a href=http://small.net/>' AS html").unionByName(spark.sql("SELECT -1L AS page_id, 'http://small.net/' AS url, '' AS html"))
