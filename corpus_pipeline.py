@@ -32,14 +32,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Where ids repeat, each row has a key of its own, so that distinct texts under one id stay and of
     equal ids in a component one row does. A row without a doc_id can't be named by its component and stays.
     """
-    unnamed = docs.filter(F.col("doc_id").isNull())
     if not docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        found = saved(near.ngram_jaccard_join(docs, SHINGLE, NUM, DEN), "near")
-        return docs.join(found.filter("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(*docs.columns).unionByName(unnamed)
+        found = near.ngram_jaccard_join(docs, SHINGLE, NUM, DEN)
+        # Those that go are fewer than those that stay.
+        return docs.join(found.filter("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    unnamed = docs.filter(F.col("doc_id").isNull())
     # Written, as keys would differ from one reading to the next.
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")
     keyed = saved(docs.select(own, "text", F.col("doc_id").alias("id"), F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id()).alias("doc_id")), "keyed")
-    found = saved(near.ngram_jaccard_join(keyed.select("doc_id", "text"), SHINGLE, NUM, DEN), "near").filter("doc_id IS NOT NULL")
+    found = near.ngram_jaccard_join(keyed.select("doc_id", "text"), SHINGLE, NUM, DEN).filter("doc_id IS NOT NULL")
     least = found.join(keyed.select("doc_id", "id"), "doc_id").groupBy("component_id").agg(F.min(F.struct("id", "doc_id")).alias("least"))
     kept = keyed.join(least.select(F.col("least.doc_id").alias("doc_id")), "doc_id", "left_semi")
     return kept.select("own.*").unionByName(unnamed)
