@@ -72,18 +72,18 @@ def edge_root(v: DataFrame, edges: DataFrame) -> DataFrame:
     return e.join(r, "site_id").groupBy("site_id", "u", "v").agg(best).select("site_id", "u", "v", F.col("b.root").alias("root"))
 
 
-#: Rings of grid cells in which neighbours are looked for; what they leave open is looked for in the whole site.
-RINGS = (1, 4)
+#: Rings of grid cells in which neighbours are looked for, each wider than the one before; what they leave open is looked for in the whole site.
+RINGS = (1,)
 
 
 def knn_edges(v: DataFrame, k: int = 4) -> DataFrame:
     """Undirected edges from every point to its k nearest, ties by id.
 
-    Candidates come from the cells around a point's own, of a grid whose cells hold k points on average. A
+    Candidates come from the cells around a point's own, of a grid whose cells hold 2k points on average. A
     point is done with a ring if its k-th neighbour is no farther than the ring is wide; the others go on.
     """
     f = v.groupBy("site_id").agg(F.count("*").alias("k"), *[(F.max(c) - F.min(c)).cast("double").alias(c) for c in ("x", "y")])
-    f = f.select("site_id", F.greatest(F.lit(1e-9), F.sqrt(F.greatest("x", F.col("y") / 1000) * F.greatest("y", F.col("x") / 1000) * k / F.col("k"))).alias("side"))
+    f = f.select("site_id", F.greatest(F.lit(1e-9), F.sqrt(F.greatest("x", F.col("y") / 1000) * F.greatest("y", F.col("x") / 1000) * (2 * k) / F.col("k"))).alias("side"))
     cells = v.select("site_id", "n", "x", "y").join(f, "site_id").withColumn("gx", F.floor(F.col("x") / F.col("side"))).withColumn("gy", F.floor(F.col("y") / F.col("side")))
     other = cells.select("site_id", "gx", "gy", F.col("n").alias("v"), F.col("x").alias("vx"), F.col("y").alias("vy"))
     left = cells.select("site_id", "gx", "gy", "side", F.col("n").alias("u"), F.col("x").alias("ux"), F.col("y").alias("uy"))
