@@ -45,7 +45,7 @@ LEVELS = 512
 #: Distinct n-grams that a range's task should hold.
 RANGE_KEYS = 3_000_000
 #: A slice of documents: this many bytes times the root of the corpus's bytes, within limits.
-SLICE_ROOT, SLICE_LEAST, SLICE_MOST = 128, 1 << 18, 256 << 20
+SLICE_ROOT, SLICE_LEAST, SLICE_MOST = 128, 1 << 18, 64 << 20
 #: Bytes of messages that a task yields at once.
 SENT_BYTES = 4 << 20
 TRAIN, DELETED, HELD_OUT = 0, 1, 2
@@ -77,7 +77,7 @@ def _slices(batches, most: int, only: int | None = None):
             for a, b in T.slices(at, most):
                 held[r].append((part.column("doc_id").slice(a, b - a), part.column("text").slice(a, b - a)))
                 volume[r] += int(at[b] - at[a])
-                if volume[r] >= most // 2:
+                if volume[r] >= most:
                     got = taken(r)
                     if only in (None, r):
                         yield number, r, *got
