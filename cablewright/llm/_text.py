@@ -6,6 +6,8 @@ batch at a time (`slices`), and never imports Spark.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +17,56 @@ U64 = np.uint64
 #: Bytes of text handled at once; a longer document is handled alone.
 SLICE_BYTES = 1 << 19
 
+
+
+def _libc():
+    """The C library, told to map large arrays one by one, so that their memory goes back when they do; None where that can't be."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which else grows up to 32 MB
+        return libc
+    except (OSError, AttributeError):
+        return None
+
+
+_LIBC = _libc()
+
+
+def tidy() -> None:
+    """Gives memory that isn't used back to the system: a worker stays after its task, beside other tasks."""
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+    pa.default_memory_pool().release_unused()
+
+
+def tidied(run):
+    """A function over batches that tidies up after the last one."""
+
+    @functools.wraps(run)
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return inner
+
+
+def tidied_group(run):
+    """A function over the table of a group, or two, that tidies up after each."""
+
+    def inner(*tables):
+        try:
+            return run(*tables)
+        finally:
+            tidy()
+
+    # Spark tells the kinds of such functions by their parameters.
+    if run.__code__.co_argcount == 1:
+        return lambda table: inner(table)
+    return lambda left, right: inner(left, right)
+
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE_WORD = np.ones(256, dtype=bool)

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _text as T
+
 
 @dataclass(frozen=True)
 class Template:
@@ -88,7 +90,7 @@ def format_chat(conversations: DataFrame, template: Template | None = None) -> D
     """
     c = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ordered = c.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    return ordered.mapInArrow(_format(template or Template()), FORMATTED)
+    return ordered.mapInArrow(T.tidied(_format(template or Template())), FORMATTED)
 
 
 _DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("valid", pa.bool_())])
@@ -131,4 +133,4 @@ def _digest(template: Template):
 
 def read_back(formatted: DataFrame, template: Template | None = None) -> DataFrame:
     """Digests of each conversation, parsed from the rows of `format_chat` in the order that it leaves them."""
-    return formatted.mapInArrow(_digest(template or Template()), DIGEST)
+    return formatted.mapInArrow(T.tidied(_digest(template or Template())), DIGEST)

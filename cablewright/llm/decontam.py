@@ -243,7 +243,7 @@ def _merged(docs: DataFrame, groups: list) -> DataFrame:
     found = None
     for automata in groups:
         # Written, so that no more than one group is held anywhere.
-        part = saved(keyed.mapInArrow(_find(automata), _FOUND_DDL).groupBy("k1", "k2").agg(F.first("edges").alias("edges"), F.first("names").alias("names")), "found")
+        part = saved(keyed.mapInArrow(T.tidied(_find(automata)), _FOUND_DDL).groupBy("k1", "k2").agg(F.first("edges").alias("edges"), F.first("names").alias("names")), "found")
         automata.unpersist()
         found = part if found is None else found.unionByName(part)
     return found.groupBy("k1", "k2").agg(F.flatten(F.collect_list("edges")).alias("edges"), F.flatten(F.collect_list("names")).alias("names"))
@@ -360,9 +360,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     docs = batched(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     only, groups = _one_or_more(benchmark, window)
     if groups is None:
-        return docs.mapInArrow(_search(only, share, cleaned), RESULT)
+        return docs.mapInArrow(T.tidied(_search(only, share, cleaned)), RESULT)
     rows = docs.select("doc_id", "text", *_keys()).join(_merged(docs, groups), ["k1", "k2"], "left").select("doc_id", "text", "edges", "names")
-    return rows.mapInArrow(_search_found(share, cleaned), RESULT)
+    return rows.mapInArrow(T.tidied(_search_found(share, cleaned)), RESULT)
 
 
 def _drop(automata, share: int, column: str):
@@ -399,7 +399,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, s
     """The rows of docs that `decontaminate` doesn't call contaminated, with all their columns."""
     only, groups = _one_or_more(benchmark, window)
     if groups is None:
-        return batched(docs).mapInArrow(_drop(only, share, "text"), docs.schema)
+        return batched(docs).mapInArrow(T.tidied(_drop(only, share, "text")), docs.schema)
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")
     rows = docs.select(own, *_keys()).join(_merged(docs, groups), ["k1", "k2"], "left").select("own", "edges", "names")
-    return rows.mapInArrow(_drop_found(share, docs.columns.index("text"), docs.columns), docs.schema)
+    return rows.mapInArrow(T.tidied(_drop_found(share, docs.columns.index("text"), docs.columns)), docs.schema)

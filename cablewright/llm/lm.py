@@ -361,15 +361,15 @@ def deleted_interpolation(docs: DataFrame, fold: int = 7, held_out: int = 2, del
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     most = int(min(SLICE_MOST, max(SLICE_LEAST, SLICE_ROOT * math.sqrt(size))))
     bits = (max(64, size * (order - 1) // 6 // RANGE_KEYS) - 1).bit_length()
-    back = saved(docs.mapInArrow(_send(most, bits, order), "range int, chunk long, role int, one binary, one_count binary, two binary, two_count binary, three binary, three_count binary, check long").groupBy("range").applyInArrow(_answer, "range int, chunk long, one binary, two binary, three binary, one_deleted binary, two_deleted binary, three_deleted binary, tokens long, deleted long, types long, check long"), "counts")
+    back = saved(docs.mapInArrow(T.tidied(_send(most, bits, order)), "range int, chunk long, role int, one binary, one_count binary, two binary, two_count binary, three binary, three_count binary, check long").groupBy("range").applyInArrow(T.tidied_group(_answer), "range int, chunk long, one binary, two binary, three binary, one_deleted binary, two_deleted binary, three_deleted binary, tokens long, deleted long, types long, check long"), "counts")
     tokens, apart, types = (int(x or 0) for x in back.agg(F.sum("tokens"), F.sum("deleted"), F.sum("types")).first())
     answers = back.filter("chunk IS NOT NULL")
     tagged = "chunk long, role int, doc_id long, text string"
 
     def beside(only: int | None, columns: list[str], f, schema: str) -> DataFrame:
-        rows = docs.mapInArrow(_tag(most, only), tagged)
+        rows = docs.mapInArrow(T.tidied(_tag(most, only)), tagged)
         few = answers if only is None else answers.filter("one_deleted IS NOT NULL")
-        return rows.groupBy("chunk").cogroup(few.select("chunk", "range", "check", *columns).groupBy("chunk")).applyInArrow(f, schema)
+        return rows.groupBy("chunk").cogroup(few.select("chunk", "range", "check", *columns).groupBy("chunk")).applyInArrow(T.tidied_group(f), schema)
 
     names = ["one", "two", "three"]
 

@@ -153,7 +153,7 @@ def fit_topics(docs: DataFrame) -> Topics:
     commoner topic. What reaches the driver is bounded by `VOCABULARY` and by it times `TOPICS`, but for ties.
     """
     text = docs.select(F.col("text").cast("string").alias("text"))
-    counts = text.mapInArrow(_document_counts, "h long, docs long").groupBy("h").agg(F.sum("docs").alias("docs"))
+    counts = text.mapInArrow(T.tidied(_document_counts), "h long, docs long").groupBy("h").agg(F.sum("docs").alias("docs"))
     rows = counts.filter((F.col("docs") >= LEAST_DOCS) & (RARE * F.col("docs") <= text.count())).orderBy(F.desc("docs")).limit(VOCABULARY + 1).collect()
     if len(rows) > VOCABULARY:
         rows = [r for r in rows if r.docs > rows[-1].docs]
@@ -163,7 +163,7 @@ def fit_topics(docs: DataFrame) -> Topics:
         return model
     share = np.zeros((len(rows), model.seeds))
     names = {}
-    together = text.mapInArrow(_beside(model), "code long, n long, name string")
+    together = text.mapInArrow(T.tidied(_beside(model)), "code long, n long, name string")
     for code, n, name in together.groupBy("code", "name").agg(F.sum("n").alias("n")).select("code", "n", "name").collect():
         if name is None:
             share[divmod(code, model.seeds)] = n / docs_of[code % model.seeds]
@@ -196,7 +196,7 @@ def _described(docs: DataFrame, model: Topics | None, whole: bool = False) -> Da
     kept = [*(["own"] if whole else []), "doc_id", "source", "lang"]
     if model is not None:
         schema = d.select(*kept, F.lit("").alias("topic"), F.lit(0).cast("long").alias("n_tokens")).schema
-        return d.mapInArrow(_with_topic(model, kept), schema)
+        return d.mapInArrow(T.tidied(_with_topic(model, kept)), schema)
     bare = F.btrim("text", F.lit(_BLANK))
     return d.select(*kept, "topic", F.when(bare == "", 0).otherwise(F.size(F.split(bare, r"[ \t-\r]+", -1))).cast("long").alias("n_tokens"))
 

@@ -501,19 +501,19 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     docs = batched(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     size = min(SKETCH_MOST, max(SKETCH_LEAST, 1 << math.ceil(math.log2(max(1, volume / 6 / LOAD)))))
-    profile = saved(docs.mapInArrow(_profile(k, size), "doc_id long, n int, sid long, point binary, piece int, part int, counts binary"), "profile")
+    profile = saved(docs.mapInArrow(T.tidied(_profile(k, size)), "doc_id long, n int, sid long, point binary, piece int, part int, counts binary"), "profile")
     members = profile.filter("piece IS NULL").select("doc_id", "n", "sid")
     sets = saved(profile.filter("piece IS NULL AND sid IS NOT NULL").groupBy("sid").agg(F.first("n").alias("n"), F.first("point").alias("point"), F.min("doc_id").alias("least")), "sets")
     levels = spark.sparkContext.broadcast(_levels(profile, size))
-    dealt = docs.select("text").mapInArrow(_prefixes(k, num, den, levels, size), "key long, salt int, n int, sid long, short boolean")
-    met = saved(dealt.repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "sid").mapInArrow(_meeting(num, den), "key long, salt int, n int, sid long, short boolean").select(F.col("key").alias("block"), "n", "sid", "short"), "met")
+    dealt = docs.select("text").mapInArrow(T.tidied(_prefixes(k, num, den, levels, size)), "key long, salt int, n int, sid long, short boolean")
+    met = saved(dealt.repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "sid").mapInArrow(T.tidied(_meeting(num, den)), "key long, salt int, n int, sid long, short boolean").select(F.col("key").alias("block"), "n", "sid", "short"), "met")
     least = F.expr(f"1 + ((({num} * max(n) + {den - 1}) div {den}) * {den - num}) div {4 * den}")
     some = met.groupBy("sid").agg(F.count("*").alias("trees"), least.alias("least")).filter("trees >= least").select("sid")
     old, met = met, saved(met.join(some, "sid", "left_semi"), "met")
     discard(old)
     trees = met.groupBy("block").agg(F.count("*").alias("c"), F.sum(F.col("n").cast("long")).alias("e"), F.max("short").alias("any")).filter("c > 1 AND any").drop("any")
     trees = met.join(trees, "block")
-    near = components(_linked(trees, lambda t: t.join(sets.select("sid", "point"), "sid"), _candidates(num, den), False))
+    near = components(_linked(trees, lambda t: t.join(sets.select("sid", "point"), "sid"), T.tidied_group(_candidates(num, den)), False))
     clusters = saved(near.select(F.col("node").alias("sid"), F.col("root").alias("block")), "clusters")
     discard(near)
     sized = clusters.join(sets.select("sid", "n"), "sid")
@@ -521,10 +521,10 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
     def with_sets(t: DataFrame) -> DataFrame:
         wanted = spark.sparkContext.broadcast(_wanted(t.select("sid").distinct()))
-        fetched = docs.select("text").mapInArrow(_fetch(k, wanted), "sid long, hashes binary").dropDuplicates(["sid"])
+        fetched = docs.select("text").mapInArrow(T.tidied(_fetch(k, wanted)), "sid long, hashes binary").dropDuplicates(["sid"])
         return t.join(sets.select("sid", "point"), "sid").join(fetched, "sid")
 
-    links = components(_linked(sized, with_sets, _verified(num, den), True))
+    links = components(_linked(sized, with_sets, T.tidied_group(_verified(num, den)), True))
     joined = links.withColumnRenamed("node", "sid")
     least = joined.join(sets.select("sid", "least"), "sid").groupBy("root").agg(F.min("least").alias("component_id"))
     # Written, so that the join with the members, where copies of one set can be many, stands alone and can be split.

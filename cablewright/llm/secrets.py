@@ -281,10 +281,10 @@ def find_secrets(docs: DataFrame, level: float = LEVEL) -> DataFrame:
     docs = batched(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     # len(ALL) ** 2 rows at most.
     counts = np.zeros(len(ALL) ** 2, np.int64)
-    for code, n in docs.select("text").mapInArrow(_chain, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
+    for code, n in docs.select("text").mapInArrow(T.tidied(_chain), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
         counts[code] = n
     ordinary = Ordinary(counts)
-    found = saved(docs.mapInArrow(_scan(ordinary.order), _SCANNED_DDL), "scanned")
+    found = saved(docs.mapInArrow(T.tidied(_scan(ordinary.order)), _SCANNED_DDL), "scanned")
     cells = found.select(F.explode("runs").alias("r")).groupBy("r.size", "r.bin").agg(F.count("*").alias("n"))
     limits = thresholds({(s, b): n for s, b, n in cells.collect()}, ordinary.tails(), level)  # len(CLASSES) * BINS cells at most
     limit = F.expr("array(" + ",".join(map(str, limits)) + ")")

@@ -199,7 +199,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = END) -
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES), 1)
     ordered = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    shards = saved(ordered.mapInArrow(_write(folder, tokenizer, end), "shard int, writer string, n_docs long, n_ids long, width int"), "shards")
+    shards = saved(ordered.mapInArrow(T.tidied(_write(folder, tokenizer, end)), "shard int, writer string, n_docs long, n_ids long, width int"), "shards")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return saved(shards.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long"))), "manifest")
 
@@ -266,7 +266,7 @@ def _read(folder: str):
 def read_tokens(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens and ids_crc32 of each document, from the files."""
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    return manifest.select("shard", "writer", "width", "base", "n_docs").repartition(n, "shard").mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("shard", "writer", "width", "base", "n_docs").repartition(n, "shard").mapInArrow(T.tidied(_read(folder)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def default_tokenizer() -> str:

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _text as T
 from ._shared import batched, saved
 
 #: Labelled documents that are learned from, and patterns kept, at most.
@@ -323,11 +324,11 @@ def learn(docs: DataFrame, labels: DataFrame, fold: int = 5, held_out: int = 0)
     if not toxic or not clean:
         share = 1.0 if toxic else 0.0
         return {}, np.append(np.zeros(len(PATHS) + 2), 4.0 * (2 * share - 1))
-    counts = sample.mapInArrow(_count, "f string, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    counts = sample.mapInArrow(T.tidied(_count), "f string, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     odds = (F.col("a") + 0.5) * (clean + 1) / ((F.col("b") + 0.5) * (toxic + 1))
     rows = counts.filter((F.col("a") >= LEAST_DOCS) & (odds > 3)).orderBy(F.desc(F.col("a") * F.log(odds)), "f").limit(MOST_CANDIDATES).collect()
     patterns = choose_patterns([tuple(r) for r in rows], toxic, clean)
-    got = sample.mapInArrow(_featured(patterns), "y int, x array<double>").toPandas()  # MOST_LABELLED rows at most
+    got = sample.mapInArrow(T.tidied(_featured(patterns)), "y int, x array<double>").toPandas()  # MOST_LABELLED rows at most
     order = sorted(range(len(got)), key=lambda k: (got["y"][k], *got["x"][k]))
     return patterns, fit_logistic(np.array([got["x"][k] for k in order]), got["y"].to_numpy(float)[order])
 
@@ -343,4 +344,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fold: int = 5, held_out:
     """
     patterns, weights = learn(batched(docs), labels, fold, held_out)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.crc32(F.col("doc_id").cast("string")) % fold == held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(_scored(patterns, weights), "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(T.tidied(_scored(patterns, weights)), "doc_id long, held_out boolean, score double, predicted int")
