@@ -55,8 +55,8 @@ LOAD, SKETCH_LEAST, SKETCH_MOST, PIECES = 256, 1 << 19, 1 << 22, 64
 CELL, ELEMENTS, PIVOTS = 768, 1 << 21, 32
 #: Points, and elements of sets, that a task gets on average.
 TASK_ROWS, TASK_ELEMENTS = 20_000, 1 << 21
-#: Bits for each set in the filter by which the third pass chooses documents, and the most: beyond, it lets more sets through.
-FILTER_BITS, FILTER_MOST = 128, 1 << 28
+#: Bits for each set in the filter by which the third pass chooses documents, and its least and most: beyond, it lets more sets through.
+FILTER_BITS, FILTER_LEAST, FILTER_MOST = 128, 1 << 16, 1 << 28
 
 
 def _set_of(h: np.ndarray) -> int:
@@ -441,7 +441,7 @@ def _fetch(k: int, wanted):
 def _wanted(nodes: DataFrame) -> bytes:
     """A filter over the sids: a set bit may be another's, a clear bit is certain. `FILTER_MOST` bits at most reach the driver."""
     count = nodes.count()
-    size = min(FILTER_MOST, max(1 << 16, 1 << (FILTER_BITS * count - 1).bit_length()))
+    size = min(FILTER_MOST, max(FILTER_LEAST, 1 << (FILTER_BITS * count - 1).bit_length()))
     piece = size // 64
 
     def marked(table: pa.Table) -> pa.Table:
@@ -457,6 +457,31 @@ def _wanted(nodes: DataFrame) -> bytes:
     return bytes(out)
 
 
+def _beside_filter(wanted, hit: bool):
+    def run(batches):
+        bits = np.frombuffer(wanted.value, np.uint8)
+        for batch in batches:
+            ids = batch.column("doc_id").cast(pa.int64())
+            slot = np.mod(ids.fill_null(0).to_numpy(zero_copy_only=False), 8 * len(bits))
+            on = (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool) & ids.is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(on == hit))
+
+    return run
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs but those whose doc_id is among the ids (one column, doc_id). Rows with a null doc_id stay.
+
+    A filter of bounded size over the ids lets most of the others through as they are; only rows that it
+    stops are dealt, for a join that is exact.
+    """
+    ids = saved(ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "ids")
+    wanted = docs.sparkSession.sparkContext.broadcast(_wanted(ids.withColumnRenamed("doc_id", "sid")))
+    batched(docs)
+    clear, stopped = (docs.mapInArrow(T.tidied(_beside_filter(wanted, hit)), docs.schema) for hit in (False, True))
+    return clear.unionByName(stopped.join(ids, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]))
+
+
 def _verified(num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
         sid, n = table.column("sid").to_numpy(), table.column("n").to_numpy().astype(np.int64)

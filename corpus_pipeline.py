@@ -34,8 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     if not docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1).count():
         found = near.ngram_jaccard_join(docs, SHINGLE, NUM, DEN)
-        # Those that go are fewer than those that stay.
-        return docs.join(found.filter("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+        return near.without_ids(docs, found.filter("doc_id <> component_id").select("doc_id"))
     unnamed = docs.filter(F.col("doc_id").isNull())
     # Written, as keys would differ from one reading to the next.
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")

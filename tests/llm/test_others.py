@@ -194,3 +194,19 @@ def test_pipeline_keeps_distinct_texts_under_one_id(spark):
     assert got == sorted([(3, a), (8, b), (9, c), (11, "alone here"), (None, a), (None, None)], key=key)
     once = d.dropDuplicates(["doc_id"])
     assert P.near_duplicates(spark, once, "").columns == d.columns
+
+
+def test_rows_without_some_ids(spark, monkeypatch):
+    from cablewright.llm import near
+
+    rows = [(k, f"t{k}") for k in range(-50, 200)] + [(None, "lost"), (7, "again"), (None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    gone = list(range(-20, 60, 3))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    want = sorted((r for r in rows if r[0] is None or r[0] not in gone), key=key)
+    ids = spark.createDataFrame([(k,) for k in [*gone, gone[0]]], "doc_id long")
+    for most in (1 << 28, 512):  # a filter that stops other rows, too
+        monkeypatch.setattr(near, "FILTER_MOST", most)
+        monkeypatch.setattr(near, "FILTER_LEAST", min(most, 1 << 16))
+        assert sorted(map(tuple, near.without_ids(d, ids).collect()), key=key) == want
+    assert near.without_ids(d, ids.limit(0)).count() == len(rows)
