@@ -72,5 +72,21 @@ j AS (SELECT d.*, coalesce(w, 0.0) AS weight, CASE WHEN w IS NULL THEN 1.0 ELSE
 SELECT doc_id, source, lang, topic, n_tokens, round(weight, 9) AS weight, round(p, 9) AS probability,
   CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / pow(16.0, 13) < p AS sampled FROM j"""
 
+_RUNS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[A-Za-zÀ-ÿ]+')"
+SPELLING = f"""WITH RECURSIVE bits AS (SELECT i, 0 AS k, i AS x FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END FROM bits WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(x ORDER BY i) AS t FROM bits WHERE k = 8),
+runs AS MATERIALIZED (SELECT id, run, count(*) AS n FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest({_RUNS}) AS run FROM documents) q WHERE length(run) >= 6 GROUP BY id, run),
+bytes AS (SELECT id, run, n, flatten(list_transform(string_split(id || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [CAST(192 + (unicode(c) >> 6) AS BIGINT), CAST(128 + (unicode(c) & 63) AS BIGINT)] END)) AS b FROM runs),
+hashed AS (SELECT run, n, xor(list_reduce([4294967295] || b, lambda x, y: xor(x >> 8, t[(xor(x, y) & 255) + 1])), 4294967295) AS h FROM bytes, crc),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN left(run, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, n FROM hashed) q WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+less AS MATERIALIZED (SELECT word, n, k, left(word, k - 1) || substr(word, k + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS k FROM words) q),
+near AS (SELECT a.word, b.word AS other, b.n FROM less a JOIN less b ON a.rest = b.rest AND a.k = b.k AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, min(struct_pack(z := -n, w := other)) AS best FROM near GROUP BY word),
+out AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.z >= 5 * w.n THEN best.w END AS form, CASE WHEN -best.z >= 5 * w.n THEN -best.z END AS form_n FROM words w LEFT JOIN best b ON b.word = w.word),
+way AS (SELECT word, word AS last FROM out UNION ALL SELECT way.word, out.form FROM way JOIN out ON out.word = way.last WHERE out.form IS NOT NULL)
+SELECT out.word, out.form, last AS root, out.n, CAST(out.n_near AS BIGINT) AS n_near, CAST(out.form_n AS BIGINT) AS form_n FROM out JOIN way ON way.word = out.word JOIN out e ON e.word = last AND e.form IS NULL"""
 
-ORACLES = {"op3_ngram_jaccard_join": JACCARD, "op5_chat_format": CHAT, "op6_mix_sources": _mix(), "op9_decontaminate": DECONTAMINATE}
+
+ORACLES = {"op3_ngram_jaccard_join": JACCARD, "op5_chat_format": CHAT, "op6_mix_sources": _mix(), "op9_decontaminate": DECONTAMINATE, "op11_spelling_variants": SPELLING}
