@@ -89,4 +89,22 @@ way AS (SELECT word, word AS last FROM out UNION ALL SELECT way.word, out.form F
 SELECT out.word, out.form, last AS root, out.n, CAST(out.n_near AS BIGINT) AS n_near, CAST(out.form_n AS BIGINT) AS form_n FROM out JOIN way ON way.word = out.word JOIN out e ON e.word = last AND e.form IS NULL"""
 
 
-ORACLES = {"op3_ngram_jaccard_join": JACCARD, "op5_chat_format": CHAT, "op6_mix_sources": _mix(), "op9_decontaminate": DECONTAMINATE, "op11_spelling_variants": SPELLING}
+def _codes(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    near = "SELECT q.r, q.part, min(struct_pack(d := list_sum(list_transform(list_zip(q.u, c.u), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), e := c.entry)) AS best FROM p q JOIN {0} c ON c.part = q.part GROUP BY q.r, q.part"
+    steps = []
+    for k in range(rounds):
+        steps.append(f"a{k} AS MATERIALIZED ({near.format(f'c{k}')})")
+        steps.append(f"s{k} AS (SELECT part, e, i, sum(x) AS s, count(*) AS n FROM (SELECT p.part, best.e AS e, unnest(p.u) AS x, unnest(range(len(p.u))) AS i FROM p JOIN a{k} a ON a.r = p.r AND a.part = p.part) q GROUP BY part, e, i)")
+        steps.append(f"m{k} AS (SELECT part, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS u FROM s{k} GROUP BY part, e)")
+        steps.append(f"c{k + 1} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(m.u, c.u) AS u FROM c{k} c LEFT JOIN m{k} m ON m.part = c.part AND m.e = c.entry)")
+    return f"""WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS MATERIALIZED (SELECT r, part, v[part * (len(v) // {parts}) + 1 : (part + 1) * (len(v) // {parts})] AS u FROM (SELECT r, v, unnest(range({parts})) AS part FROM v) q),
+c0 AS MATERIALIZED (SELECT part, r - 1 AS entry, u FROM p WHERE r <= {entries}), {", ".join(steps)},
+f AS MATERIALIZED ({near.format(f"c{rounds}")}),
+o AS (SELECT r, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM f GROUP BY r),
+h AS (SELECT sha256(string_agg(array_to_string(u, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN o ON o.r = v.r, h"""
+
+
+ORACLES = {"op3_ngram_jaccard_join": JACCARD, "op5_chat_format": CHAT, "op6_mix_sources": _mix(), "op9_decontaminate": DECONTAMINATE, "op11_spelling_variants": SPELLING, "op12_vector_codes": _codes()}

@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(name, spark):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations", "labels", "pages"):
+    for t in ("documents", "embeddings", "benchmark", "conversations", "labels", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     cur = con.execute(ORACLES[name])
     names = [c[0] for c in cur.description]
