@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, lm, mixing, near, oracles, quality, secrets, spelling, tokenfile, toxicity, urls, vectors
+from . import chat, decontam, extract, lm, mixing, near, oracles, quality, secrets, spelling, tokenfile, toxicity, urls, vectors
 from ._shared import documents
 
 
@@ -67,8 +67,12 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.compress(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_deleted_interpolation, op2_quality_llr, op3_ngram_jaccard_join, op4_url_propagation, op5_chat_format, op6_mix_sources, op7_secret_battery, op8_toxicity_grammar, op9_decontaminate, op10_token_files, op11_spelling_variants, op12_vector_codes)
+    for f in (op1_deleted_interpolation, op2_quality_llr, op3_ngram_jaccard_join, op4_url_propagation, op5_chat_format, op6_mix_sources, op7_secret_battery, op8_toxicity_grammar, op9_decontaminate, op10_token_files, op11_spelling_variants, op12_vector_codes, op13_html_extraction)
 }
 ORACLES = oracles.ORACLES
