@@ -73,35 +73,99 @@ def in_circle(xy: np.ndarray, a: int, b: int, c: int, d: np.ndarray) -> np.ndarr
     return _settled(det, CIRCLE_ERROR * size, _circle, xy[a], xy[b], xy[c], xy[d])
 
 
+def within_circle(xy: np.ndarray, a: int, b: int, c: int, d: np.ndarray, rank: np.ndarray | None = None) -> np.ndarray:
+    """As `in_circle`, but never 0 for another point: of four on one circle, the one of least rank counts as lifted out of it.
+
+    rank: of each point, its index if not given. Any subset of the points then has one triangulation, which agrees
+    with that of the whole wherever its circles are empty in the whole.
+    """
+    det = np.asarray(in_circle(xy, a, b, c, d), float)
+    rank = np.arange(len(xy)) if rank is None else rank
+    for k in np.flatnonzero(det == 0).tolist():
+        e = int(d[k])
+        if e in (a, b, c):
+            continue
+        # The determinant's factors of the four lifts, in which it is linear.
+        lifts = ((a, orient(xy, e, b, c)), (b, -orient(xy, e, a, c)), (c, orient(xy, e, a, b)), (e, -orient(xy, a, b, c)))
+        det[k] = next(np.sign(float(x)) for _, x in sorted(lifts, key=lambda f: rank[f[0]]) if x != 0) * np.finfo(float).tiny
+    return det
+
+
+def apex(xy: np.ndarray, a: int, b: int, among: np.ndarray, rank: np.ndarray | None = None) -> int | None:
+    """The point left of ab whose circle through a and b holds no other of `among` that lies there; None if none does."""
+    left = among[orient(xy, a, b, among) > 0]
+    if not len(left):
+        return None
+    c = int(left[0])
+    while True:
+        inside = within_circle(xy, a, b, c, left, rank)
+        if not (inside > 0).any():
+            return c
+        c = int(left[np.argmax(inside)])
+
+
+class Near:
+    """Points by the cells of a grid, two to a cell on average, for apices that are mostly near."""
+
+    def __init__(self, xy: np.ndarray):
+        self.xy, self.at = xy, xy.astype(float)
+        self.low, span = self.at.min(axis=0), np.ptp(self.at, axis=0)
+        self.side = max(float(np.sqrt(2 * max(span[0], span[1] / 100) * max(span[1], span[0] / 100) / len(xy))), 1e-300)
+        self.cells: dict[tuple[int, int], list[int]] = {}
+        for k, (i, j) in enumerate(((self.at - self.low) // self.side).astype(int).tolist()):
+            self.cells.setdefault((i, j), []).append(k)
+        self.size = ((span // self.side).astype(int) + 1).tolist()
+
+    def within(self, x: float, y: float, r: float) -> np.ndarray | None:
+        """Points of the cells that a square meets, in ascending order; None if that is every cell."""
+        a, c = (max(0, int((z - r - o) // self.side)) for z, o in zip((x, y), self.low, strict=True))
+        b, d = (min(m - 1, int((z + r - o) // self.side)) for z, o, m in zip((x, y), self.low, self.size, strict=True))
+        if a == 0 and c == 0 and b == self.size[0] - 1 and d == self.size[1] - 1:
+            return None
+        return np.array(sorted(k for i in range(a, b + 1) for j in range(c, d + 1) for k in self.cells.get((i, j), ())), int)
+
+    def apex(self, a: int, b: int) -> int | None:
+        """As `apex` among all points: what is found in a square counts once its circle lies in the square."""
+        x, y = (self.at[a] + self.at[b]) / 2
+        r = float(np.hypot(*(self.at[a] - self.at[b]))) + self.side
+        while (some := self.within(x, y, r)) is not None:
+            c = apex(self.xy, a, b, some)
+            if c is not None:
+                cx, cy, reach = circle(self.at, a, b, c)
+                if max(abs(cx - x), abs(cy - y)) + reach <= r:
+                    return c
+            r *= 2
+        return apex(self.xy, a, b, np.arange(len(self.xy)))
+
+
+def circle(at: np.ndarray, a: int, b: int, c: int) -> tuple[float, float, float]:
+    """Centre and radius of a triangle's circle, in doubles, the radius rounded up; infinite where doubles say too little."""
+    (px, py), (qx, qy) = (at[b] - at[a]).tolist(), (at[c] - at[a]).tolist()
+    d, s, t = 2 * (px * qy - py * qx), px * px + py * py, qx * qx + qy * qy
+    if abs(d) <= 1e-9 * max(s, t):
+        return 0.0, 0.0, float("inf")
+    x, y = (qy * s - py * t) / d, (px * t - qx * s) / d
+    return float(at[a][0]) + x, float(at[a][1]) + y, float(np.hypot(x, y)) * (1 + 1e-5)
+
+
 def delaunay(xy: np.ndarray) -> list[tuple[int, int, int]]:
     """Counter-clockwise triangles, by closing one open side after another with the point of an empty circle."""
     xy = points(xy)
     n = len(xy)
     if n < 3:
         return []
-    every = np.arange(n)
-
-    def apex(a: int, b: int) -> int | None:
-        left = every[orient(xy, a, b, every) > 0]
-        if not len(left):
-            return None
-        c = int(left[0])
-        while True:
-            inside = in_circle(xy, a, b, c, left)
-            if not (inside > 0).any():
-                return c
-            c = int(left[np.argmax(inside)])
+    every, near = np.arange(n), Near(xy)
 
     a = int(np.lexsort((xy[:, 1], xy[:, 0]))[0])
     b = next((int(k) for k in every if k != a and not (orient(xy, a, int(k), every) < 0).any() and not _beyond(xy, a, int(k), every)), None)
-    if b is None or apex(a, b) is None:
+    if b is None or apex(xy, a, b, every) is None:
         return []
     out, todo, done = [], [(a, b)], set()
     while todo:
         u, v = todo.pop()
         if (u, v) in done:
             continue
-        c = apex(u, v)
+        c = near.apex(u, v)
         if c is None:
             continue
         done |= {(u, v), (v, c), (c, u)}
@@ -119,6 +183,13 @@ def _beyond(xy: np.ndarray, a: int, b: int, every: np.ndarray) -> bool:
     return bool(((along > 0) & (along < d @ d)).any())
 
 
+def between(xy: np.ndarray, a: int, b: int) -> list[int]:
+    """Points on the segment ab other than its ends; whole numbers or doubles of any scale."""
+    # On a line, the coordinate that changes more tells the order, exactly.
+    x = xy[:, int(np.argmax(np.abs(xy[b] - xy[a])))]
+    return np.flatnonzero((orient(xy, a, b, np.arange(len(xy))) == 0) & (x > min(x[a], x[b])) & (x < max(x[a], x[b]))).tolist()
+
+
 def crosses(xy: np.ndarray, u, v, s, t) -> np.ndarray:
     """Whether segments cross properly: a shared end or a touch is none."""
     sg = lambda a, b, c: np.sign(orient(xy, a, b, c))
@@ -739,9 +810,8 @@ def constrained(xy: np.ndarray, constraints) -> list[tuple[int, int, int]]:
     def force(a: int, b: int) -> None:
         if any(a in t and b in t for t in tri):
             return
-        on = [k for k in range(len(xy)) if k not in (a, b) and orient(xy, a, b, k) == 0 and 0 < int((xy[k] - xy[a]) @ (xy[b] - xy[a])) < int((xy[b] - xy[a]) @ (xy[b] - xy[a]))]
-        if on:
-            k = min(on, key=lambda k: int(((xy[k] - xy[a]) ** 2).sum()))
+        if on := between(xy, a, b):
+            k = min(on, key=lambda k: ((xy[k] - xy[a]) ** 2).sum())
             force(a, k)
             force(k, b)
             return
@@ -754,7 +824,7 @@ def constrained(xy: np.ndarray, constraints) -> list[tuple[int, int, int]]:
                 edges[frozenset(e)] = edges.get(frozenset(e), 0) + 1
         rim = [tuple(e) for e, n in edges.items() if n == 1]
         for sign in (1, -1):
-            side = {p for p in points if sign * int(orient(xy, a, b, p)) > 0}
+            side = {p for p in points if sign * orient(xy, a, b, p) > 0}
             adj: dict[int, list[int]] = {}
             for u, v in rim:
                 if {u, v} <= side | {a, b}:
@@ -787,8 +857,8 @@ def constrained(xy: np.ndarray, constraints) -> list[tuple[int, int, int]]:
     out = []
     for t in tri:
         a, b, c = sorted(t)
-        turn = int(orient(xy, a, b, c))
-        if turn:
+        turn = orient(xy, a, b, c)
+        if turn != 0:
             out.append((a, b, c) if turn > 0 else (a, c, b))
     return sorted(out)
 

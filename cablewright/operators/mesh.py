@@ -1,4 +1,4 @@
-"""The navigation mesh: triangles from a kernel for each site, and all that follows from them as joins."""
+"""The navigation mesh: triangles by tiles, and all that follows from them as joins."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from . import kernels as K
 from .joins import with_points
+from .tiles import triangles
 
 
 def site(pdf: pd.DataFrame) -> tuple[list[int], np.ndarray]:
@@ -18,17 +19,6 @@ def site(pdf: pd.DataFrame) -> tuple[list[int], np.ndarray]:
     return pdf["n"].tolist(), K.points(pdf[["x", "y"]].to_numpy())
 
 
-def triangles(v: DataFrame) -> DataFrame:
-    """Delaunay triangles a < b < c of each site's points, roots included."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, xy = site(pdf)
-        rows = [(pdf["site_id"].iloc[0], *sorted(ids[k] for k in t)) for t in K.delaunay(xy)]
-        return pd.DataFrame(rows, columns=["site_id", "a", "b", "c"])
-
-    return v.groupBy("site_id").applyInPandas(run, "site_id long, a long, b long, c long")
-
-
 def sides(t: DataFrame) -> DataFrame:
     """Each triangle's sides u < v with the opposite vertex w."""
     side = lambda u, v, w: F.struct(F.col(u).alias("u"), F.col(v).alias("v"), F.col(w).alias("w"))

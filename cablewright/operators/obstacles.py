@@ -55,15 +55,15 @@ def navigation_mesh(v: DataFrame, polygons: DataFrame) -> DataFrame:
         tri = K.navigation_mesh(xy, rings[0], rings[1:])
         have = {frozenset((a, b)) for t in tri for a, b in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0]))}
         forced = [(r[k], r[(k + 1) % len(r)]) for r in rings for k in range(len(r))]
-        lack = 0
-        for a, b in forced:
-            on = [k for k in range(len(xy)) if k not in (a, b) and K.orient(xy, a, b, k) == 0 and 0 < int((xy[k] - xy[a]) @ (xy[b] - xy[a])) < int((xy[b] - xy[a]) @ (xy[b] - xy[a]))]
-            lack += frozenset((a, b)) not in have and not on
-        area = sum(int(K.orient(xy, *t)) for t in tri)
+        lack = sum(frozenset((a, b)) not in have and not K.between(xy, a, b) for a, b in forced)
+        area = sum(K.orient(xy, *t) for t in tri)
         held = sum(any(K.inside(xy[h], xy[list(t)].mean(axis=0)) for h in rings[1:]) for t in tri)
         return pd.DataFrame([(pdf["site_id"].iloc[0], len(tri), area, lack, held)], columns=["site_id", "triangles", "area2", "lacking", "in_holes"])
 
-    return _joined(v, polygons).groupBy("site_id").applyInPandas(run, "site_id long, triangles long, area2 long, lacking long, in_holes long")
+    j = _joined(v, polygons)
+    # Twice the area is whole where coordinates are.
+    area = "long" if j.schema["x"].dataType.typeName() in ("long", "integer", "short", "byte") else "double"
+    return j.groupBy("site_id").applyInPandas(run, f"site_id long, triangles long, area2 {area}, lacking long, in_holes long")
 
 
 def _walls(rings) -> np.ndarray:

@@ -20,6 +20,13 @@ def folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/store/{uuid.uuid4().hex}"
 
 
+def work_table(df: DataFrame, name: str) -> DataFrame:
+    """df written to a new folder that driver and executors share, and read again: its lineage ends there, and lost executors cost no more than a reading."""
+    path = f"{folder(df.sparkSession)}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: The store's tables.
 SCHEMAS = {
     "nodesets": "site_id bigint, digest string, T bigint, R bigint",
