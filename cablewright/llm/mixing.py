@@ -62,12 +62,17 @@ class Topics:
         hit = self.words[slot] == h
         return row[hit], self.order[slot[hit]], starts[hit], ends[hit]
 
-    def together(self, text: np.ndarray, at: np.ndarray, names: dict[int, str]) -> tuple[np.ndarray, np.ndarray]:
-        """(word * seeds + seed, rows that have both); names gets the words of seeds that it lacks."""
+    def name(self, text: np.ndarray, at: np.ndarray, names: dict[int, str]):
+        """As `found`; names gets the words of seeds that it lacks."""
         row, word, starts, ends = self.found(text, at)
         for k in np.flatnonzero(word < self.seeds).tolist():
             if (w := int(word[k])) not in names:
                 names[w] = text[starts[k] : ends[k]].tobytes().lower().decode("utf-8", "replace")
+        return row, word, starts, ends
+
+    def together(self, text: np.ndarray, at: np.ndarray, names: dict[int, str]) -> tuple[np.ndarray, np.ndarray]:
+        """(word * seeds + seed, rows that have both); names gets the words of seeds that it lacks."""
+        row, word, _, _ = self.name(text, at, names)
         size = max(len(self.words), 1)
         row, word = np.divmod(np.unique(row * size + word), size)
         seed = word < self.seeds
@@ -143,6 +148,17 @@ def _beside(model: Topics):
     return run
 
 
+def _names(model: Topics):
+    def run(batches):
+        names: dict[int, str] = {}
+        for _, _, _, text, at in _texts(batches):
+            if len(names) < model.seeds:
+                model.name(text, at, names)
+        yield pa.RecordBatch.from_arrays([pa.array(list(names), pa.int64()), pa.array(list(names.values()), pa.string())], ["code", "name"])
+
+    return run
+
+
 def fit_topics(docs: DataFrame) -> Topics:
     """Topics from all texts of docs.
 
@@ -150,17 +166,24 @@ def fit_topics(docs: DataFrame) -> Topics:
     `VOCABULARY` of them, or fewer, for words that equally many documents hold come in or stay out together.
     The commonest `TOPICS` of them, by their documents and then in the order of words, are the topics. Each
     word goes to the topic whose own word's documents hold it most often, in proportion; of equals, to the
-    commoner topic. What reaches the driver is bounded by `VOCABULARY` and by it times `TOPICS`, but for ties.
+    commoner topic. What reaches the driver is bounded by `VOCABULARY` and by it times `TOPICS`.
     """
     text = docs.select(F.col("text").cast("string").alias("text"))
     counts = text.mapInArrow(T.tidied(_document_counts), "h long, docs long").groupBy("h").agg(F.sum("docs").alias("docs"))
     rows = counts.filter((F.col("docs") >= LEAST_DOCS) & (RARE * F.col("docs") <= text.count())).orderBy(F.desc("docs")).limit(VOCABULARY + 1).collect()
     if len(rows) > VOCABULARY:
         rows = [r for r in rows if r.docs > rows[-1].docs]
-    docs_of = np.array([r.docs for r in rows], np.int64)
-    model = Topics(np.array([r.h for r in rows], np.int64).view(np.uint64), int((docs_of >= docs_of[min(TOPICS, len(rows)) - 1]).sum()) if rows else 0)
     if not rows:
-        return model
+        return Topics(np.zeros(0, np.uint64), 0)
+    least = rows[min(TOPICS, len(rows)) - 1].docs
+    if (tied := sum(r.docs >= least for r in rows)) > TOPICS:
+        # Only the tied words' names are fetched before the topics are chosen, so that pairs are counted for those alone.
+        some = Topics(np.array([r.h for r in rows[:tied]], np.int64).view(np.uint64), tied)
+        called = dict(text.mapInArrow(T.tidied(_names(some)), "code long, name string").groupBy("code").agg(F.min("name").alias("name")).collect())
+        order = sorted(range(tied), key=lambda k: (-rows[k].docs, called[k].encode()))
+        rows = [rows[k] for k in order] + rows[tied:]
+    docs_of = np.array([r.docs for r in rows], np.int64)
+    model = Topics(np.array([r.h for r in rows], np.int64).view(np.uint64), min(TOPICS, len(rows)))
     share = np.zeros((len(rows), model.seeds))
     names = {}
     together = text.mapInArrow(T.tidied(_beside(model)), "code long, n long, name string")
@@ -229,7 +252,7 @@ def rake(cells: list[tuple], targets: dict[str, dict[str, float]], rounds: int =
 
 def _rake_frame(cells: DataFrame, targets: DataFrame, rounds: int) -> DataFrame:
     """The same in Spark, for any number of cells. targets: margin, name, want."""
-    total = cells.agg(F.sum("tokens")).first()[0]
+    total = cells.agg(F.sum("tokens")).first()[0] or 1  # without cells there is nothing to weigh
     w = cells.withColumn("weight", F.col("tokens") / F.lit(float(total)))
     for _ in range(rounds):
         for m in MARGINS:
@@ -284,10 +307,11 @@ def probabilities(found: DataFrame, targets: dict[str, dict[str, float]] | None,
             share = share.join(spark.createDataFrame(list(given.items()), "name string, g double"), "name", "left").select("name", F.coalesce("g", F.lit(0.0)).alias("p"))
         else:
             share = share.select("name", F.pow(F.col("t").cast("double"), POWERS[m]).alias("p"))
-        norm = share.agg(F.sum("p")).first()[0]
+        # Targets that name nothing that is there leave no weight, as `_targets` has it.
+        norm = share.agg(F.sum("p")).first()[0] or 1.0
         parts.append(share.select(F.lit(m).alias("margin"), "name", (F.col("p") / F.lit(norm)).alias("want")))
     raked = _rake_frame(live, saved(parts[0].unionByName(parts[1]).unionByName(parts[2]), "targets"), rounds)
-    rate = _rate(raked, fraction * float(live.agg(F.sum("tokens")).first()[0]))
+    rate = _rate(raked, fraction * float(live.agg(F.sum("tokens")).first()[0] or 0))
     return raked.select(*MARGINS, "weight", F.when(F.col("weight") > 0, F.least(F.lit(1.0), F.lit(rate) * F.col("weight") / F.col("tokens"))).otherwise(0.0).alias("probability"))
 
 

@@ -313,11 +313,13 @@ def _scored(patterns: dict[str, float], weights: np.ndarray):
 
 
 def learn(docs: DataFrame, labels: DataFrame, fold: int = 5, held_out: int = 0) -> tuple[dict[str, float], np.ndarray]:
-    """Patterns and regression weights, from up to `MOST_LABELLED` labelled documents outside the held-out fold."""
+    """Patterns and regression weights, from up to `MOST_LABELLED` labelled documents outside the held-out fold; of texts under one id, the one of least hash."""
     free = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % fold, F.lit(held_out)) != held_out
     ids = labels.filter(free & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("y"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").select("y", "text")
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    # One text for each id, so that ids that repeat in docs don't multiply the sample.
+    sample = sample.groupBy("doc_id").agg(F.first("y").alias("y"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("y", "t.text")
     sample = saved(sample, "sample")
     size = dict(sample.groupBy("y").count().collect())
     toxic, clean = size.get(1, 0), size.get(0, 0)

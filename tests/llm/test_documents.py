@@ -502,3 +502,31 @@ def test_empty_tables(spark, empty):
     bench = spark.createDataFrame([], "item_id long, text string")
     for out in (near.ngram_jaccard_join(empty), lm.deleted_interpolation(empty), quality.quality_filter(empty, labels), decontam.decontaminate(empty, bench), tokenfile.token_files(empty), secrets.find_secrets(empty), toxicity.score_toxicity(empty, labels), mixing.mix(empty), mixing.sample(empty), decontam.drop_contaminated(empty, bench)):
         assert out.collect() == []
+
+
+@pytest.mark.parametrize("targets", [{"source": {"zzz": 1.0}}, {"source": {"s0": 0.0}, "lang": {"en": 2.0, "zz": 1.0}}, None])
+def test_both_rakings_agree_where_little_is_left(spark, monkeypatch, targets):
+    few = [(1, "alpha beta gamma", "en", "s0"), (2, "alpha delta", None, "s1"), (3, "", "de", "s1"), (4, None, "en", None)]
+    for rows in (few, few[2:], []):
+        d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+        found = []
+        for most in (200_000, -1):
+            monkeypatch.setattr(mixing, "MOST_CELLS", most)
+            found.append(sorted((r.doc_id, r.source, r.lang, r.topic, round(r.weight, 9), round(r.probability, 9), r.sampled) for r in mixing.mix(d, targets).collect()))
+        assert found[0] == found[1] and len(found[0]) == len(rows)
+
+
+def test_tied_topics_go_by_the_words_order(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "TOPICS", 2)
+    texts = ["zebras yonder", "zebras yonder xenons", "xenons walnut", "walnut"] + [f"padding{k}" for k in range(40)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert mixing.fit_topics(d).names == ["walnut", "xenons"]
+    assert brute.topics(texts, mixing) == [(r.topic, r.n_tokens) for r in sorted(mixing.mix(d).collect(), key=lambda r: r.doc_id)]
+
+
+def test_repeated_ids_do_not_multiply_the_labelled_sample(spark):
+    rows = [(k, f"you are a {'fool' if k % 2 else 'friend'} number {k}") for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    once = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    again = toxicity.learn(spark.createDataFrame(rows + [rows[1]] * 500 + [rows[2]] * 3, "doc_id long, text string"), labels)
+    assert once[0] == again[0] and np.allclose(once[1], again[1])
