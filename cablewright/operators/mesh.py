@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from . import kernels as K
+from . import rounds
 from .joins import with_points
 from .tiles import triangles
 
@@ -108,16 +109,8 @@ def build(v: DataFrame) -> DataFrame:
 
 
 def spanning_forest(v: DataFrame) -> DataFrame:
-    """Minimum spanning forest over the triangulation, a tree for each root."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, xy = site(pdf)
-        tri = K.delaunay(xy)
-        edges = {(min(a, b), max(a, b)) for t in tri for a, b in zip(t, t[1:] + t[:1], strict=True)}
-        rows = [(pdf["site_id"].iloc[0], ids[min(e)], ids[max(e)], int(((xy[e[0]] - xy[e[1]]) ** 2).sum())) for e in K.spanning_forest(ids, xy, edges)]
-        return pd.DataFrame(rows, columns=["site_id", "u", "v", "l2"])
-
-    return v.groupBy("site_id").applyInPandas(run, "site_id long, u long, v long, l2 long")
+    """Minimum spanning forest over the triangulation, a tree for each root: site_id, u, v, l2."""
+    return rounds.spanning_forest(available_edges(triangles(v), v).filter("kind = 'delaunay'"))
 
 
 def best_paths(t: DataFrame, v: DataFrame) -> DataFrame:
@@ -132,28 +125,9 @@ def best_paths(t: DataFrame, v: DataFrame) -> DataFrame:
 
 
 def root_distances(t: DataFrame, v: DataFrame, exact: bool = False) -> DataFrame:
-    """Length of the shortest way along the mesh's sides from each terminal to each root, in thousandths; if exact, of every point, as `way`, a double. A kernel for each site."""
-    import heapq
-
-    e = available_edges(t, v).filter("kind = 'delaunay'")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        adj: dict[int, list[tuple[int, float]]] = {}
-        for a, b, l2 in pdf[["u", "v", "l2"]].itertuples(index=False):
-            adj.setdefault(a, []).append((b, float(l2) ** 0.5))
-            adj.setdefault(b, []).append((a, float(l2) ** 0.5))
-        out = []
-        for root in sorted(k for k in adj if k < 0):
-            dist, heap = {root: 0.0}, [(0.0, root)]
-            while heap:
-                d, k = heapq.heappop(heap)
-                if d > dist[k]:
-                    continue
-                for m, w in adj[k]:
-                    if d + w < dist.get(m, float("inf")):
-                        dist[m] = d + w
-                        heapq.heappush(heap, (d + w, m))
-            out += [(pdf["site_id"].iloc[0], n, root, x if exact else round(x * 1000)) for n, x in dist.items() if exact or n >= 0]
-        return pd.DataFrame(out, columns=["site_id", "n", "root", "way" if exact else "length"])
-
-    return e.groupBy("site_id").applyInPandas(run, f"site_id long, n long, root long, {'way double' if exact else 'length long'}")
+    """Length of the shortest way along the mesh's sides from each terminal to each root, in thousandths; if exact, of every point, as `way`, a double."""
+    e = available_edges(t, v).filter("kind = 'delaunay'").select("site_id", "u", "v", F.sqrt(F.col("l2").cast("double")).alias("w"))
+    d = rounds.ways_from(e, v.filter("n < 0").select("site_id", F.col("n").alias("root")))
+    if exact:
+        return d.select("site_id", "n", "root", "way")
+    return d.filter("n >= 0").select("site_id", "n", "root", F.round(F.col("way") * 1000).cast("long").alias("length"))

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..sources.store import work_table
+from . import rounds
 from .joins import assign_cables, assign_root, crossings, with_points
 
 LOADS = "site_id long, n long, root long, parent long, load long, subtree long, depth long"
@@ -44,8 +46,21 @@ def loads_of(parent: dict[int, int]) -> dict[int, tuple[int, int, int]]:
     return {n: (load[n], top[n], depth[n]) for n in parent}
 
 
+#: Sites with more terminals go by rounds of joins; others are walked in a task, many a task.
+WHOLE = 4096
+
+
+def _parted(forest: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """The forest of sites of up to `WHOLE` terminals, and of larger ones if there are any. Written, as it is read more than once."""
+    f = work_table(forest.select(*columns), "forest")
+    large = f.groupBy("site_id").count().filter(F.col("count") > WHOLE).select("site_id")
+    if large.isEmpty():
+        return f, None
+    return f.join(large, "site_id", "left_anti"), f.join(large, "site_id", "left_semi")
+
+
 def tree_loads(forest: DataFrame) -> DataFrame:
-    """Each terminal's load (terminals fed through it), subtree (the gate's terminal) and depth. One call for each site."""
+    """Each terminal's load (terminals fed through it), subtree (the gate's terminal) and depth."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         parent = dict(zip(pdf["n"].tolist(), pdf["parent"].tolist(), strict=True))
@@ -53,7 +68,12 @@ def tree_loads(forest: DataFrame) -> DataFrame:
         rows = [got[n] for n in pdf["n"].tolist()]
         return pdf[["site_id", "n", "root", "parent"]].assign(load=[r[0] for r in rows], subtree=[r[1] for r in rows], depth=[r[2] for r in rows])
 
-    return forest.select("site_id", "n", "root", "parent").groupBy("site_id").applyInPandas(run, LOADS)
+    few, large = _parted(forest, ["site_id", "n", "root", "parent"])
+    out = few.groupBy("site_id").applyInPandas(run, LOADS)
+    if large is None:
+        return out
+    up = rounds.ancestors(large).select("site_id", "n", "load", F.col("top").alias("subtree"), "depth")
+    return out.unionByName(large.join(up, ["site_id", "n"]).select("site_id", "n", "root", "parent", "load", "subtree", "depth"))
 
 
 def gates_per_root(forest: DataFrame, v: DataFrame) -> DataFrame:
@@ -107,21 +127,8 @@ def hooked_to_nearest(forest: DataFrame, v: DataFrame) -> DataFrame:
 
 def rehooked(forest: DataFrame, hooks: DataFrame) -> DataFrame:
     """The forest with each subtree fed from its new hook (site_id, root, subtree, hook), and loads: links between the old hook and the new one turn round."""
-
-    def run(trees: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:
-        parent = dict(zip(trees["n"].tolist(), trees["parent"].tolist(), strict=True))
-        root = dict(zip(trees["n"].tolist(), trees["root"].tolist(), strict=True))
-        own = dict(parent)
-        for hook in chosen["hook"].tolist():
-            n, before = hook, parent[hook]
-            own[hook] = root[hook]
-            while before >= 0:
-                own[before] = n
-                n, before = before, parent[before]
-        loads = loads_of(own)
-        return pd.DataFrame([(trees["site_id"].iloc[0], n, root[n], p, loads[n][0]) for n, p in own.items()], columns=["site_id", "n", "root", "parent", "load"])
-
-    return forest.select("site_id", "n", "root", "parent").groupBy("site_id").cogroup(hooks.select("site_id", "hook").groupBy("site_id")).applyInPandas(run, "site_id long, n long, root long, parent long, load long")
+    f = work_table(rounds.turned(forest, hooks), "turned")
+    return tree_loads(f).select("site_id", "n", "root", "parent", "load")
 
 
 def hooked_to_head(forest: DataFrame, v: DataFrame) -> DataFrame:
@@ -158,8 +165,8 @@ def from_edge_table(table: DataFrame, roots: int = 2) -> DataFrame:
 
 
 def path_lengths(forest: DataFrame, v: DataFrame) -> DataFrame:
-    """Of each terminal that feeds from no other: the summed length of the way to its root. One call for each site."""
-    l = lengths(forest.select("site_id", "n", "parent"), v)
+    """Of each terminal that feeds from no other: the summed length of the way to its root."""
+    few, large = _parted(lengths(forest.select("site_id", "n", "parent"), v), ["site_id", "n", "parent", "length"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         parent = dict(zip(pdf["n"].tolist(), pdf["parent"].tolist(), strict=True))
@@ -172,7 +179,11 @@ def path_lengths(forest: DataFrame, v: DataFrame) -> DataFrame:
             out.append((pdf["site_id"].iloc[0], n, m, hops, total))
         return pd.DataFrame(out, columns=["site_id", "leaf", "root", "hops", "length"])
 
-    return l.groupBy("site_id").applyInPandas(run, "site_id long, leaf long, root long, hops long, length long")
+    out = few.groupBy("site_id").applyInPandas(run, "site_id long, leaf long, root long, hops long, length long")
+    if large is None:
+        return out
+    leaf = rounds.ancestors(large, "length").join(large.select("site_id", F.col("parent").alias("n")), ["site_id", "n"], "left_anti")
+    return out.unionByName(leaf.select("site_id", F.col("n").alias("leaf"), "root", F.col("depth").alias("hops"), F.col("way").alias("length")))
 
 
 def paths(forest: DataFrame) -> DataFrame:
