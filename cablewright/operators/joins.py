@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..sources.store import work_table
 
 
 def d2roots(v: DataFrame) -> DataFrame:
@@ -72,33 +73,55 @@ def edge_root(v: DataFrame, edges: DataFrame) -> DataFrame:
     return e.join(r, "site_id").groupBy("site_id", "u", "v").agg(best).select("site_id", "u", "v", F.col("b.root").alias("root"))
 
 
-#: Rings of grid cells in which neighbours are looked for, each wider than the one before; what they leave open is looked for in the whole site.
-RINGS = (1,)
+#: Points that the fullest cell of the first grid holds at most, while cells can be made smaller.
+CROWD = 64
+
+
+def gridded(v: DataFrame, share: float) -> tuple[DataFrame, float]:
+    """v with x0, y0, side and span of its site's grid, whose cells hold `share` points on average; and the factor of sides to begin with."""
+    f = v.groupBy("site_id").agg(F.count("*").alias("k"), *[(F.max(c) - F.min(c)).cast("double").alias(c) for c in ("x", "y")], *[F.min(c).cast("double").alias(f"{c}0") for c in ("x", "y")])
+    side = F.greatest(F.lit(1e-9), F.sqrt(F.greatest("x", F.col("y") / 1000) * F.greatest("y", F.col("x") / 1000) * share / F.col("k")))
+    f = f.select("site_id", "x0", "y0", side.alias("side"), F.greatest("x", "y").alias("span"))
+    # Read once: every ring joins it on both sides.
+    at, wide = work_table(v.join(f, "site_id"), "points"), 1.0
+    while wide > 1e-6 and not at.groupBy("site_id", cell("x", wide), cell("y", wide)).count().filter(F.col("count") > CROWD).isEmpty():
+        wide /= 4
+    return at, wide
+
+
+def cell(c: str, wide: float):
+    return F.floor((F.col(c) - F.col(f"{c}0")) / (F.col("side") * wide))
+
+
+def about(left: DataFrame, other: DataFrame, wide: float) -> DataFrame:
+    """left (u, ux, uy) with all points (v, vx, vy, and what else `other` has) of the nine cells about each."""
+    cells = [F.explode(F.sequence(cell(c, wide) - 1, cell(c, wide) + 1)).alias(f"g{c}") for c in "xy"]
+    near = left.select("*", cells[0]).select("*", cells[1]).withColumnsRenamed({"n": "u", "x": "ux", "y": "uy"})
+    kept = [c for c in other.columns if c not in ("n", "x", "y", "x0", "y0", "side", "span")]
+    return near.join(other.select(*kept, cell("x", wide).alias("gx"), cell("y", wide).alias("gy"), F.col("n").alias("v"), F.col("x").alias("vx"), F.col("y").alias("vy")), ["site_id", "gx", "gy"])
 
 
 def knn_edges(v: DataFrame, k: int = 4) -> DataFrame:
     """Undirected edges from every point to its k nearest, ties by id.
 
-    Candidates come from the cells around a point's own, of a grid whose cells hold 2k points on average. A
-    point is done with a ring if its k-th neighbour is no farther than the ring is wide; the others go on.
+    Candidates come from the cells around a point's own, of a grid whose fullest cell is small; a point is done if its
+    k-th neighbour is no farther than its cells reach. The others go on with cells four times as wide, until the cells
+    about a point hold its whole site: so few points of a crowd, and none but the most remote, meet many.
     """
-    f = v.groupBy("site_id").agg(F.count("*").alias("k"), *[(F.max(c) - F.min(c)).cast("double").alias(c) for c in ("x", "y")])
-    f = f.select("site_id", F.greatest(F.lit(1e-9), F.sqrt(F.greatest("x", F.col("y") / 1000) * F.greatest("y", F.col("x") / 1000) * (2 * k) / F.col("k"))).alias("side"))
-    cells = v.select("site_id", "n", "x", "y").join(f, "site_id").withColumn("gx", F.floor(F.col("x") / F.col("side"))).withColumn("gy", F.floor(F.col("y") / F.col("side")))
-    other = cells.select("site_id", "gx", "gy", F.col("n").alias("v"), F.col("x").alias("vx"), F.col("y").alias("vy"))
-    left = cells.select("site_id", "gx", "gy", "side", F.col("n").alias("u"), F.col("x").alias("ux"), F.col("y").alias("uy"))
-    rank = F.row_number().over(Window.partitionBy("site_id", "u").orderBy("l2", "v"))
-    nearest = lambda pairs: pairs.filter("u <> v").withColumn("l2", G.d2(G.point("u"), G.point("v"))).withColumn("r", rank).filter(F.col("r") <= k)
-    found = None
-    for ring in RINGS:
-        about = lambda c: F.explode(F.sequence(F.col(c) - ring, F.col(c) + ring))  # noqa: B023, E731
-        got = nearest(left.withColumn("gx", about("gx")).withColumn("gy", about("gy")).join(other, ["site_id", "gx", "gy"]))
-        got = got.withColumn("far", F.max("l2").over(Window.partitionBy("site_id", "u"))).withColumn("have", F.count("*").over(Window.partitionBy("site_id", "u")))
-        got = got.filter((F.col("have") == k) & (F.col("far") <= F.pow(ring * F.col("side"), F.lit(2.0)))).select("site_id", "u", "v", "l2")
-        left = left.join(got.select("site_id", "u").distinct(), ["site_id", "u"], "left_anti")
-        found = got if found is None else found.unionByName(got)
-    rest = nearest(left.drop("gx", "gy").join(other.drop("gx", "gy"), "site_id")).select("site_id", "u", "v", "l2")
-    return found.unionByName(rest).select("site_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "l2").distinct()
+    at, wide = gridded(v.select("site_id", "n", "x", "y"), 2.0 * k)
+    left, found = at, None
+    per = Window.partitionBy("site_id", "u")
+    while True:
+        pairs = about(left, at, wide).filter("u <> v").withColumn("l2", G.d2(G.point("u"), G.point("v")))
+        top = pairs.withColumn("r", F.row_number().over(per.orderBy("l2", "v"))).filter(F.col("r") <= k)
+        all_of_it = F.col("side") * wide > F.col("span")
+        done = ((F.count("*").over(per) == k) & (F.max("l2").over(per) <= F.pow(F.col("side") * wide, F.lit(2.0)))) | all_of_it
+        got = work_table(top.select("site_id", "u", "v", "l2", done.alias("done")), "nearest")
+        found = got.filter("done") if found is None else found.unionByName(got.filter("done"))
+        left = left.filter(~all_of_it).join(got.filter("done").select("site_id", F.col("u").alias("n")).distinct(), ["site_id", "n"], "left_anti")
+        if left.isEmpty():
+            return found.select("site_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "l2").distinct()
+        left, wide = work_table(left, "left"), wide * 4
 
 
 def with_points(edges: DataFrame, v: DataFrame, u: str = "u", w: str = "v") -> DataFrame:
@@ -151,16 +174,31 @@ def gate_crossings(gates: DataFrame, edges: DataFrame, v: DataFrame) -> DataFram
     return _gates_by_rank(gates.select("site_id", "root", "n"), edges.select("site_id", "u", "v").filter("u >= 0 AND v >= 0"), v)
 
 
+#: Buckets of ranks that a root's terminals fall into at most.
+BUCKETS = 1024
+
+
 def _gates_by_rank(gates: DataFrame, edges: DataFrame, v: DataFrame) -> DataFrame:
+    """A gate meets the edges over its bucket of ranks alone; an edge over the cut at pi has the buckets at both ends."""
     t = v.filter("n >= 0")
     r = v.filter("n < 0").select("site_id", F.col("n").alias("root"), F.col("x").alias("rx"), F.col("y").alias("ry"))
     a = t.join(r, "site_id").withColumn("angle", F.atan2((F.col("y") - F.col("ry")).cast("double"), (F.col("x") - F.col("rx")).cast("double")))
-    a = a.withColumn("rank", F.dense_rank().over(Window.partitionBy("site_id", "root").orderBy("angle")))
+    by = Window.partitionBy("site_id", "root")
+    a = a.withColumn("rank", F.dense_rank().over(by.orderBy("angle")))
+    # Ranks of a bucket: a root of few terminals has small ones, so that an edge covers few of them at any size.
+    a = work_table(a.withColumn("width", F.greatest(F.lit(1), F.ceil(F.max("rank").over(by) / BUCKETS))), "ranks")
     end = lambda c: a.select("site_id", "root", F.col("n").alias(c), F.col("x").alias(f"{c}x"), F.col("y").alias(f"{c}y"), F.col("angle").alias(f"{c}a"), F.col("rank").alias(f"{c}r"))
     e = edges.join(end("u"), ["site_id", "u"]).join(end("v"), ["site_id", "root", "v"])
-    e = e.withColumn("wraps", F.abs(F.col("ua") - F.col("va")) > F.lit(3.141592653589793))
-    g = gates.join(a.select("site_id", "root", "n", "rx", "ry", "x", "y", "rank"), ["site_id", "root", "n"])
-    j = g.join(e, ["site_id", "root"]).filter("n <> u AND n <> v")
+    e = e.withColumn("wraps", F.abs(F.col("ua") - F.col("va")) > F.lit(math.pi))
+    e = e.join(a.groupBy("site_id", "root").agg(F.max("width").alias("width"), F.max("rank").alias("last")), ["site_id", "root"])
+    low, high = F.least("ur", "vr"), F.greatest("ur", "vr")
+    bucket = lambda c: F.floor(c / F.col("width"))
+    inner = F.sequence(bucket(low), bucket(high))
+    # The rest of the circle, in two parts that may share a bucket.
+    outer = F.array_union(F.sequence(F.lit(0).cast("long"), bucket(low)), F.sequence(bucket(high), bucket(F.col("last"))))
+    e = e.withColumn("bucket", F.explode(F.when(F.col("wraps"), outer).otherwise(inner))).drop("width", "last")
+    g = gates.join(a.select("site_id", "root", "n", "rx", "ry", "x", "y", "rank", F.floor(F.col("rank") / F.col("width")).alias("bucket")), ["site_id", "root", "n"])
+    j = g.join(e, ["site_id", "root", "bucket"]).filter("n <> u AND n <> v")
     within = G.rank_within(F.col("rank"), F.least("ur", "vr"), F.greatest("ur", "vr"), F.col("wraps"))
     apart = ~G.same_side(G.point("u"), G.point("v"), G.point("r"), (F.col("x"), F.col("y")), touch=False)
     return j.filter(within & apart).select("site_id", "root", "n", "u", "v")

@@ -9,20 +9,35 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..sources.store import work_table
 from . import rounds
-from .joins import assign_cables, assign_root, crossings, with_points
+from .joins import about, assign_cables, assign_root, crossings, gridded, with_points
 
 LOADS = "site_id long, n long, root long, parent long, load long, subtree long, depth long"
 
 
 def seed_forest(v: DataFrame) -> DataFrame:
-    """site_id, n, root, parent, l2: each terminal feeds the nearest node strictly closer to its root, ties by id."""
+    """site_id, n, root, parent, l2: each terminal feeds the nearest node strictly closer to its root, ties by id.
+
+    Candidates come from the cells about a terminal, wider ones in each round. The root bounds the search: a terminal is done
+    once its cells reach as far as the best candidate, the root among them.
+    """
     own = assign_root(v).select("site_id", "n", "root", F.col("d2").alias("rd"))
-    t = v.filter("n >= 0").join(own, ["site_id", "n"])
-    up = t.select("site_id", "root", F.col("n").alias("parent"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("rd").alias("pd"))
-    up = up.unionByName(v.filter("n < 0").select("site_id", F.col("n").alias("root"), F.col("n").alias("parent"), F.col("x").alias("px"), F.col("y").alias("py"), F.lit(0).cast("long").alias("pd")))
-    j = t.join(up, ["site_id", "root"]).filter("pd < rd").withColumn("l2", G.d2((F.col("x"), F.col("y")), G.point("p")))
-    best = F.min(F.struct("l2", "parent")).alias("b")
-    return j.groupBy("site_id", "n", "root").agg(best).select("site_id", "n", "root", F.col("b.parent").alias("parent"), F.col("b.l2").alias("l2"))
+    t = v.filter("n >= 0").select("site_id", "n", "x", "y").join(own, ["site_id", "n"])
+    at, wide = gridded(t, 8.0)
+    # The root is the first candidate, at the terminal's own distance to it.
+    left, found = at.withColumn("best", F.struct(F.col("rd").alias("l2"), F.col("root").alias("parent"))), None
+    while True:
+        other = at.select("site_id", "root", "n", "x", "y", F.col("rd").alias("pd"), "x0", "y0", "side").withColumnRenamed("root", "of")
+        near = about(left.select("site_id", "n", "x", "y", "root", "rd", "x0", "y0", "side"), other, wide).filter("of = root AND pd < rd")
+        near = near.groupBy("site_id", F.col("u").alias("n")).agg(F.min(F.struct(G.d2(G.point("u"), G.point("v")).alias("l2"), F.col("v").alias("parent"))).alias("near"))
+        j = left.join(near, ["site_id", "n"], "left").withColumn("best", F.least("best", "near")).drop("near")
+        reach = F.pow(F.col("side") * wide, F.lit(2.0))
+        got = work_table(j.withColumn("done", (F.col("best.l2") <= reach) | (F.col("side") * wide > F.col("span"))), "nearest")
+        done = got.filter("done").select("site_id", "n", "root", "best.parent", "best.l2")
+        found = done if found is None else found.unionByName(done)
+        left = got.filter("NOT done").drop("done")
+        if left.isEmpty():
+            return found
+        wide *= 4
 
 
 def loads_of(parent: dict[int, int]) -> dict[int, tuple[int, int, int]]:
