@@ -130,7 +130,7 @@ SELECT site_id, '<svg xmlns="http://www.w3.org/2000/svg" viewBox="' || box || '"
 def _schema(spark: SparkSession) -> DataFrame:
     path = store.folder(spark)
     store.create(spark, path)
-    rows = [(t, k, f.name, f.dataType.simpleString()) for t in store.SCHEMAS for k, f in enumerate(spark.read.parquet(f"{path}/{t}").schema)]
+    rows = [(t, k, f.name, f.dataType.simpleString()) for t in store.SCHEMAS for k, f in enumerate(store.table(spark, f"{path}/{t}").schema)]
     return spark.createDataFrame(rows, "table string, position int, column string, type string")
 
 

@@ -1,4 +1,9 @@
-"""The store: Parquet tables of node sets, methods and route sets, filled by digest."""
+"""The store: Parquet tables of node sets, methods and route sets, filled by digest.
+
+A table is a folder with `data-` folders of rows and a log `_commits`, whose files are named by version and hold the
+name of one data folder each. A version can be published once: of two writers that want the same one, the later reads what
+the other wrote, leaves out what is there by now, and goes on to the next. Data that no version names don't count.
+"""
 
 from __future__ import annotations
 
@@ -36,10 +41,74 @@ SCHEMAS = {
 }
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, at = _file_system(spark, path)
+    fs.delete(at, True)
+
+
+def _snapshot(spark: SparkSession, path: str) -> tuple[int, list[str]]:
+    """The newest version of a table, -1 without any, and its data folders."""
+    fs, at = _file_system(spark, f"{path}/_commits")
+    if not fs.exists(at):
+        return -1, []
+    names = sorted(f.getPath().getName() for f in fs.listStatus(at) if f.getPath().getName().isdigit())
+    folders = []
+    for name in names:
+        stream = fs.open(_file_system(spark, f"{path}/_commits/{name}")[1])
+        folders.append(f"{path}/{bytes(stream.readAllBytes()).decode()}")
+        stream.close()
+    return (int(names[-1]) if names else -1), folders
+
+
+def _publish(spark: SparkSession, path: str, version: int, data: str) -> bool:
+    """Makes `version` name the data folder, unless there is such a version: then False. Either all of it is seen or nothing."""
+    fs, log = _file_system(spark, f"{path}/_commits")
+    fs.mkdirs(log)
+    draft, final = (_file_system(spark, f"{path}/_commits/{name}")[1] for name in (f"draft-{uuid.uuid4().hex}", f"{version:020d}"))
+    out = fs.create(draft, False)
+    out.write(data.encode())
+    out.close()
+    try:
+        if fs.getUri().getScheme() != "file":
+            # Elsewhere than here, a file isn't renamed over another.
+            return bool(fs.rename(draft, final))
+        local = lambda at: spark._jvm.java.io.File(at.toUri().getPath()).toPath()
+        try:
+            spark._jvm.java.nio.file.Files.createLink(local(final), local(draft))
+        except Exception as e:
+            if "FileAlreadyExists" not in str(e):
+                raise
+            return False
+        return True
+    finally:
+        fs.delete(draft, False)
+
+
+def table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of a table's newest version; None if there is no version."""
+    _, folders = _snapshot(spark, path)
+    return spark.read.parquet(*folders) if folders else None
+
+
+def _append(spark: SparkSession, rows: DataFrame, path: str, version: int) -> bool:
+    data = f"data-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{path}/{data}")
+    done = _publish(spark, path, version, data)
+    if not done:
+        _delete(spark, f"{path}/{data}")
+    return done
+
+
 def create(spark: SparkSession, path: str) -> None:
     """Empty tables where there are none yet."""
-    for table, ddl in SCHEMAS.items():
-        spark.createDataFrame([], ddl).write.mode("ignore").parquet(f"{path}/{table}")
+    for name, ddl in SCHEMAS.items():
+        if _snapshot(spark, f"{path}/{name}")[0] < 0:
+            _append(spark, spark.createDataFrame([], ddl), f"{path}/{name}", 0)
 
 
 def machine(spark: SparkSession) -> DataFrame:
@@ -82,34 +151,25 @@ def route_sets(forest: DataFrame, v: DataFrame, capacity: int, method: str) -> D
 
 
 def add_absent(spark: SparkSession, new: DataFrame, path: str, key: list[str]) -> int:
-    """Appends the rows whose key the table at `path` lacks, one for each key; returns how many."""
-    new = new.dropDuplicates(key)
-    try:
-        old = spark.read.parquet(path)
-    except Exception as e:  # no table yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        old = None
-    if old is not None:
-        new = new.join(old.select(*key), key, "left_anti")
-    # What is written is counted, not computed again.
-    stage = f"{path}-{uuid.uuid4().hex}"
-    new.write.parquet(stage)
-    ready = spark.read.schema(new.schema).parquet(stage)
-    n = ready.count()
-    if n:
-        ready.write.mode("append").parquet(path)
-    return n
+    """Adds the rows whose key the table at `path` lacks, one for each key; returns how many. Writers at the same time add a key once."""
+    # What is offered is computed once, however often a version is taken by another writer.
+    offered = work_table(new.dropDuplicates(key), "offered")
+    while True:
+        version, folders = _snapshot(spark, path)
+        rows = offered.join(spark.read.parquet(*folders).select(*key), key, "left_anti") if folders else offered
+        n = rows.count()
+        if not n or _append(spark, rows, path, version + 1):
+            return n
 
 
 def load(spark: SparkSession, path: str, capacities: list[int] | None = None, method: str | None = None) -> DataFrame:
     """Stored route sets with their node sets, by capacity and method."""
-    r = spark.read.parquet(f"{path}/routesets")
+    r = table(spark, f"{path}/routesets")
     if capacities is not None:
         r = r.filter(F.col("capacity").isin(capacities))
     if method is not None:
         r = r.filter(F.col("method") == method)
-    n = spark.read.parquet(f"{path}/nodesets").select(F.col("digest").alias("nodes"), "T", "R")
+    n = table(spark, f"{path}/nodesets").select(F.col("digest").alias("nodes"), "T", "R")
     return r.join(n, "nodes")
 
 

@@ -93,6 +93,26 @@ def test_load_by_capacity(spark):
     assert store.load(spark, path, [8]).count() == 10 and store.load(spark, path, method="other").count() == 0 and store.load(spark, path).count() == 20
 
 
+def test_two_writers_add_a_key_once(spark, monkeypatch):
+    v = vertices(spark, SF)
+    path = f"{store.folder(spark)}/nodesets"
+    rows, plain, others = store.node_sets(v), store._publish, []
+
+    def late(*a):
+        # Another writer takes the version that this one is about to publish.
+        if not others:
+            others.append(None)
+            others[0] = store.add_absent(spark, rows.filter("site_id < 4"), path, ["digest"])
+        return plain(*a)
+
+    monkeypatch.setattr(store, "_publish", late)
+    assert store.add_absent(spark, rows, path, ["digest"]) == 6 and others == [4]
+    assert store.table(spark, path).count() == 10 == store.table(spark, path).select("digest").distinct().count()
+    assert store.add_absent(spark, rows, path, ["digest"]) == 0 and store._snapshot(spark, path)[0] == 1
+    fs, at = store._file_system(spark, path)
+    assert sorted(f.getPath().getName()[:5] for f in fs.listStatus(at)) == ["_comm", "data-", "data-"]
+
+
 def test_stream_replay(spark, tmp_path):
     from cablewright.operators.trees import seed_forest
 
