@@ -45,7 +45,7 @@ def named(**columns: Column) -> Column:
 
 def summary_extrema(text: Column) -> list[Column]:
     """The least and the largest of each of `EXTREMA` in a solver's summary, null where it says nothing."""
-    found = lambda k, e: F.regexp_extract(text, rf"{k}\.{e} = (-?[0-9.]*[0-9])", 1).cast("double").alias(f"{k.lower()}_{e}")
+    found = lambda k, e: F.nullif(F.regexp_extract(text, rf"{k}\.{e} = (-?[0-9.]*[0-9])", 1), F.lit("")).cast("double").alias(f"{k.lower()}_{e}")
     return [found(k, e) for k in EXTREMA for e in ("min", "max")]
 
 

@@ -120,12 +120,9 @@ query("prj5_single_root", f"{_with(_C1)} SELECT site_id, n, x, y FROM v WHERE n
 query("prj7_frame", f"{_with(_C1)} SELECT site_id, min(x) AS x0, min(y) AS y0, max(x) - min(x) AS w, max(y) - min(y) AS h FROM v GROUP BY site_id")(lambda spark, v, d: polygons.frame(v))
 query("geo_scalars", f"{_with(_C1)}, t AS (SELECT a.site_id, a.n, a.x AS ux, a.y AS uy, b.x AS vx, b.y AS vy, c.x AS sx, c.y AS sy FROM v a JOIN v b ON b.site_id = a.site_id AND b.n = -1 JOIN v c ON c.site_id = a.site_id AND c.n = -2 WHERE a.n >= 0) SELECT site_id, n, {_turn('u', 'v', 's')} AS turn, {_turn('u', 'v', 's')} > 0 AS ccw, round(abs({_turn('v', 's', 'u')}) / sqrt((vx - sx) * (vx - sx) + (vy - sy) * (vy - sy)), 3) AS line, round(atan2((vx - ux) * (sy - uy) - (vy - uy) * (sx - ux), (vx - ux) * (sx - ux) + (vy - uy) * (sy - uy)), 6) AS angle, round(CASE WHEN {_turn('u', 'v', 's')} <> 0 THEN greatest((ux - vx) * (ux - vx) + (uy - vy) * (uy - vy), (vx - sx) * (vx - sx) + (vy - sy) * (vy - sy), (sx - ux) * (sx - ux) + (sy - uy) * (sy - uy)) * 0.8660254037844386 / abs({_turn('u', 'v', 's')}) END, 3) AS aspect FROM t")(lambda spark, v, d: _scalars(v))
 query("geo11_opposite_sides", f"{_with(_C1)} SELECT v.site_id, max(sign({_turn('a.', 'b.', 'v.')})) > 0 AND min(sign({_turn('a.', 'b.', 'v.')})) < 0 AS opposite FROM v JOIN v a ON a.site_id = v.site_id AND a.n = -1 JOIN v b ON b.site_id = v.site_id AND b.n = -2 WHERE v.n >= 0 GROUP BY v.site_id")(lambda spark, v, d: _opposite(v))
-query("src3_degrees", "SELECT * FROM (VALUES (0, 11.372216666666667), (1, -44.92776666666667), (2, NULL), (3, -7.5)) t(k, degrees)")(lambda spark, v, d: spark.createDataFrame([(0, "11°22.333'N"), (1, "44°55.666'W"), (2, "north"), (3, "7°30'S")], "k int, t string").select("k", coordinates.degrees(F.col("t")).alias("degrees")))
-query("src16_lattice", "SELECT i, j, 100 * (2 * i + j) AS x2, 100 * j AS y3 FROM range(-40, 41) a(i), range(-40, 41) b(j) WHERE (100 * (2 * i + j)) * (100 * (2 * i + j)) + 3 * (100 * j) * (100 * j) <= 4 * 1000 * 1000")(lambda spark, v, d: synthetic.lattice(spark, 1000, 100))
 query("src17_poisson_disc", f"{_with(_C1)} SELECT DISTINCT site_id, CAST(0 AS BIGINT) AS too_close, CAST(0 AS BIGINT) AS outside FROM v")(lambda spark, v, d: _poisson(v))
 query("snk3_node_sets", f"{_with(_C1)} SELECT site_id, sha256(string_agg(n || ':' || x || ':' || y, ';' ORDER BY n)) AS digest, count(*) FILTER (WHERE n >= 0) AS T, count(*) FILTER (WHERE n < 0) AS R FROM v GROUP BY site_id")(lambda spark, v, d: store.node_sets(v))
 query("snk1_store_roundtrip", f"{_LOADS} SELECT site_id, count(*) AS terminals, CAST(sum(length) AS BIGINT) AS length, CAST(0 AS BIGINT) AS added_again FROM len GROUP BY site_id")(lambda spark, v, d: _stored(spark, v))
-query("sf3_log_parse", "SELECT * FROM (VALUES (0, 4.5, 120.25), (1, NULL, NULL)) t(k, seconds, cost)")(lambda spark, v, d: _log(spark))
 query("top3_best_merge", f"{_with(*_BASE, _KNN)}, m AS (SELECT e.site_id, d.n, e.u, e.v, sqrt(CAST(e.l2 AS DOUBLE)) AS w, d.d2 FROM e JOIN near d ON d.site_id = e.site_id AND (d.n = e.u OR d.n = e.v) WHERE e.u >= 0), k AS (SELECT q.*, row_number() OVER (PARTITION BY site_id, n ORDER BY w, u, v) AS r1, row_number() OVER (PARTITION BY site_id, n ORDER BY round_even(20 * w / mw, 0), d2x, u, v) AS r3 FROM (SELECT m.*, min(w) OVER (PARTITION BY m.site_id, m.n) AS mw, least(a.d2, b.d2) AS d2x FROM m JOIN near a ON a.site_id = m.site_id AND a.n = m.u JOIN near b ON b.site_id = m.site_id AND b.n = m.v) q) SELECT a.site_id, a.n, a.u AS u2, a.v AS v2, b.u AS u3, b.v AS v3 FROM k a JOIN k b ON a.site_id = b.site_id AND a.n = b.n AND a.r1 = 1 AND b.r3 = 1")(lambda spark, v, d: _merges(v))
 
 _EXPECT = f"{_with(_C1)}, t AS (SELECT site_id, count(*) AS t FROM v WHERE n >= 0 GROUP BY site_id), g(method) AS (VALUES {{0}}), c(capacity) AS (VALUES (3), (5), (8)) SELECT site_id, method, capacity, CAST(0 AS BIGINT) AS missing, t AS links, CAST(0 AS BIGINT) AS overloads, {{1}} FROM t, g, c"
@@ -179,16 +176,6 @@ def _stored(spark: SparkSession, v: DataFrame) -> DataFrame:
     return back.select("site_id", F.size("edges").cast("long").alias("terminals"), "length", F.lit(again).cast("long").alias("added_again"))
 
 
-def _log(spark: SparkSession) -> DataFrame:
-    """The time at which a solver's log first shows its final cost."""
-    logs = [(0, "it 1 t 1.5 cost 130.5\nit 2 t 4.5 cost 120.25\nit 3 t 9.0 cost 120.25\nfinal cost 120.25"), (1, "no result")]
-    d = spark.createDataFrame(logs, "k int, log string")
-    lines = d.select("k", F.regexp_extract("log", r"final cost ([\d.]+)", 1).alias("final"), F.explode(F.split("log", "\n")).alias("line"))
-    hit = lines.select("k", "final", F.regexp_extract("line", r"t ([\d.]+) cost", 1).alias("t"), F.regexp_extract("line", r"t [\d.]+ cost ([\d.]+)", 1).alias("c"))
-    first = hit.filter("final <> '' AND c = final").groupBy("k").agg(F.min(F.col("t").cast("double")).alias("seconds"), F.max(F.col("c").cast("double")).alias("cost"))
-    return d.select("k").join(first, "k", "left").select("k", F.col("seconds").cast("decimal(2,1)").alias("seconds"), F.col("cost").cast("decimal(5,2)").alias("cost"))
-
-
 def _merges(v: DataFrame) -> DataFrame:
     """The best merge edge of each terminal: by weight, and by twentieths of the least weight and then closeness to the root."""
     from pyspark.sql import Window
@@ -204,4 +191,4 @@ def _merges(v: DataFrame) -> DataFrame:
     return first.select("site_id", "n", F.col("p.u").alias("u2"), F.col("p.v").alias("v2"), F.col("q.u").alias("u3"), F.col("q.v").alias("v3"))
 
 
-from . import more, solutions, records  # noqa: E402,F401  (register their queries)
+from . import more, solutions, records, tables  # noqa: E402,F401  (register their queries)

@@ -44,7 +44,6 @@ query("geo1_crossing_roots", f"{_with(_C1, _KNN, _QUAD, _PTS.format('qd'))} SELE
 query("geo8_line_distance", f"{_with(_C1, _KNN, _QUAD, _PTS.format('qd'))} SELECT site_id, u, v, round(abs({_turn('u', 'v', 's')}) / sqrt((ux - vx) * (ux - vx) + (uy - vy) * (uy - vy)), 3) AS distance FROM p4")(lambda spark, v, d: _quads(v).select("site_id", "u", "v", F.round(G.distance_to_line(_p()[2], _p()[0], _p()[1]), 3).alias("distance")))
 query("geo13_rotate", f"{_with(_C1)} SELECT site_id, n, round(x * cos(radians(30)) - y * sin(radians(30)), 3) AS x, round(x * sin(radians(30)) + y * cos(radians(30)), 3) AS y FROM v")(lambda spark, v, d: v.select("site_id", "n", *[F.round(c, 3).alias(k) for c, k in zip(G.rotate((F.col("x"), F.col("y")), F.lit(30)), "xy", strict=True)]))
 query("geo20_blockage", f"{_with(_C1, _KNN, _QUAD, _PTS.format('qd'))}, a AS (SELECT site_id, u, v, abs(atan2((ux - sx) * (vy - sy) - (uy - sy) * (vx - sx), (ux - sx) * (vx - sx) + (uy - sy) * (vy - sy))) AS arc FROM p4) SELECT site_id, u, v, round(pi() / (pi() - arc), 4) AS plain, round(pi() / (pi() - arc) + 4 * arc / pi(), 4) AS extra FROM a WHERE arc < pi() / 2")(lambda spark, v, d: _blockage(v))
-query("geo18_rank_within", "SELECT CAST(r AS BIGINT) AS r, r BETWEEN 3 AND 6 AS inside, r <= 3 OR r >= 6 AS wrapped, r > 3 AND r < 6 AS strict FROM range(0, 10) t(r)")(lambda spark, v, d: spark.range(10).select(F.col("id").alias("r"), G.rank_within(F.col("id"), F.lit(3), F.lit(6), F.lit(False)).alias("inside"), G.rank_within(F.col("id"), F.lit(3), F.lit(6), F.lit(True)).alias("wrapped"), G.rank_within(F.col("id"), F.lit(3), F.lit(6), F.lit(False), False).alias("strict")))
 query("set1_edge_difference", f"{_with(*_BASE, _FOREST, _TRI, _FE, _DE)} SELECT site_id, u, v FROM fe EXCEPT SELECT site_id, u, v FROM de")(lambda spark, v, d: sets.difference(_forest_edges(v), _sides(v)))
 query("jn16_edges_present", f"{_with(*_BASE, _FOREST, _TRI, _FE, _DE)} SELECT site_id, u, v FROM fe INTERSECT SELECT site_id, u, v FROM de")(lambda spark, v, d: sets.present(_forest_edges(v), _sides(v)))
 query("set2_common_neighbours", f"{_with(_C1, _KNN)}, b AS (SELECT site_id, u AS a, v AS b FROM e UNION ALL SELECT site_id, v, u FROM e) SELECT e.site_id, e.u, e.v, x.b AS w FROM e JOIN b x ON x.site_id = e.site_id AND x.a = e.u JOIN b y ON y.site_id = e.site_id AND y.a = e.v AND y.b = x.b")(lambda spark, v, d: sets.common_neighbours(joins.knn_edges(v)))
@@ -54,16 +53,10 @@ query("gr2_expand", f"{_with(*_BASE, _FOREST, _FE)} SELECT site_id, count(*) + c
 query("gr3_contract", f"{_with(*_BASE, _FOREST, _FE)} SELECT site_id, u, v FROM fe")(lambda spark, v, d: sets.contract(sets.expand(_forest_edges(v), _midpaths(v), 1000)))
 query("ml1_model_rows", f"{_with(_C1, _TRI, _TWO)}, av AS (SELECT DISTINCT site_id, u, v FROM sd UNION SELECT site_id, s, t FROM dg), t AS (SELECT site_id, count(*) FILTER (WHERE n >= 0) AS t, count(*) FILTER (WHERE n < 0) AS r FROM v GROUP BY site_id) SELECT site_id, 'links' AS family, (SELECT count(*) FROM av WHERE av.site_id = t.site_id AND av.u >= 0) + t * r AS size, t AS bound FROM t UNION ALL SELECT site_id, 'gates', t * r, CAST(ceil(t / 5.0) AS BIGINT) FROM t")(lambda spark, v, d: _model(v).filter("family IN ('links', 'gates')"))
 query("ml2_model_incidence", f"{_with(_C1, _TRI, _TWO)}, av AS (SELECT DISTINCT site_id, u, v FROM sd UNION SELECT site_id, s, t FROM dg), ends AS (SELECT site_id, u AS n FROM av WHERE u >= 0 UNION ALL SELECT site_id, v FROM av WHERE u >= 0), own AS (SELECT site_id, n, count(*) + 2 AS size FROM ends GROUP BY site_id, n) SELECT site_id, family, count(*) AS \"rows\", CAST(sum(size) AS BIGINT) AS size FROM own, (VALUES ('outgoing'), ('flow')) g(family) GROUP BY site_id, family")(lambda spark, v, d: _model(v).filter("family IN ('outgoing', 'flow')").groupBy("site_id", "family").agg(F.count("*").alias("rows"), F.sum("size").alias("size")))
-query("src2_entries", "SELECT * FROM (VALUES ('a', 0, 'T1', '1.5', '2.5'), ('a', 1, NULL, '3', '4'), ('b', 0, 'X', '5', '-6')) t(k, seq, tag, a, b)")(lambda spark, v, d: spark.createDataFrame([("a", "T1 1.5, 2.5\n\n[3; 4]"), ("b", "  X (5 -6) ")], "k string, t string").select("k", F.posexplode(coordinates.entries(F.col("t"))).alias("seq", "e")).select("k", "seq", "e.tag", "e.a", "e.b"))
 query("src10_border", f"{_with(_C1)}, b AS (SELECT site_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM v GROUP BY site_id) SELECT site_id, s AS seq, CASE WHEN s IN (0, 3) THEN x0 ELSE x1 END AS x, CASE WHEN s < 2 THEN y0 ELSE y1 END AS y FROM b, (VALUES (0), (1), (2), (3)) t(s)")(lambda spark, v, d: polygons.box_border(v, 0).drop("poly_id"))
-query("src15_convex_border", f"{_with(_C1, _TRI)} SELECT site_id, count(*) AS vertices FROM (SELECT site_id, u, v FROM sd GROUP BY site_id, u, v HAVING count(*) = 1) q GROUP BY site_id")(lambda spark, v, d: mesh.hull_edges(mesh.triangles(v)).groupBy("site_id").agg(F.count("*").alias("vertices")))
 query("snk10_coordinates", f"{_with(_C1)} SELECT site_id, string_agg(x || ' ' || y, ';' ORDER BY n < 0 DESC, CASE WHEN n < 0 THEN -n ELSE n END) AS points FROM v GROUP BY site_id")(lambda spark, v, d: v.groupBy("site_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((F.col("n") >= 0).alias("a"), F.abs("n").alias("b"), "x", "y"))), lambda p: F.concat_ws(" ", p["x"], p["y"])), ";").alias("points")))
 query("snk13_problem_file", f"{_with(_C1)} SELECT site_id, 'DIMENSION: ' || count(*) || chr(10) || 'CAPACITY: 5' || chr(10) || string_agg(n + 2 || ' ' || x || ' ' || y, chr(10) ORDER BY n) || chr(10) || 'EOF' AS problem FROM v WHERE n >= -1 GROUP BY site_id")(lambda spark, v, d: v.filter("n >= -1").groupBy("site_id").agg(F.count("*").alias("k"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "x", "y"))), lambda p: F.concat_ws(" ", p["n"] + 2, p["x"], p["y"])), "\n").alias("lines")).select("site_id", F.format_string("DIMENSION: %d\nCAPACITY: 5\n%s\nEOF", "k", "lines").alias("problem")))
-query("snk2_add_absent", "SELECT CAST(k AS BIGINT) AS k, CASE k WHEN 0 THEN 10 ELSE 0 END AS added FROM range(0, 2) t(k)")(lambda spark, v, d: _absent(spark, v))
-query("sf2_handle", "SELECT * FROM (VALUES ('horns_rev_1'), ('two_words'), ('plain')) t(handle)")(lambda spark, v, d: spark.createDataFrame([("!x!Horns Rev 1",), ("Two Words",), ("plain",)], "name string").select(X.handle(F.col("name")).alias("handle")))
 query("sf6_scalars", f"{_with(*_BASE)} SELECT site_id, n, root, round(sqrt(CAST(d2 AS DOUBLE)), 3) AS dist, CAST(ceil(d2 / 1000.0) AS BIGINT) AS up, CAST(floor(d2 / 1000.0) AS BIGINT) AS down, round(log10(d2), 6) AS mag FROM d")(lambda spark, v, d: joins.d2roots(v).select("site_id", "n", "root", F.round(F.hypot(F.sqrt(F.col("d2").cast("double")), F.lit(0.0)), 3).alias("dist"), F.ceil(F.col("d2") / 1000).alias("up"), F.floor(F.col("d2") / 1000).alias("down"), F.round(F.log10("d2"), 6).alias("mag")))
-query("sf7_arrays", "SELECT * FROM (VALUES (0, '1,2,4', '9,4,3,2,1', '4,3'), (1, '7', '7,3', '3')) t(k, without, turned, part)")(lambda spark, v, d: _arrays(spark))
-query("sf8_options", """SELECT * FROM (VALUES (0, '{"a":"1","b":"2"}')) t(k, options)""")(lambda spark, v, d: spark.createDataFrame([(0, {"b": "2", "a": "1", "secret": "x"})], "k int, o map<string,string>").select("k", X.options_json(F.col("o"), ["secret"]).alias("options")))
 query("prj6_site_only", f"{_with(*_BASE, _FOREST)} SELECT DISTINCT site_id, n FROM (SELECT site_id, n FROM f UNION ALL SELECT site_id, parent FROM f) q")(lambda spark, v, d: trees.degrees(trees.seed_forest(v)).select("site_id", "n"))
 query("prj1_lengths", f"{_LOADS} SELECT site_id, n, parent, CASE WHEN n % 2 = 0 THEN -n ELSE length END AS length FROM len")(lambda spark, v, d: trees.lengths(trees.seed_forest(v).select("site_id", "n", "parent", F.when(F.col("n") % 2 == 0, -F.col("n")).alias("length")), v))
 query("agg10_power", f"{_with(_C1)} SELECT site_id, CAST(sum(CASE WHEN n % 7 = 0 THEN 3 ELSE 1 END) AS BIGINT) AS power FROM v WHERE n >= 0 GROUP BY site_id")(lambda spark, v, d: v.filter("n >= 0").withColumn("power", F.when(F.col("n") % 7 == 0, F.lit(3))).groupBy("site_id").agg(F.sum(F.coalesce("power", F.lit(1))).alias("power")))
@@ -97,19 +90,6 @@ def _model(v: DataFrame) -> DataFrame:
     return sets.model_rows(mesh.available_edges(t, v), mesh.exclusive_pairs(t, v), v, 5)
 
 
-def _absent(spark: SparkSession, v: DataFrame) -> DataFrame:
-    path = f"{store.folder(spark)}/nodesets"
-    counts = [store.add_absent(spark, store.node_sets(v), path, ["digest"]) for _ in range(2)]
-    return spark.createDataFrame(list(enumerate(counts)), "k long, added int")
-
-
-def _arrays(spark: SparkSession) -> DataFrame:
-    d = spark.createDataFrame([(0, [1, 2, 3, 4], 3, [1, 2, 3, 4, 9], 9), (1, [7], 3, [3, 7], 7)], "k int, a array<int>, gone int, p array<int>, head int")
-    s = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
-    turned = X.turned_to(F.col("p"), F.col("head"))
-    return d.select("k", s(X.without(F.col("a"), F.col("gone"))).alias("without"), s(turned).alias("turned"), s(F.slice(turned, 2, 2)).alias("part"))
-
-
 def _rectangles(v: DataFrame) -> DataFrame:
     import pandas as pd
 

@@ -75,23 +75,9 @@ _N = coordinates.FLATTENING / (2 - coordinates.FLATTENING)
 _R = coordinates.RADIUS / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64) * coordinates.SCALE
 _ALPHA = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16, 13 * _N**2 / 48 - 3 * _N**3 / 5, 61 * _N**3 / 240)
 _TERM = " + ".join(f"{a!r} * {{0}}({2 * j} * xi) * {{1}}({2 * j} * eta)" for j, a in enumerate(_ALPHA, 1))
-query("src4_utm", f"""WITH p(name, seq, tag, lat, lon) AS (VALUES ('a', 0, 'T1', 56 + 30.477::DOUBLE / 60, 11 + 11.026::DOUBLE / 60), ('a', 1, 'T2', 56 + 31.0::DOUBLE / 60, 11 + 12.5::DOUBLE / 60), ('b', 0, NULL, -(54 + 2.0::DOUBLE / 60), -(7 + 45.5::DOUBLE / 60))),
-z AS (SELECT *, CAST(floor((lon + 180) / 6) + 1 AS BIGINT) AS zone, radians(lat) AS phi FROM p), y AS (SELECT *, radians(lon - (zone * 6 - 183)) AS turn, {2 * _N**0.5 / (1 + _N)!r} AS k FROM z),
-x AS (SELECT *, sinh(atanh(sin(phi)) - k * atanh(k * sin(phi))) AS t FROM y), w AS (SELECT *, atan2(t, cos(turn)) AS xi, atanh(sin(turn) / sqrt(1 + t * t)) AS eta FROM x)
-SELECT name, CAST(seq AS BIGINT) AS seq, tag, zone, round(500000 + {_R!r} * (eta + {_TERM.format('cos', 'sinh')}), 3) AS x, round({_R!r} * (xi + {_TERM.format('sin', 'cosh')}) + CASE WHEN lat < 0 THEN 10000000 ELSE 0 END, 3) AS y FROM w""")(lambda spark, v, d: _utm(spark))
-
-
-def _utm(spark: SparkSession) -> DataFrame:
-    rows = [("a", "T1 56°30.477'N 11°11.026'E\nT2 56°31.000'N 11°12.500'E"), ("b", "[54°02.000'S, 7°45.500'W]")]
-    out = coordinates.located(spark.createDataFrame(rows, "name string, text string"))
-    return out.withColumn("x", F.round("x", 3)).withColumn("y", F.round("y", 3))
 
 
 # Made-up sites.
-query("src14_toy", "SELECT 0 AS site_id, CAST(i AS BIGINT) AS n, CAST(i % 4 * 900 + i // 4 % 2 * 300 AS BIGINT) AS x, CAST(i // 4 * 800 AS BIGINT) AS y FROM range(0, 12) t(i) UNION ALL VALUES (0, -1, 1500, -700)")(lambda spark, v, d: synthetic.toy(spark))
-query("src18_terminal_count", "WITH c AS (SELECT u / 100.0::DOUBLE AS u, sqrt(0.6::DOUBLE / pi()) AS c, 0.045::DOUBLE AS b FROM range(0, 100) t(u)), a AS (SELECT *, 4 * c * sqrt(69.5000001::DOUBLE) - b * 69.5000001 AS low, 4 * c * sqrt(200.5::DOUBLE) - b * 200.5 AS high FROM c) SELECT CAST(round(u * 100) AS BIGINT) AS k, CAST(round_even(pow((2 * c - sqrt(4 * c * c - b * (low + u * (high - low)))) / b, 2), 0) AS BIGINT) AS terminals FROM a")(
-    lambda spark, v, d: spark.range(100).select(F.col("id").alias("k"), synthetic.terminal_count(F.col("id") / 100.0, 70, 200, 0.6, 0.045).alias("terminals"))
-)
 query("src19_instance", f"{_with(_C1)} SELECT site_id, CASE WHEN n < 0 THEN -row_number() OVER (PARTITION BY site_id, n < 0 ORDER BY x, y) ELSE row_number() OVER (PARTITION BY site_id, n < 0 ORDER BY x, y) - 1 END AS n, x, y FROM v")(lambda spark, v, d: fixtures.instance(v.select("site_id", "x", "y", (F.col("n") < 0).alias("is_root"))))
 
 # Site files, written and read back, and on to the solver: whole files and coordinates that aren't whole.
@@ -115,10 +101,6 @@ def _solved(spark: SparkSession, v: DataFrame) -> DataFrame:
 
 
 # The store and its records.
-query("src22_schema", f"SELECT * FROM (VALUES {', '.join(str((t, k, c, y)) for t, ddl in store.SCHEMAS.items() for k, (c, y) in enumerate(x.strip().split(' ') for x in ddl.split(',')))}) t(\"table\", position, \"column\", type)")(lambda spark, v, d: _schema(spark))
-query("snk4_methods", """WITH m(s, o) AS (VALUES ('savings', '{"capacity":"5","gates_limit":"given"}'), ('savings', '{"capacity":"5","gates_limit":"given"}'), ('exact', '{}')) SELECT sha256(s || '|' || o) AS digest, s AS solver_name, o AS options FROM m""")(
-    lambda spark, v, d: store.methods([("savings", {"capacity": 5, "gates_limit": 7}), ("savings", {"gates_limit": "given", "capacity": "5"}), ("exact", {})], spark)
-)
 query("agg15_duplicates", f"{_with(_C1)}, s AS (SELECT site_id, sha256(string_agg(n || ':' || x || ':' || y, ';' ORDER BY n)) AS digest FROM v GROUP BY site_id) SELECT digest, site_id AS first, CAST(2 AS BIGINT) AS sites FROM s")(
     lambda spark, v, d: store.node_sets(v.unionByName(v.withColumn("site_id", F.col("site_id") + 100))).groupBy("digest").agg(F.min("site_id").alias("first"), F.count("*").alias("sites"))
 )
@@ -127,20 +109,8 @@ dt AS (SELECT site_id, string_agg('<circle cx="' || x || '" cy="' || -y || '" r=
 SELECT site_id, '<svg xmlns="http://www.w3.org/2000/svg" viewBox="' || box || '"><g stroke="black" stroke-width="15">' || lines || '</g>' || dots || '</svg>' AS svg FROM li JOIN dt USING (site_id)""")(lambda spark, v, d: store.drawing(trees.seed_forest(v), v))
 
 
-def _schema(spark: SparkSession) -> DataFrame:
-    path = store.folder(spark)
-    store.create(spark, path)
-    rows = [(t, k, f.name, f.dataType.simpleString()) for t in store.SCHEMAS for k, f in enumerate(store.table(spark, f"{path}/{t}").schema)]
-    return spark.createDataFrame(rows, "table string, position int, column string, type string")
-
-
 # Solver texts: a summary's extrema, a problem's text, a tour's routes, options by solver.
-_SUMMARY = "Successes/Runs = 0/3\nCost.min = -120, Cost.avg = 131.5, Cost.max = 140\nGap.min = 0.0%\nPenalty.min = 0, Penalty.avg = 0.33, Penalty.max = 1\nTrials.min = 4, Trials.avg = 9.0, Trials.max = 12\nTime.min = 0.25 sec., Time.avg = 0.5 sec., Time.max = 1.75 sec."
-_EXTREMA = ", ".join(f"CAST(regexp_extract(s, '{k}\\.{e} = (-?[0-9.]*[0-9])', 1) AS DOUBLE) AS {k.lower()}_{e}" for k in X.EXTREMA for e in ("min", "max"))
-query("sf4_summary", f"WITH t(k, s) AS (VALUES (0, '{_SUMMARY}'), (1, NULL)) SELECT k, {_EXTREMA} FROM t")(lambda spark, v, d: spark.createDataFrame([(0, _SUMMARY), (1, None)], "k int, s string").select("k", *X.summary_extrema(F.col("s"))))
 query("sf10_named", f"{_with(_C1)} SELECT site_id, n, x + y AS total, x - y AS apart FROM v")(lambda spark, v, d: v.select("site_id", "n", X.named(total=F.col("x") + F.col("y"), apart=F.col("x") - F.col("y")).alias("s")).select("site_id", "n", "s.*"))
-query("ml6_option_names", "SELECT * FROM (VALUES ('cbc', 'ratioGap', 'seconds'), ('highs', 'mip_rel_gap', 'time_limit'), ('scip', 'limits/gap', 'limits/time'), ('other', 'mipgap', 'timelimit')) t(solver, gap, seconds)")(lambda spark, v, d: spark.createDataFrame([(s, *routing.option_names(s)) for s in ("cbc", "highs", "scip", "other")], "solver string, gap string, seconds string"))
 query("vr3_problem", f"""{_with(_C1, _KNN)}, w AS (SELECT a.site_id, a.n AS i, b.n AS j, CASE WHEN a.n = b.n OR b.n = -1 THEN 0 WHEN a.n = -1 OR EXISTS (SELECT 1 FROM e WHERE e.site_id = a.site_id AND e.u = least(a.n, b.n) AND e.v = greatest(a.n, b.n)) THEN CAST(round(sqrt(CAST((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS DOUBLE)) * 1000) AS BIGINT) ELSE {routing.FAR} END AS l FROM v a JOIN v b ON a.site_id = b.site_id AND a.n >= -1 AND b.n >= -1),
 r AS (SELECT site_id, i, string_agg(l, ' ' ORDER BY j) AS line FROM w GROUP BY site_id, i)
 SELECT site_id, sha256('TYPE : ACVRP' || chr(10) || 'DIMENSION : ' || count(*) || chr(10) || 'CAPACITY : 5' || chr(10) || 'EDGE_WEIGHT_TYPE : EXPLICIT' || chr(10) || 'EDGE_WEIGHT_FORMAT : FULL_MATRIX' || chr(10) || 'EDGE_WEIGHT_SECTION' || chr(10) || string_agg(line, chr(10) ORDER BY i) || chr(10) || 'EOF') AS digest FROM r GROUP BY site_id""")(lambda spark, v, d: routing.problems(joins.length_matrix(v, joins.knn_edges(v)), 5).select("site_id", F.sha2("problem", 256).alias("digest")))
-query("vr3_tour", "SELECT * FROM (VALUES (7, 0, 0, 1), (7, 0, 1, 2), (7, 1, 0, 0), (8, 0, 0, 0)) t(site_id, route, seq, n)")(lambda spark, v, d: routing.tours(spark.createDataFrame([(7, "NAME : t\nDIMENSION : 5\nTOUR_SECTION\n1\n3\n4\n5\n2\n-1\nEOF"), (8, "TOUR_SECTION\n2\n1\n-1")], "site_id int, tour string"), spark.createDataFrame([(7, 3), (8, 1)], "site_id int, terminals int")))

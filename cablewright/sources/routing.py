@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The weight of a pair without an edge.
@@ -15,6 +15,17 @@ def option_names(solver: str) -> tuple[str, str]:
     return OPTIONS.get(solver, ("mipgap", "timelimit"))
 
 
+def option_columns(solver: Column) -> list[Column]:
+    """`option_names` as the columns gap and seconds."""
+    out = []
+    for k, c in enumerate(("gap", "seconds")):
+        named = F.lit(option_names("")[k])
+        for name, pair in OPTIONS.items():
+            named = F.when(solver == name, pair[k]).otherwise(named)
+        out.append(named.alias(c))
+    return out
+
+
 def problems(matrix: DataFrame, capacity: int) -> DataFrame:
     """A routing problem with asymmetric weights as a text for each site, the depot first. matrix: site_id, i, j, length (null without an edge)."""
     every = matrix.select("site_id", "i", "j", F.coalesce("length", F.lit(FAR)).alias("w"))

@@ -136,7 +136,11 @@ def node_sets(v: DataFrame) -> DataFrame:
 def methods(rows: list[tuple[str, dict]], spark: SparkSession) -> DataFrame:
     """digest (of the name and the options in order), solver_name, options as JSON; a whole number as gates_limit is stored as 'given'."""
     plain = [(name, {k: "given" if k == "gates_limit" and type(x) is int else str(x) for k, x in options.items()}) for name, options in rows]
-    d = spark.createDataFrame(plain, "solver_name string, o map<string,string>")
+    return digested(spark.createDataFrame(plain, "solver_name string, o map<string,string>"))
+
+
+def digested(d: DataFrame) -> DataFrame:
+    """digest, solver_name, options of methods given as solver_name, o (a map of texts)."""
     d = d.withColumn("options", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("o")))))
     return d.select(F.sha2(F.concat_ws("|", "solver_name", "options"), 256).alias("digest"), "solver_name", "options")
 
@@ -156,7 +160,7 @@ def add_absent(spark: SparkSession, new: DataFrame, path: str, key: list[str]) -
     offered = work_table(new.dropDuplicates(key), "offered")
     while True:
         version, folders = _snapshot(spark, path)
-        rows = offered.join(spark.read.parquet(*folders).select(*key), key, "left_anti") if folders else offered
+        rows = offered.join(spark.read.parquet(*folders).select(*key), key, "left_anti").select(*offered.columns) if folders else offered
         n = rows.count()
         if not n or _append(spark, rows, path, version + 1):
             return n
