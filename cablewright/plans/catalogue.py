@@ -120,7 +120,6 @@ query("prj5_single_root", f"{_with(_C1)} SELECT site_id, n, x, y FROM v WHERE n
 query("prj7_frame", f"{_with(_C1)} SELECT site_id, min(x) AS x0, min(y) AS y0, max(x) - min(x) AS w, max(y) - min(y) AS h FROM v GROUP BY site_id")(lambda spark, v, d: polygons.frame(v))
 query("geo_scalars", f"{_with(_C1)}, t AS (SELECT a.site_id, a.n, a.x AS ux, a.y AS uy, b.x AS vx, b.y AS vy, c.x AS sx, c.y AS sy FROM v a JOIN v b ON b.site_id = a.site_id AND b.n = -1 JOIN v c ON c.site_id = a.site_id AND c.n = -2 WHERE a.n >= 0) SELECT site_id, n, {_turn('u', 'v', 's')} AS turn, {_turn('u', 'v', 's')} > 0 AS ccw, round(abs({_turn('v', 's', 'u')}) / sqrt((vx - sx) * (vx - sx) + (vy - sy) * (vy - sy)), 3) AS line, round(atan2((vx - ux) * (sy - uy) - (vy - uy) * (sx - ux), (vx - ux) * (sx - ux) + (vy - uy) * (sy - uy)), 6) AS angle, round(CASE WHEN {_turn('u', 'v', 's')} <> 0 THEN greatest((ux - vx) * (ux - vx) + (uy - vy) * (uy - vy), (vx - sx) * (vx - sx) + (vy - sy) * (vy - sy), (sx - ux) * (sx - ux) + (sy - uy) * (sy - uy)) * 0.8660254037844386 / abs({_turn('u', 'v', 's')}) END, 3) AS aspect FROM t")(lambda spark, v, d: _scalars(v))
 query("geo11_opposite_sides", f"{_with(_C1)} SELECT v.site_id, max(sign({_turn('a.', 'b.', 'v.')})) > 0 AND min(sign({_turn('a.', 'b.', 'v.')})) < 0 AS opposite FROM v JOIN v a ON a.site_id = v.site_id AND a.n = -1 JOIN v b ON b.site_id = v.site_id AND b.n = -2 WHERE v.n >= 0 GROUP BY v.site_id")(lambda spark, v, d: _opposite(v))
-query("src17_poisson_disc", f"{_with(_C1)} SELECT DISTINCT site_id, CAST(0 AS BIGINT) AS too_close, CAST(0 AS BIGINT) AS outside FROM v")(lambda spark, v, d: _poisson(v))
 query("snk3_node_sets", f"{_with(_C1)} SELECT site_id, sha256(string_agg(n || ':' || x || ':' || y, ';' ORDER BY n)) AS digest, count(*) FILTER (WHERE n >= 0) AS T, count(*) FILTER (WHERE n < 0) AS R FROM v GROUP BY site_id")(lambda spark, v, d: store.node_sets(v))
 query("snk1_store_roundtrip", f"{_LOADS} SELECT site_id, count(*) AS terminals, CAST(sum(length) AS BIGINT) AS length, CAST(0 AS BIGINT) AS added_again FROM len GROUP BY site_id")(lambda spark, v, d: _stored(spark, v))
 query("top3_best_merge", f"{_with(*_BASE, _KNN)}, m AS (SELECT e.site_id, d.n, e.u, e.v, sqrt(CAST(e.l2 AS DOUBLE)) AS w, d.d2 FROM e JOIN near d ON d.site_id = e.site_id AND (d.n = e.u OR d.n = e.v) WHERE e.u >= 0), k AS (SELECT q.*, row_number() OVER (PARTITION BY site_id, n ORDER BY w, u, v) AS r1, row_number() OVER (PARTITION BY site_id, n ORDER BY round_even(20 * w / mw, 0), d2x, u, v) AS r3 FROM (SELECT m.*, min(w) OVER (PARTITION BY m.site_id, m.n) AS mw, least(a.d2, b.d2) AS d2x FROM m JOIN near a ON a.site_id = m.site_id AND a.n = m.u JOIN near b ON b.site_id = m.site_id AND b.n = m.v) q) SELECT a.site_id, a.n, a.u AS u2, a.v AS v2, b.u AS u3, b.v AS v3 FROM k a JOIN k b ON a.site_id = b.site_id AND a.n = b.n AND a.r1 = 1 AND b.r3 = 1")(lambda spark, v, d: _merges(v))
@@ -153,18 +152,6 @@ def _opposite(v: DataFrame) -> DataFrame:
     return _corner(v).groupBy("site_id").agg(G.opposite_sides(u, w, s).alias("opposite"))
 
 
-def _poisson(v: DataFrame) -> DataFrame:
-    """Points in a notched border with an obstacle, away from the roots: how many lie too close to another or to a root, or outside (there must be none)."""
-    border, hole = polygons.notched_border(v), polygons.box_obstacle(v)
-    roots = v.filter("n < 0").select("site_id", "x", "y")
-    p = synthetic.poisson_disc(border.unionByName(hole), roots, 40, 1500, 800)
-    a, b = p.alias("a"), p.alias("b")
-    near = a.join(b, F.expr("a.site_id = b.site_id AND a.n < b.n")).filter("(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < 1500 * 1500").groupBy(F.col("a.site_id").alias("site_id")).agg(F.count("*").alias("too_close"))
-    out = polygons.contains(p, border).groupBy("site_id").agg(F.count_if(~F.col("inside")).alias("outside"))
-    lost = p.join(polygons.clears(p, roots, 800), ["site_id", "n"], "left_anti").groupBy("site_id").agg(F.count("*").alias("lost"))
-    return out.join(near, "site_id", "left").join(lost, "site_id", "left").select("site_id", (F.coalesce("too_close", F.lit(0)) + F.coalesce("lost", F.lit(0))).cast("long").alias("too_close"), "outside")
-
-
 def _stored(spark: SparkSession, v: DataFrame) -> DataFrame:
     """Written, written again, and read back."""
     path = store.folder(spark)

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as X
-from ..operators import mesh
+from ..operators import mesh, polygons
 from ..sources import coordinates, routing, store, synthetic
 from .catalogue import _C1, _TRI, _with, query
-from .records import _ALPHA, _N, _R, _TERM
+from .more import _BOX, _IN_NOTCH, _NOTCH
+from .records import _N, _R, _TERM
 
 
 def _joined(by: list[str], order: str, line, sep: str = "\n"):
@@ -181,3 +182,17 @@ def _tours(v: DataFrame) -> DataFrame:
 
 
 query("vr3_tour", f"{_with(_C1)}, o AS (SELECT site_id, n, row_number() OVER (PARTITION BY site_id ORDER BY n DESC) - 1 AS i FROM v WHERE n >= 0) SELECT site_id, i // 10 AS route, i % 10 AS seq, n FROM o")(lambda spark, v, d: _tours(v))
+
+
+# Poisson discs in the notched border, off the obstacle and the roots: SQL takes the candidates one by one.
+_DISC, _AWAY, _WANT, _TRIES = 1500, 800, 40, 15
+_AT = "{0}0 + CAST('0x' || substr(md5('1:' || site_id || ':' || k), {1}, 8) AS BIGINT) % ({0}1 - {0}0 + 1) AS {0}"
+query("src17_poisson_disc", f"""{_with(_C1, _BOX, _NOTCH, recursive=True)}, ca AS (SELECT site_id, k AS n, {_AT.format('x', 1)}, {_AT.format('y', 9)}, x1, y1, x0, xm, ym FROM nm, range(0, {_WANT * _TRIES}) t(k)),
+fr AS (SELECT site_id, ca.n, ca.x, ca.y, row_number() OVER (PARTITION BY site_id ORDER BY ca.n) AS i FROM ca JOIN bx USING (site_id) WHERE NOT (x BETWEEN cx - 300 AND cx + 300 AND y BETWEEN cy - 300 AND cy + 300) {_IN_NOTCH}
+  AND NOT EXISTS (SELECT 1 FROM v r WHERE r.site_id = ca.site_id AND r.n < 0 AND (r.x - ca.x) * (r.x - ca.x) + (r.y - ca.y) * (r.y - ca.y) < {_AWAY * _AWAY})),
+rec AS (SELECT site_id, 0 AS i, []::STRUCT(n BIGINT, x BIGINT, y BIGINT)[] AS got FROM nm UNION ALL
+  SELECT rec.site_id, rec.i + 1, CASE WHEN len(list_filter(got, lambda p: (p.x - fr.x) * (p.x - fr.x) + (p.y - fr.y) * (p.y - fr.y) < {_DISC * _DISC})) = 0 AND len(got) < {_WANT} THEN list_append(got, {{'n': fr.n, 'x': CAST(fr.x AS BIGINT), 'y': CAST(fr.y AS BIGINT)}}) ELSE got END
+  FROM rec JOIN fr ON fr.site_id = rec.site_id AND fr.i = rec.i + 1)
+SELECT site_id, p.n AS n, p.x AS x, p.y AS y FROM (SELECT site_id, unnest(arg_max(got, i)) AS p FROM rec GROUP BY site_id) q""")(
+    lambda spark, v, d: synthetic.poisson_disc(polygons.notched_border(v).unionByName(polygons.box_obstacle(v)), v.filter("n < 0").select("site_id", "x", "y"), _WANT, _DISC, _AWAY, tries=_TRIES)
+)

@@ -55,3 +55,25 @@ def test_gates_by_buckets_of_ranks(spark, monkeypatch):
         assert len(rows) == len(set(rows))
         found.append(set(rows))
     assert found[0] == found[1] == found[2] and found[0]
+
+
+def test_poisson_disc_takes_candidates_as_if_one_by_one(spark, monkeypatch):
+    from cablewright.sources import synthetic
+
+    monkeypatch.setattr(synthetic, "FIRST", 16)
+    ring = [(0, 0), (900, 0), (900, 900), (0, 900)]
+    rows = [(s, 0, k, x, y + 5000 * s) for s in (1, 2) for k, (x, y) in enumerate(ring)]
+    borders = spark.createDataFrame(rows, "site_id long, poly_id int, seq int, x long, y long")
+    away = spark.createDataFrame([(1, 450, 5450)], "site_id long, x long, y long")
+    for count in (5, 500):
+        got = {tuple(r) for r in synthetic.poisson_disc(borders, away, count, 150, 200, tries=60 // count + 1).collect()}
+        want = set()
+        all_ = sorted(map(tuple, synthetic.candidates(borders, 0, count * (60 // count + 1), 1).collect()))
+        for site in (1, 2):
+            mine = []
+            for s, n, x, y in all_:
+                far = site == 2 or (x - 450) ** 2 + (y - 5450) ** 2 >= 200**2
+                if s == site and len(mine) < count and far and all((x - a) ** 2 + (y - b) ** 2 >= 150**2 for _, a, b in mine):
+                    mine.append((n, x, y))
+            want |= {(site, *p) for p in mine}
+        assert got == want
