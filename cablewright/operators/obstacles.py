@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..sources.store import work_table
 from . import kernels as K
+from . import rounds
 from .joins import with_points
 from .mesh import site
 from .polygons import sides
@@ -73,19 +75,34 @@ def _walls(rings) -> np.ndarray:
     return np.array(sides + inner, int).reshape(-1, 2)
 
 
+#: Corners are numbered from here on, beyond all terminals.
+CORNER, POLYGON = 1 << 40, 1 << 20
+
+
+def free_legs(v: DataFrame, polygons: DataFrame) -> DataFrame:
+    """site_id, u < v, w: straight legs of points to roots, and of points and corners to corners, that cross no obstacle; w is the length.
+
+    Corners are nodes from `CORNER` on, `POLYGON` to an obstacle. A leg may touch an obstacle or run along it; the inner
+    diagonals of obstacles are walls, too, so that no leg leads through one.
+    """
+    ring = polygons.filter("poly_id > 0")
+    corners = ring.select("site_id", (F.lit(CORNER) + F.col("poly_id").cast("long") * POLYGON + F.col("seq")).alias("n"), "x", "y")
+    nodes = work_table(v.select("site_id", "n", "x", "y").unionByName(corners), "nodes")
+    size = ring.groupBy("site_id", "poly_id").agg((F.max("seq") + 1).alias("size"))
+    s, t = (ring.select("site_id", "poly_id", F.col("seq").alias(f"{c}k"), F.col("x").alias(f"{c}x"), F.col("y").alias(f"{c}y")) for c in "st")
+    # Every two corners of one obstacle: its sides and its inner diagonals.
+    walls = work_table(s.join(t, ["site_id", "poly_id"]).filter("sk < tk").join(size, ["site_id", "poly_id"]).select("site_id", "sx", "sy", "tx", "ty"), "walls")
+    a, b = (nodes.select("site_id", F.col("n").alias(c), F.col("x").alias(f"{c}x"), F.col("y").alias(f"{c}y")) for c in "uv")
+    legs = a.join(b, "site_id").filter((F.col("u") < F.col("v")) & ((F.col("v") >= CORNER) | ((F.col("u") < 0) & (F.col("v") >= 0))))
+    shut = legs.join(walls, "site_id").filter(G.is_crossing(*(G.point(c) for c in "uvst"), touch=False)).select("site_id", "u", "v").distinct()
+    return legs.join(shut, ["site_id", "u", "v"], "left_anti").select("site_id", "u", "v", G.distance(G.point("u"), G.point("v")).alias("w"))
+
+
 def root_distances(v: DataFrame, polygons: DataFrame) -> DataFrame:
     """site_id, n, root, length (thousandths) of the shortest way that crosses no obstacle; null if there is none."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, xy, rings = _split(pdf)
-        walls, out = _walls(rings), []
-        for k, i in enumerate(ids):
-            if i < 0:
-                d = K.free_distances(xy, k, walls, [c for r in rings[1:] for c in r])
-                out += [(pdf["site_id"].iloc[0], n, i, round(d[m] * 1000) if np.isfinite(d[m]) else None) for m, n in enumerate(ids) if n >= 0]
-        return pd.DataFrame(out, columns=["site_id", "n", "root", "length"]).astype({"length": "Int64"})
-
-    return _joined(v, polygons).groupBy("site_id").applyInPandas(run, "site_id long, n long, root long, length long")
+    d = rounds.ways_from(free_legs(v, polygons), v.filter("n < 0").select("site_id", F.col("n").alias("root"))).filter(f"n >= 0 AND n < {CORNER}")
+    every = v.filter("n >= 0").select("site_id", "n").join(v.filter("n < 0").select("site_id", F.col("n").alias("root")), "site_id")
+    return every.join(d, ["site_id", "n", "root"], "left").select("site_id", "n", "root", F.round(F.col("way") * 1000).cast("long").alias("length"))
 
 
 def contours(edges: DataFrame, v: DataFrame, polygons: DataFrame) -> DataFrame:

@@ -133,23 +133,9 @@ _INNER = "ip AS (SELECT v.site_id, count(*) AS i FROM v JOIN bx USING (site_id)
 query("mesh10_navigation_mesh", f"{_with(_C1, _BOX, _NOTCH, _INNER.format(''))} SELECT site_id, 2 * i + 4 + 4 + 2 - 2 AS triangles, CAST(2 * (x1 - x0) * (y1 - y0) - 2 * 600 * 600 AS BIGINT) AS area2, CAST(0 AS BIGINT) AS lacking, CAST(0 AS BIGINT) AS in_holes FROM nm JOIN ip USING (site_id)")(lambda spark, v, d: obstacles.navigation_mesh(v, _around(v)))
 _IN_NOTCH = "AND NOT ((xm - x1) * (y - y1) - (ym - y1) * (x - x1) < 0 AND (x0 - xm) * (y - ym) - (y1 - ym) * (x - xm) < 0)"
 query("mesh10_concave_border", f"{_with(_C1, _BOX, _NOTCH, _INNER.format(_IN_NOTCH))} SELECT site_id, 2 * i + 5 + 4 + 2 - 2 AS triangles, CAST(2 * (x1 - x0) * (y1 - y0) - (x1 - x0) * (y1 - ym) - 2 * 600 * 600 AS BIGINT) AS area2, CAST(0 AS BIGINT) AS lacking, CAST(0 AS BIGINT) AS in_holes FROM nm JOIN ip USING (site_id)")(lambda spark, v, d: obstacles.navigation_mesh(v, polygons.notched_border(v).unionByName(polygons.box_obstacle(v))))
-query("mesh12_free_distances", f"{_with(*_BASE, _BOX)}, h AS (SELECT d.site_id, d.n, d.root, d2, x AS ux, y AS uy, rx AS vx, ry AS vy, sx, sy, tx, ty FROM d JOIN ob USING (site_id)) SELECT site_id, n, root, CASE WHEN bool_or({_meet('u', 'v', 's', 't')}) THEN true ELSE false END AS hindered, CAST(0 AS BIGINT) AS wrong FROM h GROUP BY site_id, n, root")(lambda spark, v, d: _hindered(v))
 query("ew5_around_obstacles", f"{_with(_C1)} SELECT site_id, count(*) FILTER (WHERE n >= 0) AS links, CAST(0 AS BIGINT) AS cut_links, CAST(0 AS BIGINT) AS cut_ways FROM v GROUP BY site_id")(lambda spark, v, d: obstacles.solve_around(v, _around(v), 5).drop("ways", "failed"))
 
 
-def _hindered(v: DataFrame) -> DataFrame:
-    """Whether a gate's straight line meets the obstacle; wrong: a free way shorter than the line, or longer without hindrance for points outside the obstacle."""
-    p = polygons.box_obstacle(v)
-    gates = joins.d2roots(v).select("site_id", F.col("n").alias("v"), F.col("root").alias("u"), "d2")
-    cut = obstacles.cut_edges(gates, v, p)
-    j = gates.join(cut, ["site_id", "u", "v"], "left").select("site_id", F.col("v").alias("n"), F.col("u").alias("root"), F.col("sides").isNotNull().alias("hindered"), F.round(F.sqrt(F.col("d2").cast("double")) * 1000).cast("long").alias("line"))
-    free = obstacles.root_distances(v, _around(v))
-    held = polygons.contains(v, p).select("site_id", "n", "inside")
-    w = j.join(free, ["site_id", "n", "root"], "left").join(held, ["site_id", "n"])
-    wrong = F.when(F.col("inside"), False).when(F.col("length").isNull(), ~F.col("hindered")).otherwise((F.col("length") < F.col("line") - 1) | (~F.col("hindered") & (F.abs(F.col("length") - F.col("line")) > 1)))
-    return w.select("site_id", "n", "root", "hindered", wrong.cast("long").alias("wrong"))
-
-
 query("vr2_iterated", f"{_with(_C1)} SELECT site_id, CAST(0 AS BIGINT) AS missing, count(*) AS links, CAST(0 AS BIGINT) AS overloads, CAST(0 AS BIGINT) AS branchings FROM v WHERE n >= 0 GROUP BY site_id")(lambda spark, v, d: solvers.check(solvers.solve(v, ["routes_iterated"], [5]), v).select("site_id", "missing", "links", "overloads", "branchings"))
 query("ml5_pool_choice", f"{_with(_C1)} SELECT DISTINCT site_id, CAST(3 AS BIGINT) AS pool FROM v")(lambda spark, v, d: solvers.pool_choice(solvers.solve(v, ["presolver", "crossing_preventing", "non_branching"], [5]), v).select("site_id", "pool"))
 

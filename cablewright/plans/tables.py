@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as X
-from ..operators import mesh, polygons
+from ..operators import mesh, obstacles, polygons
 from ..sources import coordinates, routing, store, synthetic
-from .catalogue import _C1, _TRI, _with, query
+from .catalogue import _BASE, _C1, _TRI, _meet, _with, query
 from .more import _BOX, _IN_NOTCH, _NOTCH
 from .records import _N, _R, _TERM
 
@@ -38,17 +38,21 @@ def _angle(whole, thousandths, letter):
     return F.concat(whole.cast("string"), F.lit("°"), F.floor(thousandths / 1000).cast("string"), F.lit("."), F.lpad((thousandths % 1000).cast("string"), 3, "0"), F.lit("'"), letter)
 
 
-_MINUTES = {c: F.abs(F.col(c)) * 7919 % 60000 for c in "xy"}
+def _minutes(c: str):
+    """Thousandths of minutes, from a coordinate."""
+    return F.abs(F.col(c)) * 7919 % 60000
+
+
 query("src3_degrees", f"{_with(_C1)} SELECT site_id, n, CASE WHEN n % 7 <> 3 THEN CASE WHEN n % 2 = 0 THEN 1 ELSE -1 END * (abs(x) % 90 + (abs(y) * 7919 % 60000) / 1000.0::DOUBLE / 60) END AS degrees FROM v WHERE n >= 0")(
-    lambda spark, v, d: v.filter("n >= 0").select("site_id", "n", coordinates.degrees(F.when(F.col("n") % 7 == 3, "north").otherwise(_angle(F.abs("x") % 90, _MINUTES["y"], F.when(F.col("n") % 4 == 0, "N").when(F.col("n") % 4 == 1, "S").when(F.col("n") % 4 == 2, "E").otherwise("W")))).alias("degrees"))
+    lambda spark, v, d: v.filter("n >= 0").select("site_id", "n", coordinates.degrees(F.when(F.col("n") % 7 == 3, "north").otherwise(_angle(F.abs("x") % 90, _minutes("y"), F.when(F.col("n") % 4 == 0, "N").when(F.col("n") % 4 == 1, "S").when(F.col("n") % 4 == 2, "E").otherwise("W")))).alias("degrees"))
 )
 
 
 # Krueger's series over each site's list of terminals.
 def _utm(v: DataFrame) -> DataFrame:
     south = F.col("site_id") % 2 == 1
-    lat = _angle(50 + F.abs("x") % 9, _MINUTES["y"], F.when(south, "S").otherwise("N"))
-    lon = _angle(F.abs("y") % 30, _MINUTES["x"], F.when(F.col("n") % 2 == 1, "W").otherwise("E"))
+    lat = _angle(50 + F.abs("x") % 9, _minutes("y"), F.when(south, "S").otherwise("N"))
+    lon = _angle(F.abs("y") % 30, _minutes("x"), F.when(F.col("n") % 2 == 1, "W").otherwise("E"))
     texts = v.filter("n >= 0").groupBy("site_id").agg(_joined([], "n", F.concat(F.lit("T"), F.col("n"), F.lit(" "), lat, F.lit(" "), lon)).alias("text"))
     out = coordinates.located(texts.select(F.concat(F.lit("site_"), F.col("site_id")).alias("name"), "text"))
     return out.withColumn("x", F.round("x", 2)).withColumn("y", F.round("y", 2))
@@ -196,3 +200,18 @@ rec AS (SELECT site_id, 0 AS i, []::STRUCT(n BIGINT, x BIGINT, y BIGINT)[] AS go
 SELECT site_id, p.n AS n, p.x AS x, p.y AS y FROM (SELECT site_id, unnest(arg_max(got, i)) AS p FROM rec GROUP BY site_id) q""")(
     lambda spark, v, d: synthetic.poisson_disc(polygons.notched_border(v).unionByName(polygons.box_obstacle(v)), v.filter("n < 0").select("site_id", "x", "y"), _WANT, _DISC, _AWAY, tries=_TRIES)
 )
+
+
+# Shortest ways around the obstacle: SQL goes by its four corners, three of which suffice.
+_CORNERS = """co AS (SELECT site_id, row_number() OVER (PARTITION BY site_id ORDER BY sx, sy) AS k, sx AS x, sy AS y FROM ob),
+wa AS (SELECT site_id, sx, sy, tx, ty FROM ob UNION ALL SELECT a.site_id, a.x, a.y, b.x, b.y FROM co a JOIN co b ON a.site_id = b.site_id AND (a.k, b.k) IN ((1, 4), (2, 3))),
+nd AS (SELECT site_id, n AS id, x, y FROM v UNION ALL SELECT site_id, 1000000 + k, x, y FROM co),
+lg AS (SELECT p.site_id, p.id AS a, q.id AS b, p.x AS ux, p.y AS uy, q.x AS vx, q.y AS vy FROM nd p JOIN nd q ON p.site_id = q.site_id AND p.id < q.id AND (q.id > 1000000 OR (p.id < 0 AND q.id >= 0)))"""
+_AROUND = "SELECT site_id, root, c, min(w) AS w FROM (SELECT * FROM {0} UNION ALL SELECT {0}.site_id, root, cc.b, {0}.w + cc.w FROM {0} JOIN cc ON cc.site_id = {0}.site_id AND cc.a = c) q GROUP BY site_id, root, c"
+query("mesh12_free_distances", f"""{_with(*_BASE, _BOX, _CORNERS)}, fr AS (SELECT site_id, a, b, sqrt(CAST((ux - vx) * (ux - vx) + (uy - vy) * (uy - vy) AS DOUBLE)) AS w FROM lg WHERE NOT EXISTS (SELECT 1 FROM wa WHERE wa.site_id = lg.site_id AND {_meet('u', 'v', 's', 't')})),
+cc AS (SELECT site_id, a, b, w FROM fr WHERE a > 1000000 UNION ALL SELECT site_id, b, a, w FROM fr WHERE a > 1000000), r0 AS (SELECT site_id, a AS root, b AS c, w FROM fr WHERE a < 0 AND b > 1000000),
+r1 AS ({_AROUND.format('r0')}), r2 AS ({_AROUND.format('r1')}), r3 AS ({_AROUND.format('r2')}),
+al AS (SELECT site_id, a AS root, b AS n, w FROM fr WHERE a < 0 AND b BETWEEN 0 AND 1000000 UNION ALL SELECT fr.site_id, root, fr.a, fr.w + r3.w FROM fr JOIN r3 ON r3.site_id = fr.site_id AND r3.c = fr.b WHERE fr.a BETWEEN 0 AND 1000000)
+SELECT d.site_id, d.n, d.root, CAST(round(min(w) * 1000) AS BIGINT) AS length FROM d LEFT JOIN al ON al.site_id = d.site_id AND al.n = d.n AND al.root = d.root GROUP BY d.site_id, d.n, d.root""")(
+    lambda spark, v, d: obstacles.root_distances(v, polygons.box_border(v).unionByName(polygons.box_obstacle(v)))
+)
