@@ -125,11 +125,17 @@ def blockage(arc: Column, extra: bool = False) -> Column:
     return base + 4 * arc / F.lit(math.pi) if extra else base
 
 
-def bunch_split(p: Point, a: Point, o: Point, b: Point, margin: float = 1e-3) -> Column:
-    """An aggregate: whether some points lie inside the angle a-o-b and others outside it."""
+def about_corner(p: Point, a: Point, o: Point, b: Point, margin: float = 1e-3) -> tuple[Column, Column]:
+    """Whether a point lies inside the angle a-o-b, and whether outside it; within the margin of its legs it is neither."""
     whole, part = angle(a, o, b), angle(a, o, p)
     inside = F.when(whole >= 0, (part > margin) & (part < whole - margin)).otherwise((part < -margin) & (part > whole + margin))
     outside = F.when(whole >= 0, (part < -margin) | (part > whole + margin)).otherwise((part > margin) | (part < whole - margin))
+    return inside, outside
+
+
+def bunch_split(p: Point, a: Point, o: Point, b: Point, margin: float = 1e-3) -> Column:
+    """An aggregate: whether some points lie inside the angle a-o-b and others outside it."""
+    inside, outside = about_corner(p, a, o, b, margin)
     return F.bool_or(inside) & F.bool_or(outside)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..sources.store import work_table
 from . import rounds
-from .joins import about, assign_cables, assign_root, crossings, gridded, with_points
+from .joins import about, assign_cables, assign_root, crossings, gridded, interferences, with_points
 
 LOADS = "site_id long, n long, root long, parent long, load long, subtree long, depth long"
 
@@ -132,6 +132,43 @@ def validate(forest: DataFrame, v: DataFrame, capacity: int, edges: DataFrame |
     return t.join(have, "site_id", "left").join(x, "site_id", "left").select("site_id", (F.col("t") - F.coalesce("have", F.lit(0))).alias("missing"), F.coalesce("overloaded", F.lit(0)).cast("long").alias("overloaded"), F.coalesce("crossings", F.lit(0)).cast("long").alias("crossings"))
 
 
+def splits(passes: DataFrame, links: DataFrame, v: DataFrame) -> DataFrame:
+    """Ways that part the links of a node: site_id, a, d, b, s, t.
+
+    passes: site_id, a, d, b, a way that bends at (or goes straight over) d, coming from a and going on to b, without being joined to it. links: site_id, u, v.
+    The way splits d's branch if some of d's neighbours lie inside the angle a-d-b and others outside; s and t are
+    the least neighbours of either kind.
+    """
+    both = links.select("site_id", F.col("u").alias("d"), F.col("v").alias("m")).unionByName(links.select("site_id", F.col("v").alias("d"), F.col("u").alias("m"))).distinct()
+    j = passes.select("site_id", "a", "d", "b").distinct().join(both, ["site_id", "d"])
+    j = with_points(with_points(j, v, "a", "d"), v, "b", "m")
+    inside, outside = G.about_corner(G.point("m"), G.point("a"), G.point("d"), G.point("b"))
+    first = j.groupBy("site_id", "a", "d", "b").agg(F.min(F.when(inside, F.col("m"))).alias("s"), F.min(F.when(outside, F.col("m"))).alias("t"))
+    return first.filter("s IS NOT NULL AND t IS NOT NULL")
+
+
+def violations(edges: DataFrame, v: DataFrame, passes: DataFrame | None = None) -> DataFrame:
+    """What is wrong with a routeset's edges (site_id, u, v), as rows (site_id, u, v, s, t).
+
+    uv crosses st; or, with u < v or v < u as the touched edge lies, the edge uv goes over a node and parts its neighbours s and t; or, with u = v,
+    a detour (of passes: site_id, a, d, b) bends at node u and parts its neighbours s and t. Parallel edges don't cross, and a
+    node with one neighbour can't be parted.
+    """
+    met = interferences(edges, v)
+    out = met.filter("touching IS NULL").select("site_id", "u", "v", "s", "t")
+    # The touched edge is a straight pass over the touching end.
+    over = met.filter("touching IS NOT NULL").select(
+        "site_id",
+        F.when(F.col("touching") < 2, F.col("s")).otherwise(F.col("u")).alias("a"),
+        F.element_at(F.array("u", "v", "s", "t"), F.col("touching") + 1).alias("d"),
+        F.when(F.col("touching") < 2, F.col("t")).otherwise(F.col("v")).alias("b"),
+    )
+    out = out.unionByName(splits(over, edges, v).select("site_id", F.col("a").alias("u"), F.col("b").alias("v"), "s", "t"))
+    if passes is not None:
+        out = out.unionByName(splits(passes, edges, v).select("site_id", F.col("d").alias("u"), F.col("d").alias("v"), "s", "t"))
+    return out
+
+
 def hooked_to_nearest(forest: DataFrame, v: DataFrame) -> DataFrame:
     """Each subtree's best hook: its node nearest to the root, ties by id."""
     l = tree_loads(forest)

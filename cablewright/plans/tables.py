@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as X
-from ..operators import mesh, obstacles, polygons
+from ..operators import joins, mesh, obstacles, polygons, trees
 from ..sources import coordinates, routing, store, synthetic
-from .catalogue import _BASE, _C1, _TRI, _meet, _with, query
+from .catalogue import _BASE, _C1, _KNN, _PAIRS, _PTS, _TRI, _meet, _with, query
 from .more import _BOX, _IN_NOTCH, _NOTCH
 from .records import _N, _R, _TERM
 
@@ -215,3 +215,14 @@ al AS (SELECT site_id, a AS root, b AS n, w FROM fr WHERE a < 0 AND b BETWEEN 0
 SELECT d.site_id, d.n, d.root, CAST(round(min(w) * 1000) AS BIGINT) AS length FROM d LEFT JOIN al ON al.site_id = d.site_id AND al.n = d.n AND al.root = d.root GROUP BY d.site_id, d.n, d.root""")(
     lambda spark, v, d: obstacles.root_distances(v, polygons.box_border(v).unionByName(polygons.box_obstacle(v)))
 )
+
+
+# Validation: crossings of the nearest-neighbour edges, and terminals at which a way from the terminal before to the one behind parts the edges.
+_VIEW = "atan2((ax - ox) * ({0}y - oy) - (ay - oy) * ({0}x - ox), (ax - ox) * ({0}x - ox) + (ay - oy) * ({0}y - oy))"
+query("val1_violations", f"""{_with(_C1, _KNN, _PAIRS.format('e'), _PTS.format('pr'))}, nb AS (SELECT site_id, u AS o, v AS m FROM e UNION ALL SELECT site_id, v, u FROM e),
+pw AS (SELECT nb.site_id, nb.o, nb.m, a.x AS ax, a.y AS ay, o.x AS ox, o.y AS oy, b.x AS bx, b.y AS by_, m.x AS mx, m.y AS my FROM nb JOIN v o ON o.site_id = nb.site_id AND o.n = nb.o JOIN v a ON a.site_id = nb.site_id AND a.n = nb.o - 1 JOIN v b ON b.site_id = nb.site_id AND b.n = nb.o + 1 JOIN v m ON m.site_id = nb.site_id AND m.n = nb.m WHERE nb.o > 0),
+an AS (SELECT site_id, o, m, {_VIEW.format('b').replace('by ', 'by_ ').replace('by)', 'by_)')} AS w, {_VIEW.format('m')} AS p FROM pw),
+sp AS (SELECT site_id, o, min(m) FILTER (WHERE CASE WHEN w >= 0 THEN p > 1e-3 AND p < w - 1e-3 ELSE p < -1e-3 AND p > w + 1e-3 END) AS s, min(m) FILTER (WHERE CASE WHEN w >= 0 THEN p < -1e-3 OR p > w + 1e-3 ELSE p > 1e-3 OR p < w - 1e-3 END) AS t FROM an GROUP BY site_id, o)
+SELECT site_id, u, v, s, t FROM p4 WHERE {_meet('u', 'v', 's', 't')} UNION ALL SELECT site_id, o, o, s, t FROM sp WHERE s IS NOT NULL AND t IS NOT NULL""")(
+    lambda spark, v, d: trees.violations(joins.knn_edges(v), v, v.filter("n > 0").select("site_id", (F.col("n") - 1).alias("a"), F.col("n").alias("d"), (F.col("n") + 1).alias("b")))
+)
