@@ -12,7 +12,8 @@ from ..sources.store import work_table
 from . import kernels as K
 from . import rounds
 from .joins import with_points
-from .mesh import site
+from .mesh import hull_edges, site
+from .mesh import sides as mesh_sides
 from .polygons import sides
 
 
@@ -24,6 +25,24 @@ def cut_edges(edges: DataFrame, v: DataFrame, polygons: DataFrame) -> DataFrame:
     return met.groupBy("site_id", "u", "v").agg(F.count("*").alias("sides"))
 
 
+def concave_hull(t: DataFrame, v: DataFrame, border: DataFrame) -> DataFrame:
+    """Sides u < v of the mesh's rim once it keeps within the border: triangles behind rim sides that cross the border go, and so on inwards.
+
+    t: the mesh's triangles. In each round go all triangles that share a crossing side with one that went. Points that
+    are left without a triangle are on no rim.
+    """
+    s = mesh_sides(t).select("site_id", "u", "v", F.array_sort(F.array("u", "v", "w")).alias("k"))
+    crossing = cut_edges(s.select("site_id", "u", "v").distinct(), v, border).select("site_id", "u", "v")
+    open_ = work_table(s.join(crossing, ["site_id", "u", "v"]), "crossing")
+    gone = front = work_table(open_.join(hull_edges(t), ["site_id", "u", "v"]).select("site_id", "k").distinct(), "gone")
+    while not front.isEmpty():
+        next_ = open_.join(front, ["site_id", "k"]).select("site_id", "u", "v").distinct().join(open_, ["site_id", "u", "v"]).select("site_id", "k").distinct()
+        front = work_table(next_.join(gone, ["site_id", "k"], "left_anti"), "gone")
+        gone = gone.unionByName(front)
+    left = t.select("site_id", F.array_sort(F.array("a", "b", "c")).alias("k")).join(gone, ["site_id", "k"], "left_anti")
+    return hull_edges(left.select("site_id", *[F.col("k")[i].alias(c) for i, c in enumerate("abc")]))
+
+
 def shortcuts(triples: DataFrame, v: DataFrame, polygons: DataFrame) -> DataFrame:
     """For points s, b, t of a path: whether the straight line from s to t is free, so that b may be left out."""
     cut = cut_edges(triples.select("site_id", F.col("s").alias("u"), F.col("t").alias("v")).distinct(), v, polygons)

@@ -226,3 +226,17 @@ sp AS (SELECT site_id, o, min(m) FILTER (WHERE CASE WHEN w >= 0 THEN p > 1e-3 AN
 SELECT site_id, u, v, s, t FROM p4 WHERE {_meet('u', 'v', 's', 't')} UNION ALL SELECT site_id, o, o, s, t FROM sp WHERE s IS NOT NULL AND t IS NOT NULL""")(
     lambda spark, v, d: trees.violations(joins.knn_edges(v), v, v.filter("n > 0").select("site_id", (F.col("n") - 1).alias("a"), F.col("n").alias("d"), (F.col("n") + 1).alias("b")))
 )
+
+
+# The mesh's rim within the notched border.
+_AT_BORDER = (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("xm", "ym"), ("x0", "y1"))
+_RING = "bd AS (" + " UNION ALL ".join(f"SELECT site_id, {a} AS sx, {b} AS sy, {c} AS tx, {d} AS ty FROM nm" for (a, b), (c, d) in zip(_AT_BORDER, _AT_BORDER[1:] + _AT_BORDER[:1], strict=True)) + ")"
+query("mesh6_concave_hull", f"""{_with(_C1, _TRI, _NOTCH, _RING, recursive=True)}, se AS (SELECT DISTINCT sd.site_id, sd.u, sd.v, a.x AS ux, a.y AS uy, b.x AS vx, b.y AS vy FROM sd JOIN v a ON a.site_id = sd.site_id AND a.n = sd.u JOIN v b ON b.site_id = sd.site_id AND b.n = sd.v),
+sc AS MATERIALIZED (SELECT DISTINCT se.site_id, u, v FROM se JOIN bd ON bd.site_id = se.site_id WHERE {_meet('u', 'v', 's', 't')}),
+ts AS MATERIALIZED (SELECT site_id, u, v, list_sort([u, v, w]) AS k FROM sd), hs AS (SELECT site_id, u, v FROM sd GROUP BY site_id, u, v HAVING count(*) = 1),
+op AS MATERIALIZED (SELECT ts.* FROM ts JOIN sc ON sc.site_id = ts.site_id AND sc.u = ts.u AND sc.v = ts.v),
+pe AS (SELECT op.site_id, op.k FROM op JOIN hs ON hs.site_id = op.site_id AND hs.u = op.u AND hs.v = op.v
+  UNION SELECT o.site_id, o.k FROM pe JOIN op s ON s.site_id = pe.site_id AND s.k = pe.k JOIN op o ON o.site_id = s.site_id AND o.u = s.u AND o.v = s.v)
+SELECT site_id, u, v FROM ts WHERE NOT EXISTS (SELECT 1 FROM pe WHERE pe.site_id = ts.site_id AND pe.k = ts.k) GROUP BY site_id, u, v HAVING count(*) = 1""")(
+    lambda spark, v, d: obstacles.concave_hull(mesh.triangles(v), v, polygons.notched_border(v))
+)
