@@ -39,8 +39,8 @@ def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
     elif method in ("exact", "exact_path"):
         parent = K.exact_forest(ids, xy, capacity, method == "exact")[1]
     elif method == "exact_power":
-        # Terminals whose number sevens divide feed in three.
-        parent = K.exact_forest(ids, xy, capacity, power={i: 3 for i in ids if i >= 0 and i % 7 == 0})[1]
+        fed = pdf[(pdf["n"] >= 0) & pdf["power"].notna()]
+        parent = K.exact_forest(ids, xy, capacity, power=dict(zip(fed["n"].tolist(), fed["power"].astype(int).tolist(), strict=True)))[1]
     elif method == "exact_least_gates":
         parent = K.exact_forest(ids, xy, capacity, gates=-(-sum(i >= 0 for i in ids) // capacity))[1]
     elif method == "improved":
@@ -52,7 +52,9 @@ def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def solve(v: DataFrame, methods: list[str], capacities: list[int]) -> DataFrame:
-    """The parent of each terminal under each method and capacity."""
+    """The parent of each terminal under each method and capacity. exact_power reads what a terminal feeds in from v's column `power` (1 where null)."""
+    if "exact_power" in methods and "power" not in v.columns:
+        raise ValueError("exact_power needs a column power")
     spark: SparkSession = v.sparkSession
     grid = spark.createDataFrame([(m, c) for m in methods for c in capacities], "method string, capacity int")
     return v.crossJoin(F.broadcast(grid)).groupBy("site_id", "method", "capacity").applyInPandas(_solve, SOLUTION)

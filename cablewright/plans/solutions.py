@@ -113,7 +113,7 @@ query("ml1_exact_small", f"{_with(*_BASE, *_SIX, recursive=True)} SELECT site_id
 _POWER = [x.replace("1 AS size, g AS cost FROM t6", "h AS size, g AS cost FROM t6").replace("2, w + least(g, f)", "h + j, w + least(g, f)").replace("3, a.w + b.w", "a.h + a.j + b.j, a.w + b.w") for x in _SIX]
 _POWER[0] = _POWER[0].replace("v.x, v.y", "v.x, v.y, CASE WHEN n % 7 = 0 THEN 3 ELSE 1 END AS h")
 _POWER[1] = _POWER[1].replace("a.g AS g", "a.h AS h, b.h AS j, a.g AS g")
-query("ml1_exact_power", f"{_with(*_BASE, *_POWER, recursive=True)} SELECT site_id, k, capacity, round(min(cost), 3) AS cost FROM p6 WHERE rest = 0 AND capacity = 3 GROUP BY site_id, k, capacity")(lambda spark, v, d: _exact(v, "exact_power", [3]))
+query("ml1_exact_power", f"{_with(*_BASE, *_POWER, recursive=True)} SELECT site_id, k, capacity, round(min(cost), 3) AS cost FROM p6 WHERE rest = 0 AND capacity = 3 GROUP BY site_id, k, capacity")(lambda spark, v, d: _exact(v.withColumn("power", F.when(F.col("n") % 7 == 0, 3)), "exact_power", [3]))
 _GATES = [x.replace("CAST(0 AS DOUBLE) AS cost", "CAST(0 AS DOUBLE) AS cost, 0 AS gates, count(*) AS t").replace("p6.cost + s6.cost", "p6.cost + s6.cost, gates + 1, t") for x in _SIX]
 query("ml1_least_gates", f"{_with(*_BASE, *_GATES, recursive=True)} SELECT site_id, k, capacity, round(min(cost), 3) AS cost FROM p6 WHERE rest = 0 AND gates <= ceil(t / CAST(capacity AS DOUBLE)) GROUP BY site_id, k, capacity")(lambda spark, v, d: _exact(v, "exact_least_gates", [2, 3]))
 
@@ -121,7 +121,7 @@ query("ml1_least_gates", f"{_with(*_BASE, *_GATES, recursive=True)} SELECT site_
 def _exact(v: DataFrame, method: str = "exact", capacities=(2, 3)) -> DataFrame:
     """The cost of the exact forest of each six terminals of a site, with all its roots."""
     sets_of = v.filter("n >= 0").select("site_id", F.floor(F.col("n") / 6).alias("k")).distinct()
-    small = v.join(sets_of, "site_id").filter("n < 0 OR floor(n / 6) = k").select((F.col("site_id") * (1 << 20) + F.col("k")).alias("site_id"), "n", "x", "y")
+    small = v.join(sets_of, "site_id").filter("n < 0 OR floor(n / 6) = k").select((F.col("site_id") * (1 << 20) + F.col("k")).alias("site_id"), "n", "x", "y", *[c for c in v.columns if c == "power"])
     s = solvers.costs(solvers.solve(small, [method], list(capacities)), small)
     return s.select(F.floor(F.col("site_id") / (1 << 20)).alias("site_id"), (F.col("site_id") % (1 << 20)).alias("k"), "capacity", F.round("cost", 3).alias("cost"))
 
