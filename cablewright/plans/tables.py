@@ -12,7 +12,7 @@ from ..functions import geometry as G
 from ..functions import text as X
 from ..operators import joins, mesh, obstacles, polygons, trees
 from ..sources import coordinates, routing, store, synthetic
-from .catalogue import _BASE, _C1, _KNN, _PAIRS, _PTS, _TRI, _meet, _with, query
+from .catalogue import _BASE, _C1, _KNN, _LOADS, _PAIRS, _PTS, _TRI, _meet, _with, query
 from .more import _BOX, _IN_NOTCH, _NOTCH
 from .records import _N, _R, _TERM
 
@@ -240,3 +240,15 @@ pe AS (SELECT op.site_id, op.k FROM op JOIN hs ON hs.site_id = op.site_id AND hs
 SELECT site_id, u, v FROM ts WHERE NOT EXISTS (SELECT 1 FROM pe WHERE pe.site_id = ts.site_id AND pe.k = ts.k) GROUP BY site_id, u, v HAVING count(*) = 1""")(
     lambda spark, v, d: obstacles.concave_hull(mesh.triangles(v), v, polygons.notched_border(v))
 )
+
+
+# Stored lengths against those of the stored parents: every third site's was made longer by a hundredth.
+def _mismatched(spark: SparkSession, v: DataFrame) -> DataFrame:
+    path = store.folder(spark)
+    routes = store.route_sets(trees.seed_forest(v), v, 5, "seed", {"seed": "1", "author": "test"})
+    store.add_absent(spark, store.node_sets(v), f"{path}/nodesets", ["digest"])
+    store.add_absent(spark, routes.withColumn("length", F.when(F.col("site_id") % 3 == 0, F.col("length") + F.floor(F.col("length") / 100)).otherwise(F.col("length"))), f"{path}/routesets", ["nodes", "method", "capacity"])
+    return store.mismatched(store.load(spark, path), v).select("site_id", "length", "found", "differs", "misc")
+
+
+query("src20_length_mismatch", f"""{_LOADS}, s AS (SELECT site_id, CAST(sum(length) AS BIGINT) AS found FROM len GROUP BY site_id) SELECT site_id, CASE WHEN site_id % 3 = 0 THEN found + found // 100 ELSE found END AS length, found, site_id % 3 = 0 AS differs, '{{"author": "test", "seed": "1"}}' AS misc FROM s""")(lambda spark, v, d: _mismatched(spark, v))

@@ -7,6 +7,7 @@ the other wrote, leaves out what is there by now, and goes on to the next. Data
 
 from __future__ import annotations
 
+import json
 import re
 import tempfile
 import uuid
@@ -37,7 +38,7 @@ SCHEMAS = {
     "nodesets": "site_id bigint, digest string, T bigint, R bigint",
     "methods": "digest string, solver_name string, options string",
     "machines": "name string, attributes string",
-    "routesets": "site_id bigint, nodes string, method string, capacity int, edges array<bigint>, length bigint, num_gates array<bigint>",
+    "routesets": "site_id bigint, nodes string, method string, capacity int, edges array<bigint>, length bigint, num_gates array<bigint>, misc string",
 }
 
 
@@ -113,7 +114,6 @@ def create(spark: SparkSession, path: str) -> None:
 
 def machine(spark: SparkSession) -> DataFrame:
     """The machine that drives this session, as a row of `machines`."""
-    import json
     import platform
 
     about = {"cores": spark.sparkContext.defaultParallelism, "master": spark.sparkContext.master}
@@ -145,13 +145,13 @@ def digested(d: DataFrame) -> DataFrame:
     return d.select(F.sha2(F.concat_ws("|", "solver_name", "options"), 256).alias("digest"), "solver_name", "options")
 
 
-def route_sets(forest: DataFrame, v: DataFrame, capacity: int, method: str) -> DataFrame:
-    """For each site: the node set's and the method's digest, capacity, the parents in order, length and gates of each root."""
+def route_sets(forest: DataFrame, v: DataFrame, capacity: int, method: str, misc: dict[str, str] | None = None) -> DataFrame:
+    """For each site: the node set's and the method's digest, capacity, the parents in order, length, gates of each root, and what else is known of it, as JSON in the order of keys."""
     from ..operators.trees import gates_per_root, lengths, terse
 
     total = lengths(forest.select("site_id", "n", "parent"), v).groupBy("site_id").agg(F.sum("length").alias("length"))
     gates = gates_per_root(forest, v).groupBy("site_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("root", "num_gates"))), lambda s: s["num_gates"]).alias("num_gates"))
-    return terse(forest).join(total, "site_id").join(gates, "site_id").join(node_sets(v).select("site_id", F.col("digest").alias("nodes")), "site_id").select("site_id", "nodes", F.lit(method).alias("method"), F.lit(capacity).alias("capacity"), "edges", "length", "num_gates")
+    return terse(forest).join(total, "site_id").join(gates, "site_id").join(node_sets(v).select("site_id", F.col("digest").alias("nodes")), "site_id").select("site_id", "nodes", F.lit(method).alias("method"), F.lit(capacity).alias("capacity"), "edges", "length", "num_gates", F.lit(json.dumps(misc, sort_keys=True) if misc else None).cast("string").alias("misc"))
 
 
 def add_absent(spark: SparkSession, new: DataFrame, path: str, key: list[str]) -> int:
@@ -177,6 +177,24 @@ def load(spark: SparkSession, path: str, capacities: list[int] | None = None, me
     return r.join(n, "nodes")
 
 
+def mismatched(routes: DataFrame, v: DataFrame, share: float = 1e-4) -> DataFrame:
+    """Loaded route sets with the length that their parents give over the sites' points (`found`), and whether the stored one differs by more than a share of it.
+
+    Points are taken by digest, so a route set of other points has neither.
+    """
+    from ..operators.trees import lengths, unterse
+
+    own = routes.join(node_sets(v).select("digest", F.col("site_id").alias("at")), F.col("nodes") == F.col("digest"), "left").drop("digest")
+    # A route set is a site of its own here, so that those of one site keep apart.
+    key = F.xxhash64("nodes", "method", "capacity")
+    numbered = work_table(own.withColumn("key", key), "routes")
+    points = numbered.filter("at IS NOT NULL").select("key", "at").join(v.withColumnRenamed("site_id", "at"), "at").select(F.col("key").alias("site_id"), "n", "x", "y")
+    hops = unterse(numbered.filter("at IS NOT NULL").select(F.col("key").alias("site_id"), "edges"))
+    found = lengths(hops, points).groupBy(F.col("site_id").alias("key")).agg(F.sum("length").alias("found"))
+    out = numbered.join(found, "key", "left").withColumn("differs", F.abs(F.col("length") - F.col("found")) > share * F.col("found"))
+    return out.drop("key", "at")
+
+
 def drawing(forest: DataFrame, v: DataFrame) -> DataFrame:
     """One SVG text for each site: lines for links, dashed ones for gates, dots for points, y upwards."""
     from ..operators.joins import with_points
