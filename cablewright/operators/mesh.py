@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..sources.store import work_table
 from . import kernels as K
 from . import rounds
 from .joins import with_points
@@ -31,6 +32,22 @@ def hull_edges(t: DataFrame) -> DataFrame:
     return sides(t).groupBy("site_id", "u", "v").agg(F.count("*").alias("k")).filter("k = 1").select("site_id", "u", "v")
 
 
+def pruned(t: DataFrame, v: DataFrame, ratio: float = 50.0) -> DataFrame:
+    """The triangles without the flat ones at the rim: those of an aspect ratio over `ratio` that have a side of the hull go, and flat ones behind those, until none is left there."""
+    p = t
+    for c in "abc":
+        p = p.join(v.select("site_id", F.col("n").alias(c), F.col("x").alias(f"{c}x"), F.col("y").alias(f"{c}y")), ["site_id", c])
+    flat = p.filter(F.coalesce(G.aspect_ratio(*(G.point(c) for c in "abc")), F.lit(float("inf"))) > ratio).select("site_id", "a", "b", "c")
+    s = work_table(sides(flat).select("site_id", "u", "v", F.array_sort(F.array("u", "v", "w")).alias("k")), "flat")
+    gone = front = work_table(s.join(hull_edges(t), ["site_id", "u", "v"]).select("site_id", "k").distinct(), "gone")
+    while not front.isEmpty():
+        next_ = s.join(front, ["site_id", "k"]).select("site_id", "u", "v").distinct().join(s, ["site_id", "u", "v"]).select("site_id", "k").distinct()
+        front = work_table(next_.join(gone, ["site_id", "k"], "left_anti"), "gone")
+        gone = gone.unionByName(front)
+    left = t.select("site_id", F.array_sort(F.array("a", "b", "c")).alias("k")).join(gone, ["site_id", "k"], "left_anti")
+    return left.select("site_id", *[F.col("k")[i].alias(c) for i, c in enumerate("abc")])
+
+
 def diagonals(t: DataFrame, v: DataFrame) -> DataFrame:
     """s < t across the side u < v of two triangles that form a strictly convex quadrilateral."""
     two = sides(t).groupBy("site_id", "u", "v").agg(F.min("w").alias("s"), F.max("w").alias("t")).filter("s < t")

@@ -252,3 +252,17 @@ def _mismatched(spark: SparkSession, v: DataFrame) -> DataFrame:
 
 
 query("src20_length_mismatch", f"""{_LOADS}, s AS (SELECT site_id, CAST(sum(length) AS BIGINT) AS found FROM len GROUP BY site_id) SELECT site_id, CASE WHEN site_id % 3 = 0 THEN found + found // 100 ELSE found END AS length, found, site_id % 3 = 0 AS differs, '{{"author": "test", "seed": "1"}}' AS misc FROM s""")(lambda spark, v, d: _mismatched(spark, v))
+
+
+# The hull once flat triangles at the rim have gone.
+_FLAT = 6.0
+_SIDE2 = "({0}x - {1}x) * ({0}x - {1}x) + ({0}y - {1}y) * ({0}y - {1}y)"
+query("mesh4_pruned_hull", f"""{_with(_C1, _TRI, recursive=True)}, fl AS MATERIALIZED (SELECT t.site_id, [a.n, b.n, c.n] AS k FROM tri t JOIN v a ON a.site_id = t.site_id AND a.n = t.a JOIN v b ON b.site_id = t.site_id AND b.n = t.b JOIN v c ON c.site_id = t.site_id AND c.n = t.c
+  WHERE greatest({_SIDE2.format('a.', 'b.')}, {_SIDE2.format('b.', 'c.')}, {_SIDE2.format('c.', 'a.')}) * {3**0.5 / 2!r}::DOUBLE > {_FLAT} * abs((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x))),
+hs AS (SELECT site_id, u, v FROM sd GROUP BY site_id, u, v HAVING count(*) = 1), ts AS MATERIALIZED (SELECT site_id, u, v, list_sort([u, v, w]) AS k FROM sd),
+op AS MATERIALIZED (SELECT ts.* FROM ts JOIN fl ON fl.site_id = ts.site_id AND list_sort(fl.k) = ts.k),
+pe AS (SELECT op.site_id, op.k FROM op JOIN hs ON hs.site_id = op.site_id AND hs.u = op.u AND hs.v = op.v
+  UNION SELECT o.site_id, o.k FROM pe JOIN op s ON s.site_id = pe.site_id AND s.k = pe.k JOIN op o ON o.site_id = s.site_id AND o.u = s.u AND o.v = s.v)
+SELECT site_id, u, v FROM ts WHERE NOT EXISTS (SELECT 1 FROM pe WHERE pe.site_id = ts.site_id AND pe.k = ts.k) GROUP BY site_id, u, v HAVING count(*) = 1""")(
+    lambda spark, v, d: mesh.hull_edges(mesh.pruned(mesh.triangles(v), v, _FLAT))
+)
