@@ -46,11 +46,15 @@ _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)[.,;:!?%&#*$|]*")
 TOGETHER = 1000
 
 
+#: Texts that a tokenizer has to encode as their runs without ASCII white space, one after another, to be taken run by run.
+_PROBES = ("low lower lowest", " a  b\tc\nd\x0be\x0cf\r\ng ", "don't stop... x1 2y", "l'été à la plage, déjà vu!", "\n\n", "日本 語 x")
+
+
 class WordEncoder:
-    """Encodes texts by their distinct runs without ASCII white space.
+    """Encodes texts, where the tokenizer allows it by their distinct runs without ASCII white space.
 
-    The tokenizer splits at white space before it merges and drops it, so a text's ids are its
-    runs' ids joined.
+    A tokenizer that splits at white space before it merges, and drops it, gives a text its runs' ids joined. Whether it
+    does is tried when it is loaded, on texts with all kinds of white space; any other one is given whole texts.
     """
 
     def __init__(self, path: str):
@@ -62,6 +66,8 @@ class WordEncoder:
         #: Whether an id ends a piece.
         self.final = np.zeros(max(vocab.values()) + 1, bool)
         self.final[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        whole = lambda t: self.model.encode(t, add_special_tokens=False).ids
+        self.by_runs = all(whole(t) == [i for run in re.findall(r"[^ \t-\r]+", t) for i in whole(run)] for t in _PROBES)
         self.known = np.zeros(0, np.uint64)
         self.ids, self.edge = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
@@ -93,6 +99,11 @@ class WordEncoder:
 
     def encode(self, text: np.ndarray, at: np.ndarray, end: int = END) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows with the end id behind each, and where each row's ids begin."""
+        if not self.by_runs:
+            data, at = text.tobytes(), at.tolist()
+            rows = self.model.encode_batch_fast([data[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)], add_special_tokens=False)
+            ids = [np.append(np.array(r.ids, np.uint32), np.uint32(end)) for r in rows]
+            return np.concatenate(ids) if ids else np.zeros(0, np.uint32), np.cumsum([0, *map(len, ids)])
         exact, first = _case_hashes(text, at)
         starts, _ = T.words(text, at)
         rows = len(at) - 1

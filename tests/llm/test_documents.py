@@ -262,13 +262,16 @@ def test_automaton_against_substrings():
         assert got == want
 
 
-def test_token_files(spark, docs, rows, tmp_path):
+@pytest.mark.parametrize("name,by_runs", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_token_files(spark, docs, rows, tmp_path, name, by_runs):
+    import public_tokenizers
     from tokenizers import Tokenizer
 
-    folder = f"file://{tmp_path}/tokens"
-    manifest = tokenfile.write_tokens(docs, folder, tokenfile.default_tokenizer())
+    folder, path = f"file://{tmp_path}/tokens", public_tokenizers.path(name)
+    assert tokenfile.WordEncoder(path).by_runs == by_runs
+    manifest = tokenfile.write_tokens(docs, folder, path)
     got = [(r.doc_id, r.n_tokens, r.ids_crc32) for r in tokenfile.read_tokens(spark, manifest, folder).orderBy("start").collect()]
-    model = Tokenizer.from_file(tokenfile.default_tokenizer())
+    model = Tokenizer.from_file(path)
     want = []
     for d, t in rows:
         ids = [*model.encode(t or "", add_special_tokens=False).ids, 1]
