@@ -882,33 +882,3 @@ def navigation_mesh(xy: np.ndarray, border, holes) -> list[tuple[int, int, int]]
         if inside(xy[border], mid) and not any(inside(xy[h], mid) for h in holes):
             keep.append(t)
     return keep
-
-
-def free_ways(xy: np.ndarray, source: int, walls: np.ndarray, corners) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths of the shortest ways from a point to all that cross no wall, bending at corners alone (inf if there is none), and the point before each on its way (-1 if none)."""
-    n = len(xy)
-    dist, before = np.full(n, np.inf), np.full(n, -1)
-    dist[source] = 0.0
-    done = np.zeros(n, bool)
-    bend = np.zeros(n, bool)
-    bend[list(corners)] = True
-    bend[source] = True
-    every = np.arange(n)
-    while True:
-        open_ = np.where(done, np.inf, dist)
-        k = int(np.argmin(open_))
-        if not np.isfinite(open_[k]):
-            return dist, before
-        done[k] = True
-        if not bend[k]:
-            continue
-        free = ~done
-        for s, t in walls:
-            free &= ~crosses(xy, k, every, s, t)
-        reach = dist[k] + length(xy, k, every)
-        shorter = free & (reach < dist)
-        dist[shorter], before[shorter] = reach[shorter], k
-
-
-def free_distances(xy: np.ndarray, source: int, walls: np.ndarray, corners) -> np.ndarray:
-    return free_ways(xy, source, walls, corners)[0]

@@ -87,13 +87,6 @@ def navigation_mesh(v: DataFrame, polygons: DataFrame) -> DataFrame:
     return j.groupBy("site_id").applyInPandas(run, f"site_id long, triangles long, area2 {area}, lacking long, in_holes long")
 
 
-def _walls(rings) -> np.ndarray:
-    """Sides of the obstacles and their inner diagonals: without these, ways could pass from corner to corner within."""
-    sides = [(r[k], r[(k + 1) % len(r)]) for r in rings[1:] for k in range(len(r))]
-    inner = [(r[a], r[b]) for r in rings[1:] for a in range(len(r)) for b in range(a + 2, len(r)) if (a, b) != (0, len(r) - 1)]
-    return np.array(sides + inner, int).reshape(-1, 2)
-
-
 #: Corners are numbered from here on, beyond all terminals.
 CORNER, POLYGON = 1 << 40, 1 << 20
 
@@ -125,31 +118,27 @@ def root_distances(v: DataFrame, polygons: DataFrame) -> DataFrame:
 
 
 def contours(edges: DataFrame, v: DataFrame, polygons: DataFrame) -> DataFrame:
-    """For edges that an obstacle cuts: the length (thousandths) of the shortest way around, and its corners as (poly_id, seq). Edges without a way are left out.
+    """For edges that an obstacle cuts: the length (thousandths) of the shortest way around, and its corners from u to v as midpath (numbered as in `free_legs`). Edges without a way are left out.
 
-    polygons: the border as polygon 0, and obstacles.
+    polygons: the border as polygon 0, and obstacles. Of equally short ways that with the lesser corners, from v on.
     """
-    cut = cut_edges(edges, v, polygons.filter("poly_id > 0")).select(F.col("site_id").alias("site"), F.col("u").alias("u"), F.col("v").alias("v"))
-
-    def run(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(own):
-            ids, xy, rings = _split(pdf)
-            walls, corners = _walls(rings), [c for r in rings[1:] for c in r]
-            names = {c: {"poly_id": p, "seq": k} for p, r in enumerate(rings) for k, c in enumerate(r)}
-            at = {i: k for k, i in enumerate(ids)}
-            for u, part in own.groupby("u"):
-                dist, before = K.free_ways(xy, at[u], walls, corners)
-                for w in sorted(part["v"].tolist()):
-                    if np.isfinite(dist[at[w]]):
-                        way, k = [], int(before[at[w]])
-                        while k != at[u]:
-                            way.append(names[k])
-                            k = int(before[k])
-                        out.append((own["site"].iloc[0], u, w, round(dist[at[w]] * 1000), way[::-1]))
-        return pd.DataFrame(out, columns=["site_id", "u", "v", "length", "corners"])
-
-    return _joined(v, polygons).groupBy("site_id").cogroup(cut.groupBy("site")).applyInPandas(run, "site_id long, u long, v long, length long, corners array<struct<poly_id: int, seq: int>>")
+    cut = work_table(cut_edges(edges, v, polygons.filter("poly_id > 0")).select("site_id", "u", "v"), "cut")
+    legs = free_legs(v, polygons).filter(F.col("v") >= CORNER)
+    legs = work_table(legs.unionByName(legs.select("site_id", F.col("v").alias("u"), F.col("u").alias("v"), "w")).select("site_id", F.col("u").alias("p"), F.col("v").alias("at"), "w"), "legs")
+    d = rounds.ways_from(legs.filter("p < at").select("site_id", F.col("p").alias("u"), F.col("at").alias("v"), "w"), cut.select("site_id", F.col("u").alias("root")).distinct())
+    d = d.withColumnsRenamed({"root": "u", "n": "p"})
+    found = cut.join(d.withColumnRenamed("p", "v"), ["site_id", "u", "v"]).select("site_id", "u", "v", F.round(F.col("way") * 1000).cast("long").alias("length"))
+    now, way, k = found.select("site_id", "u", "v", F.col("v").alias("at")), None, 0
+    while True:
+        # From v back: the corner before each is the one from which it is nearest.
+        back = now.join(legs, ["site_id", "at"]).join(d, ["site_id", "u", "p"]).groupBy("site_id", "u", "v").agg(F.min(F.struct((F.col("way") + F.col("w")).alias("d"), "p")).alias("b"))
+        now = work_table(back.select("site_id", "u", "v", F.col("b.p").alias("at")).filter("at <> u"), "way")
+        step, k = now.withColumn("k", F.lit(-k)), k + 1
+        way = step if way is None else way.unionByName(step)
+        if now.isEmpty():
+            break
+    corners = way.groupBy("site_id", "u", "v").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "at"))), lambda s: s["at"]).alias("midpath"))
+    return found.join(corners, ["site_id", "u", "v"])
 
 
 def solve_around(v: DataFrame, polygons: DataFrame, capacity: int) -> DataFrame:

@@ -34,15 +34,33 @@ SELECT site_id, path, s, b, t, NOT EXISTS (SELECT 1 FROM ob WHERE ob.site_id = q
 
 # Ways around a box: past one, two or three of its corners, one after another on its ring.
 _FREE = " AND ".join(f"NOT ({_meet('u', 'v', 's', 't').replace('sx', f'({x0})').replace('sy', f'({y0})').replace('tx', f'({x1})').replace('ty', f'({y1})')})" for x0, y0, x1, y1 in [("cx - 300", "cy - 300", "cx - 300", "cy + 300"), ("cx - 300", "cy + 300", "cx + 300", "cy + 300"), ("cx + 300", "cy + 300", "cx + 300", "cy - 300"), ("cx + 300", "cy - 300", "cx - 300", "cy - 300"), ("cx - 300", "cy - 300", "cx + 300", "cy + 300"), ("cx - 300", "cy + 300", "cx + 300", "cy - 300")])
-query("mesh11_contours", f"""{_with(_C1, _KNN, _BOX)}, q AS (SELECT DISTINCT e.site_id, e.u, e.v, a.x AS ax, a.y AS ay, b.x AS zx, b.y AS zy FROM e JOIN v a ON a.site_id = e.site_id AND a.n = e.u JOIN v b ON b.site_id = e.site_id AND b.n = e.v JOIN ob ON ob.site_id = e.site_id
+_CONTOURS = f"""{_with(_C1, _KNN, _BOX)}, q AS (SELECT DISTINCT e.site_id, e.u, e.v, a.x AS ax, a.y AS ay, b.x AS zx, b.y AS zy FROM e JOIN v a ON a.site_id = e.site_id AND a.n = e.u JOIN v b ON b.site_id = e.site_id AND b.n = e.v JOIN ob ON ob.site_id = e.site_id
   WHERE {_meet('u', 'v', 's', 't').replace('ux', 'a.x').replace('uy', 'a.y').replace('vx', 'b.x').replace('vy', 'b.y')}),
 co(c, i, j) AS (VALUES (0, -300, -300), (1, -300, 300), (2, 300, 300), (3, 300, -300)),
 en AS (SELECT q.site_id, q.u AS p, q.v AS r, 0 AS side, ax AS ux, ay AS uy FROM q UNION ALL SELECT site_id, u, v, 1, zx, zy FROM q),
-hp AS (SELECT site_id, p, r, side, c, sqrt(CAST((ux - vx) * (ux - vx) + (uy - vy) * (uy - vy) AS DOUBLE)) AS w FROM (SELECT en.*, co.c, cx, cy, cx + i AS vx, cy + j AS vy FROM en JOIN bx USING (site_id), co) z WHERE {_FREE})
+hp AS (SELECT site_id, p, r, side, c, sqrt(CAST((ux - vx) * (ux - vx) + (uy - vy) * (uy - vy) AS DOUBLE)) AS w FROM (SELECT en.*, co.c, cx, cy, cx + i AS vx, cy + j AS vy FROM en JOIN bx USING (site_id), co) z WHERE {_FREE})"""
+query("mesh11_contours", f"""{_CONTOURS}
 SELECT a.site_id, a.p AS u, a.r AS v, CAST(round(min(a.w + b.w + 600 * least((a.c - b.c + 4) % 4, (b.c - a.c + 4) % 4)) * 1000) AS BIGINT) AS length FROM hp a JOIN hp b ON a.site_id = b.site_id AND a.p = b.p AND a.r = b.r AND a.side = 0 AND b.side = 1 GROUP BY a.site_id, a.p, a.r""")(
-    lambda spark, v, d: obstacles.contours(joins.knn_edges(v), v, polygons.box_border(v).unionByName(polygons.box_obstacle(v))).drop("corners")
+    lambda spark, v, d: obstacles.contours(joins.knn_edges(v), v, polygons.box_border(v).unionByName(polygons.box_obstacle(v))).drop("midpath")
 )
 
+# Contours as clones: the nearest-neighbour edges as hops, those that the box cuts by clones of the corners that they pass.
+_FIRST_CLONE = 1_000_000
+_CORNER_ID = obstacles.CORNER + obstacles.POLYGON
+query("gr2_contours", f"""{_CONTOURS}, wy AS (SELECT a.site_id, a.p, a.r, min(struct_pack(d := a.w + b.w + 600 * least((a.c - b.c + 4) % 4, (b.c - a.c + 4) % 4), last := b.c, first := a.c)) AS m FROM hp a JOIN hp b ON a.site_id = b.site_id AND a.p = b.p AND a.r = b.r AND a.side = 0 AND b.side = 1 GROUP BY a.site_id, a.p, a.r),
+ct AS (SELECT site_id, p AS u, r AS v, list_transform(CASE (m.first - m.last + 4) % 4 WHEN 0 THEN [m.first] WHEN 2 THEN [m.first, CASE WHEN m.first % 2 = 0 THEN 1 ELSE 0 END, m.last] ELSE [m.first, m.last] END, lambda c: {_CORNER_ID} + c) AS mid FROM wy),
+tp AS (SELECT e.site_id, e.u, e.v, coalesce(mid, []) AS mid FROM e LEFT JOIN ct ON ct.site_id = e.site_id AND ct.u = e.u AND ct.v = e.v),
+bs AS (SELECT *, {_FIRST_CLONE} + coalesce(sum(len(mid)) OVER (PARTITION BY site_id ORDER BY u, v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM tp),
+no AS (SELECT site_id, u AS edge_u, v AS edge_v, list_concat([u], list_transform(range(len(mid)), lambda i: CAST(base + i AS BIGINT)), [v]) AS nodes, list_concat([u], mid, [v]) AS primes, unnest(range(1, len(mid) + 2)) AS i FROM bs)
+SELECT site_id, nodes[i] AS u, nodes[i + 1] AS v, primes[i] AS prime_u, primes[i + 1] AS prime_v, edge_u, edge_v FROM no""")(lambda spark, v, d: _clones(v))
+
+
+def _clones(v: DataFrame) -> DataFrame:
+    around = polygons.box_border(v).unionByName(polygons.box_obstacle(v))
+    edges = joins.knn_edges(v).select("site_id", "u", "v")
+    return sets.expand(edges, obstacles.contours(edges, v, around).select("site_id", "u", "v", "midpath"), _FIRST_CLONE)
+
+
 _ANGLE = "atan2((ux - sx) * ({0}y - sy) - (uy - sy) * ({0}x - sx), (ux - sx) * ({0}x - sx) + (uy - sy) * ({0}y - sy))"
 query("geo10_bunch_split", f"""{_with(_C1, _KNN)}, q AS (SELECT e.site_id, e.u, e.v, a.x AS ux, a.y AS uy, b.x AS vx, b.y AS vy, r.x AS sx, r.y AS sy, p.x AS px, p.y AS py FROM e JOIN v a ON a.site_id = e.site_id AND a.n = e.u JOIN v b ON b.site_id = e.site_id AND b.n = e.v
   JOIN v r ON r.site_id = e.site_id AND r.n = -1 JOIN v p ON p.site_id = e.site_id AND p.n >= 0 AND p.n <> e.u AND p.n <> e.v WHERE e.u >= 0),
