@@ -39,8 +39,8 @@ END = 1
 _NULL = np.iinfo(np.int64).min
 #: Bytes of text in a shard, on average at most, and ids that are read at once (a document's are, though, whatever they are).
 SHARD_BYTES, READ_IDS = 256 << 20, 1 << 20
-#: Words whose ids a worker keeps between slices: about 10 MB.
-CACHE = 250_000
+#: Words whose ids a worker keeps between slices: about 40 MB.
+CACHE = 1_000_000
 #: Letters with signs behind: two pieces to the tokenizer, or one. Such words are encoded many at a time.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)[.,;:!?%&#*$|]*")
 TOGETHER = 1000
