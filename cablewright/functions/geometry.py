@@ -88,7 +88,9 @@ def blocks(root: Point, u: Point, v: Point, s: Point, t: Point) -> Column:
 
 
 def distance_to_line(p: Point, u: Point, v: Point) -> Column:
-    return F.abs(orientation(u, v, p).cast("double")) / distance(u, v)
+    """Distance of p to the line uv; NaN where u and v coincide, as no line is given then."""
+    d = distance(u, v)
+    return F.when(d == 0, F.lit(float("nan"))).otherwise(F.abs(orientation(u, v, p).cast("double")) / F.nullif(d, F.lit(0.0)))
 
 
 def angle(a: Point, pivot: Point, b: Point) -> Column:
