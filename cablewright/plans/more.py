@@ -50,7 +50,7 @@ query("set2_common_neighbours", f"{_with(_C1, _KNN)}, b AS (SELECT site_id, u AS
 query("set5_edge_union", f"{_with(*_BASE, _FOREST, _TRI, _FE, _DE)} SELECT site_id, u, v, count(*) AS sources FROM (SELECT * FROM fe UNION ALL SELECT * FROM de) q GROUP BY site_id, u, v")(lambda spark, v, d: sets.union(_forest_edges(v), _sides(v)))
 query("prj11_overlay", f"{_with(*_BASE, _FOREST, _TRI, _FE, _DE)} SELECT coalesce(a.site_id, b.site_id) AS site_id, coalesce(a.u, b.u) AS u, coalesce(a.v, b.v) AS v, CASE WHEN a.u IS NOT NULL THEN 'route' ELSE 'planar' END AS kind FROM fe a FULL OUTER JOIN de b ON a.site_id = b.site_id AND a.u = b.u AND a.v = b.v")(lambda spark, v, d: sets.overlay(sets.oriented(_forest_edges(v)).withColumn("kind", F.lit("route")), _sides(v).withColumn("kind", F.lit("planar"))))
 query("gr2_expand", f"{_with(*_BASE, _FOREST, _FE)} SELECT site_id, count(*) + count(*) FILTER (WHERE u % 2 = 0) AS hops, count(*) FILTER (WHERE u % 2 = 0) AS clones, count(*) AS edges FROM fe GROUP BY site_id")(lambda spark, v, d: _expanded(v))
-query("gr3_contract", f"{_with(*_BASE, _FOREST, _FE)} SELECT site_id, u, v FROM fe")(lambda spark, v, d: sets.contract(sets.expand(_forest_edges(v), _midpaths(v), 1000)))
+query("gr3_contract", f"{_with(*_BASE, _FOREST, _FE)} SELECT site_id, u, v FROM fe")(lambda spark, v, d: sets.contract(sets.expand(_forest_edges(v), _midpaths(v), _FIRST_CLONE)))
 query("ml1_model_rows", f"{_with(_C1, _TRI, _TWO)}, av AS (SELECT DISTINCT site_id, u, v FROM sd UNION SELECT site_id, s, t FROM dg), t AS (SELECT site_id, count(*) FILTER (WHERE n >= 0) AS t, count(*) FILTER (WHERE n < 0) AS r FROM v GROUP BY site_id) SELECT site_id, 'links' AS family, (SELECT count(*) FROM av WHERE av.site_id = t.site_id AND av.u >= 0) + t * r AS size, t AS bound FROM t UNION ALL SELECT site_id, 'gates', t * r, CAST(ceil(t / 5.0) AS BIGINT) FROM t")(lambda spark, v, d: _model(v).filter("family IN ('links', 'gates')"))
 query("ml2_model_incidence", f"{_with(_C1, _TRI, _TWO)}, av AS (SELECT DISTINCT site_id, u, v FROM sd UNION SELECT site_id, s, t FROM dg), ends AS (SELECT site_id, u AS n FROM av WHERE u >= 0 UNION ALL SELECT site_id, v FROM av WHERE u >= 0), own AS (SELECT site_id, n, count(*) + 2 AS size FROM ends GROUP BY site_id, n) SELECT site_id, family, count(*) AS \"rows\", CAST(sum(size) AS BIGINT) AS size FROM own, (VALUES ('outgoing'), ('flow')) g(family) GROUP BY site_id, family")(lambda spark, v, d: _model(v).filter("family IN ('outgoing', 'flow')").groupBy("site_id", "family").agg(F.count("*").alias("rows"), F.sum("size").alias("size")))
 query("src10_border", f"{_with(_C1)}, b AS (SELECT site_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM v GROUP BY site_id) SELECT site_id, s AS seq, CASE WHEN s IN (0, 3) THEN x0 ELSE x1 END AS x, CASE WHEN s < 2 THEN y0 ELSE y1 END AS y FROM b, (VALUES (0), (1), (2), (3)) t(s)")(lambda spark, v, d: polygons.box_border(v, 0).drop("poly_id"))
@@ -75,14 +75,18 @@ def _blockage(v: DataFrame) -> DataFrame:
     return e.select("site_id", "u", "v", F.round(G.blockage(F.col("arc")), 4).alias("plain"), F.round(G.blockage(F.col("arc"), True), 4).alias("extra"))
 
 
+#: Clones are numbered from here on, beyond all terminals.
+_FIRST_CLONE = obstacles.CORNER
+
+
 def _midpaths(v: DataFrame) -> DataFrame:
     """A made-up midpath, of node 0, for edges whose lower end is even."""
     return sets.oriented(_forest_edges(v)).filter("u % 2 = 0").withColumn("midpath", F.array(F.lit(0).cast("long")))
 
 
 def _expanded(v: DataFrame) -> DataFrame:
-    h = sets.expand(_forest_edges(v), _midpaths(v), 1000)
-    return h.groupBy("site_id").agg(F.count("*").alias("hops"), F.count_if(F.col("u") >= 1000).alias("clones"), F.count_distinct("edge_u", "edge_v").alias("edges"))
+    h = sets.expand(_forest_edges(v), _midpaths(v), _FIRST_CLONE)
+    return h.groupBy("site_id").agg(F.count("*").alias("hops"), F.count_if(F.col("u") >= _FIRST_CLONE).alias("clones"), F.count_distinct("edge_u", "edge_v").alias("edges"))
 
 
 def _model(v: DataFrame) -> DataFrame:
