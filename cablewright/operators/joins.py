@@ -207,17 +207,18 @@ def _gates_by_rank(gates: DataFrame, edges: DataFrame, v: DataFrame) -> DataFram
 def remap(a: DataFrame, b: DataFrame) -> DataFrame:
     """For each node of a the nearest of b of the same kind, both being one site up to scale, turn and shift.
 
-    The nodes 0 and 1 of either give the similarity, as a product of complex numbers.
+    The nodes 0 and 1 of either give the similarity, as a product of complex numbers. Nodes that coincide are matched in the order of their ids.
     """
     ends = lambda df, p: df.filter("n IN (0, 1)").groupBy("site_id").agg(*[F.max(F.when(F.col("n") == k, F.col(c))).cast("double").alias(f"{p}{k}{c}") for k in (0, 1) for c in "xy"])
     m = ends(a, "a").join(ends(b, "b"), "site_id")
     dx, dy, ex, ey = F.col("a1x") - F.col("a0x"), F.col("a1y") - F.col("a0y"), F.col("b1x") - F.col("b0x"), F.col("b1y") - F.col("b0y")
     size = dx * dx + dy * dy
     m = m.select("site_id", ((ex * dx + ey * dy) / size).alias("p"), ((ey * dx - ex * dy) / size).alias("q"), "a0x", "a0y", "b0x", "b0y")
-    moved = a.join(m, "site_id").select("site_id", "n", (F.col("b0x") + (F.col("x") - F.col("a0x")) * F.col("p") - (F.col("y") - F.col("a0y")) * F.col("q")).alias("mx"), (F.col("b0y") + (F.col("x") - F.col("a0x")) * F.col("q") + (F.col("y") - F.col("a0y")) * F.col("p")).alias("my"))
-    j = moved.join(b.select("site_id", F.col("n").alias("to"), "x", "y"), "site_id").filter("(n < 0) = (to < 0)")
+    nth = lambda n: F.row_number().over(Window.partitionBy("site_id", F.col(n) < 0, "x", "y").orderBy(n))
+    moved = a.withColumn("nth", nth("n")).join(m, "site_id").select("site_id", "n", "nth", (F.col("b0x") + (F.col("x") - F.col("a0x")) * F.col("p") - (F.col("y") - F.col("a0y")) * F.col("q")).alias("mx"), (F.col("b0y") + (F.col("x") - F.col("a0x")) * F.col("q") + (F.col("y") - F.col("a0y")) * F.col("p")).alias("my"))
+    j = moved.join(b.select("site_id", F.col("n").alias("to"), "x", "y").withColumn("among", nth("to")), "site_id").filter("(n < 0) = (to < 0)")
     d = F.pow(F.col("x") - F.col("mx"), F.lit(2)) + F.pow(F.col("y") - F.col("my"), F.lit(2))
-    return j.groupBy("site_id", "n").agg(F.min(F.struct(F.round(d, 3).alias("d"), F.col("to"))).alias("b")).select("site_id", "n", F.col("b.to").alias("to"))
+    return j.groupBy("site_id", "n").agg(F.min(F.struct(F.round(d, 3).alias("d"), (F.col("nth") != F.col("among")).alias("other"), F.col("to"))).alias("b")).select("site_id", "n", F.col("b.to").alias("to"))
 
 
 FEW_CABLES = 1000
