@@ -12,7 +12,7 @@ from ..sources.store import work_table
 from . import kernels as K
 from . import rounds
 from .joins import with_points
-from .mesh import hull_edges, site
+from .mesh import hull_edges, site, spread
 from .mesh import sides as mesh_sides
 from .polygons import sides
 
@@ -84,7 +84,7 @@ def navigation_mesh(v: DataFrame, polygons: DataFrame) -> DataFrame:
     j = _joined(v, polygons)
     # Twice the area is whole where coordinates are.
     area = "long" if j.schema["x"].dataType.typeName() in ("long", "integer", "short", "byte") else "double"
-    return j.groupBy("site_id").applyInPandas(run, f"site_id long, triangles long, area2 {area}, lacking long, in_holes long")
+    return spread(j, "site_id").applyInPandas(run, f"site_id long, triangles long, area2 {area}, lacking long, in_holes long")
 
 
 #: Corners are numbered from here on, beyond all terminals.
@@ -155,4 +155,4 @@ def solve_around(v: DataFrame, polygons: DataFrame, capacity: int) -> DataFrame:
         bent = sum(K._hits(own, at[a], at[b], np.array(walls, float)) for w in ways.values() for a, b in zip(w, w[1:], strict=False))
         return pd.DataFrame([(pdf["site_id"].iloc[0], len(parent), int(cut), int(bent), len(ways), len(failed))], columns=["site_id", "links", "cut_links", "cut_ways", "ways", "failed"])
 
-    return _joined(v, polygons).groupBy("site_id").applyInPandas(run, "site_id long, links long, cut_links long, cut_ways long, ways long, failed long")
+    return spread(_joined(v, polygons), "site_id").applyInPandas(run, "site_id long, links long, cut_links long, cut_ways long, ways long, failed long")

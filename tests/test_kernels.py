@@ -222,3 +222,30 @@ def test_exact_with_power_and_gates(seed):
     assert K.exact_forest(ids, xy, 2, gates=2) == (float("inf"), {})
     strong, parent = K.exact_forest(ids, xy, 3, power={0: 3, 1: 3})
     assert strong >= free - 1e-9 and parent[0] < 0 and parent[1] < 0 and not {0, 1} & set(parent.values())
+
+
+@pytest.mark.parametrize("scale", [1, 300])
+def test_crossings_by_cells(scale):
+    rng = np.random.default_rng(4)
+    xy = rng.integers(0, 40 * scale, (300, 2))
+    xy[:3] = [[0, 0], [0, 40 * scale * 20], [5, 5]]  # a far point, and one cell that holds most
+    a, b = rng.integers(0, 300, (400, 2)), rng.integers(0, 300, (150, 2))
+    want = [(i, j) for i in range(len(a)) for j in np.flatnonzero(K.crosses(xy, *a[i], b[:, 0], b[:, 1])).tolist()]
+    assert [tuple(p) for p in K.crossing_pairs(xy, a, b).tolist()] == want
+    assert [tuple(p) for p in K.crossing_pairs(xy / 7, a, b).tolist()] == [(i, j) for i in range(len(a)) for j in np.flatnonzero(K.crosses(xy / 7, *a[i], b[:, 0], b[:, 1])).tolist()]
+    i, j = np.triu_indices(len(a), 1)
+    assert K.count_crossings(xy, a) == int(K.crosses(xy, a[i, 0], a[i, 1], a[j, 0], a[j, 1]).sum())
+
+
+def test_crossings_of_many_edges_take_no_product():
+    """20,000 short edges: all pairs would be 400 million tests, of which at most three for each near pair are made."""
+    xy = np.array([(x * 10, y * 10) for x in range(101) for y in range(101)])
+    k = np.array([x * 101 + y for x in range(100) for y in range(100)])
+    edges = np.concatenate([np.stack([k, k + 102], axis=1), np.stack([k + 1, k + 101], axis=1)])
+    tested, plain = [], K.crosses
+    try:
+        K.crosses = lambda xy, u, *rest: tested.append(np.size(u)) or plain(xy, u, *rest)
+        assert K.count_crossings(xy, edges) == 10_000
+    finally:
+        K.crosses = plain
+    assert sum(tested) < 1_000_000
