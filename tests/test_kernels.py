@@ -249,3 +249,32 @@ def test_crossings_of_many_edges_take_no_product():
     finally:
         K.crosses = plain
     assert sum(tested) < 1_000_000
+
+
+def _all_savings(ids, xy, near):
+    d = [(float(K.length(xy, u, v)) - max(near[u][0], near[v][0]), ids[u], ids[v], u, v) for u, v in itertools.combinations(sorted(near), 2)]
+    return sorted(x for x in d if x[0] < 0)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_savings_come_in_order(seed, monkeypatch):
+    """Without joins, the lazy list is the sorted list of all pairs that save something."""
+    monkeypatch.setattr(K, "FIRST", 2)
+    ids, xy = site(seed, 60)
+    near = K.nearest_root(ids, xy)
+    assert list(K.by_saving(ids, xy, near, K.Free(near, 5))) == _all_savings(ids, xy, near)
+
+
+def test_routes_hold_no_matrix():
+    """4,000 points: a list of all distances alone would take over 400 MB."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    xy = rng.integers(0, 20_000, (4_000, 2))
+    ids = [-2, -1, *range(3_998)]
+    tracemalloc.start()
+    routes = K.savings_routes(ids, xy, 3, rounds=0)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(m for r in routes for m in r) == list(range(2, 4_000)) and max(map(len, routes)) <= 3
+    assert most < 150e6
