@@ -278,3 +278,17 @@ def test_routes_hold_no_matrix():
     tracemalloc.stop()
     assert sorted(m for r in routes for m in r) == list(range(2, 4_000)) and max(map(len, routes)) <= 3
     assert most < 150e6
+
+
+def test_repair_of_many_routes_tests_few_segments(monkeypatch):
+    """400 hops in 200 routes with one crossing: only what lies about it is counted."""
+    xy = np.array([(0, -500), (0, -501)] + [(20 * k + dx, dy) for k in range(200) for dx, dy in ((0, 0), (10, 10), (10, 20))])
+    ids = [-2, -1, *range(600)]
+    routes = [[2 + 3 * k, 3 + 3 * k, 4 + 3 * k] for k in range(200)]
+    xy[[3, 6]] = [(25, 12), (5, 12)]
+    before, tested, plain = K.count_crossings(xy, [e for r in routes for e in zip(r, r[1:])]), [], K.crosses
+    monkeypatch.setattr(K, "crosses", lambda xy, *ends: tested.append(np.broadcast(*ends).size) or plain(xy, *ends))
+    fixed = K.repair(ids, xy, routes)
+    assert before and sum(tested) < 50_000 and sorted(m for r in fixed for m in r) == list(range(2, 602))
+    monkeypatch.undo()
+    assert K.count_crossings(xy, [e for r in fixed for e in zip(r, r[1:])]) < before
