@@ -292,3 +292,17 @@ def test_repair_of_many_routes_tests_few_segments(monkeypatch):
     assert before and sum(tested) < 50_000 and sorted(m for r in fixed for m in r) == list(range(2, 602))
     monkeypatch.undo()
     assert K.count_crossings(xy, [e for r in fixed for e in zip(r, r[1:])]) < before
+
+
+@pytest.mark.parametrize("capacity", [1, 3, 5, 8])
+def test_classic_without_pairs(capacity, monkeypatch):
+    """The same parents as over a list of all pairs, on a lattice with many equal lengths and coincident points, too."""
+    monkeypatch.setattr(K, "FIRST", 4)
+    rng = np.random.default_rng(capacity)
+    for xy in (site(capacity, 60)[1], rng.integers(0, 7, (62, 2)) * 10):
+        ids = [-2, -1, *range(len(xy) - 2)]
+        every = list(itertools.combinations(range(len(xy)), 2))
+        assert K.classic(ids, xy, capacity) == K.esau_williams(ids, xy, every, capacity, rule="weight", uncrossed=False)
+    monkeypatch.setattr(K, "esau_williams", None)
+    xy = rng.integers(0, 20_000, (1_500, 2))
+    assert len(K.classic([-2, -1, *range(1_498)], xy, capacity)) == 1_498
