@@ -306,3 +306,11 @@ def test_classic_without_pairs(capacity, monkeypatch):
     monkeypatch.setattr(K, "esau_williams", None)
     xy = rng.integers(0, 20_000, (1_500, 2))
     assert len(K.classic([-2, -1, *range(1_498)], xy, capacity)) == 1_498
+
+
+def test_crossed_by_any():
+    rng = np.random.default_rng(8)
+    xy = rng.integers(0, 900, (120, 2))
+    a, b = rng.integers(0, 120, (500, 2)), rng.integers(0, 120, (40, 2))
+    assert K.crossed(xy, a, b).tolist() == [bool(K.crosses(xy, *e, b[:, 0], b[:, 1]).any()) for e in a]
+    assert not K.crossed(xy, a, []).any()
