@@ -12,9 +12,10 @@ from ..sources.store import work_table
 from . import kernels as K
 from . import rounds
 from .joins import with_points
-from .mesh import hull_edges, site, spread
+from .mesh import hull_edges, site
 from .mesh import sides as mesh_sides
 from .polygons import sides
+from .tiles import spread
 
 
 def cut_edges(edges: DataFrame, v: DataFrame, polygons: DataFrame) -> DataFrame:
