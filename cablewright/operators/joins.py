@@ -32,22 +32,34 @@ def assign_root(v: DataFrame) -> DataFrame:
     return j.groupBy("site_id", "n").agg(best).select("site_id", "n", F.col("b.root").alias("root"), F.col("b.d2").alias("d2"))
 
 
-def _pairs(a: DataFrame, b: DataFrame | None = None, before: bool = True) -> DataFrame:
-    """Pairs of points of a site as u, ux, uy, v, vx, vy; with `before`, u < v."""
-    left = a.select("site_id", F.col("n").alias("u"), F.col("x").alias("ux"), F.col("y").alias("uy"))
-    right = (a if b is None else b).select("site_id", F.col("n").alias("v"), F.col("x").alias("vx"), F.col("y").alias("vy"))
-    pairs = left.join(right, "site_id")
-    return pairs.filter("u < v") if before else pairs
+#: Parts that the first points of a site's pairs are dealt to, and tasks for all parts of all sites.
+PARTS, PART_TASKS = 64, 512
+
+
+def _pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs of points of a site as u, ux, uy, v, vx, vy, and what else a has. A site's first points are dealt to parts, each of which meets all second ones, so that no task has a whole site's pairs."""
+    left = a.withColumnsRenamed({"n": "u", "x": "ux", "y": "uy"}).withColumn("part", F.pmod(F.col("u"), F.lit(PARTS)).cast("int"))
+    right = b.select("site_id", F.col("n").alias("v"), F.col("x").alias("vx"), F.col("y").alias("vy"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    by = ["site_id", "part"]
+    return left.repartition(PART_TASKS, *by).join(right.repartition(PART_TASKS, *by).hint("merge"), by).drop("part")
 
 
 def complete_graph(v: DataFrame, prune: bool = True) -> DataFrame:
-    """All pairs of terminals with squared length, less those that some root sees under more than a right angle."""
-    pairs = _pairs(v.filter("n >= 0"))
-    if prune:
-        r = v.filter("n < 0").select("site_id", F.col("x").alias("rx"), F.col("y").alias("ry"))
-        wide = G.dot(G.minus(G.point("u"), G.point("r")), G.minus(G.point("v"), G.point("r"))) < 0
-        seen = pairs.join(r, "site_id").filter(wide).select("site_id", "u", "v").distinct()
-        pairs = pairs.join(seen, ["site_id", "u", "v"], "left_anti")
+    """All pairs of terminals with squared length, less those that some root sees under more than a right angle.
+
+    A terminal carries its site's roots, so that a pair is judged where it is made and never sent on.
+    """
+    t = v.filter("n >= 0").select("site_id", "n", "x", "y")
+    if not prune:
+        pairs = _pairs(t, t).filter("u < v")
+        return pairs.select("site_id", "u", "v", G.d2(G.point("u"), G.point("v")).alias("l2"))
+    r = v.filter("n < 0").groupBy("site_id").agg(F.collect_list(F.struct("x", "y")).alias("r"))
+    most = r.agg(F.max(F.size("r"))).first()[0] or 0
+    root = lambda k, c: F.get("r", F.lit(k))[c].alias(f"r{k}{c}")
+    pairs = _pairs(t.join(r, "site_id", "left").select("site_id", "n", "x", "y", *[root(k, c) for k in range(most) for c in "xy"]), t).filter("u < v")
+    for k in range(most):
+        at = G.point(f"r{k}")
+        pairs = pairs.filter(F.coalesce(G.dot(G.minus(G.point("u"), at), G.minus(G.point("v"), at)) >= 0, F.lit(True)))
     return pairs.select("site_id", "u", "v", G.d2(G.point("u"), G.point("v")).alias("l2"))
 
 
@@ -240,9 +252,12 @@ def assign_cables(edges: DataFrame, cables: DataFrame, load: str = "load") -> Da
 
 def length_matrix(v: DataFrame, edges: DataFrame, depot: int = -1) -> DataFrame:
     """For routing from one depot: i, j, length in thousandths; the way back is free, a missing edge has none."""
-    nodes = v.filter((F.col("n") >= 0) | (F.col("n") == depot))
-    pairs = _pairs(nodes, before=False).filter("u <> v")
-    have = edges.select("site_id", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct().withColumn("there", F.lit(True))
-    j = pairs.withColumn("a", F.least("u", "v")).withColumn("b", F.greatest("u", "v")).join(have, ["site_id", "a", "b"], "left")
-    length = F.when(F.col("v") == depot, 0).when(F.col("there") | (F.col("u") == depot), F.round(F.sqrt(G.d2(G.point("u"), G.point("v")).cast("double")) * 1000).cast("long"))
+    nodes = v.filter((F.col("n") >= 0) | (F.col("n") == depot)).select("site_id", "n", "x", "y")
+    # Each node carries its neighbours, which are few, so that pairs are not sent on.
+    both = edges.select("site_id", F.col("u").alias("n"), F.col("v").alias("m")).unionByName(edges.select("site_id", F.col("v").alias("n"), F.col("u").alias("m")))
+    near = both.groupBy("site_id", "n").agg(F.collect_set("m").alias("near"))
+    first = nodes.join(near, ["site_id", "n"], "left").select(*nodes.columns, F.coalesce("near", F.array().cast("array<bigint>")).alias("near"))
+    j = _pairs(first, nodes).filter("u <> v")
+    there = F.array_contains("near", F.col("v")) | (F.col("u") == depot)
+    length = F.when(F.col("v") == depot, 0).when(there, F.round(F.sqrt(G.d2(G.point("u"), G.point("v")).cast("double")) * 1000).cast("long"))
     return j.select("site_id", F.col("u").alias("i"), F.col("v").alias("j"), length.alias("length"))
