@@ -131,4 +131,4 @@ SELECT site_id, '<svg xmlns="http://www.w3.org/2000/svg" viewBox="' || box || '"
 query("sf10_named", f"{_with(_C1)} SELECT site_id, n, x + y AS total, x - y AS apart FROM v")(lambda spark, v, d: v.select("site_id", "n", X.named(total=F.col("x") + F.col("y"), apart=F.col("x") - F.col("y")).alias("s")).select("site_id", "n", "s.*"))
 query("vr3_problem", f"""{_with(_C1, _KNN)}, w AS (SELECT a.site_id, a.n AS i, b.n AS j, CASE WHEN a.n = b.n OR b.n = -1 THEN 0 WHEN a.n = -1 OR EXISTS (SELECT 1 FROM e WHERE e.site_id = a.site_id AND e.u = least(a.n, b.n) AND e.v = greatest(a.n, b.n)) THEN CAST(round(sqrt(CAST((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS DOUBLE)) * 1000) AS BIGINT) ELSE {routing.FAR} END AS l FROM v a JOIN v b ON a.site_id = b.site_id AND a.n >= -1 AND b.n >= -1),
 r AS (SELECT site_id, i, string_agg(l, ' ' ORDER BY j) AS line FROM w GROUP BY site_id, i)
-SELECT site_id, sha256('TYPE : ACVRP' || chr(10) || 'DIMENSION : ' || count(*) || chr(10) || 'CAPACITY : 5' || chr(10) || 'EDGE_WEIGHT_TYPE : EXPLICIT' || chr(10) || 'EDGE_WEIGHT_FORMAT : FULL_MATRIX' || chr(10) || 'EDGE_WEIGHT_SECTION' || chr(10) || string_agg(line, chr(10) ORDER BY i) || chr(10) || 'EOF') AS digest FROM r GROUP BY site_id""")(lambda spark, v, d: routing.problems(joins.length_matrix(v, joins.knn_edges(v)), 5).select("site_id", F.sha2("problem", 256).alias("digest")))
+SELECT site_id, sha256('TYPE : ACVRP' || chr(10) || 'DIMENSION : ' || count(*) || chr(10) || 'CAPACITY : 5' || chr(10) || 'EDGE_WEIGHT_TYPE : EXPLICIT' || chr(10) || 'EDGE_WEIGHT_FORMAT : FULL_MATRIX' || chr(10) || 'EDGE_WEIGHT_SECTION' || chr(10) || string_agg(line, chr(10) ORDER BY i) || chr(10) || 'EOF') AS digest FROM r GROUP BY site_id""")(lambda spark, v, d: routing.problem_digests(v, joins.knn_edges(v), 5))
