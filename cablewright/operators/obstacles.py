@@ -106,7 +106,8 @@ def free_legs(v: DataFrame, polygons: DataFrame) -> DataFrame:
     # Every two corners of one obstacle: its sides and its inner diagonals.
     walls = work_table(s.join(t, ["site_id", "poly_id"]).filter("sk < tk").join(size, ["site_id", "poly_id"]).select("site_id", "sx", "sy", "tx", "ty"), "walls")
     a, b = (nodes.select("site_id", F.col("n").alias(c), F.col("x").alias(f"{c}x"), F.col("y").alias(f"{c}y")) for c in "uv")
-    legs = a.join(b, "site_id").filter((F.col("u") < F.col("v")) & ((F.col("v") >= CORNER) | ((F.col("u") < 0) & (F.col("v") >= 0))))
+    # All nodes meet the corners alone, and terminals the roots: never all nodes all others.
+    legs = a.join(b.filter(F.col("v") >= CORNER), "site_id").filter("u < v").unionByName(a.filter("u < 0").join(b.filter((F.col("v") >= 0) & (F.col("v") < CORNER)), "site_id"))
     shut = legs.join(walls, "site_id").filter(G.is_crossing(*(G.point(c) for c in "uvst"), touch=False)).select("site_id", "u", "v").distinct()
     return legs.join(shut, ["site_id", "u", "v"], "left_anti").select("site_id", "u", "v", G.distance(G.point("u"), G.point("v")).alias("w"))
 
@@ -124,11 +125,19 @@ def contours(edges: DataFrame, v: DataFrame, polygons: DataFrame) -> DataFrame:
     polygons: the border as polygon 0, and obstacles. Of equally short ways that with the lesser corners, from v on.
     """
     cut = work_table(cut_edges(edges, v, polygons.filter("poly_id > 0")).select("site_id", "u", "v"), "cut")
-    legs = free_legs(v, polygons).filter(F.col("v") >= CORNER)
+    # Ways bend at corners alone: of the points, only the ends of cut edges count.
+    ends = cut.select("site_id", F.explode(F.array("u", "v")).alias("n")).distinct()
+    legs = free_legs(v.join(ends, ["site_id", "n"], "left_semi"), polygons).filter(F.col("v") >= CORNER)
     legs = work_table(legs.unionByName(legs.select("site_id", F.col("v").alias("u"), F.col("u").alias("v"), "w")).select("site_id", F.col("u").alias("p"), F.col("v").alias("at"), "w"), "legs")
-    d = rounds.ways_from(legs.filter("p < at").select("site_id", F.col("p").alias("u"), F.col("at").alias("v"), "w"), cut.select("site_id", F.col("u").alias("root")).distinct())
-    d = d.withColumnsRenamed({"root": "u", "n": "p"})
-    found = cut.join(d.withColumnRenamed("p", "v"), ["site_id", "u", "v"]).select("site_id", "u", "v", F.round(F.col("way") * 1000).cast("long").alias("length"))
+    # Ways between corners, of which there are few, and from them those from each u to every corner.
+    inner = legs.filter(f"p < at AND p >= {CORNER}").select("site_id", F.col("p").alias("u"), F.col("at").alias("v"), "w")
+    every = polygons.filter("poly_id > 0").select("site_id", (F.lit(CORNER) + F.col("poly_id").cast("long") * POLYGON + F.col("seq")).alias("root"))
+    between = rounds.ways_from(inner, every).select("site_id", F.col("root").alias("at"), F.col("n").alias("p"), "way")
+    first = cut.select("site_id", "u").distinct().join(legs.withColumnRenamed("p", "u"), ["site_id", "u"])
+    d = first.join(between, ["site_id", "at"]).groupBy("site_id", "u", "p").agg(F.min(F.col("w") + F.col("way")).alias("way"))
+    d = work_table(d.unionByName(cut.select("site_id", "u", F.col("u").alias("p"), F.lit(0.0).alias("way")).distinct()), "ways")
+    last = cut.join(legs.withColumnRenamed("at", "v"), ["site_id", "v"]).join(d, ["site_id", "u", "p"])
+    found = last.groupBy("site_id", "u", "v").agg(F.round(F.min(F.col("way") + F.col("w")) * 1000).cast("long").alias("length"))
     now, way, k = found.select("site_id", "u", "v", F.col("v").alias("at")), None, 0
     while True:
         # From v back: the corner before each is the one from which it is nearest.
