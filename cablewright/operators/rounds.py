@@ -111,6 +111,9 @@ def ways_from(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """
     both = edges.select("site_id", "u", "v", "w").unionByName(edges.select("site_id", F.col("v").alias("u"), F.col("u").alias("v"), "w"))
     both = work_table(both, "sides")
+    # Dealt and sorted once for all rounds; broadcast, the sides would pass the driver in each of them.
+    tasks = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = both.withColumnRenamed("u", "n").repartition(tasks, "site_id", "n").sortWithinPartitions("site_id", "n").persist()
     wide = both.groupBy("site_id").agg((F.avg("w") * BUCKET).alias("wide"))
     d = work_table(sources.select("site_id", "root", F.col("root").alias("n"), F.lit(0.0).alias("way"), F.lit(True).alias("open")), "ways")
     key = ["site_id", "root", "n"]
@@ -119,7 +122,7 @@ def ways_from(edges: DataFrame, sources: DataFrame) -> DataFrame:
         d = d.join(low, ["site_id", "root"], "left").withColumn("now", F.col("open") & (F.col("way") <= F.col("low") + F.col("wide")))
         step, found = d.filter("now").select(*key, "way"), None
         for _ in range(STEPS):
-            step = step.join(both.withColumnRenamed("u", "n"), ["site_id", "n"]).groupBy("site_id", "root", F.col("v").alias("n")).agg(F.min(F.col("way") + F.col("w")).alias("way"))
+            step = step.join(near.hint("merge"), ["site_id", "n"]).groupBy("site_id", "root", F.col("v").alias("n")).agg(F.min(F.col("way") + F.col("w")).alias("way"))
             found = step if found is None else found.unionByName(step)
         old = d.select(*key, "way", (F.col("open") & ~F.coalesce("now", F.lit(False))).alias("open"), F.lit(0).alias("new"))
         all_ = old.unionByName(found.select(*key, "way", F.lit(True).alias("open"), F.lit(1).alias("new")))
@@ -127,4 +130,5 @@ def ways_from(edges: DataFrame, sources: DataFrame) -> DataFrame:
         d = all_.groupBy(*key).agg(F.min(F.struct("way", "new", "open")).alias("b")).select(*key, "b.way", "b.open")
         d = work_table(d, "ways")
         if d.filter("open").isEmpty():
+            near.unpersist()
             return d.select("site_id", "root", "n", "way")
