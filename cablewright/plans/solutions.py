@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import mesh, sets, solvers, trees
+from ..sources.store import work_table
 from . import flagship
 from .catalogue import _ANC, _BASE, _C1, _FOREST, _PAIRS, _PTS, _TRI, _TWO, _meet, _with, query
 
@@ -140,13 +141,13 @@ SELECT site_id, k[1] AS a, k[2] AS b, k[3] AS c FROM nw""")(lambda spark, v, d:
 
 
 def _routeset(v: DataFrame) -> DataFrame:
-    s = solvers.solve(v, ["presolver"], [5])
+    s = work_table(solvers.solve(v, ["presolver"], [5]), "solution")  # read three times
     return sets.routeset(s.select("site_id", "n", "parent"), mesh.available_edges(mesh.triangles(v), v), solvers.crossed_gates(s, v))
 
 
 def _flipped(v: DataFrame) -> DataFrame:
     t = mesh.triangles(v)
-    links = solvers.solve(v, ["presolver"], [5]).filter("parent >= 0").select("site_id", F.col("n").alias("u"), F.col("parent").alias("v"))
+    links = work_table(solvers.solve(v, ["presolver"], [5]), "solution").filter("parent >= 0").select("site_id", F.col("n").alias("u"), F.col("parent").alias("v"))
     return mesh.flipped(t, mesh.diagonals(t, v), links)
 
 
