@@ -32,16 +32,24 @@ def assign_root(v: DataFrame) -> DataFrame:
     return j.groupBy("site_id", "n").agg(best).select("site_id", "n", F.col("b.root").alias("root"), F.col("b.d2").alias("d2"))
 
 
-#: Parts that the first points of a site's pairs are dealt to, and tasks for all parts of all sites.
-PARTS, PART_TASKS = 64, 512
+#: Points of a block, blocks of a site at least, tasks for all pairs of blocks at least, and pairs of blocks that a task has on average where there are more.
+BLOCK, BLOCKS, PAIR_TASKS, SHARE = 512, 8, 512, 32
 
 
-def _pairs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs of points of a site as u, ux, uy, v, vx, vy, and what else a has. A site's first points are dealt to parts, each of which meets all second ones, so that no task has a whole site's pairs."""
-    left = a.withColumnsRenamed({"n": "u", "x": "ux", "y": "uy"}).withColumn("part", F.pmod(F.col("u"), F.lit(PARTS)).cast("int"))
-    right = b.select("site_id", F.col("n").alias("v"), F.col("x").alias("vx"), F.col("y").alias("vy"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
-    by = ["site_id", "part"]
-    return left.repartition(PART_TASKS, *by).join(right.repartition(PART_TASKS, *by).hint("merge"), by).drop("part")
+def _pairs(a: DataFrame, b: DataFrame, once: bool = False) -> DataFrame:
+    """Pairs of points of a site as u, ux, uy, v, vx, vy, and what else a has; if once, each two points make one pair, in either order.
+
+    A site's points are dealt to blocks, and pairs of blocks to tasks, of which there are more the more pairs there are: no task has more pairs at any size.
+    """
+    sizes = work_table(b.groupBy("site_id").agg(F.greatest(F.lit(BLOCKS), F.ceil(F.count("*") / BLOCK)).cast("int").alias("blocks")), "blocks")
+    made = sizes.agg(F.sum(F.col("blocks").cast("long") * F.col("blocks"))).first()[0] or 0
+    tasks = max(PAIR_TASKS, math.ceil(made / (2 if once else 1) / SHARE))
+    block, to = F.pmod(F.hash("n"), F.col("blocks")), lambda first, last: F.explode(F.sequence(first, last))
+    left = a.join(sizes, "site_id").withColumn("i", block).withColumn("j", to(F.col("i") if once else F.lit(0), F.col("blocks") - 1)).drop("blocks").withColumnsRenamed({"n": "u", "x": "ux", "y": "uy"})
+    right = b.join(sizes, "site_id").withColumn("j", block).select("site_id", F.col("n").alias("v"), F.col("x").alias("vx"), F.col("y").alias("vy"), "j", to(F.lit(0), F.col("j") if once else F.col("blocks") - 1).alias("i"))
+    by = ["site_id", "i", "j"]
+    pairs = left.repartition(tasks, *by).join(right.repartition(tasks, *by).hint("merge"), by)
+    return (pairs.filter("i < j OR u < v") if once else pairs).drop("i", "j")
 
 
 def complete_graph(v: DataFrame, prune: bool = True) -> DataFrame:
@@ -49,18 +57,18 @@ def complete_graph(v: DataFrame, prune: bool = True) -> DataFrame:
 
     A terminal carries its site's roots, so that a pair is judged where it is made and never sent on.
     """
-    t = v.filter("n >= 0").select("site_id", "n", "x", "y")
+    t = work_table(v.filter("n >= 0").select("site_id", "n", "x", "y"), "terminals")
+    both = lambda pairs: pairs.select("site_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), G.d2(G.point("u"), G.point("v")).alias("l2"))
     if not prune:
-        pairs = _pairs(t, t).filter("u < v")
-        return pairs.select("site_id", "u", "v", G.d2(G.point("u"), G.point("v")).alias("l2"))
+        return both(_pairs(t, t, once=True))
     r = v.filter("n < 0").groupBy("site_id").agg(F.collect_list(F.struct("x", "y")).alias("r"))
     most = r.agg(F.max(F.size("r"))).first()[0] or 0
     root = lambda k, c: F.get("r", F.lit(k))[c].alias(f"r{k}{c}")
-    pairs = _pairs(t.join(r, "site_id", "left").select("site_id", "n", "x", "y", *[root(k, c) for k in range(most) for c in "xy"]), t).filter("u < v")
+    pairs = _pairs(t.join(r, "site_id", "left").select("site_id", "n", "x", "y", *[root(k, c) for k in range(most) for c in "xy"]), t, once=True)
     for k in range(most):
         at = G.point(f"r{k}")
         pairs = pairs.filter(F.coalesce(G.dot(G.minus(G.point("u"), at), G.minus(G.point("v"), at)) >= 0, F.lit(True)))
-    return pairs.select("site_id", "u", "v", G.d2(G.point("u"), G.point("v")).alias("l2"))
+    return both(pairs)
 
 
 def arcs(edges: DataFrame, hull: DataFrame, v: DataFrame) -> DataFrame:
@@ -252,7 +260,7 @@ def assign_cables(edges: DataFrame, cables: DataFrame, load: str = "load") -> Da
 
 def length_matrix(v: DataFrame, edges: DataFrame, depot: int = -1) -> DataFrame:
     """For routing from one depot: i, j, length in thousandths; the way back is free, a missing edge has none."""
-    nodes = v.filter((F.col("n") >= 0) | (F.col("n") == depot)).select("site_id", "n", "x", "y")
+    nodes = work_table(v.filter((F.col("n") >= 0) | (F.col("n") == depot)).select("site_id", "n", "x", "y"), "nodes")
     # Each node carries its neighbours, which are few, so that pairs are not sent on.
     both = edges.select("site_id", F.col("u").alias("n"), F.col("v").alias("m")).unionByName(edges.select("site_id", F.col("v").alias("n"), F.col("u").alias("m")))
     near = both.groupBy("site_id", "n").agg(F.collect_set("m").alias("near"))
