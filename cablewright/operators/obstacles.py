@@ -113,8 +113,16 @@ def free_legs(v: DataFrame, polygons: DataFrame) -> DataFrame:
 
 
 def root_distances(v: DataFrame, polygons: DataFrame) -> DataFrame:
-    """site_id, n, root, length (thousandths) of the shortest way that crosses no obstacle; null if there is none."""
-    d = rounds.ways_from(free_legs(v, polygons), v.filter("n < 0").select("site_id", F.col("n").alias("root"))).filter(f"n >= 0 AND n < {CORNER}")
+    """site_id, n, root, length (thousandths) of the shortest way that crosses no obstacle; null if there is none.
+
+    Ways bend at corners alone: a point within an obstacle is an end, and no way leads over it.
+    """
+    legs = work_table(free_legs(v, polygons), "legs")
+    first = legs.filter(f"u < 0 AND v >= {CORNER}").select("site_id", F.col("u").alias("root"), F.col("v").alias("n"), F.col("w").alias("way"))
+    to = rounds.ways_from(legs.filter(f"u >= {CORNER}"), first).withColumnRenamed("n", "v")
+    direct = legs.filter(f"u < 0 AND v < {CORNER}").select("site_id", F.col("v").alias("n"), F.col("u").alias("root"), F.col("w").alias("way"))
+    last = legs.filter(f"u >= 0 AND u < {CORNER}").join(to, ["site_id", "v"]).select("site_id", F.col("u").alias("n"), "root", (F.col("way") + F.col("w")).alias("way"))
+    d = direct.unionByName(last).groupBy("site_id", "n", "root").agg(F.min("way").alias("way"))
     every = v.filter("n >= 0").select("site_id", "n").join(v.filter("n < 0").select("site_id", F.col("n").alias("root")), "site_id")
     return every.join(d, ["site_id", "n", "root"], "left").select("site_id", "n", "root", F.round(F.col("way") * 1000).cast("long").alias("length"))
 

@@ -106,7 +106,8 @@ BUCKET, STEPS = 6.0, 3
 def ways_from(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """site_id, root, n, way: length of the shortest way from each source (site_id, root) to every node that it reaches.
 
-    edges: site_id, u, v, w, either way. By delta stepping: the open nodes of each source's least bucket are
+    edges: site_id, u, v, w, either way. Sources may have columns n and way: nodes that a source's ways begin at, that long
+    already. By delta stepping: the open nodes of each source's least bucket are
     expanded, what becomes nearer is open again, until nothing is.
     """
     both = edges.select("site_id", "u", "v", "w").unionByName(edges.select("site_id", F.col("v").alias("u"), F.col("u").alias("v"), "w"))
@@ -115,10 +116,11 @@ def ways_from(edges: DataFrame, sources: DataFrame) -> DataFrame:
     tasks = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     near = both.withColumnRenamed("u", "n").repartition(tasks, "site_id", "n").sortWithinPartitions("site_id", "n").persist()
     wide = both.groupBy("site_id").agg((F.avg("w") * BUCKET).alias("wide"))
-    d = work_table(sources.select("site_id", "root", F.col("root").alias("n"), F.lit(0.0).alias("way"), F.lit(True).alias("open")), "ways")
+    start = sources if "way" in sources.columns else sources.select("site_id", "root", F.col("root").alias("n"), F.lit(0.0).alias("way"))
+    d = work_table(start.select("site_id", "root", "n", "way", F.lit(True).alias("open")), "ways")
     key = ["site_id", "root", "n"]
     while True:
-        low = d.filter("open").groupBy("site_id", "root").agg(F.min("way").alias("low")).join(wide, "site_id")
+        low = d.filter("open").groupBy("site_id", "root").agg(F.min("way").alias("low")).join(wide, "site_id", "left").fillna(0.0, ["wide"])
         d = d.join(low, ["site_id", "root"], "left").withColumn("now", F.col("open") & (F.col("way") <= F.col("low") + F.col("wide")))
         step, found = d.filter("now").select(*key, "way"), None
         for _ in range(STEPS):
