@@ -236,9 +236,26 @@ def remap(a: DataFrame, b: DataFrame) -> DataFrame:
     m = m.select("site_id", ((ex * dx + ey * dy) / size).alias("p"), ((ey * dx - ex * dy) / size).alias("q"), "a0x", "a0y", "b0x", "b0y")
     nth = lambda n: F.row_number().over(Window.partitionBy("site_id", F.col(n) < 0, "x", "y").orderBy(n))
     moved = a.withColumn("nth", nth("n")).join(m, "site_id").select("site_id", "n", "nth", (F.col("b0x") + (F.col("x") - F.col("a0x")) * F.col("p") - (F.col("y") - F.col("a0y")) * F.col("q")).alias("mx"), (F.col("b0y") + (F.col("x") - F.col("a0x")) * F.col("q") + (F.col("y") - F.col("a0y")) * F.col("p")).alias("my"))
-    j = moved.join(b.select("site_id", F.col("n").alias("to"), "x", "y").withColumn("among", nth("to")), "site_id").filter("(n < 0) = (to < 0)")
-    d = F.pow(F.col("x") - F.col("mx"), F.lit(2)) + F.pow(F.col("y") - F.col("my"), F.lit(2))
-    return j.groupBy("site_id", "n").agg(F.min(F.struct(F.round(d, 3).alias("d"), (F.col("nth") != F.col("among")).alias("other"), F.col("to"))).alias("b")).select("site_id", "n", F.col("b.to").alias("to"))
+    # Nodes meet in cells of b's grid, wider ones in each round, until a cell reaches farther than the nearest node found.
+    there, wide = gridded(b.select("site_id", "n", "x", "y").withColumn("among", nth("n")), 2.0)
+    frame = work_table(there.groupBy("site_id").agg(*[F.first(c).alias(c) for c in ("x0", "y0", "side", "span")], *[F.max(c).cast("double").alias(f"{c}1") for c in "xy"]), "frame")
+    left = work_table(moved.join(frame, "site_id").select("site_id", "n", "nth", F.col("mx").alias("x"), F.col("my").alias("y"), "x0", "y0", "side", "span", *[F.greatest(F.col(f"{c}0") - F.col(f"m{c}"), F.col(f"m{c}") - F.col(f"{c}1"), F.lit(0.0)).alias(f"o{c}") for c in "xy"]), "moved")
+    found = None
+    while True:
+        pairs = about(left, there, wide).filter("(u < 0) = (v < 0)")
+        d = F.pow(F.col("vx") - F.col("ux"), F.lit(2)) + F.pow(F.col("vy") - F.col("uy"), F.lit(2))
+        best = pairs.groupBy("site_id", F.col("u").alias("n")).agg(F.min(F.struct(F.round(d, 3).alias("d"), (F.col("nth") != F.col("among")).alias("other"), F.col("v").alias("to"))).alias("b"))
+        reach = F.col("side") * wide
+        # All of b lies in the cells about a node that is no farther off its frame than a cell is wide, once that is as wide as b.
+        all_of_it = reach > F.col("span") + F.greatest("ox", "oy")
+        near = left.join(best, ["site_id", "n"], "left").withColumn("done", all_of_it | (F.sqrt(F.col("b.d")) + 0.05 < reach))
+        near = work_table(near.select(*left.columns, "b", F.coalesce("done", F.lit(False)).alias("done")), "nearest")
+        got = near.filter("done AND b IS NOT NULL").select("site_id", "n", F.col("b.to").alias("to"))
+        found = got if found is None else found.unionByName(got)
+        left = near.filter("NOT done").select(*left.columns)
+        if left.isEmpty():
+            return found
+        wide *= 4
 
 
 FEW_CABLES = 1000
